@@ -126,8 +126,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, max_k: int = FETCH_CEILING) ->
     project, embedding, fetch_k`` with ``fetch_k <= max_k``. Ties go to the lower
     id. The result adds ``rank`` and ``candidates`` (rows found for the query).
     """
-    spark = vectors.sparkSession
-    source = vectors.select("project", "id", "embedding")
     n_queries = queries.count()
     slices = -(-n_queries // QUERIES_PER_SLICE)
     parts = []
@@ -139,13 +137,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, max_k: int = FETCH_CEILING) ->
         # hash slice under the bound in practice; an oversized one still works.
         slot = F.pmod(F.xxhash64("query_id"), F.lit(2 * slices))
         parts.extend(_slice_matrix(queries.where(slot == i)) for i in range(2 * slices))
-    scans = []
-    for part in filter(None, parts):
-        shared = spark.sparkContext.broadcast(part)
-        pruned = source.where(F.col("project").isin(sorted(part)))
-        scans.append(pruned.mapInArrow(_task_top_k(shared), HITS))
+    scans = [search(vectors, part) for part in parts if part]
     if not scans:
-        scans.append(spark.createDataFrame([], HITS))
+        scans.append(vectors.sparkSession.createDataFrame([], HITS))
     ranked = reduce(DataFrame.unionAll, scans).withColumn("rank", F.row_number().over(_best_first()))
     kept = ranked.where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("fetch_k")))
     return kept.withColumn("candidates", F.count("*").over(Window.partitionBy("query_id"))).drop("fetch_k")
+
+
+def search(vectors: DataFrame, asked: dict) -> DataFrame:
+    """Each task's best rows for ``asked``: {project: (query ids, ks, query matrix)}."""
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+    pruned = vectors.select("project", "id", "embedding").where(F.col("project").isin(sorted(asked)))
+    return pruned.mapInArrow(_task_top_k(shared), HITS)
+
+
+def nearest(vectors: DataFrame, project: str, vector: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """``(id, score)`` of the k best rows for one query, best first; k is a few hundred at most."""
+    asked = {project: (np.array([0]), [k], np.asarray(vector, dtype=np.float64)[None, :])}
+    found = search(vectors, asked).orderBy(F.desc("score"), F.asc("id")).limit(k)
+    return [(r.id, r.score) for r in found.select("id", "score").collect()]

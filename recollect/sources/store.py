@@ -69,7 +69,7 @@ class MemoryStore:
 
     # -- reading ------------------------------------------------------------
 
-    def _folders(self, project: str, buckets: set[int] | None = None) -> list[str]:
+    def folders(self, project: str, buckets: set[int] | None = None) -> list[str]:
         entry = self._manifest["projects"].get(project, {"buckets": {}})
         base = f"{self.home}/memories/{project_slug(project)}"
         return [
@@ -86,13 +86,13 @@ class MemoryStore:
 
     def rows(self, project: str) -> DataFrame:
         """All columns of one project; other projects' folders are not touched."""
-        return self._scan(self._folders(project))
+        return self._scan(self.folders(project))
 
     def all_rows(self) -> DataFrame:
-        return self._scan([f for p in self._manifest["projects"] for f in self._folders(p)])
+        return self._scan([f for p in self._manifest["projects"] for f in self.folders(p)])
 
     def projects(self) -> list[str]:
-        return sorted(p for p in self._manifest["projects"] if self._folders(p))
+        return sorted(p for p in self._manifest["projects"] if self.folders(p))
 
     def bytes(self, project: str) -> int:
         return self.files.bytes_under(f"memories/{project_slug(project)}")
@@ -185,7 +185,7 @@ class MemoryStore:
                 landing = {r.b for r in numbered.select(self._bucket(project).alias("b")).distinct().collect()}
                 replaced |= landing & self._crowded(project)
         if replaced:
-            kept = self._scan(self._folders(project, replaced))
+            kept = self._scan(self.folders(project, replaced))
             if deletes is not None:
                 kept = without_ids(kept, broadcast_if_small(deletes.select("id")))
             if updates is not None:
