@@ -14,7 +14,7 @@ from recollect.functions.vectors import decode_float32, dot, encode_float32
 from recollect.functions.embedding import embed
 from recollect.operators import aggregates, diff, listing, overlap
 from recollect.operators.dedup import greedy_dedup
-from recollect.operators.knn import top_k
+from recollect.operators.knn import ask, top_k
 from recollect.operators.numbering import first_rows, number_rows
 from recollect.operators.packing import recall_stats
 from recollect.plans import recall as R
@@ -318,7 +318,7 @@ def knn_top_k(spark, sf):
     """The ten nearest vectors to vector 0, itself included, over one namespace."""
     everything = V.vectors(spark, sf).withColumn("project", F.lit("all"))
     asked = everything.where(C("id") == 0).select(C("id").alias("query_id"), "project", "embedding", F.lit(10).alias("fetch_k"))
-    return top_k(everything, asked).select("rank", "id", F.round("score", 6).alias("score"))
+    return top_k(everything, ask(asked)).select("rank", "id", F.round("score", 6).alias("score"))
 
 
 def _every_vector(spark, sf, k: int) -> DataFrame:
@@ -329,14 +329,14 @@ def _every_vector(spark, sf, k: int) -> DataFrame:
 @query
 def knn_per_project(spark, sf):
     """For every vector its five nearest within its project."""
-    found = top_k(spread(V.vectors(spark, sf), "id"), _every_vector(spark, sf, 5))
+    found = top_k(spread(V.vectors(spark, sf), "id"), ask(_every_vector(spark, sf, 5)))
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query
 def knn_min_score(spark, sf):
     """As above, twelve nearest, then only scores from 0.3 on; candidates counted before."""
-    found = top_k(spread(V.vectors(spark, sf), "id"), _every_vector(spark, sf, 12))
+    found = top_k(spread(V.vectors(spark, sf), "id"), ask(_every_vector(spark, sf, 12)))
     return found.where(C("score") >= 0.3).select("query_id", "id", "candidates", F.round("score", 6).alias("score"))
 
 

@@ -62,9 +62,9 @@ class RecallResult:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None):
         self.spark = prepare(spark)
-        self.store = MemoryStore(spark, home, buckets)
+        self.store = MemoryStore(spark, home)
         self.embedder = embedder or HashingEmbedder()
         self._warm: dict[str, tuple[list[str], DataFrame]] = {}
 
@@ -126,7 +126,9 @@ class Engine:
         hits = self.spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())}))
         rows = self.store.rows(name).where(F.col("id").isin(list(ids))).select(*USER_COLUMNS)
         asked = {"query_id": F.lit(0), "limit": F.lit(wanted), "max_tokens": F.lit(max_tokens).cast("long"), "candidates": F.lit(len(found))}
-        packed = plan.survivors(rows.join(F.broadcast(hits), "id").withColumns(asked)).collect()
+        # One query is one group: a single exchange brings its rows together.
+        scored = rows.join(F.broadcast(hits), "id").withColumns(asked).repartition(1)
+        packed = plan.survivors(scored).collect()
         result = RecallResult(candidates=len(found), survivors=len(packed))
         result.hits = [r.asDict() for r in sorted(packed, key=lambda r: r["rank"]) if r.chosen]
         result.tokens_used = sum(h["cost"] for h in result.hits)

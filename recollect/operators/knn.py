@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.functions.vectors import list_matrix
 
@@ -99,48 +100,61 @@ def _task_top_k(queries):
     return run
 
 
-def _slice_matrix(queries: DataFrame) -> dict:
-    """One bounded slice of queries on the driver, grouped by project."""
+@dataclass
+class Asked:
+    """Queries ready to be searched for: bounded slices of {project: (ids, ks, matrix)},
+    and their parameters as a DataFrame."""
+
+    n: int
+    slices: list[dict]
+    parameters: DataFrame
+
+
+def _matrices(rows: list) -> dict:
     groups: dict[str, list] = {}
-    for row in queries.select("query_id", "project", "fetch_k", "embedding").collect():
+    for row in rows:
         if row.fetch_k > 0:
             groups.setdefault(row.project, []).append(row)
     return {
         project: (
-            np.array([r.query_id for r in rows], dtype=np.int64),
-            [int(r.fetch_k) for r in rows],
-            np.array([r.embedding for r in rows], dtype=np.float64),
+            np.array([r.query_id for r in group], dtype=np.int64),
+            [int(r.fetch_k) for r in group],
+            np.array([r.embedding for r in group], dtype=np.float64),
         )
-        for project, rows in groups.items()
+        for project, group in groups.items()
     }
 
 
-def _best_first():
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, max_k: int = FETCH_CEILING) -> DataFrame:
+def ask(queries: DataFrame, *parameters: str) -> Asked:
+    """Bring ``queries(query_id, project, embedding, fetch_k, *parameters)`` to the driver,
+    one slice at a time where there are more than one broadcast may hold."""
+    spark = queries.sparkSession
+    columns = ["query_id", "project", "embedding", "fetch_k", *parameters]
+    asked = queries.select(*columns)
+    head = asked.limit(QUERIES_PER_SLICE + 1).collect()
+    named = queries.select("query_id", *parameters)
+    if len(head) <= QUERIES_PER_SLICE:
+        table = pa.table({f.name: pa.array([r[f.name] for r in head], to_arrow_type(f.dataType)) for f in named.schema})
+        return Asked(len(head), [_matrices(head)], spark.createDataFrame(table))
+    # Twice the slices needed on average: each stays under the bound in practice,
+    # and one that does not is only a larger broadcast.
+    n = queries.count()
+    many = 2 * -(-n // QUERIES_PER_SLICE)
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(many))
+    return Asked(n, [_matrices(asked.where(slot == i).collect()) for i in range(many)], named)
+
+
+def top_k(vectors: DataFrame, asked: Asked, max_k: int = FETCH_CEILING) -> DataFrame:
     """The ``fetch_k`` best rows per query, within the query's project.
 
-    ``vectors`` has ``project, id, embedding``; ``queries`` has ``query_id,
-    project, embedding, fetch_k`` with ``fetch_k <= max_k``. Ties go to the lower
-    id. The result adds ``rank`` and ``candidates`` (rows found for the query).
+    ``vectors`` has ``project, id, embedding``; ``fetch_k`` is at most ``max_k``. Ties go
+    to the lower id. The result adds ``rank`` and ``candidates`` (rows found for the query).
     """
-    n_queries = queries.count()
-    slices = -(-n_queries // QUERIES_PER_SLICE)
-    parts = []
-    if slices <= 1:
-        parts.append(_slice_matrix(queries))
-    else:
-        # More queries than one broadcast may hold: further scans, each with its
-        # own bounded slice. Twice the slices needed on average keeps every
-        # hash slice under the bound in practice; an oversized one still works.
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(2 * slices))
-        parts.extend(_slice_matrix(queries.where(slot == i)) for i in range(2 * slices))
-    scans = [search(vectors, part) for part in parts if part]
+    scans = [search(vectors, part) for part in asked.slices if part]
     if not scans:
         scans.append(vectors.sparkSession.createDataFrame([], HITS))
-    ranked = reduce(DataFrame.unionAll, scans).withColumn("rank", F.row_number().over(_best_first()))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    ranked = reduce(DataFrame.unionAll, scans).withColumn("rank", F.row_number().over(best_first))
     kept = ranked.where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("fetch_k")))
     return kept.withColumn("candidates", F.count("*").over(Window.partitionBy("query_id"))).drop("fetch_k")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.embedding import Embedder, embed
 from recollect.functions.text import hit_cost
 from recollect.operators.dedup import SIMILARITY, greedy_dedup
-from recollect.operators.knn import FETCH_CEILING, FETCH_FLOOR, FETCH_PER_RESULT, top_k
+from recollect.operators.knn import FETCH_CEILING, FETCH_FLOOR, FETCH_PER_RESULT, ask, top_k
 from recollect.operators.packing import pack
 
 DEFAULT_LIMIT = 5
@@ -47,11 +47,10 @@ def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
     The search reads only ids and vectors. Texts are looked up for the hits alone:
     at most 400 per query, so the hits, not the table, are what moves.
     """
-    n_queries = queries.count()
-    parameters = queries.select("query_id", "limit", "max_tokens", "min_score")
-    found = top_k(memories, queries).join(parameters, "query_id")
+    asked = ask(queries, "limit", "max_tokens", "min_score")
+    found = top_k(memories, asked).join(asked.parameters, "query_id")
     found = found.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).drop("min_score", "rank")
-    if n_queries * FETCH_CEILING <= BROADCAST_HITS:
+    if asked.n * FETCH_CEILING <= BROADCAST_HITS:
         found = F.broadcast(found)
     return memories.select("project", "id", *ROW_COLUMNS).join(found, ["project", "id"])
 
@@ -59,12 +58,12 @@ def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
 def survivors(scored: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``candidates`` without the redundant ones, each with its token cost, packed."""
     cost = hit_cost(*(F.col(c) for c in ["id", "kind", "file_path", "line_start", "line_end", "text"]))
-    # The lists are shuffled by query first, so that text work is spread by query
-    # and not by where the texts happened to be stored.
-    by_query = scored.repartition("query_id")
-    return pack(greedy_dedup(by_query.withColumn("cost", cost), similarity))
+    return pack(greedy_dedup(scored.withColumn("cost", cost), similarity))
 
 
 def recall(memories: DataFrame, queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """All survivors of all queries, ranked; the answer is ``where(chosen)``."""
-    return survivors(candidates(memories, plan_queries(queries, embedder)))
+    # The lists are shuffled by query before any text work, which is then spread by
+    # query and not by where the texts happened to be stored.
+    scored = candidates(memories, plan_queries(queries, embedder))
+    return survivors(scored.repartition("query_id"))

@@ -197,23 +197,26 @@ def _declarations(lines: DataFrame) -> DataFrame:
     so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = by_line.rowsBetween(Window.unboundedPreceding, -1)
     ln = F.col("ln")
-    # Depth never falls below zero: a running sum less its running minimum.
-    scanned = (
-        lines.withColumn("sum", F.sum("delta").over(so_far))
-        .withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
-        .withColumn("filled_to", F.max(F.when(~F.col("blank"), ln)).over(so_far))
-        .withColumn("content_to", F.max(F.when(~F.col("blank") & ~F.col("comment"), ln)).over(so_far))
-        .withColumn("outer", F.coalesce(F.lag("depth").over(by_line), F.lit(0)) == 0)
-        # What stands above this line, decorators skipped.
-        .withColumn(
-            "above",
-            F.last(
-                F.when(~F.col("decorator"), F.struct("ln", "comment", "filled_to", "content_to")), ignorenulls=True
-            ).over(before),
-        )
+    filled = ~F.col("blank")
+    # Each select is one window operator.
+    summed = lines.select(
+        "*",
+        F.sum("delta").over(so_far).alias("sum"),
+        F.max(F.when(filled, ln)).over(so_far).alias("filled_to"),
+        F.max(F.when(filled & ~F.col("comment"), ln)).over(so_far).alias("content_to"),
+    )
+    # Depth never falls below zero: a running sum less its running minimum. "above"
+    # is what stands before this line, decorators skipped.
+    line_above = F.when(~F.col("decorator"), F.struct("ln", "comment", "filled_to", "content_to"))
+    scanned = summed.select(
+        *["rel_path", "lang", "n_lines", "last_filled", "ln", "decl"],
+        F.coalesce(F.lag("sum").over(by_line), F.lit(0)).alias("sum"),
+        F.least(F.lit(0), F.min("sum").over(before)).alias("lowest"),
+        F.last(line_above, ignorenulls=True).over(before).alias("above"),
     )
+    outer = scanned.where(F.col("sum") == F.col("lowest"))
     # A bracketed statement ends where the next one at depth zero begins.
-    outer = scanned.where("outer").withColumn("closes", F.coalesce(F.lead("ln").over(by_line), F.col("n_lines")) - 1)
+    outer = outer.withColumn("closes", F.coalesce(F.lead("ln").over(by_line), F.col("n_lines")) - 1)
     commented = F.coalesce(F.col("above.comment"), F.lit(False))
     decls = outer.where(F.col("decl").isNotNull()).select(
         "rel_path",
@@ -240,8 +243,11 @@ def _declarations(lines: DataFrame) -> DataFrame:
 def _with_gaps(decls: DataFrame) -> DataFrame:
     """Declarations plus spans for the lines before, between and after them."""
     by_line = Window.partitionBy("rel_path").orderBy("ln")
-    filled_to = F.coalesce(F.lag("end").over(by_line), F.lit(-1))
-    last = F.lead("ln").over(by_line).isNull()
+    neighbours = decls.select(
+        *["rel_path", "n_lines", "start", "end", "kind", "unit"],
+        F.coalesce(F.lag("end").over(by_line), F.lit(-1)).alias("filled_to"),
+        F.lead("ln").over(by_line).isNull().alias("last"),
+    )
 
     def span(start: Column, end: Column, kind: Column, unit: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"), unit.alias("unit"))
@@ -251,11 +257,7 @@ def _with_gaps(decls: DataFrame) -> DataFrame:
         span(F.col("start"), F.col("end"), F.col("kind"), F.col("unit")),
         span(F.col("end") + 1, F.when(F.col("last"), F.col("n_lines") - 1), F.lit("trailing"), F.lit("")),
     )
-    return (
-        decls.withColumn("filled_to", filled_to)
-        .withColumn("last", last)
-        .select("rel_path", F.inline(F.filter(spans, lambda s: s["start"] <= s["end"])))
-    )
+    return neighbours.select("rel_path", F.inline(F.filter(spans, lambda s: s["start"] <= s["end"])))
 
 
 def _merge_small(spans: DataFrame, min_lines: int) -> DataFrame:
@@ -268,17 +270,15 @@ def _merge_small(spans: DataFrame, min_lines: int) -> DataFrame:
     by_start = Window.partitionBy("rel_path").orderBy("start")
     before = by_start.rowsBetween(Window.unboundedPreceding, -1)
     major = F.col("kind").isin(MAJOR_KINDS)
-    opens = (
-        F.col("major")
-        | F.coalesce(F.lag("major").over(by_start), F.lit(True))
-        | ((F.col("end") - F.col("start") + 1 >= min_lines) & (F.col("start") - F.col("minor_from") >= min_lines))
-    )
-    numbered = (
-        spans.withColumn("major", major)
-        .withColumn("minor_from", F.coalesce(F.max(F.when(F.col("major"), F.col("end") + 1)).over(before), F.lit(0)))
-        .withColumn("opens", opens)
-        .withColumn("block", F.count_if("opens").over(by_start))
+    placed = spans.select(
+        "*",
+        F.coalesce(F.lag(major).over(by_start), F.lit(True)).alias("after_major"),
+        F.coalesce(F.max(F.when(major, F.col("end") + 1)).over(before), F.lit(0)).alias("minor_from"),
     )
+    long_enough = F.col("end") - F.col("start") + 1 >= min_lines
+    block_long_enough = F.col("start") - F.col("minor_from") >= min_lines
+    opens = major | F.col("after_major") | (long_enough & block_long_enough)
+    numbered = placed.withColumn("block", F.count_if(opens).over(by_start))
     single = F.count("*") == 1
     return numbered.groupBy("rel_path", "block").agg(
         F.min("start").alias("start"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,12 @@ from recollect.sources.hadoop import ControlFiles
 
 #: A bucket with this many folders is rewritten into one by the next commit that touches it.
 FOLDERS_PER_BUCKET = 16
+#: A project gets a bucket per this many rows, so that a small change rewrites little
+#: and a small project stays one folder. It is dealt out anew when it has outgrown
+#: its buckets fourfold.
+ROWS_PER_BUCKET = 250_000
+MAX_BUCKETS = 4096
+REGROW = 4
 
 
 def project_slug(project: str) -> str:
@@ -35,11 +42,11 @@ class ConcurrentCommit(RuntimeError):
 
 
 class MemoryStore:
-    def __init__(self, spark: SparkSession, home: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, home: str, rows_per_bucket: int = ROWS_PER_BUCKET):
         self.spark = spark
         self.home = home.rstrip("/")
         self.files = ControlFiles(spark, home)
-        self._buckets = buckets
+        self._rows_per_bucket = rows_per_bucket
         self._manifest = self._load()
 
     # -- manifest -----------------------------------------------------------
@@ -70,7 +77,7 @@ class MemoryStore:
     # -- reading ------------------------------------------------------------
 
     def folders(self, project: str, buckets: set[int] | None = None) -> list[str]:
-        entry = self._manifest["projects"].get(project, {"buckets": {}})
+        entry = self._entry(project)
         base = f"{self.home}/memories/{project_slug(project)}"
         return [
             f"{base}/{folder}/bucket={bucket}"
@@ -99,20 +106,26 @@ class MemoryStore:
 
     # -- writing ------------------------------------------------------------
 
-    def _bucket_count(self, project: str) -> int:
-        return self._manifest["projects"].get(project, {}).get("count", self._buckets)
+    def _entry(self, project: str) -> dict:
+        return self._manifest["projects"].get(project, {"count": 0, "added": 0, "buckets": {}})
 
-    def _bucket(self, project: str) -> Column:
+    def _bucket(self, count: int) -> Column:
         key = F.coalesce(F.col("file_path"), F.col("id").cast("string"))
-        return F.pmod(F.xxhash64(key), F.lit(self._bucket_count(project))).cast("int")
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
-    def _write(self, project: str, rows: DataFrame, replaced: set[int], next_id: int) -> None:
+    def _bucket_count(self, project: str, n_new: int) -> int:
+        """Buckets for the next version: as before, or more once they are outgrown."""
+        entry = self._entry(project)
+        wanted = min(MAX_BUCKETS, max(1, -(-(entry["added"] + n_new) // self._rows_per_bucket)))
+        return wanted if wanted > REGROW * entry["count"] or not entry["count"] else entry["count"]
+
+    def _write(self, project: str, rows: DataFrame, replaced: set[int], count: int, n_new: int, next_id: int) -> None:
         """Write ``rows`` as one new folder; ``replaced`` buckets keep nothing older."""
         folder = f"v{self._manifest['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         base = f"memories/{project_slug(project)}"
         (
             rows.select(*MEMORIES.fieldNames())
-            .withColumn("bucket", self._bucket(project))
+            .withColumn("bucket", self._bucket(count))
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "id")
             .write.partitionBy("bucket")
@@ -122,7 +135,8 @@ class MemoryStore:
             int(name.split("=")[1]) for name in self.files.names(f"{base}/{folder}") if name.startswith("bucket=")
         }
         draft = self._draft()
-        entry = draft["projects"].setdefault(project, {"count": self._bucket_count(project), "buckets": {}})
+        entry = draft["projects"].setdefault(project, self._entry(project))
+        entry["count"], entry["added"] = count, entry["added"] + n_new
         for bucket in replaced:
             entry["buckets"].pop(str(bucket), None)
         for bucket in sorted(written):
@@ -149,7 +163,8 @@ class MemoryStore:
             for i, row in enumerate(rows)
         ]
         tuples = [tuple(row.get(name) for name in MEMORIES.fieldNames()) for row in full]
-        self._write(project, self.spark.createDataFrame(tuples, MEMORIES), set(), first + len(rows))
+        frame = self.spark.createDataFrame(tuples, MEMORIES)
+        self._write(project, frame, set(), self._entry(project)["count"] or 1, len(rows), first + len(rows))
         return [row["id"] for row in full]
 
     def apply(
@@ -167,23 +182,23 @@ class MemoryStore:
         line_start, line_end``. ``deletes``: ``id, file_path``.
         """
         now = F.lit(_now())
-        touched = [d.select(self._bucket(project).alias("b")).distinct() for d in (updates, deletes) if d is not None]
-        replaced = {row.b for d in touched for row in d.collect()}  # at most one row per bucket
-        n_new, parts = 0, []
+        old_count = self._entry(project)["count"]
+        fresh, n_new = None, 0
         if inserts is not None:
             order = [F.col(c) for c in ("file_path", "line_start", "ordinal")]
-            numbered, n_new = number_rows(inserts, order, "id", self._manifest["next_id"])
-            if n_new:
-                # Embedding comes after the exchange, so it runs once per row.
-                vector = embed(F.col("embed_text"), embedder)
-                parts.append(
-                    numbered.withColumn("embedding", vector)
-                    .withColumn("project", F.lit(project))
-                    .withColumn("created_at", now)
-                    .withColumn("updated_at", now)
-                )
-                landing = {r.b for r in numbered.select(self._bucket(project).alias("b")).distinct().collect()}
-                replaced |= landing & self._crowded(project)
+            fresh, n_new = number_rows(inserts, order, "id", self._manifest["next_id"])
+        count = self._bucket_count(project, n_new)
+        if count != old_count:
+            replaced = {int(b) for b in self._entry(project)["buckets"]}
+        else:
+            changed = [d for d in (updates, deletes) if d is not None]
+            replaced = {b for d in changed for b in self._buckets_of(d, count)}
+            replaced |= self._crowded(project) & self._buckets_of(fresh, count) if n_new else set()
+        parts = []
+        if n_new:
+            # Embedding comes after the exchange, so it runs once per row.
+            columns = {"embedding": embed(F.col("embed_text"), embedder), "project": F.lit(project)}
+            parts.append(fresh.withColumns({**columns, "created_at": now, "updated_at": now}))
         if replaced:
             kept = self._scan(self.folders(project, replaced))
             if deletes is not None:
@@ -192,13 +207,17 @@ class MemoryStore:
                 kept = with_ranges(kept, broadcast_if_small(updates.select("id", "line_start", "line_end")), now)
             parts.append(kept)
         if parts:
-            rows = parts[0] if len(parts) == 1 else _columns(parts[0]).unionByName(_columns(parts[1]))
-            self._write(project, rows, replaced, self._manifest["next_id"] + n_new)
+            rows = reduce(DataFrame.unionByName, [p.select(*MEMORIES.fieldNames()) for p in parts])
+            self._write(project, rows, replaced, count, n_new, self._manifest["next_id"] + n_new)
         return n_new
 
+    def _buckets_of(self, rows: DataFrame, count: int) -> set[int]:
+        """Which buckets ``rows`` fall into; at most one value per bucket comes back."""
+        return {r.b for r in rows.select(self._bucket(count).alias("b")).distinct().collect()}
+
     def _crowded(self, project: str) -> set[int]:
-        entry = self._manifest["projects"].get(project, {"buckets": {}})
-        return {int(b) for b, folders in entry["buckets"].items() if len(folders) >= FOLDERS_PER_BUCKET}
+        buckets = self._entry(project)["buckets"]
+        return {int(b) for b, folders in buckets.items() if len(folders) >= FOLDERS_PER_BUCKET}
 
     def remove(self, id: int, project: str) -> dict | None:
         """Delete one row of one project; the row, or None where it is not there."""
@@ -227,8 +246,9 @@ class MemoryStore:
 
     def load(self, rows: DataFrame, next_id: int, meta: dict[str, str]) -> None:
         """Adopt complete rows with their ids, one project at a time (migration)."""
-        for (project,) in rows.select("project").distinct().collect():
-            self._write(project, rows.where(F.col("project") == project), set(), max(next_id, self._manifest["next_id"]))
+        for project, n in rows.groupBy("project").count().collect():
+            own = rows.where(F.col("project") == project)
+            self._write(project, own, set(), self._bucket_count(project, n), n, max(next_id, self._manifest["next_id"]))
         draft = self._draft()
         draft["meta"].update(meta)
         self._publish(draft)
@@ -255,10 +275,6 @@ def _now() -> dt.datetime:
     return now.replace(microsecond=now.microsecond // 1000 * 1000)
 
 
-def _columns(df: DataFrame) -> DataFrame:
-    return df.select(*MEMORIES.fieldNames())
-
-
 def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, "id", "left_anti")
 
