@@ -16,7 +16,12 @@ SPACE = (
     r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 )
-WORD = f"[^{SPACE}]+"
+# The complement, as ranges in the order in which texts use them: java.util.regex tries
+# them one after the other for every character.
+WORD = (
+    r"[!-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}"
+    r"\x{2060}-\x{2fff}\x{3001}-\x{fefe}\x{ff00}-\x{10ffff}\x00-\x08\x0e-\x1f]"
+)
 
 # File extension to language.
 LANGUAGES = {
@@ -46,15 +51,15 @@ def trim(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.rlike(text, F.lit(f"[^{SPACE}]"))
+    return ~F.rlike(text, F.lit(WORD))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"{WORD}++"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+    return F.regexp_count(text, F.lit(f"{WORD}++")).cast("long")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -62,21 +67,37 @@ def estimate_tokens(text: Column) -> Column:
     return F.call_function("div", utf16_length(text) * 5 + word_count(text) * 2 + 19, F.lit(20).cast("long"))
 
 
+def _grams(items: Column, gram) -> Column:
+    """``gram(i, n)`` for every run of n items: 5, or 3 below eight items."""
+    n = F.when(F.size(items) >= 8, 5).otherwise(3)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - n, F.lit(0)))
+    return F.array_distinct(F.when(F.size(items) < n, items).otherwise(F.transform(starts, lambda i: gram(i, n))))
+
+
 def shingles(text: Column) -> Column:
     """Distinct word 5-grams, 3-grams below eight words, single words below three."""
+    return let(
+        words(F.lower(text)),
+        lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(
+            _grams(w, lambda i, n: F.array_join(F.slice(w, i + 1, n), " "))
+        ),
+    )
 
-    def grams(w: Column) -> Column:
-        n = F.when(F.size(w) >= 8, 5).otherwise(3)
-        return F.when(F.size(w) == 0, F.array(F.lit(""))).when(F.size(w) < n, F.array_distinct(w)).otherwise(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))),
-                    lambda i: F.array_join(F.slice(w, i, n), " "),
-                )
-            )
-        )
-
-    return let(words(F.lower(text)), grams)
+
+def shingle_hashes(text: Column) -> Column:
+    """``shingles`` as 64-bit hashes, sorted; no gram is ever built as a string."""
+
+    def gram(w: Column):
+        def mixed(i: Column, n: Column) -> Column:
+            three = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            return F.when(n == 3, three).otherwise(F.xxhash64(three, F.get(w, i + 3), F.get(w, i + 4)))
+
+        return mixed
+
+    hashed = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
+    return F.sort_array(
+        let(hashed, lambda w: F.when(F.size(w) == 0, F.array(F.lit(0).cast("long"))).otherwise(_grams(w, gram(w))))
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,14 +8,14 @@ over-fetch ceiling, is one group; the queries are spread over the cluster.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import shingles
+from recollect.functions.text import shingle_hashes
 
 #: Fixed value: Jaccard similarity from which two texts count as the same.
 SIMILARITY = 0.85
@@ -27,41 +27,51 @@ class _Kept:
         self.similarity = similarity
         self.hashes: set[str] = set()
         self.ranges: dict[str, list[tuple[int, int]]] = {}
-        self.sizes: list[int] = []
+        self.grams: list[np.ndarray] = []
         self.holders: dict[int, list[int]] = {}
 
     def covers(self, path, start, end) -> bool:
         return any(start <= e and s <= end for s, e in self.ranges.get(path, ()))
 
-    def resembles(self, grams) -> bool:
-        if not len(grams):
-            return False
-        shared = Counter(k for g in grams for k in self.holders.get(g, ()))
-        return any(n / (len(grams) + self.sizes[k] - n) >= self.similarity for k, n in shared.items())
+    def _prefix(self, grams: np.ndarray) -> list[int]:
+        """Two sets this similar must share one of their first few grams in sorted order."""
+        needed = math.ceil(self.similarity * len(grams) - 1e-9)
+        return grams[: len(grams) - needed + 1].tolist()
 
-    def add(self, content_hash, place, grams) -> None:
+    def resembles(self, grams: np.ndarray) -> bool:
+        maybe = {k for g in self._prefix(grams) for k in self.holders.get(g, ())}
+        for other in (self.grams[k] for k in maybe):
+            shared = len(np.intersect1d(grams, other, assume_unique=True))
+            if shared / (len(grams) + len(other) - shared) >= self.similarity:
+                return True
+        return False
+
+    def add(self, content_hash, place, grams: np.ndarray) -> None:
         if content_hash:
             self.hashes.add(content_hash)
         if place:
             self.ranges.setdefault(place[0], []).append(place[1:])
-        for g in grams:
-            self.holders.setdefault(g, []).append(len(self.sizes))
-        self.sizes.append(len(grams))
+        for g in self._prefix(grams):
+            self.holders.setdefault(g, []).append(len(self.grams))
+        self.grams.append(grams)
 
 
 def _survivors(similarity: float):
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["id"].to_numpy(), -group["score"].to_numpy()))
         group = group.take(pa.array(order))
+        lists = group["grams"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        grams = np.split(lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
         kept, rows = _Kept(similarity), []
-        tests = zip(*(group[c].to_pylist() for c in ["content_hash", "file_path", "line_start", "line_end", "grams"]))
-        for at, (content_hash, path, start, end, grams) in enumerate(tests):
+        tests = zip(*(group[c].to_pylist() for c in ["content_hash", "file_path", "line_start", "line_end"]), grams)
+        for at, (content_hash, path, start, end, own) in enumerate(tests):
             place = None if None in (path, start, end) else (path, start, end)
             if content_hash and content_hash in kept.hashes:
                 continue
-            if (place and kept.covers(*place)) or kept.resembles(grams):
+            if (place and kept.covers(*place)) or kept.resembles(own):
                 continue
-            kept.add(content_hash, place, grams)
+            kept.add(content_hash, place, own)
             rows.append(at)
         return group.drop_columns(["grams"]).take(pa.array(rows, type=pa.int64()))
 
@@ -74,9 +84,8 @@ def greedy_dedup(candidates: DataFrame, similarity: float = SIMILARITY) -> DataF
 
     Shingles are formed by Spark and compared as 64-bit hashes.
     """
-    grams = F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))
     return (
-        candidates.withColumn("grams", grams)
+        candidates.withColumn("grams", shingle_hashes(F.col("text")))
         .groupBy("query_id")
         .applyInArrow(_survivors(similarity), candidates.schema)
     )
