@@ -215,7 +215,7 @@ def exact_duplicates(spark, sf):
 
 @query
 def estimate_tokens(spark, sf):
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id",
         X.utf16_length(C("text")).alias("units"),
         X.word_count(C("text")).alias("words"),
@@ -231,7 +231,7 @@ def content_hashes(spark, sf):
 @query
 def hit_costs(spark, sf):
     columns = [C(c) for c in ["id", "kind", "file_path", "line_start", "line_end"]]
-    rows = V.notes(spark, sf).unionByName(V.turns(spark, sf))
+    rows = V.notes(spark, sf, True).unionByName(V.turns(spark, sf))
     return rows.select("id", X.hit_header(*columns).alias("header"), X.hit_cost(*columns, C("text")).alias("cost"))
 
 
@@ -259,7 +259,7 @@ def detect_language(spark, sf):
 @query
 def normalize_newlines(spark, sf):
     mixed = F.regexp_replace(F.regexp_replace("text", r"\. ", ".\r"), "\n", "\r\n")
-    return V.table(spark, sf, "documents").select("doc_id", X.content_hash(X.normalize_newlines(mixed)).alias("hash"))
+    return V.documents(spark, sf).select("doc_id", X.content_hash(X.normalize_newlines(mixed)).alias("hash"))
 
 
 @query
@@ -270,7 +270,7 @@ def embed_texts(spark, sf):
 
 @query
 def shingle_counts(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", F.size(X.shingles(C("text"))).alias("shingles"))
+    return V.documents(spark, sf).select("doc_id", F.size(X.shingles(C("text"))).alias("shingles"))
 
 
 @query
@@ -302,7 +302,7 @@ def hash_embedding(spark, sf):
     places = F.transform(
         "embedding", lambda v, i: F.round(v.cast("double") * 1000000).cast("long") * (i + 1)
     )
-    rows = V.embedded(spark, V.notes(spark, sf))
+    rows = V.embedded(V.notes(spark, sf, True))
     return rows.select(
         "id",
         F.size(F.filter("embedding", lambda v: v != 0)).alias("occupied"),
@@ -344,14 +344,14 @@ def _note_recall(spark, sf, **options) -> DataFrame:
     asked = V.questions(spark, sf).withColumn("project", F.concat(F.lit("src"), (C("query_id") % 20).cast("string")))
     for name, value in options.items():
         asked = asked.withColumn(name, F.lit(value))
-    return R.recall(V.embedded(spark, V.notes(spark, sf)), asked, V.EMBEDDER)
+    return R.recall(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
 
 
 def _turn_recall(spark, sf, **options) -> DataFrame:
     asked = V.questions(spark, sf).withColumn("project", F.lit("talk"))
     for name, value in options.items():
         asked = asked.withColumn(name, F.lit(value))
-    return R.recall(V.embedded(spark, V.turns(spark, sf)), asked, V.EMBEDDER)
+    return R.recall(V.embedded(V.turns(spark, sf, True)), asked, V.EMBEDDER)
 
 
 @query
@@ -376,15 +376,15 @@ def dedup_greedy(spark, sf):
     """Survivors among the 400 best notes of each query."""
     asked = V.questions(spark, sf).withColumn("project", F.concat(F.lit("src"), (C("query_id") % 20).cast("string")))
     asked = R.plan_queries(asked.withColumn("max_tokens", F.lit(1)), V.EMBEDDER)
-    scored = R.candidates(V.embedded(spark, V.notes(spark, sf)), asked)
-    return greedy_dedup(scored.repartition("query_id")).select("query_id", "id", "score")
+    scored = R.candidates(V.embedded(V.notes(spark, sf, True)), asked)
+    return greedy_dedup(scored).select("query_id", "id", "score")
 
 
 @query
 def pack_budget(spark, sf):
     """Notes of each project in id order, packed into 5,000 tokens."""
     cost = X.hit_cost(*[C(c) for c in ["id", "kind", "file_path", "line_start", "line_end", "text"]])
-    ranked = V.notes(spark, sf).select(
+    ranked = V.notes(spark, sf, True).select(
         F.substring("project", 4, 9).cast("long").alias("query_id"),
         "id",
         F.lit(0.0).alias("score"),
@@ -453,7 +453,7 @@ def range_overlaps(spark, sf):
 
 
 def _line_windows(spark, sf) -> DataFrame:
-    files = V.table(spark, sf, "documents").select(
+    files = V.documents(spark, sf).select(
         F.concat(F.lit("doc/"), C("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), C("text").alias("content")
     )
     return chunk_text_files(files)

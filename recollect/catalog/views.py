@@ -22,8 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For work on whole texts: all cores even where the table is one small file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def notes(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
+    source = documents(spark, sf_dir) if whole_texts else table(spark, sf_dir, "documents")
+    return source.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("project"),
         F.lit("manual").alias("kind"),
@@ -36,9 +42,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str, whole_texts: bool = False) -> DataFrame:
     """Eight-line chunks, five lines apart, so that neighbours overlap."""
-    return table(spark, sf_dir, "conversations").select(
+    source = table(spark, sf_dir, "conversations")
+    source = spread(source, "conv_id", "turn") if whole_texts else source
+    return source.select(
         (F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
         F.lit("talk").alias("project"),
         F.lit("code").alias("kind"),
@@ -51,9 +59,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedded(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def embedded(rows: DataFrame) -> DataFrame:
     """``rows`` with vectors, as the store would hold them."""
-    return spread(rows, "id").withColumn("embedding", embed(F.col("text"), EMBEDDER))
+    return rows.withColumn("embedding", embed(F.col("text"), EMBEDDER))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ class Engine:
         asked = {"query_id": F.lit(0), "limit": F.lit(wanted), "max_tokens": F.lit(max_tokens).cast("long"), "candidates": F.lit(len(found))}
         # One query is one group: a single exchange brings its rows together.
         scored = rows.join(F.broadcast(hits), "id").withColumns(asked).repartition(1)
-        packed = plan.survivors(scored).collect()
+        packed = plan.survivors(plan.weigh(scored)).collect()
         result = RecallResult(candidates=len(found), survivors=len(packed))
         result.hits = [r.asDict() for r in sorted(packed, key=lambda r: r["rank"]) if r.chosen]
         result.tokens_used = sum(h["cost"] for h in result.hits)

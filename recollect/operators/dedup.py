@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recollect.functions.text import shingle_hashes
 
@@ -79,13 +80,11 @@ def _survivors(similarity: float):
 
 
 def greedy_dedup(candidates: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The surviving rows of ``candidates``, which needs ``query_id, id, score, text,
-    content_hash, file_path, line_start, line_end`` and keeps every other column.
-
-    Shingles are formed by Spark and compared as 64-bit hashes.
+    """The surviving rows of ``candidates``, which needs ``query_id, id, score, content_hash,
+    file_path, line_start, line_end`` and keeps every other column. ``grams`` (the texts'
+    ``shingle_hashes``) is used up; it is formed from ``text`` where it is missing.
     """
-    return (
-        candidates.withColumn("grams", shingle_hashes(F.col("text")))
-        .groupBy("query_id")
-        .applyInArrow(_survivors(similarity), candidates.schema)
-    )
+    if "grams" not in candidates.columns:
+        candidates = candidates.withColumn("grams", shingle_hashes(F.col("text")))
+    kept = [f for f in candidates.schema if f.name != "grams"]
+    return candidates.groupBy("query_id").applyInArrow(_survivors(similarity), StructType(kept))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.embedding import Embedder, embed
-from recollect.functions.text import hit_cost
+from recollect.functions.text import hit_cost, shingle_hashes
 from recollect.operators.dedup import SIMILARITY, greedy_dedup
 from recollect.operators.knn import FETCH_CEILING, FETCH_FLOOR, FETCH_PER_RESULT, ask, top_k
 from recollect.operators.packing import pack
@@ -41,29 +41,36 @@ def plan_queries(queries: DataFrame, embedder: Embedder | None = None) -> DataFr
     return planned.withColumn("fetch_k", F.when(budgeted, FETCH_CEILING).otherwise(sized))
 
 
+def weigh(rows: DataFrame) -> DataFrame:
+    """``rows`` with what dedup and packing need to know of each text."""
+    cost = hit_cost(*(F.col(c) for c in ["id", "kind", "file_path", "line_start", "line_end", "text"]))
+    return rows.withColumns({"cost": cost, "grams": shingle_hashes(F.col("text"))})
+
+
 def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scored rows per query after the score filter; ``candidates`` counts them before it.
+    """Scored, weighed rows per query after the score filter; ``candidates`` counts them before it.
 
-    The search reads only ids and vectors. Texts are looked up for the hits alone:
-    at most 400 per query, so the hits, not the table, are what moves.
+    The search reads only ids and vectors. Texts are looked up for the hits alone, at
+    most 400 per query, and a text found by many queries is weighed once.
     """
     asked = ask(queries, "limit", "max_tokens", "min_score")
     found = top_k(memories, asked).join(asked.parameters, "query_id")
     found = found.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).drop("min_score", "rank")
-    if asked.n * FETCH_CEILING <= BROADCAST_HITS:
-        found = F.broadcast(found)
-    return memories.select("project", "id", *ROW_COLUMNS).join(found, ["project", "id"])
+    rows = memories.select("project", "id", *ROW_COLUMNS)
+    if asked.n * FETCH_CEILING > BROADCAST_HITS:
+        return weigh(rows.join(found, ["project", "id"])).repartition("query_id")
+    mine = F.struct("query_id", "score", "candidates", "limit", "max_tokens")
+    by_row = found.groupBy("project", "id").agg(F.collect_list(mine).alias("found_by"))
+    # Only hits are shuffled: once by row, to spread the weighing, once by query.
+    hits = rows.join(F.broadcast(by_row), ["project", "id"]).repartition("project", "id")
+    return weigh(hits).select("*", F.inline("found_by")).drop("found_by").repartition("query_id")
 
 
-def survivors(scored: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``candidates`` without the redundant ones, each with its token cost, packed."""
-    cost = hit_cost(*(F.col(c) for c in ["id", "kind", "file_path", "line_start", "line_end", "text"]))
-    return pack(greedy_dedup(scored.withColumn("cost", cost), similarity))
+def survivors(weighed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``candidates`` without the redundant ones, ranked and packed."""
+    return pack(greedy_dedup(weighed, similarity))
 
 
 def recall(memories: DataFrame, queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """All survivors of all queries, ranked; the answer is ``where(chosen)``."""
-    # The lists are shuffled by query before any text work, which is then spread by
-    # query and not by where the texts happened to be stored.
-    scored = candidates(memories, plan_queries(queries, embedder))
-    return survivors(scored.repartition("query_id"))
+    return survivors(candidates(memories, plan_queries(queries, embedder)))
