@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Iterator, Protocol
@@ -24,9 +26,17 @@ from recollect.schema import EMBEDDING_DIM, VECTOR
 MODEL_INPUT_UNITS = 1200
 MODEL_BATCH = 32
 
-# The ECMAScript white-space code points.
-_SPACE_POINTS = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-_SPACES_TO_BLANK = {point: " " for point in _SPACE_POINTS}
+# Where str.split() and the ECMAScript white-space class differ: it splits at the first
+# five of these, which are not in the class, and not at the last, which is.
+_DIFFERENT = re.compile("[\x1c-\x1f\x85\ufeff]")
+_SPACES = re.compile(f"[{''.join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))}]+")
+
+
+def _words(text: str) -> list[str]:
+    lowered = text.lower()
+    if _DIFFERENT.search(lowered):
+        return [w for w in _SPACES.split(lowered) if w]
+    return lowered.split()
 
 
 class Embedder(Protocol):
@@ -36,12 +46,6 @@ class Embedder(Protocol):
         """An (n, dim) float32 matrix of unit (or, for empty input, zero) rows."""
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(word: str) -> tuple[int, int]:
-    digest = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()
-    return int.from_bytes(digest[:4], "big"), 1 - 2 * ((digest[4] >> 4) & 1)
-
-
 @dataclass(frozen=True)
 class HashingEmbedder:
     """Signed hashed counts of the lower-cased words of the whole text."""
@@ -49,17 +53,19 @@ class HashingEmbedder:
     dim: int = EMBEDDING_DIM
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        cells, signs = [], []
-        for row, text in enumerate(texts):
-            base = row * self.dim
-            for word in text.lower().translate(_SPACES_TO_BLANK).split(" "):
-                if word:
-                    number, sign = _slot(word)
-                    cells.append(base + number % self.dim)
-                    signs.append(sign)
-        counts = np.bincount(
-            np.asarray(cells, dtype=np.int64), weights=np.asarray(signs, dtype=np.float64), minlength=len(texts) * self.dim
-        ).astype(np.float64).reshape(len(texts), self.dim)
+        split = [_words(t) for t in texts]
+        lengths = [len(w) for w in split]
+        # Number the batch's vocabulary, hash each word of it once, then only add up.
+        vocabulary: defaultdict[str, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        ids = np.fromiter((vocabulary[w] for words in split for w in words), dtype=np.int64, count=sum(lengths))
+        hashed = b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest() for w in vocabulary)
+        digests = np.frombuffer(hashed, dtype=np.uint8).reshape(-1, 16)
+        slots = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % self.dim
+        signs = 1.0 - 2.0 * ((digests[:, 4] >> 4) & 1)
+        cells = np.repeat(np.arange(len(texts)) * self.dim, lengths) + slots[ids]
+        counts = np.bincount(cells, weights=signs[ids], minlength=len(texts) * self.dim)
+        counts = counts.astype(np.float64).reshape(len(texts), self.dim)
         norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype(np.float32)
 

@@ -34,45 +34,53 @@ class _Kept:
     def covers(self, path, start, end) -> bool:
         return any(start <= e and s <= end for s, e in self.ranges.get(path, ()))
 
-    def _prefix(self, grams: np.ndarray) -> list[int]:
-        """Two sets this similar must share one of their first few grams in sorted order."""
-        needed = math.ceil(self.similarity * len(grams) - 1e-9)
-        return grams[: len(grams) - needed + 1].tolist()
-
-    def resembles(self, grams: np.ndarray) -> bool:
-        maybe = {k for g in self._prefix(grams) for k in self.holders.get(g, ())}
+    def resembles(self, grams: np.ndarray, probes: list[int]) -> bool:
+        maybe = {k for g in probes for k in self.holders.get(g, ())}
         for other in (self.grams[k] for k in maybe):
+            if min(len(grams), len(other)) < self.similarity * max(len(grams), len(other)) - 1e-9:
+                continue
             shared = len(np.intersect1d(grams, other, assume_unique=True))
             if shared / (len(grams) + len(other) - shared) >= self.similarity:
                 return True
         return False
 
-    def add(self, content_hash, place, grams: np.ndarray) -> None:
+    def add(self, content_hash, place, grams: np.ndarray, probes: list[int]) -> None:
         if content_hash:
             self.hashes.add(content_hash)
         if place:
             self.ranges.setdefault(place[0], []).append(place[1:])
-        for g in self._prefix(grams):
+        for g in probes:
             self.holders.setdefault(g, []).append(len(self.grams))
         self.grams.append(grams)
 
 
+def _rare_first(lists: pa.ListArray) -> tuple[list[np.ndarray], int]:
+    """Each row's grams as numbers, sorted, the rarest in the group lowest; and how many
+    numbers belong to a single row."""
+    _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    number = np.empty(len(count), dtype=np.int64)
+    number[np.argsort(count, kind="stable")] = np.arange(len(count))
+    rows = np.split(number[code], np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
+    return [np.sort(r) for r in rows], int((count == 1).sum())
+
+
 def _survivors(similarity: float):
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["id"].to_numpy(), -group["score"].to_numpy()))
-        group = group.take(pa.array(order))
-        lists = group["grams"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        grams = np.split(lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
+        group = group.take(pa.array(order)).combine_chunks()
+        grams, unshared = _rare_first(group["grams"].chunk(0))
+        # Two sets this similar share one of their first few grams in any common order.
+        heads = (g[: len(g) - math.ceil(similarity * len(g) - 1e-9) + 1] for g in grams)
+        probes = (h[h >= unshared].tolist() for h in heads)
         kept, rows = _Kept(similarity), []
-        tests = zip(*(group[c].to_pylist() for c in ["content_hash", "file_path", "line_start", "line_end"]), grams)
-        for at, (content_hash, path, start, end, own) in enumerate(tests):
+        tests = zip(*(group[c].to_pylist() for c in ["content_hash", "file_path", "line_start", "line_end"]), grams, probes)
+        for at, (content_hash, path, start, end, own, probe) in enumerate(tests):
             place = None if None in (path, start, end) else (path, start, end)
             if content_hash and content_hash in kept.hashes:
                 continue
-            if (place and kept.covers(*place)) or kept.resembles(own):
+            if (place and kept.covers(*place)) or kept.resembles(own, probe):
                 continue
-            kept.add(content_hash, place, own)
+            kept.add(content_hash, place, own, probe)
             rows.append(at)
         return group.drop_columns(["grams"]).take(pa.array(rows, type=pa.int64()))
 
