@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.functions.vectors import list_matrix
+from recollect.session import estimated_bytes
 
 # Over-fetch sizing.
 FETCH_CEILING = 400
@@ -32,6 +33,11 @@ QUERIES_PER_SLICE = 4096
 #: boundaries nor the summation order can change a ranking.
 SCORE_DECIMALS = 9
 
+#: Above this size of vectors there are hundreds of tasks, and their finds are merged in
+#: this many lanes before the final merge.
+LANES_FROM_BYTES = 64 << 30
+LANES = 64
+
 HITS = "query_id long, project string, fetch_k int, id long, score double"
 
 
@@ -109,6 +115,9 @@ class Asked:
     slices: list[dict]
     parameters: DataFrame
 
+    def projects(self) -> list[str]:
+        return sorted({project for part in self.slices for project in part})
+
 
 def _matrices(rows: list) -> dict:
     groups: dict[str, list] = {}
@@ -144,6 +153,32 @@ def ask(queries: DataFrame, *parameters: str) -> Asked:
     return Asked(n, [_matrices(asked.where(slot == i).collect()) for i in range(many)], named)
 
 
+def search(vectors: DataFrame, asked: dict) -> DataFrame:
+    """Each task's best rows for ``asked``: {project: (query ids, ks, query matrix)}."""
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+    pruned = vectors.select("project", "id", "embedding").where(F.col("project").isin(sorted(asked)))
+    return pruned.mapInArrow(_task_top_k(shared), HITS)
+
+
+def _best(found: DataFrame, max_k: int, *keys: str) -> DataFrame:
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
+    ranked = found.withColumn("rank", F.row_number().over(best_first))
+    return ranked.where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("fetch_k")))
+
+
+def _merged(found: DataFrame, max_k: int, many_tasks: bool) -> DataFrame:
+    """The best of what the tasks found. With many tasks there are k rows per task and
+    query to merge, so lanes of tasks are merged first."""
+    if many_tasks:
+        found = found.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+        found = _best(found, max_k, "query_id", "lane").drop("rank", "lane")
+    return _best(found, max_k, "query_id")
+
+
+def _many_tasks(vectors: DataFrame) -> bool:
+    return estimated_bytes(vectors.select("id", "embedding")) > LANES_FROM_BYTES
+
+
 def top_k(vectors: DataFrame, asked: Asked, max_k: int = FETCH_CEILING) -> DataFrame:
     """The ``fetch_k`` best rows per query, within the query's project.
 
@@ -153,21 +188,15 @@ def top_k(vectors: DataFrame, asked: Asked, max_k: int = FETCH_CEILING) -> DataF
     scans = [search(vectors, part) for part in asked.slices if part]
     if not scans:
         scans.append(vectors.sparkSession.createDataFrame([], HITS))
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = reduce(DataFrame.unionAll, scans).withColumn("rank", F.row_number().over(best_first))
-    kept = ranked.where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("fetch_k")))
+    kept = _merged(reduce(DataFrame.unionAll, scans), max_k, _many_tasks(vectors))
     return kept.withColumn("candidates", F.count("*").over(Window.partitionBy("query_id"))).drop("fetch_k")
 
 
-def search(vectors: DataFrame, asked: dict) -> DataFrame:
-    """Each task's best rows for ``asked``: {project: (query ids, ks, query matrix)}."""
-    shared = vectors.sparkSession.sparkContext.broadcast(asked)
-    pruned = vectors.select("project", "id", "embedding").where(F.col("project").isin(sorted(asked)))
-    return pruned.mapInArrow(_task_top_k(shared), HITS)
-
-
 def nearest(vectors: DataFrame, project: str, vector: np.ndarray, k: int) -> list[tuple[int, float]]:
     """``(id, score)`` of the k best rows for one query, best first; k is a few hundred at most."""
     asked = {project: (np.array([0]), [k], np.asarray(vector, dtype=np.float64)[None, :])}
-    found = search(vectors, asked).orderBy(F.desc("score"), F.asc("id")).limit(k)
-    return [(r.id, r.score) for r in found.select("id", "score").collect()]
+    found = search(vectors, asked)
+    if _many_tasks(vectors):
+        found = _merged(found, k, True)
+    best = found.orderBy(F.desc("score"), F.asc("id")).limit(k)
+    return [(r.id, r.score) for r in best.select("id", "score").collect()]

@@ -13,11 +13,10 @@ from recollect.functions.text import content_hash, embed_text
 from recollect.operators.diff import CREATED, MOVED, STALE, by_language, classify, file_changes, totals
 from recollect.schema import KIND_CODE
 from recollect.session import cut_lineage
-from recollect.sources.chunker import ChunkOptions, chunk_files
+from recollect.sources.chunker import ChunkOptions, chunk_code_files, chunk_files, chunk_text_files, is_code
 from recollect.sources.store import MemoryStore
 from recollect.sources.walk import MAX_FILE_BYTES, listing, read_contents, walk
 
-
 def stored_chunks(memories: DataFrame, path_prefix: str | None = None) -> DataFrame:
     rows = memories.where((F.col("kind") == KIND_CODE) & F.col("file_path").isNotNull())
     if path_prefix:
@@ -25,8 +24,8 @@ def stored_chunks(memories: DataFrame, path_prefix: str | None = None) -> DataFr
     return rows.select("id", "file_path", "content_hash", "line_start", "line_end")
 
 
-def hashed_chunks(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    return chunk_files(files, options).withColumn("content_hash", content_hash(F.col("content")))
+def hashed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("content_hash", content_hash(F.col("content")))
 
 
 def new_rows(diff: DataFrame) -> DataFrame:
@@ -61,8 +60,19 @@ def ingest_files(
     Stored files that ``files`` lacks are deleted; ``path_prefix`` limits that to
     paths below it. Unchanged text keeps its row, vector and id wherever it moves.
     """
+    return ingest_chunks(store, project, chunk_files(files, options), embedder, dry_run, path_prefix)
+
+
+def ingest_chunks(
+    store: MemoryStore,
+    project: str,
+    chunks: DataFrame,
+    embedder: Embedder,
+    dry_run: bool = False,
+    path_prefix: str | None = None,
+) -> dict:
     stored = stored_chunks(store.rows(project), path_prefix)
-    diff = cut_lineage(classify(hashed_chunks(files, options), stored))
+    diff = cut_lineage(classify(hashed(chunks), stored))
     summary = totals(file_changes(diff)).first().asDict()
     languages = by_language(diff.where(F.col("status") != STALE))
     summary["byLanguage"] = {r.lang: r.chunks for r in languages.orderBy("lang").collect()}
@@ -105,8 +115,11 @@ def ingest_tree(
     started = time.monotonic()
     found = walk(store.spark, root, respect_gitignore, include, exclude, max_files)
     listed, n_listed = listing(found)
-    files = read_contents(listed, root, max_file_bytes)
-    counted = ingest_files(store, project, files, embedder, options, dry_run, path_prefix)
+    # Paths are parted before contents are read, so each file is read once.
+    in_code = is_code(F.col("rel_path"))
+    code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
+    chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
+    counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix)
     return {
         "root": os.path.abspath(root),
         "project": project,

@@ -10,7 +10,6 @@ files without declarations, get overlapping line windows computed within the row
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -391,9 +390,12 @@ def chunk_code_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -
     return _as_chunks(lined, F.coalesce("found", line_windows(F.col("lines"), options)), options)
 
 
+def is_code(path: Column) -> Column:
+    return detect_language(path).isin(sorted(DECLARATIONS))
+
+
 def chunk_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """``files(rel_path, content)`` to ``(rel_path, ordinal, content, start_line,
     end_line, unit, unit_kind, lang)``; lines are 1-based and inclusive."""
-    is_code = detect_language(F.col("rel_path")).isin(sorted(DECLARATIONS))
-    parts = [chunk_text_files(files.where(~is_code), options), chunk_code_files(files.where(is_code), options)]
-    return reduce(DataFrame.unionByName, parts)
+    code = is_code(F.col("rel_path"))
+    return chunk_text_files(files.where(~code), options).unionByName(chunk_code_files(files.where(code), options))

@@ -28,7 +28,7 @@ FOLDERS_PER_BUCKET = 16
 #: and a small project stays one folder. It is dealt out anew when it has outgrown
 #: its buckets fourfold.
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 REGROW = 4
 
 

@@ -43,6 +43,17 @@ def test_top_k_is_exact_with_ties_and_stays_in_its_project(spark, monkeypatch, p
         assert all(r.candidates == len(want) for r in found if r.query_id == i)
 
 
+def test_lanes_of_many_tasks_merge_to_the_same_answer(spark, monkeypatch):
+    df, rows = _vectors(spark, 300)
+    asked = knn.ask(df.where("id < 6").selectExpr("id AS query_id", "project", "embedding", "9 AS fetch_k"))
+    plain = {tuple(r) for r in knn.top_k(df.repartition(11), asked).collect()}
+    alone = knn.nearest(df, "a", rows[0][2], 30)
+    monkeypatch.setattr(knn, "LANES_FROM_BYTES", 0)
+    monkeypatch.setattr(knn, "LANES", 4)
+    assert {tuple(r) for r in knn.top_k(df.repartition(11), asked).collect()} == plain
+    assert knn.nearest(df.repartition(11), "a", rows[0][2], 30) == alone
+
+
 def test_nearest_and_edge_cases(spark):
     df, rows = _vectors(spark, 100)
     assert [i for i, _ in knn.nearest(df, "a", rows[0][2], 7)] == [i for i, _ in _brute(rows, "a", rows[0][2], 7)]
