@@ -70,8 +70,13 @@ def ingest_chunks(
     embedder: Embedder,
     dry_run: bool = False,
     path_prefix: str | None = None,
+    only_files: DataFrame | None = None,
 ) -> dict:
+    """As ``ingest_files`` for ready chunks. With ``only_files(rel_path)`` stored files
+    outside it are left alone."""
     stored = stored_chunks(store.rows(project), path_prefix)
+    if only_files is not None:
+        stored = stored.join(only_files.select(F.col("rel_path").alias("file_path")), "file_path", "left_semi")
     diff = cut_lineage(classify(hashed(chunks), stored))
     summary = totals(file_changes(diff)).first().asDict()
     languages = by_language(diff.where(F.col("status") != STALE))
