@@ -29,7 +29,7 @@ def classify(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     both = fresh.join(known, ["rel_path", "content_hash"], "full_outer").select(
         "rel_path",
         "content_hash",
-        F.explode(
+        F.explode_outer(
             F.arrays_zip(
                 F.coalesce("fresh", nothing_new).alias("fresh"), F.coalesce("known", nothing_known).alias("known")
             )

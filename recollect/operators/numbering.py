@@ -7,20 +7,23 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.session import cut_lineage
+from recollect.session import Scratch, cut_lineage
 
 # monotonically_increasing_id() holds the partition above bit 33, the row below.
 _ROW_BITS = 33
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str, base: int = 0) -> tuple[DataFrame, int]:
+def number_rows(
+    df: DataFrame, order: list[Column], name: str, base: int = 0, scratch: Scratch | None = None
+) -> tuple[DataFrame, int]:
     """``df`` plus ``name``: ``base, base + 1, ...`` along ``order``; and the row count.
 
     Rows are range-partitioned and sorted, and their place within the partition is
     stored. Only the partition sizes reach the driver, as starting numbers.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    fixed = cut_lineage(placed.withColumn("_place", F.monotonically_increasing_id()))
+    keep = scratch.keep if scratch else cut_lineage
+    fixed = keep(placed.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", _ROW_BITS).alias("_part")
     sizes = sorted((r["_part"], r["n"]) for r in fixed.groupBy(part).agg(F.count("*").alias("n")).collect())
     starts = list(accumulate((n for _, n in sizes), initial=base))

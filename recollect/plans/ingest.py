@@ -12,7 +12,7 @@ from recollect.functions.embedding import Embedder
 from recollect.functions.text import content_hash, embed_text
 from recollect.operators.diff import CREATED, MOVED, STALE, by_language, classify, file_changes, totals
 from recollect.schema import KIND_CODE
-from recollect.session import cut_lineage
+from recollect.session import Scratch
 from recollect.sources.chunker import ChunkOptions, chunk_code_files, chunk_files, chunk_text_files, is_code
 from recollect.sources.store import MemoryStore
 from recollect.sources.walk import MAX_FILE_BYTES, listing, read_contents, walk
@@ -46,6 +46,16 @@ def new_rows(diff: DataFrame) -> DataFrame:
     )
 
 
+def stored_rows(diff: DataFrame, status: str) -> DataFrame:
+    """Ids of stored chunks with this status, and where they are now."""
+    return diff.where(F.col("status") == status).select(
+        "id",
+        F.col("rel_path").alias("file_path"),
+        F.col("start_line").alias("line_start"),
+        F.col("end_line").alias("line_end"),
+    )
+
+
 def ingest_files(
     store: MemoryStore,
     project: str,
@@ -77,28 +87,22 @@ def ingest_chunks(
     stored = stored_chunks(store.rows(project), path_prefix)
     if only_files is not None:
         stored = stored.join(only_files.select(F.col("rel_path").alias("file_path")), "file_path", "left_semi")
-    diff = cut_lineage(classify(hashed(chunks), stored))
-    summary = totals(file_changes(diff)).first().asDict()
-    languages = by_language(diff.where(F.col("status") != STALE))
-    summary["byLanguage"] = {r.lang: r.chunks for r in languages.orderBy("lang").collect()}
-    summary["chunksEmbedded"] = 0
-    if not dry_run:
-
-        def existing(status: str) -> DataFrame | None:
-            rows = diff.where(F.col("status") == status)
-            count = summary["chunksUpdated"] if status == MOVED else summary["chunksDeleted"]
-            columns = ["id", F.col("rel_path").alias("file_path")]
-            ranges = [F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end")]
-            return rows.select(*columns, *ranges) if count else None
-
-        summary["chunksEmbedded"] = store.apply(
-            project,
-            inserts=new_rows(diff) if summary["chunksCreated"] else None,
-            updates=existing(MOVED),
-            deletes=existing(STALE),
-            embedder=embedder,
-        )
-    return summary
+    with Scratch(store.spark) as scratch:
+        diff = scratch.keep(classify(hashed(chunks), stored))
+        summary = totals(file_changes(diff)).first().asDict()
+        languages = by_language(diff.where(F.col("status") != STALE)).orderBy("lang").collect()
+        summary["byLanguage"] = {r.lang: r.chunks for r in languages}
+        summary["chunksEmbedded"] = 0
+        if not dry_run:
+            summary["chunksEmbedded"] = store.apply(
+                project,
+                inserts=new_rows(diff) if summary["chunksCreated"] else None,
+                updates=stored_rows(diff, MOVED) if summary["chunksUpdated"] else None,
+                deletes=stored_rows(diff, STALE) if summary["chunksDeleted"] else None,
+                embedder=embedder,
+                scratch=scratch,
+            )
+        return summary
 
 
 def ingest_tree(
@@ -119,12 +123,13 @@ def ingest_tree(
     out or past ``max_files`` counts as gone."""
     started = time.monotonic()
     found = walk(store.spark, root, respect_gitignore, include, exclude, max_files)
-    listed, n_listed = listing(found)
-    # Paths are parted before contents are read, so each file is read once.
-    in_code = is_code(F.col("rel_path"))
-    code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
-    chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
-    counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix)
+    with Scratch(store.spark) as scratch:
+        listed, n_listed = listing(found, scratch)
+        # Paths are parted before contents are read, so each file is read once.
+        in_code = is_code(F.col("rel_path"))
+        code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
+        chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
+        counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix)
     return {
         "root": os.path.abspath(root),
         "project": project,

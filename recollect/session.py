@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +33,54 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     A folder of our own is chosen only where none is configured, which on a
     multi-node master would be wrong, so that case is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if current:
-        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="recollect-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
-    return own
+    return spark.sparkContext.getCheckpointDir()
+
+
+class Scratch:
+    """Intermediate results as tables in the checkpoint folder, until closed.
+
+    A kept result is computed once and survives the loss of executors; later reads take
+    only the columns they need.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folder = f"{checkpoint_folder(spark)}/recollect-{uuid.uuid4().hex}"
+        self._n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self._folder}/{self._n}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later jobs neither recompute it nor lose it with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` kept for as long as the checkpoint folder lasts."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -152,10 +152,6 @@ def _by_language(lang: Column, column_for) -> Column:
     return brace.when(lang == "python", column_for("python"))
 
 
-def _removed(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]", ""))
-
-
 def _line_features(code_files: DataFrame) -> DataFrame:
     """One narrow row per line; the text itself is not carried further."""
     text, lang = F.col("text"), F.col("lang")
@@ -170,7 +166,11 @@ def _line_features(code_files: DataFrame) -> DataFrame:
         (F.size(_lines(F.regexp_replace(text, rf"{_S}+\z", ""))) - 1).alias("last_filled"),
         F.arrays_zip(_lines(text).alias("raw"), _lines(blanked).alias("code")).alias("zipped"),
     )
-    exploded = per_file.select("rel_path", "lang", "n_lines", "last_filled", F.posexplode("zipped").alias("ln", "line"))
+    # Outer, though there is always a line: for the inner form Spark adds a filter on the
+    # array's size, for which all of the above would be computed a second time.
+    exploded = per_file.select(
+        "rel_path", "lang", "n_lines", "last_filled", F.posexplode_outer("zipped").alias("ln", "line")
+    )
     raw, code = F.col("line.raw"), F.col("line.code")
     at_margin = F.rlike(raw, F.lit(f"^[^{SPACE}]"))
     comment = F.when(lang == "python", F.rlike(raw, F.lit(rf"^{_S}*#"))).otherwise(
@@ -182,7 +182,7 @@ def _line_features(code_files: DataFrame) -> DataFrame:
         "n_lines",
         "last_filled",
         "ln",
-        (_removed(code, r"{(\[") - _removed(code, r"})\]")).alias("delta"),
+        (F.regexp_count(code, F.lit(r"[{(\[]")) - F.regexp_count(code, F.lit(r"[})\]]"))).alias("delta"),
         is_blank(raw).alias("blank"),
         comment.alias("comment"),
         ((lang == "python") & F.startswith(raw, F.lit("@"))).alias("decorator"),
@@ -362,8 +362,9 @@ def _as_chunks(files: DataFrame, spans: Column, options: ChunkOptions) -> DataFr
             s["kind"].alias("unit_kind"),
         ),
     )
-    exploded = cut.select("rel_path", "lang", F.posexplode(F.filter(chunks, lambda c: ~is_blank(c["content"]))))
-    return exploded.select("rel_path", F.col("pos").alias("ordinal"), "col.*", "lang")
+    filled = F.filter(chunks, lambda c: ~is_blank(c["content"]))
+    exploded = cut.select("rel_path", "lang", F.posexplode_outer(filled))
+    return exploded.where(F.col("pos").isNotNull()).select("rel_path", F.col("pos").alias("ordinal"), "col.*", "lang")
 
 
 def chunk_text_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
@@ -377,8 +378,10 @@ def chunk_text_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -
 
 def chunk_code_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """Declaration chunks; a file without declarations gets line windows."""
-    # Both uses below need exactly these two columns, so Spark shuffles them once.
-    placed = files.where(~is_blank(F.col("content"))).select("rel_path", "content").repartition("rel_path")
+    # Both uses below need exactly these two columns and this filter, which the join would
+    # otherwise add to one of them, so Spark reads and shuffles the files once.
+    filled = files.where(F.col("rel_path").isNotNull() & ~is_blank(F.col("content")))
+    placed = filled.select("rel_path", "content").repartition("rel_path")
     texts = placed.select(
         "rel_path", detect_language(F.col("rel_path")).alias("lang"), source_text(F.col("content")).alias("text")
     )
@@ -386,7 +389,9 @@ def chunk_code_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -
     by_file = spans.groupBy("rel_path").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "kind", "unit"))).alias("found")
     )
-    lined = texts.select("rel_path", "lang", _lines(F.col("text")).alias("lines")).join(by_file, "rel_path", "left")
+    # Both sides lie by file already; sizes after Python readers are guesses, so no broadcast.
+    lined = texts.select("rel_path", "lang", _lines(F.col("text")).alias("lines"))
+    lined = lined.join(by_file.hint("merge"), "rel_path", "left")
     return _as_chunks(lined, F.coalesce("found", line_windows(F.col("lines"), options)), options)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.text import iso_millis
 from recollect.functions.vectors import decode_float32
 from recollect.schema import DEFAULT_PROJECT, KIND_MANUAL, MEMORIES, SCHEMA_VERSION
-from recollect.session import cut_lineage
+from recollect.session import Scratch
 from recollect.sources.store import MemoryStore
 
 _CURRENT_ONLY = {"project", "kind", "content_hash", "updated_at"}
@@ -58,7 +58,11 @@ def migrate(store: MemoryStore, old: DataFrame) -> int:
     """Load an old table into an empty store; the number of rows moved."""
     if store.projects():
         return 0
-    rows = cut_lineage(upgrade(old))
+    with Scratch(store.spark) as scratch:
+        return _load(store, old, scratch.keep(upgrade(old)))
+
+
+def _load(store: MemoryStore, old: DataFrame, rows: DataFrame) -> int:
     n_old, n_new = old.count(), rows.count()
     if n_old != n_new:
         raise RuntimeError(f"row counts differ: {n_new} of {n_old}")

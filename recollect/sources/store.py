@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from recollect.functions.embedding import Embedder, embed
 from recollect.operators.numbering import number_rows
 from recollect.schema import DEFAULT_PROJECT, MEMORIES, SCHEMA_VERSION, USER_COLUMNS
-from recollect.session import broadcast_if_small
+from recollect.session import Scratch, broadcast_if_small
 from recollect.sources.hadoop import ControlFiles
 
 #: A bucket with this many folders is rewritten into one by the next commit that touches it.
@@ -174,6 +174,7 @@ class MemoryStore:
         updates: DataFrame | None = None,
         deletes: DataFrame | None = None,
         embedder: Embedder | None = None,
+        scratch: Scratch | None = None,
     ) -> int:
         """One commit of new rows, moved line ranges and deletions; returns the rows inserted.
 
@@ -186,7 +187,7 @@ class MemoryStore:
         fresh, n_new = None, 0
         if inserts is not None:
             order = [F.col(c) for c in ("file_path", "line_start", "ordinal")]
-            fresh, n_new = number_rows(inserts, order, "id", self._manifest["next_id"])
+            fresh, n_new = number_rows(inserts, order, "id", self._manifest["next_id"], scratch)
         count = self._bucket_count(project, n_new)
         if count != old_count:
             replaced = {int(b) for b in self._entry(project)["buckets"]}

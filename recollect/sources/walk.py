@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from recollect.functions.patterns import path_filter
 from recollect.operators.numbering import first_rows
-from recollect.session import cut_lineage
+from recollect.session import Scratch
 from recollect.sources.ignore import ignored, parse_rules
 
 # Version-control and package folders that are never entered, the
@@ -176,9 +176,9 @@ def read_contents(listed: DataFrame, root: str, max_file_bytes: int = MAX_FILE_B
     )
 
 
-def listing(found: DataFrame, bytes_per_task: int = 64 << 20) -> tuple[DataFrame, int]:
+def listing(found: DataFrame, scratch: Scratch, bytes_per_task: int = 64 << 20) -> tuple[DataFrame, int]:
     """The walk's result kept, spread for reading, with its row count."""
-    kept = cut_lineage(found)
+    kept = scratch.keep(found)
     n, total = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cores = kept.sparkSession.sparkContext.defaultParallelism
     return kept.repartition(max(cores, total // bytes_per_task + 1), "rel_path"), n

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.embedding import Embedder
 from recollect.plans.ingest import ingest_chunks
-from recollect.session import cut_lineage
+from recollect.session import Scratch
 from recollect.sources.chunker import ChunkOptions, chunk_files
 from recollect.sources.store import MemoryStore
 
@@ -24,9 +24,10 @@ def apply_changes(
     """Bring the files in ``changed(rel_path, content, seq)`` up to date; a file is removed by
     a null or blank ``content``. Of several versions in one batch the highest ``seq`` counts."""
     newest = changed.groupBy("rel_path").agg(F.max_by("content", "seq").alias("content"))
-    files = cut_lineage(newest)
-    chunks = chunk_files(files.where(F.col("content").isNotNull()), options)
-    return ingest_chunks(store, project, chunks, embedder, only_files=files)
+    with Scratch(store.spark) as scratch:
+        files = scratch.keep(newest)
+        chunks = chunk_files(files.where(F.col("content").isNotNull()), options)
+        return ingest_chunks(store, project, chunks, embedder, only_files=files)
 
 
 def stream_files(
