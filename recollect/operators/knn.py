@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.functions.vectors import list_matrix
-from recollect.session import estimated_bytes
+from recollect.session import Scratch, estimated_bytes
 
 # Over-fetch sizing.
 FETCH_CEILING = 400
@@ -108,15 +108,14 @@ def _task_top_k(queries):
 
 @dataclass
 class Asked:
-    """Queries ready to be searched for: bounded slices of {project: (ids, ks, matrix)},
-    and their parameters as a DataFrame."""
+    """Queries ready to be searched for: slices of bounded size that load as {project:
+    (ids, ks, matrix)}, and their parameters as a DataFrame. ``projects`` is known when
+    there is one slice."""
 
     n: int
-    slices: list[dict]
+    slices: list[Callable[[], dict]]
     parameters: DataFrame
-
-    def projects(self) -> list[str]:
-        return sorted({project for part in self.slices for project in part})
+    projects: list[str] | None = None
 
 
 def _matrices(rows: list) -> dict:
@@ -135,8 +134,8 @@ def _matrices(rows: list) -> dict:
 
 
 def ask(queries: DataFrame, *parameters: str) -> Asked:
-    """Bring ``queries(query_id, project, embedding, fetch_k, *parameters)`` to the driver,
-    one slice at a time where there are more than one broadcast may hold."""
+    """``queries(query_id, project, embedding, fetch_k, *parameters)`` in slices. One slice is
+    brought to the driver at once; of more, each only when it is searched for."""
     spark = queries.sparkSession
     columns = ["query_id", "project", "embedding", "fetch_k", *parameters]
     asked = queries.select(*columns)
@@ -144,13 +143,14 @@ def ask(queries: DataFrame, *parameters: str) -> Asked:
     named = queries.select("query_id", *parameters)
     if len(head) <= QUERIES_PER_SLICE:
         table = pa.table({f.name: pa.array([r[f.name] for r in head], to_arrow_type(f.dataType)) for f in named.schema})
-        return Asked(len(head), [_matrices(head)], spark.createDataFrame(table))
+        matrices = _matrices(head)
+        return Asked(len(head), [lambda: matrices], spark.createDataFrame(table), sorted(matrices))
     # Twice the slices needed on average: each stays under the bound in practice,
     # and one that does not is only a larger broadcast.
     n = queries.count()
     many = 2 * -(-n // QUERIES_PER_SLICE)
     slot = F.pmod(F.xxhash64("query_id"), F.lit(many))
-    return Asked(n, [_matrices(asked.where(slot == i).collect()) for i in range(many)], named)
+    return Asked(n, [lambda i=i: _matrices(asked.where(slot == i).collect()) for i in range(many)], named)
 
 
 def search(vectors: DataFrame, asked: dict) -> DataFrame:
@@ -185,10 +185,15 @@ def top_k(vectors: DataFrame, asked: Asked, max_k: int = FETCH_CEILING) -> DataF
     ``vectors`` has ``project, id, embedding``; ``fetch_k`` is at most ``max_k``. Ties go
     to the lower id. The result adds ``rank`` and ``candidates`` (rows found for the query).
     """
-    scans = [search(vectors, part) for part in asked.slices if part]
-    if not scans:
-        scans.append(vectors.sparkSession.createDataFrame([], HITS))
-    kept = _merged(reduce(DataFrame.unionAll, scans), max_k, _many_tasks(vectors))
+    many_tasks = _many_tasks(vectors)
+    if len(asked.slices) == 1:
+        kept = _merged(search(vectors, asked.slices[0]()), max_k, many_tasks)
+    else:
+        # A scan per slice, each finished before the next is loaded: the driver and the
+        # executors hold one slice at a time.
+        scratch = Scratch(vectors.sparkSession)
+        found = [scratch.keep(_merged(search(vectors, load()), max_k, many_tasks)) for load in asked.slices]
+        kept = reduce(DataFrame.unionAll, found)
     return kept.withColumn("candidates", F.count("*").over(Window.partitionBy("query_id"))).drop("fetch_k")
 
 

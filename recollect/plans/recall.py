@@ -56,7 +56,9 @@ def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
     asked = ask(queries, "limit", "max_tokens", "min_score")
     found = top_k(memories, asked).join(asked.parameters, "query_id")
     found = found.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).drop("min_score", "rank")
-    rows = memories.select("project", "id", *ROW_COLUMNS).where(F.col("project").isin(asked.projects()))
+    rows = memories.select("project", "id", *ROW_COLUMNS)
+    if asked.projects is not None:
+        rows = rows.where(F.col("project").isin(asked.projects))
     if asked.n * FETCH_CEILING > BROADCAST_HITS:
         return weigh(rows.join(found, ["project", "id"])).repartition("query_id")
     mine = F.struct("query_id", "score", "candidates", "limit", "max_tokens")

@@ -245,6 +245,19 @@ def test_one_exchange_serves_the_scan(spark):
     assert len({line.split("Exchange")[1].split(",")[1] for line in exchanges}) == 1
 
 
+def test_contents_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(f"a{i}.go", GO) for i in range(20)], "rel_path string, content string")
+    chunks = chunker.chunk_code_files(df.mapInArrow(count, df.schema))
+    assert chunks.count() == 100 and reads.value == 20
+
+
 def test_languages_of_chunks(spark):
     rows = _chunks(spark, {"a.go": GO, "b.tsx": TS, "c.jsx": TS, "d.pyi": PYTHON, "e.rs": "fn main() {}\n"})
     assert {r.rel_path: r.lang for r in rows} == {"a.go": "go", "b.tsx": "ts", "c.jsx": "js", "d.pyi": "python", "e.rs": "text"}

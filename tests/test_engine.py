@@ -5,6 +5,8 @@ import pytest
 
 from recollect import cli
 from recollect.engine import Engine, project_name, tag_list
+from recollect.operators import knn
+from recollect.plans import recall as plan
 from recollect.render import hit_line, list_line, recall_header
 
 TAX = "func ComputeTax(order Order, lines []Line) int {\n\ttotal := 0\n\tfor _, line := range lines {\n\t\ttotal += line.Amount * order.Rate\n\t}\n\treturn total\n}\n"
@@ -117,6 +119,24 @@ def test_many_queries_give_the_same_answers(engine, code, spark):
     assert stats[3].tokens_used <= 120 and stats[2].returned == 2
 
 
+def test_hits_beyond_the_broadcast_bound_give_the_same_answers(engine, code, spark, monkeypatch):
+    queries = spark.createDataFrame([(1, code, "tax calculation"), (2, code, "ledger commit")], "query_id long, project string, query string")
+    columns = ["query_id", "rank", "id", "score", "cost", "candidates", "survivors"]
+    want = {tuple(r) for r in engine.recall_many(queries).select(*columns).collect()}
+    monkeypatch.setattr(plan, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(knn, "QUERIES_PER_SLICE", 1)
+    assert {tuple(r) for r in engine.recall_many(queries).select(*columns).collect()} == want
+
+
+def test_a_third_of_the_rows_being_copies_leaves_one_of_them(engine, spark):
+    rows = [{"text": f"note {i} about topic {i * 7}", "project": "copies"} for i in range(20)]
+    rows += [{"text": "the very same words once more", "project": "copies"} for _ in range(10)]
+    engine.store.insert(rows, engine.embedder)
+    result = engine.search("the very same words once more", project="copies", max_tokens=100_000)
+    assert result.candidates == 30 and sum(h["text"].startswith("the very") for h in result.hits) == 1
+    assert result.hits[0]["text"].startswith("the very") and result.survivors == 21
+
+
 @pytest.mark.parametrize(
     "call",
     [

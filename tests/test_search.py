@@ -59,6 +59,7 @@ def test_nearest_and_edge_cases(spark):
     assert [i for i, _ in knn.nearest(df, "a", rows[0][2], 7)] == [i for i, _ in _brute(rows, "a", rows[0][2], 7)]
     assert knn.nearest(df, "nowhere", rows[0][2], 5) == []
     assert len(knn.nearest(df, "a", rows[0][2], 400)) == sum(p == "a" for _, p, _ in rows)
+    assert knn.ask(df.selectExpr("id AS query_id", "project", "embedding", "5 AS fetch_k")).projects == ["a", "b"]
     none = df.where("id < 0").selectExpr("id AS query_id", "project", "embedding", "5 AS fetch_k")
     assert knn.top_k(df, knn.ask(none)).count() == 0
     with pytest.raises(Exception, match="dimension"):
