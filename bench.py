@@ -44,7 +44,7 @@ def timed(run, times: int = 1) -> float:
 
 
 def corpus_steps(spark: SparkSession, folder: str) -> dict[str, float]:
-    project = "pixora-core"
+    project = "shop-core"
     for rel, text in corpus.files(project):
         path = os.path.join(folder, "src", rel)
         os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -231,7 +231,7 @@ def test_random_code_is_covered_and_keeps_brackets_balanced(spark):
 
 
 def test_published_chunk_counts(spark):
-    files = spark.createDataFrame(list(corpus.files("pixora-core")), "rel_path string, content string")
+    files = spark.createDataFrame(list(corpus.files("shop-core")), "rel_path string, content string")
     counts = {r.lang: r.chunks for r in by_language(chunk_files(files)).collect()}
     assert counts == {"go": 4581, "python": 4572, "ts": 4072}
 

@@ -9,9 +9,9 @@ from recollect.operators import knn
 from recollect.plans import recall as plan
 from recollect.render import hit_line, list_line, recall_header
 
-TAX = "func ComputeTax(order Order, lines []Line) int {\n\ttotal := 0\n\tfor _, line := range lines {\n\t\ttotal += line.Amount * order.Rate\n\t}\n\treturn total\n}\n"
-LEDGER = "func FlushLedger(conn *sql.DB, entries []Entry) error {\n" + "".join(f"\tinsert ledger entry {i} with commit\n" for i in range(25)) + "\treturn conn.Commit()\n}\n"
-SEARCH = 'export function buildSearchQuery(term: string) {\n  const parts = ["q=" + term];\n  return "/api/search?" + parts.join("&");\n}\n'
+TAX = "func TaxFor(order Order, lines []Line) int {\n\ttotal := 0\n\tfor _, line := range lines {\n\t\ttotal += line.Amount * order.Rate\n\t}\n\treturn total\n}\n"
+LEDGER = "func PostLedger(book Book, rows []Row) error {\n" + "".join(f"\tinsert ledger entry {i} with commit\n" for i in range(25)) + "\treturn book.Close()\n}\n"
+SEARCH = 'export function searchAddress(term: string) {\n  const address = new URL(base);\n  address.searchParams.set("query", term);\n  return address.toString();\n}\n'
 
 
 @pytest.fixture(scope="module")
@@ -80,9 +80,9 @@ def test_budget_bounds_the_answer(engine, code):
 
 
 def test_identical_code_is_answered_once(engine, code):
-    answer = engine.recall("ComputeTax order lines", project=code, max_tokens=6000, limit=50)
-    assert answer.count("func ComputeTax") == 1 and len(set(_ids(answer))) == len(_ids(answer))
-    result = engine.search("ComputeTax order lines", project=code, max_tokens=6000)
+    answer = engine.recall("TaxFor order lines", project=code, max_tokens=6000, limit=50)
+    assert answer.count("func TaxFor") == 1 and len(set(_ids(answer))) == len(_ids(answer))
+    result = engine.search("TaxFor order lines", project=code, max_tokens=6000)
     assert result.candidates == 7 and result.survivors == 6
     assert all(h["file_path"] and h["line_start"] for h in result.hits)
 
