@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import mixing
+from recollect.llm import mixing, quality
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -21,6 +21,15 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.scored(table(spark, sf_dir, "documents"), Scratch(spark))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("distance", 4).alias("distance"),
+    )
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
