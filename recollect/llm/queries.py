@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import mixing, quality
+from recollect.llm import mixing, quality, simhash
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -30,6 +30,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return rows.select(
+        "doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("first.doc_id").alias("component_id")
+    )
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
