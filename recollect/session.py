@@ -60,11 +60,16 @@ class Scratch:
         self._spark = spark
         self._folder = f"{checkpoint_folder(spark)}/recollect-{uuid.uuid4().hex}"
         self._n = 0
+        # A result may be read after this is out of scope; what is not closed goes with the application.
+        path = spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self._n += 1
         path = f"{self._folder}/{self._n}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
