@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import mixing, quality, simhash
+from recollect.llm import counts, mixing, quality, simhash, token_files
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -21,6 +21,16 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.scored(table(spark, sf_dir, "documents"), Scratch(spark))
