@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, mixing, quality, simhash, token_files
+from recollect.llm import counts, mixing, quality, repeats, simhash, token_files
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -31,6 +31,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.scored(table(spark, sf_dir, "documents"), Scratch(spark))
