@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, mixing, quality, repeats, simhash, token_files
+from recollect.llm import counts, decontaminate, mixing, quality, repeats, simhash, token_files
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -54,6 +54,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.drop("row").withColumn("score", F.round("score", 6))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
