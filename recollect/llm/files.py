@@ -49,16 +49,25 @@ class Written:
     def __enter__(self) -> "Written":
         return self
 
-    def __exit__(self, failed, *_) -> None:
+    def finish(self) -> None:
         self._out.close()
+        self._fs.move(self._draft, self._path)
+
+    def __exit__(self, failed, *_) -> None:
         if failed:
+            self._out.close()
             self._fs.delete_file(self._draft)
         else:
-            self._fs.move(self._draft, self._path)
+            self.finish()
 
 
 def read(url: str, offset: int = 0, size: int | None = None) -> bytes:
-    fs, path = _open(url)
-    with fs.open_input_file(path) as f:
+    with reading(url) as f:
         f.seek(offset)
         return f.read(size) if size is not None else f.read()
+
+
+def reading(url: str):
+    """The file, open for reading at any place."""
+    fs, path = _open(url)
+    return fs.open_input_file(path)

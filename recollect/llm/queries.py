@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, decontaminate, mixing, quality, repeats, simhash, token_files
+from recollect.llm import counts, decontaminate, mixing, quality, repeats, simhash, token_files, warc
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -21,6 +21,22 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), Scratch(spark)).drop("url")
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (SELECT *, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), Scratch(spark))
