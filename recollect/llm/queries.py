@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, decontaminate, mixing, quality, repeats, simhash, token_files, warc
+from recollect.llm import counts, decontaminate, license, mixing, quality, repeats, simhash, token_files, warc
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -21,6 +21,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license.scanned(table(spark, sf_dir, "documents"))
+    return rows.withColumn("n_found", F.size("detections").cast("long")).drop("detections")
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"), Scratch(spark)).drop("url")
