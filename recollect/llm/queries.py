@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, decontaminate, license, mixing, quality, repeats, simhash, token_files, warc
+from recollect.llm import counts, decontaminate, langid, license, mixing, quality, repeats, simhash, token_files, warc
 from recollect.llm.base import table
 from recollect.session import Scratch
 
@@ -21,6 +21,17 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    rows = langid.languages_of(docs, pages, Scratch(spark))
+    is_doc = F.col("kind") == "document"
+    return rows.select(
+        F.when(is_doc, F.col("id")).alias("doc_id"), F.when(~is_doc, F.col("id")).alias("page_id"), "lang",
+        F.round("confidence", 4).alias("confidence"), "text_lang", "declared",
+    )
+
+
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = license.scanned(table(spark, sf_dir, "documents"))
