@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.base import fresh, row_hash
-from recollect.llm.words import NOT_ALNUM, Words, gram_hashes, slices
+from recollect.llm.words import NOT_ALNUM, Words, gram_hashes, pieces, slices
 from recollect.session import Scratch, broadcast_if_small
 
 #: Words to a seed; how often by chance one may be expected in all documents.
@@ -34,7 +34,7 @@ MATCH, OTHER, GAP = 2, -1, -1
 SIMILAR, ENOUGH, BEYOND = 0.8, 13, 10
 #: Words to a piece of an item that is aligned at once; bytes of benchmark text to a slice.
 PIECE, SLICE_BYTES = 400, 16 << 20
-_TEXT_BYTES = 1 << 20
+_TEXT_BYTES = 1 << 18
 _FILTER_BITS = 20
 
 RESULT = "doc_id long, row long, item_id long, score double, n_match long, n_item long, first_word long, last_word long"
@@ -154,7 +154,7 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
         counts, total = np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[(vocabulary >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             for a, b in slices([len(t) for t in texts], _TEXT_BYTES):
                 words = Words(texts[a:b], NOT_ALNUM).hashes()
@@ -178,7 +178,7 @@ def _found(docs: DataFrame, passages: Passages) -> DataFrame:
     schema = pa.schema([(n, pa.float64() if n == "score" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             out = [

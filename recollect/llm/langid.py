@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.words import slices
+from recollect.llm.words import pieces, slices
 from recollect.session import Scratch
 
 #: Trigrams are hashed to this many bits; pseudo-count of a trigram.
@@ -43,7 +43,7 @@ COUNTRY = {
     "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "sk": "sk", "tr": "tr", "ua": "uk", "uk": "en", "us": "en",
     "uy": "es", "ve": "es", "vn": "vi", "au": "en",
 }
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[list(range(97, 123)) + list(range(128, 256))] = list(range(97, 123)) + list(range(128, 256))
@@ -120,7 +120,7 @@ def trained(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * size, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             own = np.array([place[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for a, b in slices([len(t) for t in texts], _PIECE):
@@ -146,7 +146,7 @@ def evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(model.T)  # a row for each trigram
-        for batch in batches:
+        for batch in pieces(batches):
             kinds, urls = batch.column("kind").to_pylist(), batch.column("url").to_pylist()
             raw, told = batch.column("text").to_pylist(), batch.column("declared").to_pylist()
             hosts = batch.column("host").to_pylist()

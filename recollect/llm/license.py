@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from recollect.llm.rules import Rule, build
-from recollect.llm.words import NOT_ALNUM, Words, slices
+from recollect.llm.words import NOT_ALNUM, Words, pieces, slices
 
 #: The base phrases and their labels, as fixed by the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Too short to be a keyword by itself: rules with it run where the base phrase stands.
 SHORT = b"cc"
 #: Bytes of text that are handled together.
-_TOGETHER = 1 << 20
+_TOGETHER = 1 << 18
 _OUTSIDE = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 
 RESULT = (
@@ -141,7 +141,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         shape = pa.struct([("label", pa.string()), ("form", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(shape)]
         names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [(t or "").encode().translate(_LOWER) for t in batch.column("text").to_pylist()]
             for a, b in slices([len(t) for t in texts], _TOGETHER):
                 columns = zip(*_rows(texts[a:b]))

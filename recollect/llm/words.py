@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses
 
 
-@cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base^i`` and ``base^-i`` modulo 2^64 for i below ``size``."""
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        out = np.full(size, b, dtype=np.uint64)
-        out[0] = 1
-        both.append(np.multiply.accumulate(out))
-    return both[0], both[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(10, int(size - 1).bit_length()))
+    """``base^i`` and ``base^-i`` modulo 2^64 for i below ``size`` at least; kept until more are asked for."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            out = np.full(1 << max(10, int(size - 1).bit_length()), b, dtype=np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        _POWERS[base] = (both[0], both[1])
+    return _POWERS[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,3 +85,10 @@ def slices(sizes: list[int], most: int):
         total += size
     if first < len(sizes):
         yield first, len(sizes)
+
+
+def pieces(batches, rows: int = 500):
+    """Record batches of few rows, so that little is held beside what Arrow has sent."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
