@@ -22,9 +22,16 @@ def row_hash(df: DataFrame) -> Column:
 
     With ``doc_id`` beside it this identifies a row up to rows that are wholly equal.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [F.col(quoted(c)) for c in df.columns]
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
-    return F.xxhash64(*columns, nulls)
+    # Maps have no hash of their own.
+    hashed = [F.to_json(c) if "map<" in kind else c for c, (_, kind) in zip(columns, df.dtypes)]
+    return F.xxhash64(*hashed, nulls)
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -33,8 +40,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def partitions(df: DataFrame) -> int:
-    """How many shuffle partitions the session uses."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

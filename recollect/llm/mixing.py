@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.base import WORD, fresh, row_hash
+from recollect.llm.base import WORD, fresh, quoted, row_hash
 from recollect.session import Scratch
 
 #: Weights dealt to the sources in code point order, again and again.
@@ -185,7 +185,7 @@ def mix_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     decided = mixed(docs, scratch, **options).where("copies > 0").groupBy(F.col("row").alias("mix_row")).agg(
         F.sum("copies").cast("int").alias("mix_copies")
     )
-    names = [f"`{c}`" for c in docs.columns]
+    names = [quoted(c) for c in docs.columns]
     return (
         named.dropDuplicates([key])
         .select(F.struct(*names).alias("kept"), F.col(key).alias("kept_row"))
