@@ -204,19 +204,27 @@ def _start(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _central(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The KEEP share of each group that is nearest to the estimate, up to a bin's width."""
-    placed = _with_distance(rows, estimate).withColumn(
-        "bin",
-        F.floor(F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), F.log(F.col("distance") + 1e-12))) * _BINS),
-    )
+def _with_bin(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    logarithm = F.log(F.col("distance") + 1e-12)
+    bin_ = F.floor(F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), logarithm)) * _BINS)
+    return _with_distance(rows, estimate).withColumn("bin", bin_)
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """The estimate of the KEEP share of each group that is nearest to ``estimate``, up to a bin.
+
+    What is joined to the documents is a kept table with a row for each group, which is small
+    wherever there are few groups; so the documents themselves need no exchange.
+    """
     order = Window.partitionBy(*GROUP).orderBy("bin")
-    bins = placed.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"))
+    bins = _with_bin(rows, estimate).groupBy(*GROUP, "bin").agg(F.count("*").alias("n"))
     upto = bins.withColumn("upto", F.sum("n").over(order)).withColumn(
         "total", F.sum("n").over(Window.partitionBy(*GROUP))
     )
     last = upto.where(F.col("upto") >= F.col("total") * KEEP).groupBy(*GROUP).agg(F.min("bin").alias("last_bin"))
-    return placed.join(last, list(GROUP)).where("bin <= last_bin")
+    last = scratch.keep(last)
+    central = _with_bin(rows, estimate).join(last, list(GROUP)).where("bin <= last_bin")
+    return scratch.keep(_pooled(_moments(central), groups))
 
 
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -229,10 +237,10 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = scratch.keep(measured(docs))
     sound = rows.where(~F.col("base_failed"))
-    groups = rows.select(*GROUP).distinct()
+    groups = scratch.keep(rows.select(*GROUP).distinct())
     estimate = scratch.keep(_start(sound, groups))
     for _ in range(STEPS):
-        estimate = scratch.keep(_pooled(_moments(_central(sound, estimate)), groups))
+        estimate = _concentrated(sound, estimate, groups, scratch)
     judged = _with_distance(rows, estimate)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.withColumn("kept", kept).drop(*GROUP, *VECTOR)
