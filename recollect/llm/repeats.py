@@ -6,7 +6,7 @@
 2. Documents that hold a recurring phrase are dealt to blocks of bounded size, and with them the
    recurring phrases of the block. The phrases of a block become one automaton, each word a
    letter, and the block's documents run through it: it locates every occurrence of every phrase.
-3. The windows around the occurrences, the only ones that can recur, go out as 128-bit hashes. The
+3. The windows whose own phrase was located, the only ones that can recur, go out as 128-bit hashes. The
    smallest document of each hash decides which windows of the others are removed.
 
 Automata are sharded along with the documents, so each document is read against one automaton
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.base import row_hash
-from recollect.llm.words import Words, gram_hashes, slices
+from recollect.llm.words import Words, gram_hashes, pieces, slices
 from recollect.session import Scratch, broadcast_if_small
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of text to a block, and to a piece that is hashed at once.
-BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 18
 #: Removed stretches that may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Order of documents without an id: after all others.
@@ -76,7 +76,7 @@ def phrases(docs: DataFrame) -> DataFrame:
     """``phrase, row, place`` for the phrases that every document chooses, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows, places = batch.column("row").to_pylist(), batch.column("place").to_pylist()
             found, owner = [], []
             for k, words in _each(_texts(batch.column("text").to_pylist())):
@@ -127,11 +127,10 @@ def _located(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         ends = np.fromiter((end for end, _ in automaton.iter(_letters(words))), dtype=np.int64)
         if not len(ends):
             continue
-        # A window that holds the phrase begins between these two.
-        step = np.zeros(len(words) + 2, dtype=np.int64)
-        np.add.at(step, np.maximum(ends - WINDOW + 1, 0), 1)
-        np.add.at(step, np.minimum(ends - PHRASE + 1, len(words) - WINDOW) + 1, -1)
-        at = np.flatnonzero(np.cumsum(step)[: len(words) - WINDOW + 1] > 0)
+        # A window can only recur if the phrase that it chooses is among those located.
+        grams = gram_hashes(words, PHRASE)
+        least = _sliding(grams, WINDOW - PHRASE + 1, np.minimum)
+        at = np.flatnonzero(np.isin(least, np.unique(grams[ends - PHRASE + 1])))
         h1, h2 = gram_hashes(words, WINDOW)[at], gram_hashes(words, WINDOW, 0xD6E8FEB86659FD93)[at]
         out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(at), rows[k]), np.full(len(at), places[k]), at))
     if not out:
@@ -204,7 +203,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     joined = rows.join(removed, F.col("row") == F.col("removed_row"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n_words, n_removed, kept = [], [], []
             for text, spans, whole in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "whole"))):
                 words = text.encode().split()
