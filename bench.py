@@ -44,7 +44,7 @@ def timed(run, times: int = 1) -> float:
 
 
 def corpus_steps(spark: SparkSession, folder: str) -> dict[str, float]:
-    project = "shop-core"
+    project = "orchard"
     for rel, text in corpus.files(project):
         path = os.path.join(folder, "src", rel)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -56,13 +56,13 @@ def corpus_steps(spark: SparkSession, folder: str) -> dict[str, float]:
         engine.ingest_codebase(os.path.join(folder, "src"), project)
 
     steps = {"corpus_ingest_cold": timed(ingest), "corpus_ingest_unchanged": timed(ingest)}
-    edited = os.path.join(folder, "src", "services", "svc0", "handler_0.go")
+    edited = os.path.join(folder, "src", "orchard", "area0", "part0.go")
     with open(edited) as handle:
         text = handle.read()
     with open(edited, "w") as handle:
-        handle.write(text.replace("return nil", "return ctx.Err()", 1))
+        handle.write(text.replace("return best", "return best + 1", 1))
     steps["corpus_ingest_one_edit"] = timed(ingest)
-    asked = [(i, project, f"{corpus.TOPICS[i % 6]} {corpus.NOUNS[i % 5]} svc{i % 14}") for i in range(60)]
+    asked = [(i, project, q) for i, q in enumerate(corpus.questions(project, 60))]
     queries = spark.createDataFrame(asked, "query_id long, project string, query string")
     engine.warm(project)
     for name, limit, budget in [("corpus_recall_60", 10, None), ("corpus_recall_60_budget", 10, 2000)]:

@@ -9,9 +9,14 @@ from recollect.operators import knn
 from recollect.plans import recall as plan
 from recollect.render import hit_line, list_line, recall_header
 
-TAX = "func TaxFor(order Order, lines []Line) int {\n\ttotal := 0\n\tfor _, line := range lines {\n\t\ttotal += line.Amount * order.Rate\n\t}\n\treturn total\n}\n"
-LEDGER = "func PostLedger(book Book, rows []Row) error {\n" + "".join(f"\tinsert ledger entry {i} with commit\n" for i in range(25)) + "\treturn book.Close()\n}\n"
-SEARCH = 'export function searchAddress(term: string) {\n  const address = new URL(base);\n  address.searchParams.set("query", term);\n  return address.toString();\n}\n'
+CHECKSUM = """def frame_checksum(payload, seed):
+    value = seed
+    for position, octet in enumerate(payload):
+        value = (value * 31 + octet + position) & 0xFFFF
+    return value
+"""
+MIXER = "def blend_paints(shades, ratios):\n" + "".join(f"    shade{i} = stir(shades[{i}], ratios, minutes={i})\n" for i in range(25)) + "    return pour(shade24)\n"
+GAUGE = "interface Needle { angle: number }\n\nexport const swing = (needle: Needle, pressure: number) => {\n  needle.angle = Math.min(270, pressure * 3);\n  return needle;\n};\n"
 
 
 @pytest.fixture(scope="module")
@@ -23,15 +28,15 @@ def engine(spark, tmp_path_factory):
 def code(engine, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("code"))
     files = {
-        "services/eu/tax.go": "package eu\n\n" + TAX, "services/us/tax.go": "package us\n\n" + TAX,
-        "services/ledger/ledger.go": "package ledger\n\n" + LEDGER, "services/search/query.ts": SEARCH,
+        "drivers/uart.py": "import serial\n\n\n" + CHECKSUM, "drivers/radio.py": "import antenna\n\n\n" + CHECKSUM,
+        "workshop/mixer.py": "import paint\n\n\n" + MIXER, "panel/gauge.ts": GAUGE,
     }
     for rel, text in files.items():
         os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
         with open(os.path.join(root, rel), "w") as handle:
             handle.write(text)
-    engine.ingest_codebase(root, "shop")
-    return "shop"
+    engine.ingest_codebase(root, "plant")
+    return "plant"
 
 
 def _ids(text):
@@ -71,7 +76,7 @@ def test_projects_are_isolated(engine):
 
 
 def test_budget_bounds_the_answer(engine, code):
-    query = "tax calculation on an order"
+    query = "checksum of a frame payload"
     big, small = (engine.recall(query, project=code, max_tokens=n) for n in (4000, 150))
     used = [int(re.search(r"using (\d+)/", a)[1]) for a in (big, small)]
     assert used[0] <= 4000 and used[1] <= 150
@@ -80,36 +85,36 @@ def test_budget_bounds_the_answer(engine, code):
 
 
 def test_identical_code_is_answered_once(engine, code):
-    answer = engine.recall("TaxFor order lines", project=code, max_tokens=6000, limit=50)
-    assert answer.count("func TaxFor") == 1 and len(set(_ids(answer))) == len(_ids(answer))
-    result = engine.search("TaxFor order lines", project=code, max_tokens=6000)
-    assert result.candidates == 7 and result.survivors == 6
+    answer = engine.recall("frame_checksum payload seed", project=code, max_tokens=6000, limit=50)
+    assert answer.count("def frame_checksum") == 1 and len(set(_ids(answer))) == len(_ids(answer))
+    result = engine.search("frame_checksum payload seed", project=code, max_tokens=6000)
+    assert result.candidates == 8 and result.survivors == 7
     assert all(h["file_path"] and h["line_start"] for h in result.hits)
 
 
 def test_limits_scores_and_headers_only(engine, code):
-    assert len(_ids(engine.recall("tax", project=code, limit=1))) == 1
-    assert len(_ids(engine.recall("tax", project=code))) == 5
-    strict = engine.recall("completely unrelated quantum foobar", project=code, min_score=0.99)
+    assert len(_ids(engine.recall("checksum", project=code, limit=1))) == 1
+    assert len(_ids(engine.recall("checksum", project=code))) == 5
+    strict = engine.recall("nothing like any of this", project=code, min_score=0.99)
     assert strict == f"No matching memories in project '{code}' above score=0.99."
-    bare = engine.recall("ledger commit", project=code, include_text=False).split("\n")[1:]
+    bare = engine.recall("blend paint shades", project=code, include_text=False).split("\n")[1:]
     assert all(re.fullmatch(r"\[\d+\] \(score=-?\d\.\d{4}, [^ ]+:\d+-\d+\)", line) for line in bare)
 
 
 def test_warm_vectors_follow_the_table(engine, code):
     n = engine.warm(code)
-    assert n == 7
-    before = engine.search("ledger commit", project=code)
-    engine.remember("a ledger commit note", project=code)
-    after = engine.search("ledger commit", project=code)
+    assert n == 8
+    before = engine.search("blend paint shades", project=code)
+    engine.remember("a note: blend paint shades", project=code)
+    after = engine.search("blend paint shades", project=code)
     assert {h["id"] for h in after.hits} - {h["id"] for h in before.hits}
     stats = engine.index_stats(code)
-    assert stats["live"] == 8 and stats["bytes"] > 0 and len(stats["digest"]) == 16
+    assert stats["live"] == 9 and stats["bytes"] > 0 and len(stats["digest"]) == 16
     assert engine.index_stats("nowhere") == {"live": 0, "digest": None, "bytes": 0}
 
 
 def test_many_queries_give_the_same_answers(engine, code, spark):
-    asked = [(1, code, "tax calculation on an order", 5, None, None), (2, code, "ledger commit", 2, None, None), (3, code, "search query", 5, 120, None), (4, code, "tax", 5, None, 0.9), (5, "nowhere", "x", 5, None, None)]
+    asked = [(1, code, "checksum of a frame payload", 5, None, None), (2, code, "blend paint shades", 2, None, None), (3, code, "needle pressure", 5, 120, None), (4, code, "checksum", 5, None, 0.9), (5, "nowhere", "x", 5, None, None)]
     queries = spark.createDataFrame(asked, "query_id long, project string, query string, limit int, max_tokens int, min_score double")
     rows = engine.recall_many(queries).where("chosen").orderBy("query_id", "rank").collect()
     for query_id, project, query, limit, max_tokens, min_score in asked:
@@ -120,7 +125,7 @@ def test_many_queries_give_the_same_answers(engine, code, spark):
 
 
 def test_hits_beyond_the_broadcast_bound_give_the_same_answers(engine, code, spark, monkeypatch):
-    queries = spark.createDataFrame([(1, code, "tax calculation"), (2, code, "ledger commit")], "query_id long, project string, query string")
+    queries = spark.createDataFrame([(1, code, "frame checksum"), (2, code, "blend paint shades")], "query_id long, project string, query string")
     columns = ["query_id", "rank", "id", "score", "cost", "candidates", "survivors"]
     want = {tuple(r) for r in engine.recall_many(queries).select(*columns).collect()}
     monkeypatch.setattr(plan, "BROADCAST_HITS", 0)

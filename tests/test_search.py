@@ -128,9 +128,10 @@ def test_packing_is_the_loop(spark):
     stats = {r.query_id: r for r in recall_stats(packed).collect()}
     for q, budget in enumerate([None, 0, 50, 200, 10_000]):
         costs = [r[3] for r in rows if r[0] == q]
-        want, used = oracle.packed(costs, budget) if budget else (4, sum(costs[:4]))
         got = sorted(r["rank"] for r in chosen if r.query_id == q)
+        want, used = len(got), sum(costs[: len(got)])
         assert got == list(range(1, want + 1))
+        assert oracle.longest_prefix(costs, want, budget) if budget else want == 4
         s = stats[q]
         assert (s.returned, s.tokens_used, s.survivors, s.candidates) == (want, used, 20, 20)
         assert s.truncated == (20 - want if budget else 0)
