@@ -102,7 +102,7 @@ def _located(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     """The windows of a block's documents that hold one of the wanted phrases."""
     import ahocorasick
 
-    names = ["h1", "h2", "row", "place", "at"]
+    names = ["h1", "h2", "row", "place", "at", "more"]
     recurring = np.sort(wanted["phrase"].to_numpy(np.int64)).view(np.uint64)
     recurring.sort()
     texts = list(_each(_texts(docs["text"])))
@@ -117,8 +117,9 @@ def _located(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         known.update(h for _, h in new)
         for a, _ in new:
             automaton.add_word(_letters(words[a : a + PHRASE]), True)
+    none = pd.DataFrame({n: np.zeros(0, dtype=object if n == "more" else np.int64) for n in names})
     if not known:
-        return pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in names})
+        return none
     automaton.make_automaton()
     rows, places, out = docs["row"].to_numpy(np.int64), docs["place"].to_numpy(np.int64), []
     for k, words in texts:
@@ -132,9 +133,17 @@ def _located(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         least = _sliding(grams, WINDOW - PHRASE + 1, np.minimum)
         at = np.flatnonzero(np.isin(least, np.unique(grams[ends - PHRASE + 1])))
         h1, h2 = gram_hashes(words, WINDOW)[at], gram_hashes(words, WINDOW, 0xD6E8FEB86659FD93)[at]
-        out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(at), rows[k]), np.full(len(at), places[k]), at))
+        # Windows that a document repeats are one row, so that no hash has more rows than documents.
+        order = np.lexsort((at, h2, h1))
+        h1, h2, at = h1[order], h2[order], at[order]
+        heads = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(at)]
+        sizes, more = np.diff(np.r_[heads, len(at)]), np.full(len(heads), None, dtype=object)
+        for j in np.flatnonzero(sizes > 1):
+            more[j] = at[heads[j] + 1 : heads[j] + sizes[j]]
+        n = len(heads)
+        out.append((h1[heads].view(np.int64), h2[heads].view(np.int64), np.full(n, rows[k]), np.full(n, places[k]), at[heads], more))
     if not out:
-        return pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in names})
+        return none
     return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*out))})
 
 
@@ -146,7 +155,10 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ``docs`` has ``row, place, text``; documents of one place do not remove each other's words.
     """
     texts = scratch.keep(docs.select("row", "place", F.md5("text").alias("digest"), F.octet_length("text").alias("size")))
+    # What is joined by a key that many rows may share is kept first: then both sides are plain
+    # exchanges, of which Spark splits the large partitions.
     first = texts.groupBy(F.col("digest").alias("d")).agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p < q")
+    first = scratch.keep(first)
     copies = scratch.keep(
         texts.join(first, F.col("digest") == F.col("d")).where("place > p").select(F.col("row").alias("copy")).distinct()
     )
@@ -154,6 +166,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     held = scratch.keep(phrases(once))
     recurring = held.groupBy(F.col("phrase").alias("p")).agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b")
+    recurring = scratch.keep(recurring)
     wanted = scratch.keep(held.join(recurring, F.col("phrase") == F.col("p")).select("phrase", "row"))
     total = texts.agg(F.sum("size")).first()[0] or 0
     block = F.pmod(F.col("row"), F.lit(total // BLOCK_BYTES + 1))
@@ -162,14 +175,16 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = wanted.select("phrase", block.alias("block")).distinct()
     windows = scratch.keep(
         chosen.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(
-            _located, "h1 long, h2 long, row long, place long, at long"
+            _located, "h1 long, h2 long, row long, place long, at long, more array<long>"
         )
     )
     least = windows.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(
         F.min("place").alias("a"), F.max("place").alias("b")
     ).where("a < b")
+    least = scratch.keep(least)
     hits = windows.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("place > a")
-    starts = hits.select("row", "at").distinct()
+    every = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
+    starts = hits.select("row", F.explode(every).alias("at")).distinct()
     # Windows that touch or overlap make one stretch.
     order = Window.partitionBy("row").orderBy("at")
     apart = (F.col("at") - F.lag("at").over(order) > WINDOW).cast("int")
