@@ -134,12 +134,12 @@ def member(data: bytes) -> bytes:
 # -- tables ---------------------------------------------------------------------
 
 
-def with_records(pages: DataFrame) -> DataFrame:
+def with_records(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """What each page's record says: ``page_id, row, url, payload, digest, size, refers_to``.
 
     Of equal payloads of REVISIT_FROM bytes or more, the smallest page_id is stored and the others
-    refer to it, without their payload. Pages are joined to first pages by digest; a payload that
-    many pages share is a key that Spark splits.
+    refer to it, without their payload. Pages are joined to first pages by digest; these are kept
+    first, so that Spark can split the key of a payload that many pages share.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     known = pages.select(
@@ -149,7 +149,7 @@ def with_records(pages: DataFrame) -> DataFrame:
     shared = known.where(F.col("size") >= REVISIT_FROM).groupBy(F.col("digest").alias("shared")).agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")
     )
-    shared = shared.where("n > 1").drop("n")
+    shared = scratch.keep(shared.where("n > 1").drop("n"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.join(shared, F.col("digest") == F.col("shared"), "left").select(
         "page_id", "row", "url", F.when(~revisit, F.col("html")).alias("payload"), "digest", "size",
@@ -263,5 +263,5 @@ def archived(pages: DataFrame, scratch: Scratch, folder: str | None = None) -> D
     responses if there is none. An empty table writes no archive and gives an empty result.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
-    archives = scratch.keep(write_archives(with_records(pages), folder))
+    archives = scratch.keep(write_archives(with_records(pages, scratch), folder))
     return read_archives(scratch.keep(normalise(archives)))

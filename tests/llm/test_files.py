@@ -196,7 +196,7 @@ def test_archives_wide_and_empty(pages, scratch):
 
 def test_normalised_archive_holds_the_same_bytes(spark, pages, scratch):
     folder = files.shared_folder(spark, "test")
-    whole = scratch.keep(warc.write_archives(warc.with_records(pages).coalesce(1), folder))
+    whole = scratch.keep(warc.write_archives(warc.with_records(pages, scratch).coalesce(1), folder))
     before = {r["file"] for r in whole.collect()}
     after = scratch.keep(warc.normalise(whole)).collect()
     for old, r in zip(sorted(before), sorted(after)):
