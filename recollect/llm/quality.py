@@ -39,6 +39,8 @@ SIZE = 100
 #: Squared distance beyond which a document is rejected: far beyond the 0.99999 quantile of
 #: chi-squared with five degrees of freedom (30.9), since the tails of real statistics are heavy.
 CUT = 150.0
+#: Files of a table of groups: few, so that their footers don't hide how small it is.
+FILES = 8
 #: Bins of the histogram of squared distances: to one e-fold, and the range of the logarithm.
 _BINS, _LOW, _HIGH = 16, -20.0, 40.0
 
@@ -222,9 +224,9 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, groups: DataFrame, scrat
         "total", F.sum("n").over(Window.partitionBy(*GROUP))
     )
     last = upto.where(F.col("upto") >= F.col("total") * KEEP).groupBy(*GROUP).agg(F.min("bin").alias("last_bin"))
-    last = scratch.keep(last)
+    last = scratch.keep(last.coalesce(FILES))
     central = _with_bin(rows, estimate).join(last, list(GROUP)).where("bin <= last_bin")
-    return scratch.keep(_pooled(_moments(central), groups))
+    return scratch.keep(_pooled(_moments(central), groups).coalesce(FILES))
 
 
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -237,8 +239,8 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = scratch.keep(measured(docs))
     sound = rows.where(~F.col("base_failed"))
-    groups = scratch.keep(rows.select(*GROUP).distinct())
-    estimate = scratch.keep(_start(sound, groups))
+    groups = scratch.keep(rows.select(*GROUP).distinct().coalesce(FILES))
+    estimate = scratch.keep(_start(sound, groups).coalesce(FILES))
     for _ in range(STEPS):
         estimate = _concentrated(sound, estimate, groups, scratch)
     judged = _with_distance(rows, estimate)
