@@ -70,9 +70,10 @@ WITH {_TURNS} SELECT id, file_path, content_hash, line_start, line_end FROM turn
 ORACLES["ingested_files"] = "SELECT DISTINCT 'conv/' || conv_id AS file_path FROM conversations"
 
 ORACLES["file_gate"] = """
-SELECT page_id, octet_length(encode(html))::BIGINT AS size, octet_length(encode(html)) > 524288 AS too_large,
-       strpos(html, chr(0)) > 0 AND octet_length(encode(split_part(html, chr(0), 1))) < 8192 AS binary
-FROM pages"""
+WITH long AS (SELECT page_id, CASE WHEN page_id % 10 = 3 THEN repeat(html, ceil(600000.0 / greatest(length(html), 1))::BIGINT) ELSE html END AS t FROM pages),
+  raw AS (SELECT page_id, CASE WHEN page_id % 7 = 2 THEN t || chr(0) ELSE t END AS t FROM long)
+SELECT page_id, octet_length(encode(t))::BIGINT AS size, octet_length(encode(t)) > 524288 AS too_large, contains(t, chr(0)) AS binary
+FROM raw"""
 
 ORACLES["path_patterns"] = r"""
 SELECT page_id, (regexp_full_match(path, '[^/]*\.example\.[^/]*/e[^/]/.*') OR contains(path, 'ththth'))
@@ -119,12 +120,10 @@ FROM (SELECT source AS project, count(*) AS count FROM documents GROUP BY source
 LEFT JOIN (SELECT 'src' || label AS project, count(*) AS indexed FROM embeddings GROUP BY label) e USING (project)"""
 
 ORACLES["index_digest"] = """
-WITH blocks AS (
-  SELECT source AS project, doc_id // 4096 AS block, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS item
-  FROM documents GROUP BY ALL)
-SELECT project, substr(CASE WHEN (SELECT max(doc_id) FROM documents) < 4096 THEN min(item)
-    ELSE sha256(string_agg(item, ',' ORDER BY block)) END, 1, 16) AS digest
-FROM blocks GROUP BY project"""
+WITH ids AS (SELECT source AS project, doc_id * 97 AS id FROM documents),
+  blocks AS (SELECT project, id // 4096 AS block, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS item FROM ids GROUP BY ALL),
+  shelves AS (SELECT project, block // 4096 AS shelf, sha256(string_agg(item, ',' ORDER BY block)) AS item FROM blocks GROUP BY ALL)
+SELECT project, substr(sha256(string_agg(item, ',' ORDER BY shelf)), 1, 16) AS digest FROM shelves GROUP BY project"""
 
 ORACLES["value_percentiles"] = """
 WITH ranked AS (
@@ -176,7 +175,8 @@ ORACLES["embed_texts"] = f"""
 WITH {_TURNS}, texts AS (
   SELECT id, file_path || ':' || line_start || '-' || line_end || ' ' || role ||
          CASE WHEN role <> 'user' THEN ' ' || role ELSE '' END || chr(10) || text AS t FROM turns)
-SELECT id, sha256(t) AS hash, sha256(substr(t, 1, 1200)) AS model_input_hash FROM texts"""
+SELECT id, sha256(t) AS hash, sha256(substr(t, 1, 1200)) AS clip_hash, ((length(t) + 299) // 300)::INTEGER AS windows,
+  sha256(array_to_string(list_transform(range(0, length(t), 300), lambda i: sha256(substr(t, i + 1, 300))), ',')) AS windows_hash FROM texts"""
 
 ORACLES["shingle_counts"] = f"SELECT doc_id, len({_grams('text')})::INTEGER AS shingles FROM documents"
 
@@ -234,23 +234,31 @@ ORACLES["knn_min_score"] = f"""{_KNN},
 SELECT query_id, id, candidates, round(s, 6) AS score FROM cut WHERE s >= 0.3"""
 
 
-def _recall(rows: str, project: str, fetch: int, min_score: str, select: str) -> str:
-    """The whole pipeline: score, cut, filter, decide duplicates in rank order, pack.
+def _recall(
+    rows: str, project: str, min_score: str, select: str, fetch: int | None = None, source: str | None = None,
+    asked: str | None = None,
+) -> str:
+    """The whole pipeline: score, keep the best of equal texts, filter, decide duplicates in rank
+    order, pack. Without ``fetch`` all rows are candidates.
 
     ``dups`` lists, per candidate, the better-ranked candidates it duplicates; ``fold``
     walks the ranks and keeps a candidate when none of those has been kept.
     """
-    source = _NOTES if rows == "notes" else _TURNS
+    source = source or (_NOTES if rows == "notes" else _TURNS)
+    asked = asked or f"SELECT item_id AS query_id, text, {project} AS project FROM benchmark"
+    cut = f"WHERE near <= {fetch}" if fetch else ""
     return f"""WITH RECURSIVE {source},
-  asked AS (SELECT item_id AS query_id, text, {project} AS project FROM benchmark),
+  asked AS ({asked}),
   {_vectors('vec', rows, 'id', 'text')},
   {_vectors('qvec', 'asked', 'query_id', 'text')},
   dots AS (SELECT a.query_id, v.id, sum(q.v::DOUBLE * v.v::DOUBLE) AS s
            FROM asked a JOIN qvec q USING (query_id) JOIN {rows} r USING (project) JOIN vec v ON v.id = r.id AND v.dim = q.dim GROUP BY ALL),
-  scored AS (SELECT a.query_id, r.id, round(coalesce(s, 0), 9) + 0.0 AS score
+  scored AS (SELECT a.query_id, r.id, r.content_hash, round(coalesce(s, 0), 9) + 0.0 AS score
              FROM asked a JOIN {rows} r USING (project) LEFT JOIN dots d ON d.query_id = a.query_id AND d.id = r.id),
-  nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS near FROM scored),
-  fetched AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates FROM nearest WHERE near <= {fetch}),
+  texts AS (SELECT query_id, id, score FROM scored
+            QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY score DESC, id) = 1),
+  nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS near FROM texts),
+  fetched AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates FROM nearest {cut}),
   cands AS MATERIALIZED (
     SELECT query_id, id, score, candidates, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn
     FROM fetched WHERE {min_score}),
@@ -286,24 +294,45 @@ def _recall(rows: str, project: str, fetch: int, min_score: str, select: str) ->
 _NOTE_PROJECT = "'src' || (item_id % 20)"
 
 ORACLES["recall_notes"] = _recall(
-    "notes", _NOTE_PROJECT, 400, "true",
+    "notes", _NOTE_PROJECT, "true",
     "SELECT query_id, rank::INTEGER AS rank, id, score, cost, running_tokens FROM packed WHERE running_tokens <= 2000",
 )
 
 ORACLES["recall_notes_stats"] = _recall(
-    "notes", _NOTE_PROJECT, 400, "true",
-    """SELECT query_id, max(candidates) AS candidates, max(survivors) AS survivors,
+    "notes", f"CASE WHEN item_id % 5 = 4 THEN 'nowhere' ELSE {_NOTE_PROJECT} END",
+    "(query_id % 5 <> 3 OR score >= 0.99)",
+    """, looked AS (SELECT query_id, max(candidates) AS candidates FROM fetched GROUP BY query_id)
+SELECT a.query_id, coalesce(max(l.candidates), 0) AS candidates, coalesce(max(survivors), 0) AS survivors,
        count(*) FILTER (running_tokens <= 2000) AS returned,
        coalesce(sum(cost) FILTER (running_tokens <= 2000), 0)::BIGINT AS tokens_used,
-       count(*) FILTER (running_tokens > 2000) AS truncated FROM packed GROUP BY query_id""",
+       count(*) FILTER (running_tokens > 2000) AS truncated
+FROM asked a LEFT JOIN looked l USING (query_id) LEFT JOIN packed p ON p.query_id = a.query_id GROUP BY a.query_id""",
 )
 
 ORACLES["recall_turns"] = _recall(
-    "turns", "'talk'", 60, "score >= 0.02",
-    "SELECT query_id, rank::INTEGER AS rank, id, score, cost FROM packed WHERE rank <= 10",
+    "turns", "'talk'", "score >= 0.02",
+    "SELECT query_id, rank::INTEGER AS rank, id, score, cost FROM packed WHERE rank <= 10", 400,
 )
 
-ORACLES["dedup_greedy"] = _recall("notes", _NOTE_PROJECT, 400, "true", "SELECT query_id, id, score FROM packed")
+ORACLES["dedup_greedy"] = _recall("notes", _NOTE_PROJECT, "true", "SELECT query_id, id, score FROM packed", 400)
+
+_FLOOD = f"""{_NOTES},
+  first AS (SELECT arg_min(text, id) AS text, arg_min(content_hash, id) AS content_hash FROM notes),
+  flood AS (SELECT * REPLACE ('all' AS project) FROM notes UNION ALL BY NAME
+            SELECT n.* REPLACE (n.id + 10000000 AS id, 'all' AS project, f.text AS text, f.content_hash AS content_hash) FROM notes n, first f)"""
+
+ORACLES["recall_copies"] = _recall(
+    "flood", "", "true", "SELECT query_id, rank::INTEGER AS rank, id, score, cost FROM packed WHERE rank <= 20", 400,
+    _FLOOD, "SELECT 0::BIGINT AS query_id, text, 'all' AS project FROM first",
+)
+
+ORACLES["recall_same_id"] = _recall(
+    "notes", "", "true",
+    """SELECT 'src' || (query_id // 1000) AS project, query_id % 1000 AS query_id, rank::INTEGER AS rank, id, score
+FROM packed WHERE rank <= 3""",
+    asked="""SELECT item_id + 1000 * p AS query_id, text, 'src' || p AS project
+           FROM benchmark, (VALUES (1::BIGINT), (2::BIGINT)) v(p) WHERE item_id < 4""",
+)
 
 ORACLES["pack_budget"] = f"""
 WITH {_NOTES}, headed AS (SELECT substr(project, 4)::BIGINT AS query_id, id, {_HEADER} || text AS line FROM notes),

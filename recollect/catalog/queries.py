@@ -14,16 +14,16 @@ from recollect.functions.vectors import decode_float32, dot, encode_float32
 from recollect.functions.embedding import embed
 from recollect.operators import aggregates, diff, listing, overlap
 from recollect.operators.dedup import greedy_dedup
-from recollect.operators.knn import ask, top_k
+from recollect.operators.knn import top_k
 from recollect.operators.numbering import first_rows, number_rows
-from recollect.operators.packing import recall_stats
+from recollect.operators.packing import pack_long, recall_stats
 from recollect.plans import recall as R
 from recollect.plans.ingest import stored_chunks
 from recollect.session import spread
 from recollect.sources import legacy
 from recollect.sources.chunker import chunk_code_files, chunk_text_files
 from recollect.sources.store import with_ranges, without_ids
-from recollect.sources.walk import MAX_FILE_BYTES, looks_binary
+from recollect.sources.walk import looks_binary
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,12 +80,15 @@ def ingested_files(spark, sf):
 
 @query
 def file_gate(spark, sf):
-    """Size cap and binary sniff over raw pages."""
-    raw = C("html").cast("binary")
+    """A size limit and the test for binary content over raw pages; every tenth page is repeated to
+    more than half a megabyte, every seventh ends in a NUL."""
+    number, html = C("page_id"), C("html")
+    long = F.when(number % 10 == 3, F.repeat(html, F.ceil(600_000 / F.greatest(F.length(html), F.lit(1))).cast("int"))).otherwise(html)
+    raw = F.when(number % 7 == 2, F.concat(long, F.lit("\0"))).otherwise(long).cast("binary")
     return V.table(spark, sf, "pages").select(
         "page_id",
         F.octet_length(raw).cast("long").alias("size"),
-        (F.octet_length(raw) > MAX_FILE_BYTES).alias("too_large"),
+        (F.octet_length(raw) > 524_288).alias("too_large"),
         looks_binary(raw).alias("binary"),
     )
 
@@ -197,7 +200,8 @@ def project_sizes(spark, sf):
 
 @query
 def index_digest(spark, sf):
-    return aggregates.id_digest(V.notes(spark, sf))
+    """Ids are spread out, so that all levels of the tree are formed."""
+    return aggregates.id_digest(V.notes(spark, sf).withColumn("id", C("id") * 97))
 
 
 @query
@@ -265,7 +269,11 @@ def normalize_newlines(spark, sf):
 @query
 def embed_texts(spark, sf):
     text = X.embed_text(C("file_path"), C("line_start"), C("line_end"), C("tags")[0], F.nullif(C("tags")[0], F.lit("user")), C("text"))
-    return V.turns(spark, sf).select("id", X.content_hash(text).alias("hash"), X.content_hash(X.clip(text, 1200)).alias("model_input_hash"))
+    windows = F.transform(X.windows(text, 300), lambda w: F.sha2(w, 256))
+    return V.turns(spark, sf).select(
+        "id", X.content_hash(text).alias("hash"), X.content_hash(X.clip(text, 1200)).alias("clip_hash"),
+        F.size(windows).alias("windows"), F.sha2(F.array_join(windows, ","), 256).alias("windows_hash"),
+    )
 
 
 @query
@@ -318,7 +326,7 @@ def knn_top_k(spark, sf):
     """The ten nearest vectors to vector 0, itself included, over one namespace."""
     everything = V.vectors(spark, sf).withColumn("project", F.lit("all"))
     asked = everything.where(C("id") == 0).select(C("id").alias("query_id"), "project", "embedding", F.lit(10).alias("fetch_k"))
-    return top_k(everything, ask(asked)).select("rank", "id", F.round("score", 6).alias("score"))
+    return top_k(everything, asked).select("rank", "id", F.round("score", 6).alias("score"))
 
 
 def _every_vector(spark, sf, k: int) -> DataFrame:
@@ -329,14 +337,14 @@ def _every_vector(spark, sf, k: int) -> DataFrame:
 @query
 def knn_per_project(spark, sf):
     """For every vector its five nearest within its project."""
-    found = top_k(spread(V.vectors(spark, sf), "id"), ask(_every_vector(spark, sf, 5)))
+    found = top_k(spread(V.vectors(spark, sf), "id"), _every_vector(spark, sf, 5))
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query
 def knn_min_score(spark, sf):
     """As above, twelve nearest, then only scores from 0.3 on; candidates counted before."""
-    found = top_k(spread(V.vectors(spark, sf), "id"), ask(_every_vector(spark, sf, 12)))
+    found = top_k(spread(V.vectors(spark, sf), "id"), _every_vector(spark, sf, 12))
     return found.where(C("score") >= 0.3).select("query_id", "id", "candidates", F.round("score", 6).alias("score"))
 
 
@@ -362,7 +370,35 @@ def recall_notes(spark, sf):
 
 @query
 def recall_notes_stats(spark, sf):
-    return recall_stats(_note_recall(spark, sf, max_tokens=2000))
+    """A row for every query, also where nothing scores enough or the project does not exist."""
+    asked = V.questions(spark, sf)
+    number = C("query_id")
+    project = F.when(number % 5 == 4, "nowhere").otherwise(F.concat(F.lit("src"), (number % 20).cast("string")))
+    score = F.when(number % 5 == 3, 0.99).otherwise(-1.0)
+    asked = asked.withColumns({"project": project, "min_score": score, "max_tokens": F.lit(2000)})
+    answer = R.recall_all(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
+    return recall_stats(answer.hits, answer.queries).drop("project")
+
+
+@query
+def recall_copies(spark, sf):
+    """One text has more copies than the first round fetches; twenty different texts are asked for."""
+    notes = V.notes(spark, sf, True).withColumn("project", F.lit("all"))
+    first = notes.select(F.min_by("text", "id").alias("text"), F.min_by("content_hash", "id").alias("content_hash"))
+    copies = notes.drop("text", "content_hash").withColumn("id", C("id") + 10_000_000).join(F.broadcast(first))
+    memories = V.embedded(notes.unionByName(copies))
+    asked = first.select(F.lit(0).alias("query_id"), F.lit("all").alias("project"), C("text").alias("query"), F.lit(20).alias("limit"))
+    return R.recall(memories, asked, V.EMBEDDER).where("chosen").select("query_id", "rank", "id", "score", "cost")
+
+
+@query
+def recall_same_id(spark, sf):
+    """One query_id in two projects: two questions."""
+    asked = V.questions(spark, sf).where(C("query_id") < 4)
+    both = F.explode(F.array(F.lit("src1"), F.lit("src2")))
+    asked = asked.withColumns({"project": both, "limit": F.lit(3)})
+    answer = R.recall(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
+    return answer.where("chosen").select("project", "query_id", "rank", "id", "score")
 
 
 @query
@@ -373,7 +409,7 @@ def recall_turns(spark, sf):
 
 @query
 def dedup_greedy(spark, sf):
-    """Survivors among the 400 best notes of each query."""
+    """Survivors among the notes that are fetched first for each query, 400 texts."""
     asked = V.questions(spark, sf).withColumn("project", F.concat(F.lit("src"), (C("query_id") % 20).cast("string")))
     asked = R.plan_queries(asked.withColumn("max_tokens", F.lit(1)), V.EMBEDDER)
     scored = R.candidates(V.embedded(V.notes(spark, sf, True)), asked)
@@ -385,6 +421,7 @@ def pack_budget(spark, sf):
     """Notes of each project in id order, packed into 5,000 tokens."""
     cost = X.hit_cost(*[C(c) for c in ["id", "kind", "file_path", "line_start", "line_end", "text"]])
     ranked = V.notes(spark, sf, True).select(
+        "project",
         F.substring("project", 4, 9).cast("long").alias("query_id"),
         "id",
         F.lit(0.0).alias("score"),
@@ -392,7 +429,7 @@ def pack_budget(spark, sf):
         F.lit(5).alias("limit"),
         F.lit(5000).cast("long").alias("max_tokens"),
     )
-    return R.pack(ranked).where("chosen").select("query_id", "rank", "id", "cost", "running_tokens")
+    return pack_long(ranked).where("chosen").select("query_id", "rank", "id", "cost", "running_tokens")
 
 
 # -- ingestion --------------------------------------------------------------------

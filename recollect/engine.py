@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,7 +24,6 @@ from recollect.schema import DEFAULT_PROJECT, KIND_CODE, KIND_MANUAL, USER_COLUM
 from recollect.session import prepare
 from recollect.sources.chunker import ChunkOptions
 from recollect.sources.store import MemoryStore
-from recollect.sources.walk import MAX_FILE_BYTES
 
 _SPACES = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), SPACE)
 # The argument ranges of the operations.
@@ -59,6 +59,8 @@ class RecallResult:
     survivors: int = 0
     tokens_used: int = 0
     truncated: int = 0
+    embed_ms: int = 0
+    search_ms: int = 0
 
 
 class Engine:
@@ -77,7 +79,7 @@ class Engine:
         """
         name = project_name(project)
         self.cool(name)
-        vectors = self.store.rows(name).select("project", "id", "embedding").persist()
+        vectors = self.store.rows(name).select("project", "id", "embedding", "content_hash").persist()
         self._warm[name] = (self.store.folders(name), vectors)
         return vectors.count()
 
@@ -111,25 +113,39 @@ class Engine:
         max_tokens: int | None = None,
         min_score: float | None = None,
     ) -> RecallResult:
-        """One query. Scores come first; texts are then read for at most 400 ids,
-        which reach the Parquet scan as a filter."""
+        """One query. Scores come first; texts are then read for the ids found alone, which reach
+        the Parquet scan as a filter. Rounds as in ``recall_many``."""
         if not query:
             raise ValueError("query is empty")
         _checked("limit", limit), _checked("max_tokens", max_tokens), _checked("min_score", min_score)
         name, wanted = project_name(project), limit or plan.DEFAULT_LIMIT
+        started = time.monotonic()
         vector = self.embedder.encode([query])[0]
-        found = nearest(self._vectors(name), name, vector, fetch_count(wanted, max_tokens is not None))
-        scored = [(id, score) for id, score in found if min_score is None or score >= min_score]
+        embedded = time.monotonic()
+        fetch = fetch_count(wanted, max_tokens is not None)
+        while True:
+            found = nearest(self._vectors(name), name, vector, fetch)
+            scored = [(id, score) for id, score in found if min_score is None or score >= min_score]
+            result = self._answer(name, scored, len(found), wanted, max_tokens)
+            full = result.truncated > 0 if max_tokens is not None else result.survivors >= wanted
+            if full or len(found) < fetch or len(scored) < len(found):
+                break
+            fetch *= plan.GROWTH
+        result.embed_ms = round(1000 * (embedded - started))
+        result.search_ms = round(1000 * (time.monotonic() - embedded))
+        return result
+
+    def _answer(self, name: str, scored: list[tuple[int, float]], candidates: int, wanted: int, max_tokens: int | None) -> RecallResult:
         if not scored:
-            return RecallResult(candidates=len(found))
+            return RecallResult(candidates=candidates)
         ids, scores = zip(*scored)
         hits = self.spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())}))
         rows = self.store.rows(name).where(F.col("id").isin(list(ids))).select(*USER_COLUMNS)
-        asked = {"query_id": F.lit(0), "limit": F.lit(wanted), "max_tokens": F.lit(max_tokens).cast("long"), "candidates": F.lit(len(found))}
+        asked = {"query_id": F.lit(0), "limit": F.lit(wanted), "max_tokens": F.lit(max_tokens).cast("long"), "candidates": F.lit(candidates)}
         # One query is one group: a single exchange brings its rows together.
-        scored = rows.join(F.broadcast(hits), "id").withColumns(asked).repartition(1)
-        packed = plan.survivors(plan.weigh(scored)).collect()
-        result = RecallResult(candidates=len(found), survivors=len(packed))
+        found = rows.join(F.broadcast(hits), "id").withColumns(asked).repartition(1)
+        packed = plan.survivors(plan.weigh(found)).collect()
+        result = RecallResult(candidates=candidates, survivors=len(packed))
         result.hits = [r.asDict() for r in sorted(packed, key=lambda r: r["rank"]) if r.chosen]
         result.tokens_used = sum(h["cost"] for h in result.hits)
         result.truncated = len(packed) - len(result.hits) if max_tokens is not None else 0
@@ -154,13 +170,21 @@ class Engine:
         header = recall_header(name, len(result.hits), result.tokens_used, max_tokens, result.survivors)
         return "\n".join([header, *(hit_line(h, include_text) for h in result.hits)])
 
+    def _asked_rows(self, queries: DataFrame) -> DataFrame:
+        """The rows of the asked projects; no other project's folders are opened."""
+        known = self.store.projects()
+        asked = queries.select("project").distinct().where(F.col("project").isin(known)).collect() if known else []
+        return self.store.rows_of(sorted(r.project for r in asked))
+
     def recall_many(self, queries: DataFrame) -> DataFrame:
         """Many queries as one job: ``query_id, project, query`` and optionally ``limit,
         max_tokens, min_score``. All survivors; the answer is ``where(chosen)``."""
-        return plan.recall(self.store.all_rows(), queries, self.embedder)
+        return plan.recall(self._asked_rows(queries), queries, self.embedder)
 
     def recall_many_stats(self, queries: DataFrame) -> DataFrame:
-        return recall_stats(self.recall_many(queries))
+        """A row for every query, also for one that finds nothing."""
+        answer = plan.recall_all(self._asked_rows(queries), queries, self.embedder)
+        return recall_stats(answer.hits, answer.queries)
 
     def forget(self, id: int, project: str | None = None) -> str:
         _checked("id", id)
@@ -210,7 +234,7 @@ class Engine:
             include=split_patterns(include),
             exclude=split_patterns(exclude),
             respect_gitignore=respect_gitignore,
-            max_file_bytes=max_file_bytes or MAX_FILE_BYTES,
+            max_file_bytes=max_file_bytes,
             max_files=max_files,
             options=ChunkOptions.of(window=chunk_lines, overlap=chunk_overlap),
             dry_run=dry_run,
@@ -219,10 +243,11 @@ class Engine:
         return json.dumps(summary, indent=2)
 
     def list_projects(self) -> str:
-        counts = aggregates.project_counts(self.store.all_rows()).collect()
+        vectors = F.count_if(F.size("embedding") > 0).alias("indexed")
+        counts = self.store.all_rows().groupBy("project").agg(F.count("*").alias("n"), vectors).orderBy("project").collect()
         if not counts:
             return "No memories stored in any project yet."
-        return "\n".join(f"{r.project}: {r['count']} memories ({r['count']} indexed)" for r in counts)
+        return "\n".join(f"{r.project}: {r.n} memories ({r.indexed} indexed)" for r in counts)
 
     def index_stats(self, project: str | None = None) -> dict:
         """Searchable rows, their fingerprint, and the bytes of the project's folders."""

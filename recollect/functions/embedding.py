@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from recollect.functions.vectors import matrix_list
 from recollect.schema import EMBEDDING_DIM, VECTOR
 
-# Input bound of the sentence model in UTF-16 units, and its batch size.
+# Window of the sentence model's input in characters, and its batch size.
 MODEL_INPUT_UNITS = 1200
 MODEL_BATCH = 32
 
@@ -84,12 +84,16 @@ class OnnxEmbedder:
     max_units: int = MODEL_INPUT_UNITS
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        """Whole texts: windows of ``max_units`` characters, cut again at the model's 512 tokens,
+        pooled over all their tokens."""
         tokenizer, session = _load_model(self.folder, self.model_file)
         wanted = {i.name for i in session.get_inputs()}
-        clipped = [clip_units(t, self.max_units) for t in texts]
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for rows in length_batches(clipped, self.batch_size):
-            encoded = tokenizer.encode_batch([clipped[i] for i in rows])
+        parts = [(k, w) for k, t in enumerate(texts) for w in text_windows(t, self.max_units)]
+        sums, weights = np.zeros((len(texts), self.dim), dtype=np.float64), np.zeros(len(texts), dtype=np.int64)
+        for rows in length_batches([w for _, w in parts], self.batch_size):
+            encoded = tokenizer.encode_batch([parts[i][1] for i in rows])
+            owners = np.array([parts[i][0] for i, e in zip(rows, encoded) for _ in range(1 + len(e.overflowing))])
+            encoded = [piece for e in encoded for piece in (e, *e.overflowing)]
             mask = np.array([e.attention_mask for e in encoded], dtype=np.int64)
             feed = {
                 "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
@@ -97,12 +101,18 @@ class OnnxEmbedder:
                 "token_type_ids": np.zeros_like(mask),
             }
             hidden = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-            out[rows] = mean_pool(hidden, mask)
-        return out
+            np.add.at(sums, owners, (hidden * mask[:, :, None]).sum(axis=1, dtype=np.float64))
+            np.add.at(weights, owners, mask.sum(axis=1))
+        return unit_rows(sums / np.maximum(weights, 1)[:, None])
 
 
-def clip_units(text: str, units: int) -> str:
-    return text.encode("utf-16-le", "surrogatepass")[: 2 * units].decode("utf-16-le", "ignore")
+def text_windows(text: str, size: int) -> list[str]:
+    """``text`` in consecutive pieces of ``size`` characters; an empty text is one empty piece."""
+    return [text[k : k + size] for k in range(0, max(len(text), 1), size)]
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def length_batches(texts: list[str], size: int) -> Iterator[list[int]]:
@@ -112,12 +122,6 @@ def length_batches(texts: list[str], size: int) -> Iterator[list[int]]:
         yield order[at : at + max(1, size)]
 
 
-def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    weights = mask[:, :, None].astype(np.float32)
-    pooled = (hidden * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1e-9)
-    return pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
-
-
 @lru_cache(maxsize=2)
 def _load_model(folder: str, model_file: str):
     import onnxruntime

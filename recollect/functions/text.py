@@ -141,6 +141,12 @@ def embed_text(path: Column, start: Column, end: Column, kind: Column, unit: Col
     )
 
 
+def windows(text: Column, size: int) -> Column:
+    """``text`` in consecutive pieces of ``size`` characters, as the model embeds them."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
+
+
 def clip(text: Column, units: int) -> Column:
     """The first ``units`` UTF-16 units, as a model with a bounded input sees it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.operators.numbering import number_rows
+from recollect.operators.numbering import running_total
 
 #: Ids digested together; also how many digests the next level takes in.
 DIGEST_BLOCK = 4096
@@ -25,30 +25,29 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
 def id_digest(rows: DataFrame) -> DataFrame:
     """One fingerprint per project of its set of ids.
 
-    A digest of digests: ids are hashed in blocks of neighbouring ids, and blocks
-    again until one is left, so no task sees more than a block at once.
+    A tree of three levels, whatever the ids: digests of blocks of neighbouring ids, of blocks of
+    blocks, and of these. A project's fingerprint depends on its own ids alone.
     """
-    largest = rows.agg(F.max("id")).first()[0] or 0
     level = rows.select("project", F.col("id").alias("at"), F.col("id").cast("string").alias("item"))
-    while True:
-        grouped = level.groupBy("project", F.floor(F.col("at") / DIGEST_BLOCK).alias("at"))
+    for block in (F.floor(F.col("at") / DIGEST_BLOCK), F.floor(F.col("at") / DIGEST_BLOCK), F.lit(0)):
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda s: s["item"])
-        level = grouped.agg(F.sha2(F.array_join(ordered, ","), 256).alias("item"))
-        largest //= DIGEST_BLOCK
-        if largest == 0:
-            return level.select("project", F.substring("item", 1, 16).alias("digest"))
+        level = level.groupBy("project", block.alias("block")).agg(F.sha2(F.array_join(ordered, ","), 256).alias("item"))
+        level = level.withColumnRenamed("block", "at")
+    return level.select("project", F.substring("item", 1, 16).alias("digest"))
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
     """``key, percent, value``: the value at rank ``ceil(percent / 100 * n)`` of each key.
 
-    Rows are ranked along one global order, so that even a key holding most rows is
-    spread over the cluster.
+    Equal values are counted first. The counts are summed up along one global order of keys and
+    values, so that neither a key with most of the rows nor a value does gather in one task.
     """
-    present = rows.select(key, value).where(F.col(value).isNotNull())
-    numbered, _ = number_rows(present, [F.col(key), F.col(value)], "_at")
-    groups = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    counts = rows.select(key, value).where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    summed = running_total(counts, [F.col(key), F.col(value)], "_n", "_to")
+    groups = summed.groupBy(F.col(key).alias("_key")).agg(F.min(F.col("_to") - F.col("_n")).alias("_from"), F.sum("_n").alias("_all"))
     wanted = groups.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    rank = F.greatest(F.ceil(F.col("percent") * F.col("_n") / 100), F.lit(1))
-    targets = wanted.select(F.col("percent"), (F.col("_from") + rank - 1).alias("_at"))
-    return numbered.join(targets, "_at").select(key, "percent", value)
+    rank = F.greatest(F.ceil(F.col("percent") * F.col("_all") / 100), F.lit(1))
+    at = F.col("_from") + rank
+    inside = (F.col("_to") - F.col("_n") < at) & (at <= F.col("_to"))
+    joined = summed.join(wanted, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.where(inside).select(key, "percent", value)

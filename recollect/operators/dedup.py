@@ -2,8 +2,8 @@
 
 A candidate is dropped when a better, kept one has the same content hash,
 overlaps its lines in the same file, or shares enough word shingles. Which rows
-survive depends on the order of decisions, so each query's list, bounded by the
-over-fetch ceiling, is one group; the queries are spread over the cluster.
+survive depends on the order of decisions, so each query's list, bounded by what is
+fetched for it, is one group; the queries are spread over the cluster.
 """
 
 from __future__ import annotations
@@ -88,11 +88,11 @@ def _survivors(similarity: float):
 
 
 def greedy_dedup(candidates: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The surviving rows of ``candidates``, which needs ``query_id, id, score, content_hash,
+    """The surviving rows of ``candidates``, which needs ``project, query_id, id, score, content_hash,
     file_path, line_start, line_end`` and keeps every other column. ``grams`` (the texts'
     ``shingle_hashes``) is used up; it is formed from ``text`` where it is missing.
     """
     if "grams" not in candidates.columns:
         candidates = candidates.withColumn("grams", shingle_hashes(F.col("text")))
     kept = [f for f in candidates.schema if f.name != "grams"]
-    return candidates.groupBy("query_id").applyInArrow(_survivors(similarity), StructType(kept))
+    return candidates.groupBy("project", "query_id").applyInArrow(_survivors(similarity), StructType(kept))

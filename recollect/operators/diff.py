@@ -2,62 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import broadcast_if_small
+
 UNCHANGED, MOVED, CREATED, STALE = "unchanged", "moved", "created", "stale"
 
 
 def classify(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row per new or stored chunk with its ``status``.
+    """One row per new or stored chunk with its ``status``; no texts.
 
-    ``chunks``: ``rel_path, ordinal, content, content_hash, start_line, end_line,
-    unit, unit_kind, lang``. ``stored``: ``id, file_path, content_hash, line_start,
-    line_end``. Equal texts within a file are paired one to one, in order; what is
-    left over on either side is created or stale. Both lists are bounded by one file.
+    ``chunks``: ``rel_path, ordinal, content_hash, start_line, end_line, unit, unit_kind, lang``.
+    ``stored``: ``id, file_path, content_hash, line_start, line_end``. Equal texts within a
+    file are paired one to one, in order; what is left over on either side is created or
+    stale. Texts are only compared by hash and never exchanged.
     """
-    fresh = chunks.groupBy("rel_path", "content_hash").agg(
-        F.sort_array(
-            F.collect_list(F.struct("ordinal", "start_line", "end_line", "unit", "unit_kind", "lang", "content"))
-        ).alias("fresh")
-    )
-    known = stored.groupBy(F.col("file_path").alias("rel_path"), "content_hash").agg(
-        F.sort_array(F.collect_list(F.struct("id", "line_start", "line_end"))).alias("known")
-    )
-    nothing_new = F.array().cast(fresh.schema["fresh"].dataType)
-    nothing_known = F.array().cast(known.schema["known"].dataType)
-    both = fresh.join(known, ["rel_path", "content_hash"], "full_outer").select(
-        "rel_path",
-        "content_hash",
-        F.explode_outer(
-            F.arrays_zip(
-                F.coalesce("fresh", nothing_new).alias("fresh"), F.coalesce("known", nothing_known).alias("known")
-            )
-        ).alias("pair"),
-    )
-    new, old = F.col("pair.fresh"), F.col("pair.known")
-    same_place = (new["start_line"] == old["line_start"]) & (new["end_line"] == old["line_end"])
+    place = Window.partitionBy("rel_path", "content_hash")
+    fresh = chunks.select(
+        "rel_path", "content_hash", "ordinal", "start_line", "end_line", "unit", "unit_kind", "lang"
+    ).withColumn("n", F.row_number().over(place.orderBy("ordinal")))
+    known = stored.select(
+        F.col("file_path").alias("rel_path"), "content_hash", "id", "line_start", "line_end"
+    ).withColumn("n", F.row_number().over(place.orderBy("id")))
+    both = fresh.join(known, ["rel_path", "content_hash", "n"], "full_outer")
+    same_place = (F.col("start_line") == F.col("line_start")) & (F.col("end_line") == F.col("line_end"))
     status = (
-        F.when(old.isNull(), CREATED)
-        .when(new.isNull(), STALE)
+        F.when(F.col("id").isNull(), CREATED)
+        .when(F.col("ordinal").isNull(), STALE)
         .when(F.coalesce(same_place, F.lit(False)), UNCHANGED)
         .otherwise(MOVED)
     )
     return both.select(
-        "rel_path",
-        "content_hash",
-        status.alias("status"),
-        old["id"].alias("id"),
-        new["ordinal"].alias("ordinal"),
-        new["start_line"].alias("start_line"),
-        new["end_line"].alias("end_line"),
-        new["unit"].alias("unit"),
-        new["unit_kind"].alias("unit_kind"),
-        new["lang"].alias("lang"),
-        F.when(status == CREATED, new["content"]).alias("content"),
+        "rel_path", "content_hash", status.alias("status"), "id", "ordinal", "start_line", "end_line", "unit", "unit_kind", "lang"
     )
 
 
+def with_texts(created: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``created`` rows with their ``content`` from ``chunks``; no other text is looked at again."""
+    wanted = broadcast_if_small(created)
+    return chunks.select("rel_path", "ordinal", "content").join(wanted, ["rel_path", "ordinal"])
+
+
 def file_changes(diff: DataFrame) -> DataFrame:
     """Per file: chunk counts by status and whether the file was seen in this run."""
 

@@ -1,128 +1,126 @@
 """Exact nearest neighbours by cosine score, per project and per query.
 
-The query side goes to every task as one matrix, but only in slices of a fixed
-maximum size. Each task reads ``(project, id, embedding)`` batches, multiplies,
-and keeps just its best k per query, so the shuffle carries k rows per query and
-task rather than one row per comparison. The final cut is a window.
+A query is named by project and ``query_id``. Few queries go to every task as matrices; more are
+dealt into blocks and meet blocks of vectors through a shuffle, so that neither side passes through
+the driver. Either way a task multiplies and keeps its best k rows of each query, and what is
+shuffled after that is k rows per query and task, merged in lanes.
+
+Where rows have a ``content_hash``, rows with equal texts count once: the best of them stands for
+all, as de-duplication would keep no other. Copies so never crowd out other texts.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
-from functools import reduce
-from typing import Callable, Iterator
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.functions.vectors import list_matrix
-from recollect.session import Scratch, estimated_bytes
 
-# Over-fetch sizing.
-FETCH_CEILING = 400
+# How many rows are fetched first.
+FETCH_BUDGETED = 400
 FETCH_PER_RESULT = 6
 FETCH_FLOOR = 12
 
-#: Queries broadcast together: at 384 doubles each, 12 MiB at most.
-QUERIES_PER_SLICE = 4096
+#: Queries that go to every task: at 384 doubles each, 12 MiB at most. More meet the vectors in
+#: blocks of so many queries and about so many vectors.
+BROADCAST_QUERIES = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 20_000
 #: Scores are compared at this many decimals, so that neither the batch
 #: boundaries nor the summation order can change a ranking.
 SCORE_DECIMALS = 9
+#: Vectors multiplied at once.
+_AT_ONCE = 1000
 
-#: Above this size of vectors there are hundreds of tasks, and their finds are merged in
-#: this many lanes before the final merge.
-LANES_FROM_BYTES = 64 << 30
-LANES = 64
-
-HITS = "query_id long, project string, fetch_k int, id long, score double"
+KEYS = ["project", "query_id"]
+HITS = "query_id long, project string, fetch_k int, id long, text_key long, score double"
+_NAMES = [c.split()[0] for c in HITS.split(", ")]
 
 
 def fetch_count(limit: int, budgeted: bool) -> int:
-    """How many neighbours to look at before dedup and packing throw some away."""
-    return FETCH_CEILING if budgeted else min(FETCH_CEILING, max(FETCH_PER_RESULT * limit, FETCH_FLOOR))
+    """How many rows to look at first, as dedup and packing throw some away. If that leaves a
+    question unanswered, more are fetched."""
+    return FETCH_BUDGETED if budgeted else min(FETCH_BUDGETED, max(FETCH_PER_RESULT * limit, FETCH_FLOOR))
 
 
 @dataclass
 class _Best:
-    """The best rows of one query seen so far in one task."""
+    """The best rows of one query seen so far in one task, one for each text."""
 
     k: int
     scores: np.ndarray = field(default_factory=lambda: np.empty(0))
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, scores: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
         if len(self.ids) == self.k:
             fits = scores >= self.scores[-1]
-            scores, ids = scores[fits], ids[fits]
+            scores, ids, keys = scores[fits], ids[fits], keys[fits]
             if not len(ids):
                 return
-        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        if len(ids) > self.k:
-            bar = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            fits = scores >= bar
-            scores, ids = scores[fits], ids[fits]
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.scores, self.ids = scores[order], ids[order]
-
-
-def _task_top_k(queries):
-    """The per-task step; ``queries`` is a broadcast {project: (ids, ks, matrix)}."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = queries.value
-        best: dict[str, list[_Best]] = {}
-        for batch in batches:
-            projects = batch.column("project")
-            for project in pc.unique(projects).to_pylist():
-                if project not in wanted:
-                    continue
-                rows = batch.filter(pc.equal(projects, project))
-                _, ks, matrix = wanted[project]
-                vectors = list_matrix(rows.column("embedding"))
-                if vectors.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"embedding dimension mismatch: {vectors.shape[1]} vs {matrix.shape[1]}")
-                scores = np.round(vectors.astype(np.float64) @ matrix.T, SCORE_DECIMALS) + 0.0
-                ids = rows.column("id").to_numpy(zero_copy_only=False)
-                for keep, column in zip(best.setdefault(project, [_Best(k) for k in ks]), scores.T):
-                    keep.offer(column, ids)
-        for project, kept in best.items():
-            query_ids, ks, _ = wanted[project]
-            sizes = [len(b.ids) for b in kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, sizes), type=pa.int64()),
-                    pa.array([project] * sum(sizes), type=pa.string()),
-                    pa.array(np.repeat(ks, sizes), type=pa.int32()),
-                    pa.array(np.concatenate([b.ids for b in kept]), type=pa.int64()),
-                    pa.array(np.concatenate([b.scores for b in kept]), type=pa.float64()),
-                ],
-                names=["query_id", "project", "fetch_k", "id", "score"],
-            )
-
-    return run
-
-
-@dataclass
-class Asked:
-    """Queries ready to be searched for: slices of bounded size that load as {project:
-    (ids, ks, matrix)}, and their parameters as a DataFrame. ``projects`` is known when
-    there is one slice."""
-
-    n: int
-    slices: list[Callable[[], dict]]
-    parameters: DataFrame
-    projects: list[str] | None = None
+        scores, ids, keys = (np.concatenate(p) for p in ((self.scores, scores), (self.ids, ids), (self.keys, keys)))
+        # Copies take places, so look at more than k until k texts are among them.
+        look = self.k
+        while True:
+            chosen = np.arange(len(ids))
+            if look < len(ids):
+                chosen = np.flatnonzero(scores >= np.partition(scores, len(scores) - look)[len(scores) - look])
+            order = chosen[np.lexsort((ids[chosen], -scores[chosen]))]
+            _, first = np.unique(keys[order], return_index=True)
+            if len(first) >= self.k or look >= len(ids):
+                break
+            look *= 4
+        order = order[np.sort(first)[: self.k]]
+        self.scores, self.ids, self.keys = scores[order], ids[order], keys[order]
+
+
+def _multiply(best: list[_Best], matrix: np.ndarray, vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
+    if vectors.shape[1] != matrix.shape[1]:
+        raise ValueError(f"embedding dimension mismatch: {vectors.shape[1]} vs {matrix.shape[1]}")
+    for a in range(0, len(ids), _AT_ONCE):
+        some = slice(a, a + _AT_ONCE)
+        scores = np.round(vectors[some].astype(np.float64) @ matrix.T, SCORE_DECIMALS) + 0.0
+        for keep, column in zip(best, scores.T):
+            keep.offer(column, ids[some], keys[some])
+
+
+def _hits(project: str, query_ids: np.ndarray, best: list[_Best]) -> pa.RecordBatch:
+    sizes = [len(b.ids) for b in best]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat(query_ids, sizes), type=pa.int64()),
+            pa.array([project] * sum(sizes), type=pa.string()),
+            pa.array(np.repeat([b.k for b in best], sizes), type=pa.int32()),
+            pa.array(np.concatenate([b.ids for b in best] or [np.empty(0)]), type=pa.int64()),
+            pa.array(np.concatenate([b.keys for b in best] or [np.empty(0)]), type=pa.int64()),
+            pa.array(np.concatenate([b.scores for b in best] or [np.empty(0)]), type=pa.float64()),
+        ],
+        names=_NAMES,
+    )
+
+
+def _narrow(vectors: DataFrame) -> DataFrame:
+    """Ids and vectors, and a key that rows of equal text share."""
+    own = F.xxhash64(F.lit("id"), F.col("id"))
+    key = own
+    if "content_hash" in vectors.columns:
+        key = F.when(F.coalesce("content_hash", F.lit("")) == "", own).otherwise(F.xxhash64("content_hash"))
+    return vectors.select("project", "id", key.alias("text_key"), "embedding")
+
+
+# -- few queries: one matrix for each project in every task -------------------------
 
 
 def _matrices(rows: list) -> dict:
     groups: dict[str, list] = {}
     for row in rows:
-        if row.fetch_k > 0:
-            groups.setdefault(row.project, []).append(row)
+        groups.setdefault(row.project, []).append(row)
     return {
         project: (
             np.array([r.query_id for r in group], dtype=np.int64),
@@ -133,75 +131,105 @@ def _matrices(rows: list) -> dict:
     }
 
 
-def ask(queries: DataFrame, *parameters: str) -> Asked:
-    """``queries(query_id, project, embedding, fetch_k, *parameters)`` in slices. One slice is
-    brought to the driver at once; of more, each only when it is searched for."""
-    spark = queries.sparkSession
-    columns = ["query_id", "project", "embedding", "fetch_k", *parameters]
-    asked = queries.select(*columns)
-    head = asked.limit(QUERIES_PER_SLICE + 1).collect()
-    named = queries.select("query_id", *parameters)
-    if len(head) <= QUERIES_PER_SLICE:
-        table = pa.table({f.name: pa.array([r[f.name] for r in head], to_arrow_type(f.dataType)) for f in named.schema})
-        matrices = _matrices(head)
-        return Asked(len(head), [lambda: matrices], spark.createDataFrame(table), sorted(matrices))
-    # Twice the slices needed on average: each stays under the bound in practice,
-    # and one that does not is only a larger broadcast.
-    n = queries.count()
-    many = 2 * -(-n // QUERIES_PER_SLICE)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(many))
-    return Asked(n, [lambda i=i: _matrices(asked.where(slot == i).collect()) for i in range(many)], named)
-
-
 def search(vectors: DataFrame, asked: dict) -> DataFrame:
     """Each task's best rows for ``asked``: {project: (query ids, ks, query matrix)}."""
     shared = vectors.sparkSession.sparkContext.broadcast(asked)
-    pruned = vectors.select("project", "id", "embedding").where(F.col("project").isin(sorted(asked)))
-    return pruned.mapInArrow(_task_top_k(shared), HITS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, best = shared.value, {}
+        for batch in batches:
+            projects = batch.column("project")
+            for project in pc.unique(projects).to_pylist():
+                if project not in wanted:
+                    continue
+                rows = batch.filter(pc.equal(projects, project))
+                _, ks, matrix = wanted[project]
+                ids, keys = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_key"))
+                _multiply(best.setdefault(project, [_Best(k) for k in ks]), matrix, list_matrix(rows.column("embedding")), ids, keys)
+        for project, kept in best.items():
+            yield _hits(project, wanted[project][0], kept)
 
-def _best(found: DataFrame, max_k: int, *keys: str) -> DataFrame:
-    best_first = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
-    ranked = found.withColumn("rank", F.row_number().over(best_first))
-    return ranked.where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("fetch_k")))
+    return _narrow(vectors.where(F.col("project").isin(sorted(asked)))).mapInArrow(run, HITS)
 
 
-def _merged(found: DataFrame, max_k: int, many_tasks: bool) -> DataFrame:
-    """The best of what the tasks found. With many tasks there are k rows per task and
-    query to merge, so lanes of tasks are merged first."""
-    if many_tasks:
-        found = found.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
-        found = _best(found, max_k, "query_id", "lane").drop("rank", "lane")
-    return _best(found, max_k, "query_id")
+# -- many queries: blocks of queries and blocks of vectors -------------------------------
 
 
-def _many_tasks(vectors: DataFrame) -> bool:
-    return estimated_bytes(vectors.select("id", "embedding")) > LANES_FROM_BYTES
+def _block_best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+    queries, vectors = queries.combine_chunks(), vectors.combine_chunks()
+    best = [_Best(k) for k in queries["fetch_k"].to_pylist()]
+    if queries.num_rows and vectors.num_rows:
+        matrix = list_matrix(queries["query_vector"]).astype(np.float64)
+        _multiply(best, matrix, list_matrix(vectors["embedding"]), vectors["id"].to_numpy(), vectors["text_key"].to_numpy())
+    project = queries["asked_project"][0].as_py() if queries.num_rows else ""
+    return pa.Table.from_batches([_hits(project, queries["query_id"].to_numpy(), best)])
 
 
-def top_k(vectors: DataFrame, asked: Asked, max_k: int = FETCH_CEILING) -> DataFrame:
-    """The ``fetch_k`` best rows per query, within the query's project.
+def block_search(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """The best rows of each block of vectors for each block of queries of the same project.
 
-    ``vectors`` has ``project, id, embedding``; ``fetch_k`` is at most ``max_k``. Ties go
-    to the lower id. The result adds ``rank`` and ``candidates`` (rows found for the query).
+    Blocks are dealt by hash; a project has as many as its rows fill, so that no group grows.
+    """
+    ceiling = lambda size: F.ceil(F.count("*") / size).cast("int")
+    n_queries = asked.groupBy("project").agg(ceiling(QUERY_BLOCK).alias("query_blocks"))
+    n_vectors = vectors.groupBy("project").agg(ceiling(VECTOR_BLOCK).alias("vector_blocks"))
+    blocks = n_queries.join(n_vectors, "project")
+    block = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    # Renamed: both sides may come from one table.
+    left = asked.join(blocks, "project").select(
+        F.col("project").alias("asked_project"), "query_id", "fetch_k", F.col("embedding").alias("query_vector"),
+        block("query_id", "query_blocks").alias("asked_q"), every("vector_blocks").alias("asked_v"),
+    )
+    right = _narrow(vectors).join(blocks, "project").select(
+        "project", "id", "text_key", "embedding", block("id", "vector_blocks").alias("v"), every("query_blocks").alias("q")
+    )
+    pairs = left.groupBy("asked_project", "asked_q", "asked_v").cogroup(right.groupBy("project", "q", "v"))
+    return pairs.applyInArrow(_block_best, HITS)
+
+
+# -- merging -------------------------------------------------------------------------
+
+
+def _ranked(found: DataFrame, *keys: str) -> DataFrame:
+    """One row for each text, the best ``fetch_k`` of each group; one exchange serves both windows."""
+    best_first = [F.desc("score"), F.asc("id")]
+    dealt = found.repartition(*keys)
+    once = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "text_key").orderBy(*best_first)))
+    once = once.where("rank = 1")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))).where("rank <= fetch_k")
+
+
+def _merged(found: DataFrame, tasks: int) -> DataFrame:
+    """The best of what the tasks found, merged in lanes so that no task merges all."""
+    lanes = math.isqrt(max(tasks, 1))
+    if lanes > 1:
+        laned = found.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+        found = _ranked(laned, *KEYS, "lane").drop("rank", "lane")
+    return _ranked(found, *KEYS)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The ``fetch_k`` best rows of each query ``query_id, project, embedding, fetch_k``.
+
+    ``vectors`` has ``project, id, embedding`` and perhaps ``content_hash``. Ties go to the lower
+    id. Rows come with ``rank`` and ``candidates``, how many were found for the query. Queries of
+    one project and id count once.
     """
-    many_tasks = _many_tasks(vectors)
-    if len(asked.slices) == 1:
-        kept = _merged(search(vectors, asked.slices[0]()), max_k, many_tasks)
+    asked = queries.select(*KEYS, "embedding", F.col("fetch_k").cast("int").alias("fetch_k")).where("fetch_k > 0")
+    asked = asked.dropDuplicates(KEYS)
+    head = asked.limit(BROADCAST_QUERIES + 1).collect()  # a bounded number
+    if len(head) <= BROADCAST_QUERIES:
+        found = search(vectors, _matrices(head))
+        kept = _merged(found, found.rdd.getNumPartitions())
     else:
-        # A scan per slice, each finished before the next is loaded: the driver and the
-        # executors hold one slice at a time.
-        scratch = Scratch(vectors.sparkSession)
-        found = [scratch.keep(_merged(search(vectors, load()), max_k, many_tasks)) for load in asked.slices]
-        kept = reduce(DataFrame.unionAll, found)
-    return kept.withColumn("candidates", F.count("*").over(Window.partitionBy("query_id"))).drop("fetch_k")
+        found = block_search(vectors, asked)
+        kept = _merged(found, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return kept.withColumn("candidates", F.count("*").over(Window.partitionBy(*KEYS))).drop("fetch_k", "text_key")
 
 
 def nearest(vectors: DataFrame, project: str, vector: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """``(id, score)`` of the k best rows for one query, best first; k is a few hundred at most."""
-    asked = {project: (np.array([0]), [k], np.asarray(vector, dtype=np.float64)[None, :])}
-    found = search(vectors, asked)
-    if _many_tasks(vectors):
-        found = _merged(found, k, True)
-    best = found.orderBy(F.desc("score"), F.asc("id")).limit(k)
-    return [(r.id, r.score) for r in best.select("id", "score").collect()]
+    """``(id, score)`` of the k best rows for one query, best first."""
+    found = search(vectors, {project: (np.array([0]), [k], np.asarray(vector, dtype=np.float64)[None, :])})
+    best = _merged(found, found.rdd.getNumPartitions() // 64)
+    return [(r.id, r.score) for r in best.orderBy("rank").select("id", "score").collect()]

@@ -1,16 +1,35 @@
-"""Consecutive numbers in a global order, without one task seeing all rows."""
+"""Consecutive numbers and running totals in a global order, without one task seeing all rows."""
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.session import Scratch, cut_lineage
 
 # monotonically_increasing_id() holds the partition above bit 33, the row below.
 _ROW_BITS = 33
+#: First rows up to this count are found by a heap in each task.
+TOP_ROWS = 100_000
+
+
+def _placed(df: DataFrame, order: list[Column], scratch: Scratch | None) -> DataFrame:
+    """``df`` range-partitioned and sorted along ``order``, kept, with ``_part`` and ``_row``."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keep = scratch.keep if scratch else cut_lineage
+    fixed = keep(placed.withColumn("_place", F.monotonically_increasing_id()))
+    row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return fixed.withColumn("_part", F.shiftright("_place", _ROW_BITS)).withColumn("_row", row).drop("_place")
+
+
+def _starts(df: DataFrame, parts: list, base: int) -> tuple[DataFrame, int]:
+    """What the partitions before each one add up to; as many rows as there are partitions."""
+    sizes = sorted((r["_part"], r["n"]) for r in parts)
+    starts = list(accumulate((n for _, n in sizes), initial=base))
+    table = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "_part bigint, _start bigint")
+    return F.broadcast(table), starts[-1] - base
 
 
 def number_rows(
@@ -18,29 +37,26 @@ def number_rows(
 ) -> tuple[DataFrame, int]:
     """``df`` plus ``name``: ``base, base + 1, ...`` along ``order``; and the row count.
 
-    Rows are range-partitioned and sorted, and their place within the partition is
-    stored. Only the partition sizes reach the driver, as starting numbers.
+    Only the partition sizes reach the driver, as starting numbers.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    keep = scratch.keep if scratch else cut_lineage
-    fixed = keep(placed.withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright("_place", _ROW_BITS).alias("_part")
-    sizes = sorted((r["_part"], r["n"]) for r in fixed.groupBy(part).agg(F.count("*").alias("n")).collect())
-    starts = list(accumulate((n for _, n in sizes), initial=base))
-    table = df.sparkSession.createDataFrame(
-        [(p, s) for (p, _), s in zip(sizes, starts)], "_part bigint, _start bigint"
-    )
-    row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    numbered = (
-        fixed.withColumn("_part", part)
-        .join(F.broadcast(table), "_part")
-        .withColumn(name, F.col("_start") + row)
-        .drop("_part", "_start", "_place")
-    )
-    return numbered, starts[-1] - base
+    placed = _placed(df, order, scratch)
+    table, n = _starts(df, placed.groupBy("_part").agg(F.count("*").alias("n")).collect(), base)
+    numbered = placed.join(table, "_part").withColumn(name, F.col("_start") + F.col("_row"))
+    return numbered.drop("_part", "_start", "_row"), n
+
+
+def running_total(df: DataFrame, order: list[Column], weight: str, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """``df`` plus ``name``: the sum of ``weight`` over all rows up to and including each one."""
+    placed = _placed(df, order, scratch)
+    table, _ = _starts(df, placed.groupBy("_part").agg(F.sum(weight).alias("n")).collect(), 0)
+    within = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn(name, F.sum(weight).over(within)).join(table, "_part")
+    return summed.withColumn(name, F.col("_start") + F.col(name)).drop("_part", "_start", "_row")
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows along ``order``, however large ``n`` is."""
+    """The first ``n`` rows along ``order``."""
+    if n <= TOP_ROWS:
+        return df.orderBy(*order).limit(n)
     numbered, _ = number_rows(df, order, "_at")
     return numbered.where(F.col("_at") < n).drop("_at")

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from recollect.functions.embedding import Embedder
 from recollect.functions.text import content_hash, embed_text
-from recollect.operators.diff import CREATED, MOVED, STALE, by_language, classify, file_changes, totals
+from recollect.operators.diff import CREATED, MOVED, STALE, by_language, classify, file_changes, totals, with_texts
 from recollect.schema import KIND_CODE
 from recollect.session import Scratch
 from recollect.sources.chunker import ChunkOptions, chunk_code_files, chunk_files, chunk_text_files, is_code
 from recollect.sources.store import MemoryStore
-from recollect.sources.walk import MAX_FILE_BYTES, listing, read_contents, walk
+from recollect.operators.numbering import first_rows
+from recollect.sources.walk import listing, read_contents, walk
 
 def stored_chunks(memories: DataFrame, path_prefix: str | None = None) -> DataFrame:
     rows = memories.where((F.col("kind") == KIND_CODE) & F.col("file_path").isNotNull())
-    if path_prefix:
-        rows = rows.where(F.startswith(F.col("file_path"), F.lit(path_prefix)))
+    if path_prefix:  # a folder or a file, not the first half of a name
+        whole = path_prefix.rstrip("/")
+        rows = rows.where((F.col("file_path") == whole) | F.startswith(F.col("file_path"), F.lit(whole + "/")))
     return rows.select("id", "file_path", "content_hash", "line_start", "line_end")
 
 
@@ -28,10 +30,10 @@ def hashed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("content_hash", content_hash(F.col("content")))
 
 
-def new_rows(diff: DataFrame) -> DataFrame:
+def new_rows(diff: DataFrame, chunks: DataFrame) -> DataFrame:
     """Table rows, still without id and vector, for the created chunks."""
     unit = F.col("unit")
-    return diff.where(F.col("status") == CREATED).select(
+    return with_texts(diff.where(F.col("status") == CREATED), chunks).select(
         F.lit(KIND_CODE).alias("kind"),
         F.col("content").alias("text"),
         F.when(unit != "", F.array("unit_kind", "unit")).otherwise(F.array("unit_kind")).alias("tags"),
@@ -81,14 +83,19 @@ def ingest_chunks(
     dry_run: bool = False,
     path_prefix: str | None = None,
     only_files: DataFrame | None = None,
+    unread: DataFrame | None = None,
 ) -> dict:
     """As ``ingest_files`` for ready chunks. With ``only_files(rel_path)`` stored files
-    outside it are left alone."""
+    outside it are left alone; so are the files of ``unread(rel_path)``, of which is only
+    known that they exist."""
     stored = stored_chunks(store.rows(project), path_prefix)
     if only_files is not None:
         stored = stored.join(only_files.select(F.col("rel_path").alias("file_path")), "file_path", "left_semi")
+    if unread is not None:
+        stored = stored.join(unread.select(F.col("rel_path").alias("file_path")), "file_path", "left_anti")
     with Scratch(store.spark) as scratch:
-        diff = scratch.keep(classify(hashed(chunks), stored))
+        known = scratch.keep(hashed(chunks))
+        diff = scratch.keep(classify(known, stored))
         summary = totals(file_changes(diff)).first().asDict()
         languages = by_language(diff.where(F.col("status") != STALE)).orderBy("lang").collect()
         summary["byLanguage"] = {r.lang: r.chunks for r in languages}
@@ -96,7 +103,7 @@ def ingest_chunks(
         if not dry_run:
             summary["chunksEmbedded"] = store.apply(
                 project,
-                inserts=new_rows(diff) if summary["chunksCreated"] else None,
+                inserts=new_rows(diff, known) if summary["chunksCreated"] else None,
                 updates=stored_rows(diff, MOVED) if summary["chunksUpdated"] else None,
                 deletes=stored_rows(diff, STALE) if summary["chunksDeleted"] else None,
                 embedder=embedder,
@@ -113,23 +120,30 @@ def ingest_tree(
     include: list[str] | None = None,
     exclude: list[str] | None = None,
     respect_gitignore: bool = True,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     max_files: int | None = None,
     options: ChunkOptions = ChunkOptions(),
     dry_run: bool = False,
     path_prefix: str | None = None,
 ) -> dict:
-    """``ingest_files`` for a directory. A file that is now too large, binary, filtered
-    out or past ``max_files`` counts as gone."""
+    """``ingest_files`` for a directory. A file that is now binary or filtered out counts as gone.
+    A file that a limit of the caller's keeps from being read (``max_file_bytes``, ``max_files``)
+    is unknown: what is stored of it stays."""
     started = time.monotonic()
-    found = walk(store.spark, root, respect_gitignore, include, exclude, max_files)
+    found = walk(store.spark, root, respect_gitignore, include, exclude)
     with Scratch(store.spark) as scratch:
+        unread = None
+        if max_files is not None or max_file_bytes is not None:
+            every = scratch.keep(found)
+            found = every if max_files is None else scratch.keep(first_rows(every, [F.col("rel_path")], max_files))
+            fitting = found if max_file_bytes is None else found.where(F.col("size") <= max_file_bytes)
+            unread = scratch.keep(every.join(fitting.select("rel_path"), "rel_path", "left_anti").select("rel_path"))
         listed, n_listed = listing(found, scratch)
         # Paths are parted before contents are read, so each file is read once.
         in_code = is_code(F.col("rel_path"))
         code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
         chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
-        counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix)
+        counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix, unread=unread)
     return {
         "root": os.path.abspath(root),
         "project": project,

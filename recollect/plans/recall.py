@@ -1,19 +1,32 @@
-"""The recall pipeline: embed, search one project, filter, de-duplicate, pack."""
+"""The recall pipeline: embed, search one project, filter, de-duplicate, pack.
+
+Rows are fetched in rounds: first a number that nearly always suffices, then eight times as many
+for the queries whose limit or budget the survivors do not fill, until it is filled or the project
+has no more rows above the score. Greedy de-duplication decides best first, so what a round finds
+is the beginning of what all rows would give. A query's list is bounded by its answer: every
+survivor costs tokens or counts towards the limit, and equal texts are fetched once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.embedding import Embedder, embed
 from recollect.functions.text import hit_cost, shingle_hashes
 from recollect.operators.dedup import SIMILARITY, greedy_dedup
-from recollect.operators.knn import FETCH_CEILING, FETCH_FLOOR, FETCH_PER_RESULT, ask, top_k
+from recollect.operators.knn import FETCH_BUDGETED, FETCH_FLOOR, FETCH_PER_RESULT, KEYS, top_k
 from recollect.operators.packing import pack
+from recollect.session import Scratch
 
 DEFAULT_LIMIT = 5
-#: Hits are broadcast to the row lookup up to this count (about 64 MiB).
+#: Rows found that are broadcast to the lookup of texts, up to this count (about 64 MiB).
 BROADCAST_HITS = 1_000_000
+#: Each round fetches so many times the rows of the one before.
+GROWTH = 8
 
 ROW_COLUMNS = ["kind", "text", "tags", "file_path", "line_start", "line_end", "content_hash"]
 
@@ -37,8 +50,8 @@ def plan_queries(queries: DataFrame, embedder: Embedder | None = None) -> DataFr
         optional("min_score", "double").alias("min_score"),
     )
     budgeted = F.coalesce(F.col("max_tokens"), F.lit(0)) > 0
-    sized = F.least(F.lit(FETCH_CEILING), F.greatest(F.col("limit") * FETCH_PER_RESULT, F.lit(FETCH_FLOOR)))
-    return planned.withColumn("fetch_k", F.when(budgeted, FETCH_CEILING).otherwise(sized))
+    sized = F.least(F.lit(FETCH_BUDGETED), F.greatest(F.col("limit") * FETCH_PER_RESULT, F.lit(FETCH_FLOOR)))
+    return planned.withColumn("fetch_k", F.when(budgeted, FETCH_BUDGETED).otherwise(sized)).dropDuplicates(KEYS)
 
 
 def weigh(rows: DataFrame) -> DataFrame:
@@ -47,32 +60,80 @@ def weigh(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"cost": cost, "grams": shingle_hashes(F.col("text"))})
 
 
-def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scored, weighed rows per query after the score filter; ``candidates`` counts them before it.
+def found_for(memories: DataFrame, planned: DataFrame) -> DataFrame:
+    """The rows nearest to each query, narrow, with the query's parameters."""
+    vectors = memories.select("project", "id", "embedding", "content_hash")
+    return top_k(vectors, planned).join(planned.drop("embedding"), KEYS)
+
 
-    The search reads only ids and vectors. Texts are looked up for the hits alone, at
-    most 400 per query, and a text found by many queries is weighed once.
+def weighed(memories: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` rows above their query's score, with their texts' costs and shingles.
+
+    Texts are looked up for the hits alone, and a text found by many queries is weighed once.
+    ``passed`` counts the rows of each query.
     """
-    asked = ask(queries, "limit", "max_tokens", "min_score")
-    found = top_k(memories, asked).join(asked.parameters, "query_id")
-    found = found.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).drop("min_score", "rank")
+    above = F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))
+    found = found.where(above).withColumn("passed", F.count("*").over(Window.partitionBy(*KEYS)))
+    found = found.drop("min_score", "rank")
     rows = memories.select("project", "id", *ROW_COLUMNS)
-    if asked.projects is not None:
-        rows = rows.where(F.col("project").isin(asked.projects))
-    if asked.n * FETCH_CEILING > BROADCAST_HITS:
-        return weigh(rows.join(found, ["project", "id"])).repartition("query_id")
-    mine = F.struct("query_id", "score", "candidates", "limit", "max_tokens")
+    ids = found.select("project", "id").distinct()
+    if found.count() > BROADCAST_HITS:
+        return weigh(rows.join(ids, ["project", "id"], "left_semi")).join(found, ["project", "id"])
+    mine = F.struct(*[c for c in found.columns if c not in ("project", "id")])
     by_row = found.groupBy("project", "id").agg(F.collect_list(mine).alias("found_by"))
-    # Only hits are shuffled: once by row, to spread the weighing, once by query.
+    # Only hits are shuffled: by row, to spread the weighing.
     hits = rows.join(F.broadcast(by_row), ["project", "id"]).repartition("project", "id")
-    return weigh(hits).select("*", F.inline("found_by")).drop("found_by").repartition("query_id")
+    return weigh(hits).select("*", F.inline("found_by")).drop("found_by")
+
+
+def candidates(memories: DataFrame, planned: DataFrame) -> DataFrame:
+    """Scored, weighed rows of one round's queries after the score filter; ``candidates`` counts
+    them before it."""
+    return weighed(memories, Scratch(memories.sparkSession).keep(found_for(memories, planned)))
 
 
-def survivors(weighed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def survivors(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``candidates`` without the redundant ones, ranked and packed."""
-    return pack(greedy_dedup(weighed, similarity))
+    return pack(greedy_dedup(rows, similarity))
+
+
+@dataclass
+class Recalled:
+    """All survivors of all queries, ranked, the answer being ``where(chosen)``; and every query
+    with the number of rows looked at."""
+
+    hits: DataFrame
+    queries: DataFrame
+
+
+def recall_all(memories: DataFrame, queries: DataFrame, embedder: Embedder | None = None) -> Recalled:
+    scratch = Scratch(memories.sparkSession)
+    asked = planned = scratch.keep(plan_queries(queries, embedder))
+    hits, looked = [], []
+    while True:
+        found = scratch.keep(found_for(memories, planned))
+        packed = scratch.keep(survivors(weighed(memories, found)))
+        looked.append(found.groupBy(*KEYS).agg(F.max("candidates").alias("candidates")))
+        # More could help where all rows fetched were good and some are still wanted.
+        state = packed.groupBy(*KEYS).agg(
+            (F.max("candidates") >= F.max("fetch_k")).alias("more"),
+            (F.max("passed") == F.max("candidates")).alias("good"),
+            F.bool_and("chosen").alias("all_chosen"),
+            F.max("survivors").alias("n"),
+        )
+        budgeted = F.coalesce(F.col("max_tokens"), F.lit(0)) > 0
+        unfilled = F.when(budgeted, F.col("all_chosen")).otherwise(F.col("n") < F.col("limit"))
+        again = planned.join(state.where("more AND good"), KEYS).where(unfilled).select(planned.columns)
+        again = scratch.keep(again.withColumn("fetch_k", F.col("fetch_k") * GROWTH))
+        hits.append(packed.join(again.select(*KEYS), KEYS, "left_anti"))
+        if again.isEmpty():
+            break
+        planned = again
+    counted = reduce(DataFrame.unionAll, looked).groupBy(*KEYS).agg(F.max("candidates").alias("candidates"))
+    every = asked.select(*KEYS).join(counted, KEYS, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    return Recalled(reduce(DataFrame.unionByName, hits), every)
 
 
 def recall(memories: DataFrame, queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """All survivors of all queries, ranked; the answer is ``where(chosen)``."""
-    return survivors(candidates(memories, plan_queries(queries, embedder)))
+    return recall_all(memories, queries, embedder).hits

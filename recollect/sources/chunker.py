@@ -44,44 +44,80 @@ class ChunkOptions:
 LOOK_BACK = 8
 
 _S = f"[{SPACE}]"
-_GO_NAME = "([A-Za-z_][A-Za-z0-9_]*)"
-_TS_NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
-_END = "(?![A-Za-z0-9_])"
-_EXPORT = f"(?:export{_S}+)?"
-
-# Declaration forms in order of precedence, each with its unit
-# kind. Group 1, where there is one, is the unit's name.
-DECLARATIONS = {
-    "go": [
-        (rf"^func{_S}+\([^)]*\){_S}*{_GO_NAME}", "method"),
-        (rf"^func{_S}+{_GO_NAME}", "func"),
-        (rf"^type{_S}+{_GO_NAME}{_S}+struct{_END}", "struct"),
-        (rf"^type{_S}+{_GO_NAME}{_S}+interface{_END}", "interface"),
-        (rf"^type{_S}+{_GO_NAME}", "type"),
-        (rf"^var{_S}*\(()", "varblock"),
-        (rf"^const{_S}*\(()", "constblock"),
-        (rf"^var{_S}+{_GO_NAME}", "var"),
-        (rf"^const{_S}+{_GO_NAME}", "const"),
-    ],
-    "ts": [
-        (rf"^{_EXPORT}(?:default{_S}+)?(?:async{_S}+)?function{_S}*\*?{_S}*{_TS_NAME}", "function"),
-        (rf"^{_EXPORT}(?:declare{_S}+)?(?:abstract{_S}+)?class{_S}+{_TS_NAME}", "class"),
-        (rf"^{_EXPORT}interface{_S}+{_TS_NAME}", "interface"),
-        (rf"^{_EXPORT}type{_S}+{_TS_NAME}{_S}*[=<]", "type"),
-        (rf"^{_EXPORT}enum{_S}+{_TS_NAME}", "enum"),
-        (rf"^{_EXPORT}(?:namespace|module){_S}+{_TS_NAME}", "namespace"),
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """How a language declares things at the margin: words that may stand before a keyword, the
+    letters of a name, and the forms in order of precedence. A form is its kind, its keywords, and
+    what stands between keyword and name and after the name; ``()`` marks a form without a name."""
+
+    modifiers: tuple[str, ...]
+    letters: str
+    forms: tuple[tuple[str, tuple[str, ...], str, str], ...]
+
+    @property
+    def name(self) -> str:
+        first = self.letters.replace("0-9", "")
+        return f"([{first}][{self.letters}]*+)"
+
+    def patterns(self) -> list[tuple[str, str]]:
+        """``pattern, kind``; group 1 is the unit's name."""
+        before = f"(?:(?:{'|'.join(self.modifiers)}){_S}++)*+" if self.modifiers else ""
+        found = []
+        for kind, keywords, between, after in self.forms:
+            # Two words of a keyword stand apart; a keyword ends before its name does begin.
+            word = "|".join(k.replace(" ", f"{_S}++") for k in keywords)
+            named = between if between.endswith("()") else f"{between}{self.name}"
+            found.append((f"^{before}(?:{word})(?![{self.letters}]){_S}*+{named}{after}", kind))
+        return found
+
+
+def _then(word: str) -> str:
+    return f"{_S}++{word}(?![A-Za-z0-9_])"
+
+
+# What is assigned after a name and perhaps its type, in which arrows may stand too: a function
+# or an arrow with one bare parameter or a list of them, perhaps generic, perhaps with a result type.
+_ASSIGNED = rf"(?![A-Za-z0-9_$])[^=]*+(?:=>[^=]*+)*+=(?!>){_S}*+(?:async(?![A-Za-z0-9_$]){_S}*+)?"
+_FUNCTION = (
+    rf"(?:function(?![A-Za-z0-9_$])|(?:<[^>]*+>{_S}*+)?\([^)]*+\){_S}*+(?::[^={{]*+)?=>|[A-Za-z_$][A-Za-z0-9_$]*+{_S}*+=>)"
+)
+
+# The kinds that units are given, for the declarations of each language.
+GRAMMARS = {
+    "go": Grammar(
+        (),
+        "A-Za-z_0-9",
+        (
+            ("method", ("func",), rf"\([^)]*+\){_S}*+", ""),
+            ("func", ("func",), "", ""),
+            ("struct", ("type",), "", _then("struct")),
+            ("interface", ("type",), "", _then("interface")),
+            ("type", ("type",), "", ""),
+            ("varblock", ("var",), r"\(()", ""),
+            ("constblock", ("const",), r"\(()", ""),
+            ("var", ("var",), "", ""),
+            ("const", ("const",), "", ""),
+        ),
+    ),
+    "ts": Grammar(
+        ("export", "default", "declare", "abstract", "async"),
+        "A-Za-z_$0-9",
         (
-            rf"^{_EXPORT}(?:declare{_S}+)?(?:const|let|var){_S}+{_TS_NAME}{_END}[^=]*={_S}*(?:async{_S}*)?"
-            rf"(?:function{_END}|\([^)]*\){_S}*=>|[A-Za-z_$][A-Za-z0-9_$]*{_S}*=>)",
-            "function",
+            ("function", ("function",), rf"\*?{_S}*+", ""),
+            ("class", ("class",), "", ""),
+            ("interface", ("interface",), "", ""),
+            ("type", ("type",), "", rf"{_S}*+[=<]"),
+            ("enum", ("enum", "const enum"), "", ""),
+            ("namespace", ("namespace", "module"), "", ""),
+            ("function", ("const", "let", "var"), "", _ASSIGNED + _FUNCTION),
+            ("binding", ("const", "let", "var"), "", ""),
         ),
-        (rf"^{_EXPORT}(?:const|let|var){_S}+{_TS_NAME}{_END}", "binding"),
-    ],
-    "python": [
-        (rf"^class{_S}+{_GO_NAME}", "class"),
-        (rf"^(?:async{_S}+)?def{_S}+{_GO_NAME}", "function"),
-    ],
+    ),
+    "python": Grammar(("async",), "A-Za-z_0-9", (("class", ("class",), "", ""), ("function", ("def",), "", ""))),
 }
+DECLARATIONS = {lang: grammar.patterns() for lang, grammar in GRAMMARS.items()}
 DECLARATIONS["js"] = DECLARATIONS["ts"]
 
 # Kinds that always keep a chunk of their own.

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: After this time the claim of a writer that never published is void.
+CLAIM_HOURS = 0.25
+
 
 class ControlFiles:
     """Text files and listings through Hadoop's FileSystem, never the driver's local disk."""
@@ -33,18 +39,35 @@ class ControlFiles:
             stream.close()
 
     def publish(self, name: str, text: str) -> bool:
-        """Write ``name`` whole or not at all; False when it exists already."""
-        target, draft = self._path(name), self._path(name + ".draft")
+        """Write ``name`` whole or not at all; False when it exists already.
+
+        Every writer has a draft of its own. A claim beside the target is created exclusively,
+        which file systems and object stores do atomically; only its maker may publish. A claim
+        whose writer died goes stale after CLAIM_HOURS.
+        """
+        target, draft = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.draft")
         fs = self._fs(target)
         if fs.exists(target):
             return False
-        stream = fs.create(draft, True)
+        stream = fs.create(draft, False)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
+        claim = self._path(f"{name}.claim")
+        if fs.exists(claim) and self.age_hours(f"{name}.claim") > CLAIM_HOURS and not fs.exists(target):
+            fs.delete(claim, False)
+        try:
+            fs.create(claim, False).close()  # the one writer who makes this file publishes the version
+        except Exception:
+            fs.delete(draft, False)
+            return False
         return bool(fs.rename(draft, target))
 
+    def age_hours(self, name: str) -> float:
+        path = self._path(name)
+        return (time.time() - self._fs(path).getFileStatus(path).getModificationTime() / 1000) / 3600
+
     def drop(self, folder: str) -> bool:
         path = self._path(folder)
         return bool(self._fs(path).delete(path, True))

@@ -28,8 +28,10 @@ FOLDERS_PER_BUCKET = 16
 #: and a small project stays one folder. It is dealt out anew when it has outgrown
 #: its buckets fourfold.
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 16_384
 REGROW = 4
+#: Manifests kept for inspection, attempts after another writer's commit, and the hours for which
+#: vacuum leaves a folder alone that no version names (yet).
+KEPT_MANIFESTS, RETRIES, GRACE_HOURS = 20, 5, 24
 
 
 def project_slug(project: str) -> str:
@@ -57,11 +59,34 @@ class MemoryStore:
             return json.loads(self.files.read(f"manifest/{versions[-1]}"))
         return {"version": 0, "next_id": 1, "meta": {"schema_version": str(SCHEMA_VERSION)}, "projects": {}}
 
+    def reload(self) -> None:
+        """Go on from the newest version, whoever wrote it."""
+        self._manifest = self._load()
+
     def _publish(self, manifest: dict) -> None:
         manifest["version"] = self._manifest["version"] + 1
         if not self.files.publish(f"manifest/{manifest['version']:012d}.json", json.dumps(manifest, ensure_ascii=False)):
+            # The handle is usable again: what comes next is planned on the newest version.
+            self.reload()
             raise ConcurrentCommit(f"version {manifest['version']} exists")
         self._manifest = manifest
+        self._prune()
+
+    def _prune(self) -> None:
+        """Keep the newest manifests; a reader loads only the last one."""
+        versions = [n for n in self.files.names("manifest") if n.endswith(".json")]
+        for old in versions[:-KEPT_MANIFESTS]:
+            self.files.drop(f"manifest/{old}")
+            self.files.drop(f"manifest/{old}.claim")
+
+    def _retried(self, commit):
+        """``commit`` planned and written anew after another writer came first."""
+        for _ in range(RETRIES):
+            try:
+                return commit()
+            except ConcurrentCommit:
+                continue
+        return commit()
 
     def _draft(self) -> dict:
         return json.loads(json.dumps(self._manifest))
@@ -95,14 +120,24 @@ class MemoryStore:
         """All columns of one project; other projects' folders are not touched."""
         return self._scan(self.folders(project))
 
+    def rows_of(self, projects: list[str]) -> DataFrame:
+        return self._scan([f for p in projects for f in self.folders(p)])
+
     def all_rows(self) -> DataFrame:
-        return self._scan([f for p in self._manifest["projects"] for f in self.folders(p)])
+        return self.rows_of(list(self._manifest["projects"]))
 
     def projects(self) -> list[str]:
         return sorted(p for p in self._manifest["projects"] if self.folders(p))
 
     def bytes(self, project: str) -> int:
-        return self.files.bytes_under(f"memories/{project_slug(project)}")
+        """The size of the project's live folders."""
+        base = f"memories/{project_slug(project)}"
+        entry = self._entry(project)
+        return sum(
+            self.files.bytes_under(f"{base}/{folder}/bucket={bucket}")
+            for bucket, folders in entry["buckets"].items()
+            for folder in folders
+        )
 
     # -- writing ------------------------------------------------------------
 
@@ -116,11 +151,11 @@ class MemoryStore:
     def _bucket_count(self, project: str, n_new: int) -> int:
         """Buckets for the next version: as before, or more once they are outgrown."""
         entry = self._entry(project)
-        wanted = min(MAX_BUCKETS, max(1, -(-(entry["added"] + n_new) // self._rows_per_bucket)))
+        wanted = max(1, -(-(entry["added"] + n_new) // self._rows_per_bucket))
         return wanted if wanted > REGROW * entry["count"] or not entry["count"] else entry["count"]
 
-    def _write(self, project: str, rows: DataFrame, replaced: set[int], count: int, n_new: int, next_id: int) -> None:
-        """Write ``rows`` as one new folder; ``replaced`` buckets keep nothing older."""
+    def _write_folder(self, project: str, rows: DataFrame, count: int) -> tuple[str, list[int]]:
+        """Write ``rows`` as a new folder that no version names yet; its name and its buckets."""
         folder = f"v{self._manifest['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         base = f"memories/{project_slug(project)}"
         (
@@ -131,42 +166,100 @@ class MemoryStore:
             .write.partitionBy("bucket")
             .parquet(f"{self.home}/{base}/{folder}")
         )
-        written = {
-            int(name.split("=")[1]) for name in self.files.names(f"{base}/{folder}") if name.startswith("bucket=")
-        }
-        draft = self._draft()
+        names = self.files.names(f"{base}/{folder}")
+        return folder, sorted(int(name.split("=")[1]) for name in names if name.startswith("bucket="))
+
+    def _adopt(self, draft: dict, project: str, written: tuple[str, list[int]], replaced: set[int], count: int, n_new: int) -> None:
+        """Enter a written folder into ``draft``; ``replaced`` buckets keep nothing older."""
+        folder, buckets = written
         entry = draft["projects"].setdefault(project, self._entry(project))
         entry["count"], entry["added"] = count, entry["added"] + n_new
         for bucket in replaced:
             entry["buckets"].pop(str(bucket), None)
-        for bucket in sorted(written):
+        for bucket in buckets:
             entry["buckets"].setdefault(str(bucket), []).append(folder)
+
+    def _write(self, project: str, rows: DataFrame, replaced: set[int], count: int, n_new: int, next_id: int) -> None:
+        draft = self._draft()
+        self._adopt(draft, project, self._write_folder(project, rows, count), replaced, count, n_new)
         draft["next_id"] = next_id
         self._publish(draft)
 
     def insert(self, rows: list[dict], embedder: Embedder) -> list[int]:
-        """A few hand-written rows of one project; ids follow the list."""
-        now = _now()
-        project = rows[0].get("project") or DEFAULT_PROJECT
-        first = self._manifest["next_id"]
+        """A few hand-written rows, each into its own project, as one commit; ids follow the list."""
+        return self._retried(lambda: self._insert(rows, embedder))
+
+    def _insert(self, rows: list[dict], embedder: Embedder) -> list[int]:
+        now, first = _now(), self._manifest["next_id"]
+        vectors = embedder.encode([row["text"] for row in rows])
         full = [
             {
                 "kind": "manual",
                 "tags": [],
                 **row,
-                "project": project,
+                "project": row.get("project") or DEFAULT_PROJECT,
                 "id": first + i,
-                "embedding": embedder.encode([row["text"]])[0].tolist(),
+                "embedding": vector.tolist(),
                 "created_at": now,
                 "updated_at": now,
             }
-            for i, row in enumerate(rows)
+            for i, (row, vector) in enumerate(zip(rows, vectors))
         ]
-        tuples = [tuple(row.get(name) for name in MEMORIES.fieldNames()) for row in full]
-        frame = self.spark.createDataFrame(tuples, MEMORIES)
-        self._write(project, frame, set(), self._entry(project)["count"] or 1, len(rows), first + len(rows))
+        groups: dict[str, list[tuple]] = {}
+        for row in full:
+            groups.setdefault(row["project"], []).append(tuple(row.get(name) for name in MEMORIES.fieldNames()))
+        draft = self._draft()
+        for project, tuples in groups.items():
+            count = self._entry(project)["count"] or 1
+            written = self._write_folder(project, self.spark.createDataFrame(tuples, MEMORIES), count)
+            self._adopt(draft, project, written, set(), count, len(tuples))
+        draft["next_id"] = first + len(rows)
+        self._publish(draft)
         return [row["id"] for row in full]
 
+    def insert_many(self, rows: DataFrame, embedder: Embedder) -> int:
+        """Bulk insert of ``text`` and optionally ``project, kind, tags`` and the other columns of
+        the table, each row into its own project, as one commit; how many there were.
+
+        Ids follow project and text. Numbering and embedding are spread over the tasks.
+        """
+        return self._retried(lambda: self._insert_many(rows, embedder))
+
+    def _insert_many(self, rows: DataFrame, embedder: Embedder) -> int:
+        given = {f.name: f.dataType for f in MEMORIES.fields}
+        optional = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast(given[name])
+        blank = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+        filled = {
+            "text": F.col("text"),
+            "project": F.coalesce(blank(optional("project")), F.lit(DEFAULT_PROJECT)),
+            "kind": F.coalesce(optional("kind"), F.lit("manual")),
+            "tags": F.coalesce(optional("tags"), F.array().cast("array<string>")),
+            **{c: optional(c) for c in ("file_path", "line_start", "line_end", "content_hash")},
+        }
+        now = F.lit(_now())
+        with Scratch(self.spark) as scratch:
+            named = rows.select(*[column.alias(name) for name, column in filled.items()])
+            numbered, n = number_rows(named, [F.col("project"), F.col("text")], "id", self._manifest["next_id"], scratch)
+            full = numbered.withColumns({"embedding": embed(F.col("text"), embedder), "created_at": now, "updated_at": now})
+            full = scratch.keep(full.select(*MEMORIES.fieldNames()))  # in order of project already
+            draft = self._draft()
+            self._adopt_all(draft, full)
+            draft["next_id"] += n
+            self._publish(draft)
+            return n
+
+    def _adopt_all(self, draft: dict, rows: DataFrame) -> None:
+        """Complete rows, kept in order of project, entered project by project."""
+        sizes = {r.project: r.n for r in rows.groupBy("project").agg(F.count("*").alias("n")).collect()}
+        counts = {p: self._bucket_count(p, n) for p, n in sizes.items()}
+        for project in sizes:  # a project that outgrew its buckets is dealt out anew
+            entry = self._entry(project)
+            replaced = set(map(int, entry["buckets"])) if counts[project] != entry["count"] else set()
+            own = rows.where(F.col("project") == project)
+            if replaced:
+                own = own.unionByName(self.rows(project).select(*own.columns))
+            self._adopt(draft, project, self._write_folder(project, own, counts[project]), replaced, counts[project], sizes[project])
+
     def apply(
         self,
         project: str,
@@ -246,16 +339,21 @@ class MemoryStore:
         return ids
 
     def load(self, rows: DataFrame, next_id: int, meta: dict[str, str]) -> None:
-        """Adopt complete rows with their ids, one project at a time (migration)."""
-        for project, n in rows.groupBy("project").count().collect():
-            own = rows.where(F.col("project") == project)
-            self._write(project, own, set(), self._bucket_count(project, n), n, max(next_id, self._manifest["next_id"]))
-        draft = self._draft()
-        draft["meta"].update(meta)
-        self._publish(draft)
-
-    def vacuum(self) -> int:
-        """Delete data folders that the current version does not use."""
+        """Adopt complete rows with their ids, and ``meta``, as one commit (migration)."""
+        with Scratch(self.spark) as scratch:
+            # In order of project, so that the scan for each reads its own part of the files.
+            dealt = rows.select(*MEMORIES.fieldNames()).repartitionByRange("project", "id")
+            kept = scratch.keep(dealt.sortWithinPartitions("project", "id"))
+            draft = self._draft()
+            self._adopt_all(draft, kept)
+            draft["next_id"] = max(next_id, draft["next_id"])
+            draft["meta"].update(meta)
+            self._publish(draft)
+
+    def vacuum(self, grace_hours: float = GRACE_HOURS) -> int:
+        """Delete data folders that the newest version does not use and that are older than the
+        grace period, within which another writer may be about to publish them."""
+        self.reload()
         removed = 0
         for slug in self.files.names("memories"):
             live = {
@@ -266,7 +364,7 @@ class MemoryStore:
                 for folder in folders
             }
             for folder in self.files.names(f"memories/{slug}"):
-                if folder not in live:
+                if folder not in live and self.files.age_hours(f"memories/{slug}/{folder}") >= grace_hours:
                     removed += self.files.drop(f"memories/{slug}/{folder}")
         return removed
 

@@ -23,11 +23,10 @@ from recollect.operators.numbering import first_rows
 from recollect.session import Scratch
 from recollect.sources.ignore import ignored, parse_rules
 
-# Version-control and package folders that are never entered, the
-# largest file that is read, and how much of it is searched for a NUL byte.
+# Version-control and package folders that are never entered.
 SKIPPED_DIRECTORIES = [".git", ".hg", ".svn", "node_modules"]
-MAX_FILE_BYTES = 512 * 1024
-SNIFFED_BYTES = 8192
+#: Contents that a reading task holds at once; a larger file is held alone.
+BATCH_BYTES = 64 << 20
 
 _SCHEMA = "rel_path string, size long"
 
@@ -147,16 +146,29 @@ def walk(
 def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # at most 128 MiB of contents at once
-                paths = batch.column("rel_path").slice(at, 256).to_pylist()
-                texts = [_read_text(os.path.join(root, p)) for p in paths]
+            paths, sizes = batch.column("rel_path").to_pylist(), batch.column("size").to_pylist()
+            for some in _by_bytes(paths, sizes):
+                texts = [_read_text(os.path.join(root, p)) for p in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["rel_path", "content"]
+                    [pa.array(some, pa.string()), pa.array(texts, pa.string())], names=["rel_path", "content"]
                 )
 
     return run
 
 
+def _by_bytes(paths: list[str], sizes: list[int]) -> Iterator[list[str]]:
+    """Paths in runs of BATCH_BYTES together, one path at least."""
+    some, total = [], 0
+    for path, size in zip(paths, sizes):
+        if some and total + size > BATCH_BYTES:
+            yield some
+            some, total = [], 0
+        some.append(path)
+        total += size
+    if some:
+        yield some
+
+
 def _read_text(path: str) -> str | None:
     """A text file's content, or None where it is binary or cannot be read."""
     try:
@@ -164,14 +176,14 @@ def _read_text(path: str) -> str | None:
             raw = handle.read()
     except OSError:
         return None
-    return None if b"\0" in raw[:SNIFFED_BYTES] else raw.decode("utf-8", "replace")
+    return None if b"\0" in raw else raw.decode("utf-8", "replace")
 
 
-def read_contents(listed: DataFrame, root: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``rel_path, content`` of the listed files that are small enough and text."""
-    fitting = listed.where(F.col("size") <= max_file_bytes)
+def read_contents(listed: DataFrame, root: str, max_file_bytes: int | None = None) -> DataFrame:
+    """``rel_path, content`` of the listed files that are text, and small enough if a size is given."""
+    fitting = listed if max_file_bytes is None else listed.where(F.col("size") <= max_file_bytes)
     return (
-        fitting.select("rel_path").mapInArrow(_reader(os.path.abspath(root)), "rel_path string, content string")
+        fitting.select("rel_path", "size").mapInArrow(_reader(os.path.abspath(root)), "rel_path string, content string")
         .where(F.col("content").isNotNull())
     )
 
@@ -185,5 +197,5 @@ def listing(found: DataFrame, scratch: Scratch, bytes_per_task: int = 64 << 20)
 
 
 def looks_binary(content):
-    """NUL among the first bytes of a binary column."""
-    return F.contains(F.substring(content, 1, SNIFFED_BYTES), F.lit(b"\0"))
+    """A NUL anywhere in a binary column."""
+    return F.contains(content, F.lit(b"\0"))

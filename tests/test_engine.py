@@ -88,7 +88,7 @@ def test_identical_code_is_answered_once(engine, code):
     answer = engine.recall("frame_checksum payload seed", project=code, max_tokens=6000, limit=50)
     assert answer.count("def frame_checksum") == 1 and len(set(_ids(answer))) == len(_ids(answer))
     result = engine.search("frame_checksum payload seed", project=code, max_tokens=6000)
-    assert result.candidates == 8 and result.survivors == 7
+    assert result.candidates == result.survivors == 7
     assert all(h["file_path"] and h["line_start"] for h in result.hits)
 
 
@@ -129,7 +129,7 @@ def test_hits_beyond_the_broadcast_bound_give_the_same_answers(engine, code, spa
     columns = ["query_id", "rank", "id", "score", "cost", "candidates", "survivors"]
     want = {tuple(r) for r in engine.recall_many(queries).select(*columns).collect()}
     monkeypatch.setattr(plan, "BROADCAST_HITS", 0)
-    monkeypatch.setattr(knn, "QUERIES_PER_SLICE", 1)
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", 1)
     assert {tuple(r) for r in engine.recall_many(queries).select(*columns).collect()} == want
 
 
@@ -142,6 +142,27 @@ def test_a_third_of_the_rows_being_copies_leaves_one_of_them(engine, spark):
     assert result.hits[0]["text"].startswith("the very") and result.survivors == 21
 
 
+def test_copies_beyond_the_first_round(engine, spark):
+    """More copies than are fetched first, near copies that only de-duplication tells, and a few others."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    rows = [("flood", "the same note again and again")] * 450 + [("flood", near * 3 + str(i)) for i in range(450)] + [("flood", f"other note {i}") for i in range(5)]
+    assert engine.store.insert_many(spark.createDataFrame(rows, "project string, text string"), engine.embedder) == 905
+    for query in ("the same note again", "seven eight nine ten"):
+        result = engine.search(query, project="flood", max_tokens=100_000)
+        assert len(result.hits) == result.survivors == 7 and result.truncated == 0
+    assert len(engine.search("seven eight nine ten", 6, "flood").hits) == 6
+    queries = spark.createDataFrame([(1, "flood", "seven eight nine ten", 100_000), (1, "copies", "no project of this kind", 50)], "query_id long, project string, query string, max_tokens int")
+    assert engine.recall_many(queries).where("chosen AND project = 'flood'").count() == 7
+
+
+def test_every_query_has_its_counters(engine, code, spark):
+    asked = [(1, code, "checksum", None), (2, code, "checksum", 0.999), (1, "no such project", "checksum", None)]
+    queries = spark.createDataFrame(asked, "query_id long, project string, query string, min_score double")
+    rows = {(r.project, r.query_id): r for r in engine.recall_many_stats(queries).collect()}
+    assert len(rows) == 3 and rows["no such project", 1].candidates == rows["no such project", 1].returned == 0
+    assert rows[code, 2].candidates > 0 and rows[code, 2].returned == 0 and rows[code, 1].returned > 0
+
+
 @pytest.mark.parametrize(
     "call",
     [

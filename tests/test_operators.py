@@ -62,7 +62,10 @@ def test_diff_pairs_equal_texts_one_to_one(spark):
         want["created"] += max(0, len(fresh) - len(known))
         want["stale"] += max(0, len(known) - len(fresh))
     assert Counter(r.status for r in rows) == want
-    assert all((r.content is not None) == (r.status == "created") for r in rows)
+    created = diff.with_texts(diff.classify(chunks, stored).where("status = 'created'"), chunks).collect()
+    texts = {(r.rel_path, r.ordinal): r.content for r in chunks.collect()}
+    assert sorted((r.rel_path, r.ordinal) for r in created) == sorted((r.rel_path, r.ordinal) for r in rows if r.status == "created")
+    assert all(r.content == texts[r.rel_path, r.ordinal] for r in created) and "content" not in rows[0]
     assert sorted(r.id for r in rows if r.id is not None) == list(range(100))
     assert sorted(r.ordinal for r in rows if r.ordinal is not None) == list(range(120))
     totals = diff.totals(diff.file_changes(diff.classify(chunks, stored))).first()
@@ -72,11 +75,16 @@ def test_diff_pairs_equal_texts_one_to_one(spark):
 
 
 def test_digest_depends_on_the_set_alone(spark):
+    def tree(blocks):
+        """Digests of blocks, of these (all in one block of blocks here), and of that."""
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        return sha(sha(",".join(map(sha, blocks)).encode()).encode())[:16]
+
     def digest(ids):
         df = spark.createDataFrame([("p", i) for i in ids], "project string, id long").repartition(3)
         return aggregates.id_digest(df).first().digest
 
-    assert digest([1, 2, 3]) == digest([3, 1, 2]) == hashlib.sha256(b"1,2,3").hexdigest()[:16]
+    assert digest([1, 2, 3]) == digest([3, 1, 2]) == tree([b"1,2,3"])
     assert digest([1, 23]) != digest([12, 3])
     many = list(range(0, 30_000, 3))
     assert digest(many) == digest(many[::-1]) != digest(many[:-1])

@@ -5,11 +5,11 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions.embedding import HashingEmbedder, OnnxEmbedder, clip_units, embed, length_batches, mean_pool
+from recollect.functions.embedding import HashingEmbedder, OnnxEmbedder, embed, length_batches, text_windows, unit_rows
 from recollect.functions.vectors import decode_float32, dot, encode_float32
 from recollect.operators import knn
 from recollect.operators.dedup import greedy_dedup
-from recollect.operators.packing import pack, recall_stats
+from recollect.operators.packing import pack, pack_long, recall_stats
 
 
 def _vectors(spark, n, dim=8, projects=("a", "b")):
@@ -28,12 +28,17 @@ def _brute(rows, project, vector, k):
     return [(i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]]
 
 
-@pytest.mark.parametrize("per_slice", [4096, 3])
-def test_top_k_is_exact_with_ties_and_stays_in_its_project(spark, monkeypatch, per_slice):
-    monkeypatch.setattr(knn, "QUERIES_PER_SLICE", per_slice)
+def _asked(df, condition, k):
+    return df.where(condition).select(F.col("id").alias("query_id"), "project", "embedding", F.expr(k).cast("int").alias("fetch_k"))
+
+
+@pytest.mark.parametrize(("broadcast", "query_block", "vector_block"), [(4096, 1, 1), (3, 4, 37), (0, 1000, 1000)])
+def test_top_k_is_exact_with_ties_and_stays_in_its_project(spark, monkeypatch, broadcast, query_block, vector_block):
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", query_block)
+    monkeypatch.setattr(knn, "VECTOR_BLOCK", vector_block)
     df, rows = _vectors(spark, 300)
-    asked = df.where("id < 12").select(F.col("id").alias("query_id"), "project", "embedding", (F.col("id") * 7 % 40).cast("int").alias("fetch_k"))
-    found = knn.top_k(df.repartition(5), knn.ask(asked)).collect()
+    found = knn.top_k(df.repartition(5), _asked(df, "id < 12", "id * 7 % 40")).collect()
     for i, project, vector in rows[:12]:
         k = i * 7 % 40
         got = [(r.id, r.score) for r in sorted((r for r in found if r.query_id == i), key=lambda r: r["rank"])]
@@ -43,25 +48,36 @@ def test_top_k_is_exact_with_ties_and_stays_in_its_project(spark, monkeypatch, p
         assert all(r.candidates == len(want) for r in found if r.query_id == i)
 
 
-def test_lanes_of_many_tasks_merge_to_the_same_answer(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [4096, 0])
+def test_equal_texts_take_one_place_and_equal_query_ids_do_not_mix(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", broadcast)
+    df, rows = _vectors(spark, 300)
+    df = df.withColumn("content_hash", F.expr("CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN '' ELSE concat('h', id % 17) END"))
+    name = lambda i: f"h{i % 17}" if i % 10 > 1 else i
+    vector = spark.createDataFrame([(1, p, rows[k][2], 30) for p, k in (("a", 0), ("b", 4))], "query_id long, project string, embedding array<float>, fetch_k int")
+    found = knn.top_k(df.repartition(7), vector.union(vector)).collect()
+    for project, k in (("a", 0), ("b", 4)):
+        want = []
+        for i, _ in _brute(rows, project, rows[k][2], 300):
+            if name(i) not in [name(w) for w in want]:
+                want.append(i)
+        got = sorted((r for r in found if r.project == project), key=lambda r: r["rank"])
+        assert [r.id for r in got] == want[:30]
+
+
+def test_lanes_of_many_tasks_merge_to_the_same_answer(spark):
     df, rows = _vectors(spark, 300)
-    asked = knn.ask(df.where("id < 6").selectExpr("id AS query_id", "project", "embedding", "9 AS fetch_k"))
-    plain = {tuple(r) for r in knn.top_k(df.repartition(11), asked).collect()}
-    alone = knn.nearest(df, "a", rows[0][2], 30)
-    monkeypatch.setattr(knn, "LANES_FROM_BYTES", 0)
-    monkeypatch.setattr(knn, "LANES", 4)
-    assert {tuple(r) for r in knn.top_k(df.repartition(11), asked).collect()} == plain
-    assert knn.nearest(df.repartition(11), "a", rows[0][2], 30) == alone
+    asked = _asked(df, "id < 6", "9")
+    assert {tuple(r) for r in knn.top_k(df.repartition(1), asked).collect()} == {tuple(r) for r in knn.top_k(df.repartition(26), asked).collect()}
+    assert knn.nearest(df.repartition(200), "a", rows[0][2], 30) == knn.nearest(df, "a", rows[0][2], 30)
 
 
 def test_nearest_and_edge_cases(spark):
     df, rows = _vectors(spark, 100)
     assert [i for i, _ in knn.nearest(df, "a", rows[0][2], 7)] == [i for i, _ in _brute(rows, "a", rows[0][2], 7)]
     assert knn.nearest(df, "nowhere", rows[0][2], 5) == []
-    assert len(knn.nearest(df, "a", rows[0][2], 400)) == sum(p == "a" for _, p, _ in rows)
-    assert knn.ask(df.selectExpr("id AS query_id", "project", "embedding", "5 AS fetch_k")).projects == ["a", "b"]
-    none = df.where("id < 0").selectExpr("id AS query_id", "project", "embedding", "5 AS fetch_k")
-    assert knn.top_k(df, knn.ask(none)).count() == 0
+    assert len(knn.nearest(df, "a", rows[0][2], 4000)) == sum(p == "a" for _, p, _ in rows)
+    assert knn.top_k(df, _asked(df, "id < 0", "5")).count() == 0
     with pytest.raises(Exception, match="dimension"):
         knn.nearest(df, "a", [1.0, 0.0], 5)
 
@@ -88,7 +104,7 @@ def _candidates(n, seed):
         code = rng.random() < 0.6
         rows.append(
             dict(
-                query_id=rng.randrange(3), id=i, score=rng.choice([0.1, 0.5, 0.9]), text=text,
+                project="p", query_id=rng.randrange(3), id=i, score=rng.choice([0.1, 0.5, 0.9]), text=text,
                 content_hash=rng.choice([None, "", f"h{rng.randrange(25)}"]), file_path=rng.choice(["f1", "f2", "f3"]) if code else None,
                 line_start=start if code else None, line_end=start + rng.randrange(4) if rng.random() < 0.9 and code else None,
             )
@@ -96,7 +112,7 @@ def _candidates(n, seed):
     return rows
 
 
-_SCHEMA = "query_id long, id long, score double, text string, content_hash string, file_path string, line_start int, line_end int"
+_SCHEMA = "project string, query_id long, id long, score double, text string, content_hash string, file_path string, line_start int, line_end int"
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -113,30 +129,40 @@ def test_near_duplicates_at_the_threshold(spark):
     near = words[:-8] + ["x"] * 8  # shares 92 of them
     far = words[:-10] + ["y"] * 10  # shares 90
     rows = [(0, 1, 0.9, words), (0, 2, 0.8, near), (0, 3, 0.7, far)]
-    df = spark.createDataFrame([(q, i, s, " ".join(w), None, None, None, None) for q, i, s, w in rows], _SCHEMA)
+    df = spark.createDataFrame([("p", q, i, s, " ".join(w), None, None, None, None) for q, i, s, w in rows], _SCHEMA)
     kept = {r.id for r in greedy_dedup(df).collect()}
     texts = [dict(id=i, score=s, text=" ".join(w), content_hash=None, file_path=None, line_start=None, line_end=None) for _, i, s, w in rows]
     assert kept == set(oracle.survivors(texts))
 
 
-def test_packing_is_the_loop(spark):
+@pytest.mark.parametrize("packer", [pack, pack_long])
+def test_packing_takes_the_longest_prefix_that_fits(spark, packer):
     rng = random.Random(1)
-    rows = [(q, i, 1.0 - i / 100, rng.randrange(1, 60), 4, [None, 0, 50, 200, 10_000][q], 20) for q in range(5) for i in range(20)]
-    df = spark.createDataFrame(rows, "query_id long, id long, score double, cost long, limit int, max_tokens long, candidates long")
-    packed = pack(df)
+    rows = [("p", q, i, 1.0 - i / 100, rng.randrange(1, 60), 4, [None, 0, 50, 200, 10_000][q], 20) for q in range(5) for i in range(20)]
+    rows += [("other", 3, i, 1.0 - i / 100, 7, 4, 21, 20) for i in range(20)]
+    df = spark.createDataFrame(rows, "project string, query_id long, id long, score double, cost long, limit int, max_tokens long, candidates long")
+    packed = packer(df)
     chosen = packed.where("chosen").collect()
-    stats = {r.query_id: r for r in recall_stats(packed).collect()}
+    asked = df.select("project", "query_id", "candidates").distinct().union(spark.createDataFrame([("p", 9, 0)], "a string, b long, c long"))
+    stats = {(r.project, r.query_id): r for r in recall_stats(packed, asked).collect()}
+    assert len(stats) == 7 and tuple(stats["p", 9])[2:] == (0, 0, 0, 0, 0) and stats["other", 3].returned == 3
     for q, budget in enumerate([None, 0, 50, 200, 10_000]):
-        costs = [r[3] for r in rows if r[0] == q]
-        got = sorted(r["rank"] for r in chosen if r.query_id == q)
+        costs = [r[4] for r in rows if r[:2] == ("p", q)]
+        got = sorted(r["rank"] for r in chosen if (r.project, r.query_id) == ("p", q))
         want, used = len(got), sum(costs[: len(got)])
         assert got == list(range(1, want + 1))
         assert oracle.longest_prefix(costs, want, budget) if budget else want == 4
-        s = stats[q]
+        s = stats["p", q]
         assert (s.returned, s.tokens_used, s.survivors, s.candidates) == (want, used, 20, 20)
         assert s.truncated == (20 - want if budget else 0)
 
 
+def test_a_long_list_is_spread(spark):
+    rows = spark.range(4000).select(F.lit("p").alias("project"), F.lit(1).alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(2).alias("cost"), F.lit(1).alias("limit"), F.lit(5001).alias("max_tokens"))
+    packed = pack_long(rows.repartition(4))
+    assert packed.where("chosen").agg(F.count("*"), F.max("rank"), F.max("running_tokens")).first() == (2500, 2500, 5000)
+
+
 def test_hashing_embedder_is_stable_unit_and_whole_text(spark):
     e = HashingEmbedder()
     texts = ["Payment refund", "payment  REFUND", "", "x " * 5000 + "tail", "x " * 5000]
@@ -160,12 +186,56 @@ def test_vector_codec_and_dot(spark):
         df.select(dot(F.col("v"), F.array(F.lit(1.0)))).collect()
 
 
+def test_vector_columns_with_nulls_and_unequal_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0]), (2, None, [1.0]), (3, [], []), (4, [2.0] * 5, [0.5] * 5)], "i int, a array<float>, b array<float>")
+    assert [r[0] for r in df.orderBy("i").select(dot(F.col("a"), F.col("b"))).collect()] == [11.0, None, 0.0, 5.0]
+    back = df.orderBy("i").select(encode_float32("a").alias("e"), decode_float32(encode_float32("a")).alias("d")).collect()
+    assert [r.d for r in back] == [[1.0, 2.0], [], [], [2.0] * 5] and back[1].e is None
+    assert df.where("false").select(decode_float32(encode_float32("a"))).count() == 0
+    with pytest.raises(Exception, match="whole number"):
+        spark.createDataFrame([(bytearray(b"12345"),)], "b binary").select(decode_float32("b")).collect()
+
+
+class _Piece:
+    def __init__(self, ids):
+        self.ids, self.attention_mask, self.overflowing = ids + [0] * (4 - len(ids)), [1] * len(ids) + [0] * (4 - len(ids)), []
+
+
+class _Tokenizer:
+    """A token for each character, four to a window."""
+
+    def encode_batch(self, texts):
+        out = []
+        for t in texts:
+            pieces = [_Piece([ord(c) for c in t[k : k + 4]]) for k in range(0, max(len(t), 1), 4)]
+            pieces[0].overflowing = pieces[1:]
+            out.append(pieces[0])
+        return out
+
+
+def test_the_model_reads_whole_texts(monkeypatch):
+    from recollect.functions import embedding
+
+    class Input:
+        name = "input_ids"
+
+    class Session:
+        def get_inputs(self):
+            return [Input]
+
+        def run(self, _, feed):
+            return [np.eye(128)[feed["input_ids"]]]
+
+    monkeypatch.setattr(embedding, "_load_model", lambda *_: (_Tokenizer(), Session()))
+    texts = ["ab", "", "a" * 11 + "z", "abcdefghi" * 3]
+    got = OnnxEmbedder("nowhere", dim=128, max_units=6, batch_size=2).encode(texts)
+    for text, row in zip(texts, got):
+        counts = np.bincount([ord(c) for c in text], minlength=128) / max(len(text), 1)
+        assert np.allclose(row, unit_rows(counts[None, :])[0], atol=1e-6)
+
+
 def test_model_helpers(tmp_path):
-    hidden = np.array([[[1.0, 0.0], [3.0, 4.0], [9.0, 9.0]]])
-    pooled = mean_pool(hidden, np.array([[1, 1, 0]]))
-    assert np.allclose(pooled, [[2 / np.sqrt(8), 2 / np.sqrt(8)]])
-    batches = list(length_batches(["aaa", "a", "aaaa", "aa"], 2))
-    assert batches == [[1, 3], [0, 2]]
-    assert clip_units("ab\U0001f600c", 3) == "ab"
+    assert list(length_batches(["aaa", "a", "aaaa", "aa"], 2)) == [[1, 3], [0, 2]]
+    assert text_windows("abcde", 2) == ["ab", "cd", "e"] and text_windows("", 2) == [""]
     with pytest.raises(Exception):
         OnnxEmbedder(str(tmp_path)).encode(["x"])
