@@ -436,3 +436,32 @@ SELECT 'orders/' || module || '.py' AS rel_path, 0 AS ordinal, 1 AS start_line,
        sha256('{_QUOTES}Orders {{' || chr(10) || 'by month.{_QUOTES}' || chr(10) || 'import base' || chr(10)) AS hash FROM (SELECT DISTINCT module FROM months)
 UNION ALL
 SELECT 'orders/' || module || '.py', k::INTEGER, (7 * k - 2)::INTEGER, (7 * k + 3)::INTEGER, 'class', 'Month' || month, sha256(body) FROM parts"""
+
+ORACLES["ts_chunks"] = r"""
+WITH parts AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+         '/** ' || role || ' */' || chr(10) || 'export const turn' || turn || ': (w: Writer) => Promise<void> = async (w) => {' || chr(10) ||
+         '  await w.say("' || replace(regexp_replace(text, '[\\"]', '''', 'g'), chr(10), ' { ') || '");' || chr(10) || '};' AS body
+  FROM conversations)
+SELECT 'talk/' || conv_id || '.ts' AS rel_path, 0 AS ordinal, 1 AS start_line, 1 AS end_line, 'preamble' AS unit_kind, '' AS unit,
+       sha256('import { Writer } from ''./writer'';') AS hash FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL
+SELECT 'talk/' || conv_id || '.ts', k::INTEGER, (5 * k - 3)::INTEGER, (5 * k + 1)::INTEGER, 'function', 'turn' || turn, sha256(chr(10) || body) FROM parts"""
+
+ORACLES["go_forms"] = r"""
+WITH forms(ordinal, start_line, end_line, unit_kind, name, body) AS (VALUES
+    (0, 1, 2, 'preamble', '', 'package s;'), (1, 3, 5, 'struct', 'A#', 'type A# struct {;	x int;}'),
+    (2, 6, 7, 'interface', 'B#', 'type B# interface {;}'), (3, 8, 8, 'type', 'C#', 'type C# = int'),
+    (4, 9, 12, 'block', '', 'var (;	a = 1;);const D# = 2'), (5, 13, 14, 'func', 'E#', 'func E#() {;}'),
+    (6, 15, 16, 'method', 'F#', 'func (r *A#) F#() {;}'))
+SELECT 's' || s_suppkey || '.go' AS rel_path, ordinal, start_line, end_line, unit_kind, replace(name, '#', s_suppkey::VARCHAR) AS unit,
+       sha256(replace(replace(replace(body, '#', s_suppkey::VARCHAR), ';', chr(10)), '\t', chr(9))) AS hash
+FROM supplier, forms"""
+
+# Pieces of 160 lines, 140 apart, until one reaches the end.
+ORACLES["oversize_pieces"] = """
+WITH files AS (SELECT page_id, length(html) // 10 + 2 AS n FROM pages),
+  starts AS (SELECT page_id, n, unnest(range(0, n, 140)) AS before FROM files)
+SELECT 'p' || page_id || '.go' AS rel_path, (row_number() OVER (PARTITION BY page_id ORDER BY before) - 1)::INTEGER AS ordinal,
+       (before + 1)::INTEGER AS start_line, least(n, before + 160)::INTEGER AS end_line, 'func' AS unit_kind, 'Big' AS unit
+FROM starts WHERE before = 0 OR before + 20 < n"""

@@ -553,5 +553,54 @@ def python_chunks(spark, sf):
     return chunks.select("rel_path", "ordinal", "start_line", "end_line", "unit_kind", "unit", X.content_hash(C("content")).alias("hash"))
 
 
+def _chunk_rows(files: DataFrame) -> DataFrame:
+    return chunk_code_files(files).select(
+        "rel_path", "ordinal", "start_line", "end_line", "unit_kind", "unit", X.content_hash(C("content")).alias("hash")
+    )
+
+
+@query
+def ts_chunks(spark, sf):
+    """A TypeScript file per conversation: a typed arrow function for every turn."""
+    said = F.regexp_replace(F.regexp_replace("text", r"[\\\\\"]", "'"), "\n", " { ")
+    turn = C("turn").cast("string")
+    body = F.concat(
+        F.lit("/** "), C("role"), F.lit(" */\nexport const turn"), turn,
+        F.lit(": (w: Writer) => Promise<void> = async (w) => {\n  await w.say(\""), said, F.lit("\");\n};\n"),
+    )
+    turns = V.table(spark, sf, "conversations").select("conv_id", "turn", body.alias("body"))
+    bodies = F.transform(F.sort_array(F.collect_list(F.struct("turn", "body"))), lambda s: s["body"])
+    files = turns.groupBy("conv_id").agg(bodies.alias("bodies")).select(
+        F.concat(F.lit("talk/"), C("conv_id").cast("string"), F.lit(".ts")).alias("rel_path"),
+        F.concat(F.lit("import { Writer } from './writer';\n\n"), F.array_join("bodies", "\n")).alias("content"),
+    )
+    return _chunk_rows(files)
+
+
+@query
+def go_forms(spark, sf):
+    """A Go file per supplier with every form of declaration; small neighbours become a block."""
+    text = (
+        "package s\n\ntype A# struct {\n\tx int\n}\ntype B# interface {\n}\ntype C# = int\nvar (\n\ta = 1\n)\n"
+        "const D# = 2\nfunc E#() {\n}\nfunc (r *A#) F#() {\n}\n"
+    )
+    key = C("s_suppkey").cast("string")
+    files = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), key, F.lit(".go")).alias("rel_path"), F.replace(F.lit(text), F.lit("#"), key).alias("content")
+    )
+    return _chunk_rows(files)
+
+
+@query
+def oversize_pieces(spark, sf):
+    """A function per page, with a line for every ten characters of it."""
+    lines = F.floor(F.length("html") / 10).cast("int")
+    files = V.table(spark, sf, "pages").select(
+        F.concat(F.lit("p"), C("page_id").cast("string"), F.lit(".go")).alias("rel_path"),
+        F.concat(F.lit("func Big() {\n"), F.repeat(F.lit("\twork()\n"), lines), F.lit("}\n")).alias("content"),
+    )
+    return _chunk_rows(files).drop("hash")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_notes(spark, sf_dir)

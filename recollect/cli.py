@@ -82,6 +82,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"memories: {home()}/memories\nmanifest: {home()}/manifest")
         return 0
     spark = SparkSession.builder.appName("recollect").getOrCreate()
+    if not os.environ.get("RECOLLECT_HOME") and not spark.sparkContext.master.startswith("local"):
+        spark.stop()
+        raise SystemExit("set RECOLLECT_HOME to a folder that all machines share")
     try:
         return run(Engine(spark, home()), args)
     finally:

@@ -72,6 +72,9 @@ def ingest_files(
     Stored files that ``files`` lacks are deleted; ``path_prefix`` limits that to
     paths below it. Unchanged text keeps its row, vector and id wherever it moves.
     """
+    twice = files.groupBy("rel_path").count().where("count > 1").select("rel_path").first()
+    if twice is not None:  # which content counts can't be told
+        raise ValueError(f"several files of one path: {twice.rel_path}")
     return ingest_chunks(store, project, chunk_files(files, options), embedder, dry_run, path_prefix)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,7 +25,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.abspath(__file__))
-        target = os.path.join(tempfile.mkdtemp(prefix="recollect-ship-"), "recollect")
+        folder = tempfile.mkdtemp(prefix="recollect-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it until then
+        target = os.path.join(folder, "recollect")
         archive = shutil.make_archive(
             target, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
         )

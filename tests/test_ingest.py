@@ -277,6 +277,14 @@ def test_limits_and_late_nuls(spark, tmp_path):
     assert ingest_tree(store, "p", str(root), E, max_files=1)["filesDeleted"] == 1 and paths() == {"a.md"}
 
 
+def test_two_files_of_one_path_are_refused(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "home"))
+    files = spark.createDataFrame([("a.go", "func A() {\n}\n"), ("a.go", "func B() {\n}\n")], "rel_path string, content string")
+    with pytest.raises(ValueError, match="one path"):
+        ingest_files(store, "p", files, E)
+    assert store.projects() == []
+
+
 def test_a_path_prefix_is_a_whole_folder(spark, tmp_path):
     store = MemoryStore(spark, str(tmp_path / "home"))
     files = spark.createDataFrame([("svc/a/x.md", "one\n"), ("svc/ab/y.md", "two\n")], "rel_path string, content string")
