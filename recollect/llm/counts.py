@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.tokens import encoder, tokenizer_path
+from recollect.llm.words import pieces
 
 #: Documents of more tokens than this are marked.
 LIMIT = 2048
@@ -25,7 +26,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text")
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             n = pa.array(known.count(texts.to_pylist()), pa.int64())

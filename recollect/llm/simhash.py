@@ -21,12 +21,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.base import fresh, row_hash
 from recollect.llm.components import components
+from recollect.llm.words import pieces
 from recollect.session import Scratch, broadcast_if_small
 
 BITS, TAU, SHINGLE, SEED = 64, 2, 3, 42
@@ -65,10 +67,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _fingerprint_batch(texts: pd.Series) -> pd.Series:
-    return pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
-
-
 def hexadecimal(column: str) -> F.Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
@@ -244,7 +242,13 @@ def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """``doc_id, row, fp`` of every row."""
-    return docs.select("doc_id", row_hash(docs).alias("row"), F.pandas_udf(_fingerprint_batch, "long")("text").alias("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            prints = [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], ["doc_id", "row", "fp"])
+
+    return docs.select("doc_id", row_hash(docs).alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def classes(prints: DataFrame, scratch: Scratch) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from recollect.llm import codec
 from recollect.llm.files import Written, read, shared_folder
 from recollect.llm.tokens import encoder, tokenizer_path
+from recollect.llm.words import pieces
 from recollect.session import Scratch
 
 #: The id that ends a document, ids and documents to a block (a longer document is one block).
@@ -36,14 +37,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                ids = [x + end for x in known.encode(some.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(_packed, ids), pa.binary())],
-                    ["doc_id", "n", "ids"],
-                )
+        for batch in pieces(batches):
+            ids = [x + end for x in known.encode(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(_packed, ids), pa.binary())],
+                ["doc_id", "n", "ids"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -65,7 +64,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             flat = np.frombuffer(b"".join(map(_unpacked, batch.column("ids").to_pylist())), dtype="<u4")
             found = np.bincount(flat, minlength=len(total))
             found[: len(total)] += total
@@ -130,7 +129,7 @@ def _chain(first, rest):
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     docs, ids, n = [], [], 0
-    for batch in batches:
+    for batch in pieces(batches):
         for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
             docs.append(doc)
             ids.append(_unpacked(packed))
@@ -172,7 +171,7 @@ def with_crc(rows: DataFrame) -> DataFrame:
     """``ids`` as the CRC-32 of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sums = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

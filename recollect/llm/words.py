@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses
 
@@ -88,7 +89,11 @@ def slices(sizes: list[int], most: int):
 
 
 def pieces(batches, rows: int = 500):
-    """Record batches of few rows, so that little is held beside what Arrow has sent."""
+    """Record batches of few rows, so that little is held beside what Arrow has sent.
+
+    A worker serves one task after the other, so what a task no longer needs goes back at its end.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
