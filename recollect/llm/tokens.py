@@ -24,7 +24,7 @@ import numpy as np
 #: Letters that are one code point in every normal form and whose lower case is one code point.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)?([.,!?;:*#$%&()\"\-]+)?")
 #: Words of one generation that a worker remembers; two generations are kept.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
