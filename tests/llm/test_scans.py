@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm_fixtures import DOCS, plain
+from llm_fixtures import DOCS
 from recollect.llm import langid, license, quality, rules, simhash
 from recollect.llm.base import table
 from recollect.session import Scratch
