@@ -11,7 +11,6 @@ from recollect.catalog import views as V
 from recollect.functions import text as X
 from recollect.functions.patterns import path_filter
 from recollect.functions.vectors import decode_float32, dot, encode_float32
-from recollect.functions.embedding import embed
 from recollect.operators import aggregates, diff, listing, overlap
 from recollect.operators.dedup import greedy_dedup
 from recollect.operators.knn import top_k
