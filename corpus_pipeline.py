@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import decontaminate, mixing, quality, simhash, token_files
-from recollect.llm.base import table
-from recollect.session import Scratch
+from recollect.llm.base import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

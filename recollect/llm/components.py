@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.session import Scratch
+from recollect.llm.base import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:

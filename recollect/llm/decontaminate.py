@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.base import fresh, row_hash
+from recollect.llm.base import Scratch, fresh, row_hash
 from recollect.llm.words import NOT_ALNUM, Words, gram_hashes, pieces, slices
-from recollect.session import Scratch, broadcast_if_small
+from recollect.session import broadcast_if_small
 
 #: Words to a seed; how often by chance one may be expected in all documents.
 SEED, EXPECTED = 3, 1.0

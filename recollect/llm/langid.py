@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.base import Scratch
 from recollect.llm.words import pieces, slices
-from recollect.session import Scratch
 
 #: Trigrams are hashed to this many bits; pseudo-count of a trigram.
 BITS, ALPHA = 15, 0.5

@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.base import WORD, fresh, quoted, row_hash
-from recollect.session import Scratch
+from recollect.llm.base import WORD, Scratch, fresh, quoted, row_hash
 
 #: Weights dealt to the sources in code point order, again and again.
 WEIGHTS = (5, 2, 1)

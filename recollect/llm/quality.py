@@ -20,8 +20,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.base import SPACE, fresh, row_hash
-from recollect.session import Scratch, broadcast_if_small
+from recollect.llm.base import SPACE, Scratch, fresh, row_hash
+from recollect.session import broadcast_if_small
 
 #: Base rules.
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20

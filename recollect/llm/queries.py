@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import counts, decontaminate, langid, license, mixing, quality, repeats, simhash, token_files, warc
-from recollect.llm.base import table
-from recollect.session import Scratch
+from recollect.llm.base import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.base import row_hash
+from recollect.llm.base import Scratch, row_hash
 from recollect.llm.words import Words, gram_hashes, pieces, slices
-from recollect.session import Scratch, broadcast_if_small
+from recollect.session import broadcast_if_small
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of text to a block, and to a piece that is hashed at once.

@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.base import fresh, row_hash
+from recollect.llm.base import Scratch, fresh, row_hash
 from recollect.llm.components import components
 from recollect.llm.words import pieces
-from recollect.session import Scratch, broadcast_if_small
+from recollect.session import broadcast_if_small
 
 BITS, TAU, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints under one key that are compared with each other; more are linked by stars.

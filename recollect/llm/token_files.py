@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import codec
+from recollect.llm.base import Scratch
 from recollect.llm.files import Written, read, shared_folder
 from recollect.llm.tokens import encoder, tokenizer_path
 from recollect.llm.words import pieces
-from recollect.session import Scratch
 
 #: The id that ends a document, ids and documents to a block (a longer document is one block).
 END_ID, BLOCK_IDS, BLOCK_DOCS = 2, 1 << 19, 20_000

@@ -19,9 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.base import row_hash
+from recollect.llm.base import Scratch, row_hash
 from recollect.llm.files import Written, read, reading, shared_folder
-from recollect.session import Scratch
 
 #: Payloads below this size are never replaced by a reference.
 REVISIT_FROM = 100
