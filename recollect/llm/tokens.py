@@ -19,12 +19,10 @@ import re
 import struct
 from collections import deque
 
-import numpy as np
-
 #: Letters that are one code point in every normal form and whose lower case is one code point.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)?([.,!?;:*#$%&()\"\-]+)?")
 #: Words of one generation that a worker remembers; two generations are kept.
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,6 +66,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self._suffix = model["end_of_word_suffix"]
+        self._merge = self._tokenizer.model.tokenize
         self.whole = self._prove(model["vocab"])
         self._words, self._parts = _Memory(), _Memory()
 
@@ -83,7 +82,7 @@ class WordEncoder:
         ids = self.whole.get(part) or self._parts[part]
         if ids is None:
             shown = part if part.isascii() else "".join([_BYTES[b] for b in part.encode()])
-            ids = self._parts[part] = _ids([t.id for t in self._tokenizer.model.tokenize(shown)])
+            ids = self._parts[part] = _ids([t.id for t in self._merge(shown)])
         return ids
 
     def _learn(self, words: list[bytes]) -> None:
