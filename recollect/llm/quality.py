@@ -3,8 +3,12 @@
 Statistics are taken from whole texts. The method part estimates location and scatter of a
 transformed statistic vector per language and source by the minimum covariance determinant:
 starting from robust starting values, concentration steps keep the three quarters of a group's
-documents with the smallest Mahalanobis distance and estimate anew from those. A document whose
-distance to its group's final estimate is beyond the cut is rejected.
+documents with the smallest Mahalanobis distance and estimate anew from those. The reweighting step
+then estimates once more from all documents within a quantile of chi-squared, and a document whose
+distance to that estimate is beyond a far quantile is rejected.
+
+A document of n words varies as 1 + SIZE / n. Distances are divided by that, and the estimates give
+each document the inverse as its weight, so that both speak of the same scatter.
 
 All sums are grouped aggregations with partial sums; a group is never gathered. The quantile of
 the distances within a group comes from a histogram with a bounded number of bins. Estimates are
@@ -34,11 +38,14 @@ VECTOR = {"v_chars": 0.2, "v_symbols": 0.04, "v_upper": 0.04, "v_marks": 0.04, "
 KEEP, STEPS, PULL = 0.75, 3, 50
 #: The scatter of the central three quarters of a normal distribution in five dimensions, inverse.
 CONSISTENT = 1.41
+#: Reweighting: the 0.975 quantile of chi-squared with five degrees of freedom, and the scatter
+#: inside it, inverse: 0.975 by the share that chi-squared with seven degrees has below it.
+WITHIN, WITHIN_CONSISTENT = 12.833, 1.0555
 #: A document of n words varies as 1 + SIZE / n.
 SIZE = 100
-#: Squared distance beyond which a document is rejected: far beyond the 0.99999 quantile of
-#: chi-squared with five degrees of freedom (30.9), since the tails of real statistics are heavy.
-CUT = 150.0
+#: Squared distance beyond which a document is rejected: the 0.99999 quantile of chi-squared with
+#: five degrees of freedom.
+CUT = 30.856
 #: Files of a table of groups: few, so that their footers don't hide how small it is.
 FILES = 8
 #: Bins of the histogram of squared distances: to one e-fold, and the range of the logarithm.
@@ -128,15 +135,19 @@ def measured(docs: DataFrame) -> DataFrame:
 # -- estimates ----------------------------------------------------------------
 
 
+def _weight() -> Column:
+    return F.col("n_words") / (F.col("n_words") + SIZE)
+
+
 def _moments(rows: DataFrame) -> DataFrame:
-    """Count, sums and sums of products for each group."""
-    names = list(VECTOR)
-    sums = [F.sum(F.col(a)).alias(f"s_{a}") for a in names]
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+    """Count, and weighted sums and sums of products, for each group."""
+    names, w = list(VECTOR), _weight()
+    sums = [F.sum(w).alias("s_w"), *[F.sum(w * F.col(a)).alias(f"s_{a}") for a in names]]
+    products = [F.sum(w * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
     return rows.groupBy(*GROUP).agg(F.count("*").cast("double").alias("s"), *sums, *products)
 
 
-def _pooled(moments: DataFrame, groups: DataFrame) -> DataFrame:
+def _pooled(moments: DataFrame, groups: DataFrame, consistent: float) -> DataFrame:
     """Means ``m_*`` and the inverse Cholesky factor's ingredients ``l_*`` of every group.
 
     A group's moments are joined by those of its language with the weight of PULL documents,
@@ -155,11 +166,11 @@ def _pooled(moments: DataFrame, groups: DataFrame) -> DataFrame:
     names = list(VECTOR)
     cov = means.select(
         *GROUP,
-        *[F.col(f"s_{a}").alias(f"m_{a}") for a in names],
+        *[(F.col(f"s_{a}") / F.col("s_w")).alias(f"m_{a}") for a in names],
         *[
             (
-                (F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}")) * CONSISTENT
-                + (VECTOR[a] ** 2 if a == b else 0.0)
+                (F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("s_w")) * consistent
+                + (F.col("s_w") * VECTOR[a] ** 2 if a == b else F.lit(0.0))
             ).alias(f"c{i}{j}")
             for i, a in enumerate(names)
             for j, b in list(enumerate(names))[i:]
@@ -184,8 +195,7 @@ def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
         left = reduce(add, [F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)], F.lit(0.0))
         joined = joined.withColumn(f"y{i}", (F.col(a) - F.col(f"m_{a}") - left) / F.col(f"l{i}{i}"))
     squared = reduce(add, [F.col(f"y{i}") ** 2 for i in range(len(VECTOR))])
-    distance = squared * F.col("n_words") / (F.col("n_words") + SIZE)
-    return joined.select(*rows.columns, distance.alias("distance"))
+    return joined.select(*rows.columns, (squared * _weight()).alias("distance"))
 
 
 def _start(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -226,7 +236,7 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, groups: DataFrame, scrat
     last = upto.where(F.col("upto") >= F.col("total") * KEEP).groupBy(*GROUP).agg(F.min("bin").alias("last_bin"))
     last = scratch.keep(last.coalesce(FILES))
     central = _with_bin(rows, estimate).join(last, list(GROUP)).where("bin <= last_bin")
-    return scratch.keep(_pooled(_moments(central), groups).coalesce(FILES))
+    return scratch.keep(_pooled(_moments(central), groups, CONSISTENT).coalesce(FILES))
 
 
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,6 +253,8 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     estimate = scratch.keep(_start(sound, groups).coalesce(FILES))
     for _ in range(STEPS):
         estimate = _concentrated(sound, estimate, groups, scratch)
+    within = _with_distance(sound, estimate).where(F.col("distance") <= WITHIN)
+    estimate = scratch.keep(_pooled(_moments(within), groups, WITHIN_CONSISTENT).coalesce(FILES))
     judged = _with_distance(rows, estimate)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.withColumn("kept", kept).drop(*GROUP, *VECTOR)

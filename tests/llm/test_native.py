@@ -58,6 +58,35 @@ def test_outlier_goes_and_clean_stays(spark, scratch):
     assert kept == {r[0] for r in clean}
 
 
+def test_moderate_junk_goes_as_surely_as_clean_stays(spark, scratch):
+    """Some four to nine of a hundred characters are symbols, in texts of 40 to 90 words."""
+    say = lambda i, k: f"word{(i * 31 + k * 17) % 997}"
+    rest = [(i, " ".join(say(i, k) for k in range(40 + i % 50)), "en", "s", 0) for i in range(300)]
+    clean = [(1000 + i, " ".join(say(i, k + 5) + ("," if k % 9 == i % 9 else "") for k in range(40 + i)), "en", "s", 0) for i in range(50)]
+    junk = [
+        (2000 + i, " ".join(say(i, k + 3) + ("" if k % 3 else " |" if i % 2 else " #$") for k in range(40 + i)), "en", "s", 0)
+        for i in range(50)
+    ]
+    rows = spark.createDataFrame(rest + clean + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in quality.keep_good(rows, scratch).collect()}
+    assert kept == {r[0] for r in rest + clean}
+
+
+def test_distances_of_clean_normal_rows_are_chi_squared(spark, scratch):
+    """The cut is a quantile only if the estimates and the distances mean the same scatter."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 400, 6000)
+    own = rng.normal(size=(6000, 5)) * np.sqrt(1 + quality.SIZE / n)[:, None] * 3
+    names = ["n_words", *quality.VECTOR]
+    rows = spark.createDataFrame([(*quality.GROUP, int(a), *map(float, b)) for a, b in zip(n, own)], "lang_key string, source_key string, n_words long, " + ", ".join(f"{v} double" for v in quality.VECTOR))
+    groups = rows.select(*quality.GROUP).distinct()
+    estimate = quality._pooled(quality._moments(rows.select(*quality.GROUP, *names)), groups, 1.0)
+    got = np.array([r["distance"] for r in quality._with_distance(rows, estimate).select("distance").collect()])
+    assert abs(np.median(got) - 4.35) < 0.3 and np.mean(got > quality.CUT) < 0.001
+
+
 def test_group_of_equal_rows_has_no_scatter(spark, scratch):
     rows = spark.createDataFrame(
         [(i, "the very same words stand here in each of all these documents today", "en", "s", 0) for i in range(30)],
