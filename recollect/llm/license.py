@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recollect.llm.rules import Rule, build
+from recollect.llm.rules import FAMILIES, TAG, Rule, build, identifiers
 from recollect.llm.words import NOT_ALNUM, Words, pieces, slices
 
 #: The base phrases and their labels, as fixed by the contract.
@@ -48,7 +48,7 @@ def _compiled():
 
     rules, gated = build(), {}
     for rule in rules:
-        if rule.keyword != SHORT:
+        if rule.keyword != SHORT and rule.form != "tag":
             gated.setdefault(rule.keyword, []).append(rule)
     automaton = ahocorasick.Automaton()
     for keyword, some in gated.items():
@@ -58,13 +58,23 @@ def _compiled():
         key = b"base:" + phrase.encode()
         held = automaton.get(word, ())
         automaton.add_word(word, (*held, key))
+    automaton.add_word("spdx-license-identifier", ("tag",))
     automaton.make_automaton()
+    tags = {tag.encode(): [r for r in rules if r.form == "tag" and r.pattern.fullmatch(b"spdx-license-identifier:" + tag.encode())][0] for f in FAMILIES for tag in f.spdx}
     inside = rb"[0-9a-z\x80-\xff]"
     base = {
         b"base:" + p.encode(): (label, re.compile(rb"(?<!" + inside + rb")" + (_OUTSIDE + rb"+").join(w.encode() for w in p.split()) + rb"(?!" + inside + rb")"))
         for p, label in BASE.items()
     }
-    return automaton, base, [r for r in rules if r.keyword == SHORT]
+    return automaton, base, [r for r in rules if r.keyword == SHORT], tags
+
+
+def tagged(text: bytes, tags: dict[bytes, Rule]) -> Iterator[Detection]:
+    """Each known licence of each SPDX expression; the first one's detection includes the keyword."""
+    for keyword in TAG.finditer(text):
+        for k, (name, start, end) in enumerate(identifiers(text, keyword.end())):
+            if name in tags:
+                yield Detection(tags[name], start if k else keyword.start(), end)
 
 
 def settle(found: list[Detection]) -> list[Detection]:
@@ -85,13 +95,15 @@ def settle(found: list[Detection]) -> list[Detection]:
 
 def scan(text: bytes) -> tuple[list[tuple[str, int]], list[Detection]]:
     """Places of the base phrases, ``label, start``, and the settled detections of a lower-cased text."""
-    automaton, base, short = _compiled()
+    automaton, base, short, tags = _compiled()
     gates = set()
     for _, value in automaton.iter(text.decode("latin-1")):
         gates.update(value)
     places, found = [], []
     for gate in gates:
-        if isinstance(gate, bytes):
+        if gate == "tag":
+            found += tagged(text, tags)
+        elif isinstance(gate, bytes):
             label, pattern = base[gate]
             own = [(label, m.start()) for m in pattern.finditer(text)]
             places += own

@@ -78,17 +78,19 @@ FAMILIES = (
     Family("upl", ("universal permissive license",), ("upl-1.0",), ("1.0",), ("opensource.org/licenses/upl",)),
 )
 
-_GAP = rb"[^0-9a-z\x80-\xff]{1,4}"
+_OUTSIDE = rb"[^0-9a-z\x80-\xff]"
+_GAP = _OUTSIDE + rb"++"
 _BEFORE, _AFTER = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
 
 
 def _phrase(text: str) -> bytes:
-    """Words of ``text`` in a row, with whatever short punctuation stands between them."""
+    """Words of ``text`` in a row, with whatever stands between them outside words."""
     return _GAP.join(re.escape(w.encode()) for w in re.findall(r"[0-9a-z]+", text))
 
 
 def _version(text: str) -> bytes:
-    return rb"(?:,?[\s(]{1,3}(?:version|licence|license|v\.?)?[\s]{0,2})" + _phrase(text)
+    named = _GAP + rb"(?:version|v)" + _OUTSIDE + rb"*+"
+    return rb"(?:" + named + rb"|,?[\s(]{1,3}(?:licence|license)?[\s]{0,2})" + _phrase(text)
 
 
 #: Forms of a rule, the surest first: its name, its weight.
@@ -114,6 +116,33 @@ def _patterns(f: Family):
         yield "sentence", word, _phrase(sentence)
 
 
+TAG = re.compile(_BEFORE + rb"spdx-license-identifier:")
+_IDENTIFIER = rb"[0-9a-z]+(?:[.:-][0-9a-z]+)*+\+?"
+#: The next part of an expression: on the same line, or on the next lines within parentheses.
+_PART = re.compile(rb"[ \t]*+(\(|\)|" + _IDENTIFIER + _AFTER + rb")")
+_INNER = re.compile(rb"[\s*#/;]*+(\(|\)|" + _IDENTIFIER + _AFTER + rb")")
+_JOINS = (b"and", b"or", b"with")
+
+
+def identifiers(text: bytes, start: int):
+    """``identifier, start, end`` of each licence in the SPDX expression at ``start``, exceptions left out."""
+    depth, expected, last = 0, True, b""
+    while part := (_INNER if depth else _PART).match(text, start):
+        word, start = part[1], part.end()
+        if word == b"(" and expected:
+            depth += 1
+        elif word == b")" and not expected and depth:
+            depth -= 1
+        elif not expected and word in _JOINS:
+            expected, last = True, word
+        elif expected and word not in (b"(", b")"):
+            if last != b"with":
+                yield re.sub(rb"(?:-only|-or-later|\+)$", b"", word), part.start(1), part.end(1)
+            expected, last = False, b""
+        else:
+            return
+
+
 def build() -> list[Rule]:
     """All rules in order: by form, and within a form as the families stand."""
     rank, weight = {name: k for k, (name, _) in enumerate(FORMS)}, dict(FORMS)

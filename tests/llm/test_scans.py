@@ -42,6 +42,27 @@ def labels(text):
     return [(d.rule.label, d.rule.form) for d in license.scan(text.encode())[1]]
 
 
+@pytest.mark.parametrize("expression, want", [
+    ("mit or apache-2.0", ["mit", "apache"]),
+    ("(mit and (bsd-3-clause or\n *    gpl-2.0-or-later with classpath-exception-2.0)) or isc", ["mit", "bsd", "gpl", "isc"]),
+    ("licenseref-own or mpl-2.0+ */", ["mpl"]),
+    ("gpl-2.0-only with mit", ["gpl"]),
+    ("mit\nor isc", ["mit"]),
+    ("mit-0 or zlib.", ["zlib"]),
+    ("mit mit license", ["mit", "mit"]),
+])
+def test_spdx_expressions(expression, want):
+    assert [x for x, _ in labels("// spdx-license-identifier: " + expression)] == want
+
+
+def test_wrapped_in_deep_comments():
+    deep = "\n" + " " * 40 + "*" + " " * 9
+    for text in ("permission is hereby granted,\n * free of charge", f"licensed under{deep}the apache license", f"apache license,{deep}version 2.0"):
+        assert labels(text) == [(x, form) for x, form in labels(" ".join(text.replace("*", " ").split()))] != []
+    assert labels(f"permission is hereby granted,{deep}free of charge") == [("mit", "sentence")]
+    assert labels("licensed" + " \n" * 200_000) == []
+
+
 def test_rules():
     found = rules.build()
     assert len(found) > 300 and [r.priority for r in found] == list(range(len(found)))
