@@ -100,12 +100,16 @@ class Passages:
         return self.bits[np.searchsorted(self.vocabulary, words)]
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The best local alignment: places of equal words in both, and its length with gaps."""
+def align(item: np.ndarray, words: np.ndarray, equal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The best local alignment: places of equal words in both, and its length with gaps.
+
+    ``equal`` says which pairs of words may count as equal; by default all that are.
+    """
     m, n = len(item), len(words)
     best = np.zeros((m + 1, n + 1), dtype=np.int32)
     slide = np.arange(n + 1, dtype=np.int32) * -GAP
-    equal = item[:, None] == words[None, :]
+    if equal is None:
+        equal = item[:, None] == words[None, :]
     for i in range(1, m + 1):
         row = np.zeros(n + 1, dtype=np.int32)
         row[1:] = np.maximum(best[i - 1, :-1] + np.where(equal[i - 1], MATCH, OTHER), best[i - 1, 1:] + GAP)
@@ -127,23 +131,66 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.array(ours[::-1], dtype=np.int64), np.array(theirs[::-1], dtype=np.int64), length
 
 
+def similar_part(ours: np.ndarray, theirs: np.ndarray, bits: np.ndarray, enough: int, needed: float) -> tuple[int, int, int] | None:
+    """The part of an alignment with the most equal words that is good enough: first, last, length.
+
+    Between equal words an optimal alignment takes as many steps as the longer side has words. For
+    each last word the earliest first word that leaves a share of SIMILAR is the best of its parts.
+    """
+    steps = np.concatenate([[0], np.cumsum(np.maximum(np.diff(ours), np.diff(theirs)))])
+    level = np.arange(len(ours)) - SIMILAR * steps
+    last = np.arange(len(ours))
+    first = np.searchsorted(-np.minimum.accumulate(level), -(level + 1 - SIMILAR + 1e-9), "left")
+    many, upto = last - first + 1, np.concatenate([[0.0], np.cumsum(bits)])
+    good = np.flatnonzero((many >= enough) & (upto[last + 1] - upto[first] >= needed))
+    if not len(good):
+        return None
+    b = int(good[np.argmax(many[good])])
+    a = int(first[b])
+    return a, b, int(steps[b] - steps[a]) + 1
+
+
+def _windows(low: int, high: int, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of bounded width that overlap by what a good part of an alignment can span."""
+    span = math.ceil(size / SIMILAR) + 2
+    while high - low > 4 * span:
+        yield low, low + 4 * span
+        low += 3 * span
+    yield low, high
+
+
 def _judge(passages: Passages, piece: int, words: np.ndarray, places: np.ndarray, at: np.ndarray):
-    """The best alignment of a piece with the parts of a text around the seeds, if good enough."""
+    """The longest good part of an alignment of a piece with the text around the seeds, if any.
+
+    An alignment runs on beyond an exact part through words that are hardly alike, so every part of
+    it is considered; and where it holds none that is longer than the best so far, so do further
+    alignments that share no pair of words with it, as long as their scores allow for one.
+    """
     item, best = passages.words[piece], None
+    enough = min(ENOUGH, math.ceil(SIMILAR * len(item)))
+    needed = math.log2(max(passages.total, 1)) + BEYOND
+    worth = MATCH + OTHER * (1 / SIMILAR - 1)  # the least score of a good part to an equal word
     begins = places - at
     order = np.argsort(begins, kind="stable")
     cuts = np.flatnonzero(np.diff(begins[order]) > len(item)) + 1
-    for group in np.split(begins[order], cuts):
-        low = max(0, int(group[0]) - len(item) // 4 - 2)
-        high = int(group[-1]) + len(item) + len(item) // 4 + 2
-        ours, theirs, length = align(item, words[low:high])
-        if not len(ours):
-            continue
-        score = len(ours) / length
-        enough = min(ENOUGH, math.ceil(SIMILAR * len(item)))
-        rare = passages.information(item[ours]).sum() >= math.log2(max(passages.total, 1)) + BEYOND
-        if score >= SIMILAR and len(ours) >= enough and rare and (best is None or len(ours) > best[1]):
-            best = (score, len(ours), low + int(theirs[0]), low + int(theirs[-1]))
+    for group in np.split(order, cuts):
+        low = max(0, int(begins[group[0]]) - len(item) // 4 - 2)
+        high = min(len(words), int(begins[group[-1]]) + len(item) + len(item) // 4 + 2)
+        for a, b in _windows(low, high, len(item)):
+            if not ((places[group] >= a) & (places[group] < b)).any():
+                continue
+            equal = item[:, None] == words[None, a:b]
+            while True:
+                ours, theirs, length = align(item, words[a:b], equal)
+                score = MATCH * len(ours) + OTHER * (length - len(ours))
+                if not len(ours) or score < worth * max(enough, best[1] + 1 if best else 0):
+                    break
+                part = similar_part(ours, theirs, passages.information(item[ours]), enough, needed)
+                if part and (best is None or part[1] - part[0] + 1 > best[1]):
+                    first, last, span = part
+                    n = last - first + 1
+                    best = (n / span, n, a + int(theirs[first]), a + int(theirs[last]))
+                equal[ours, theirs] = False
     return best
 
 

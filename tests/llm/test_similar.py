@@ -256,6 +256,50 @@ def test_contaminated(spark, scratch):
     assert {r["doc_id"] for r in decontaminate.keep_uncontaminated(df, bench, scratch).collect()} == {3, 8, 9, 10}
 
 
+def found_places(item, text):
+    """What is found of one item in one text, in a corpus of a million words."""
+    passages = decontaminate.Passages.of([{"item_id": 1, "text": " ".join(item)}])
+    passages.weigh(np.zeros(len(passages.vocabulary), dtype=np.int64), 1_000_000)
+    return [hit[1:] for _, hit in decontaminate._hits([" ".join(text).encode()], 0, passages)]
+
+
+@pytest.mark.parametrize("inserted", [0, 3, 12, 20, 39, 45, 400])
+def test_split_copy(inserted):
+    rng = random.Random(inserted)
+    item, other = [f"i{k}" for k in range(40)], lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    (score, n, _, first, last), = found_places(item, other(30) + item[:20] + other(inserted) + item[20:] + other(30))
+    assert n == (20 if inserted >= 12 else 40) and score == n / (40 + inserted if n == 40 else 20)
+    assert last - first + 1 == (40 + inserted if n == 40 else 20)
+
+
+def test_half_edited_copies():
+    item = [f"i{k}" for k in range(40)]
+    worse = [w if k % 2 else f"o{k}" for k, w in enumerate(item)]
+    for text in (item[:20] + worse[20:], worse[:20] + item[20:], worse[:12] + item[12:28] + worse[28:]):
+        (score, n, *_), = found_places(item, ["x"] * 9 + text + ["y"] * 9)
+        assert score >= 0.8 and n >= 16
+    assert found_places(item, worse) == []
+
+
+def test_exact_core_beside_a_better_alignment():
+    item = [f"i{k}" for k in range(80)]
+    weak = [w for k, w in enumerate(item[20:]) for w in ([w] if k % 3 else [w, f"o{k}", f"p{k}"])]
+    text = item[:14] + [f"q{k}" for k in range(40)] + [w if k % 5 < 3 else f"r{k}" for k, w in enumerate(weak)]
+    (score, n, _, first, _), = found_places(item, text)
+    assert score >= 0.8 and n >= 13
+
+
+def test_copy_in_a_long_text_of_seeds():
+    """Every second word run is a seed; windows are bounded and the copy lies across two of them."""
+    item = [f"i{k}" for k in range(40)]
+    span = 52
+    for shift in range(3 * span - 20, 4 * span + 20, 7):
+        filler = [w for k in range(shift // 5 + 1) for w in (*item[5:8], f"o{k}", f"p{k}")][:shift]
+        (score, n, *_), = found_places(item, filler + item + [w for k in range(200) for w in (*item[30:33], f"s{k}", f"t{k}")])
+        assert score >= 0.8 and n >= 40
+    assert max(b - a for a, b in decontaminate._windows(0, 10**6, 400)) < 2100
+
+
 def test_contaminated_in_slices_and_empty(spark, docs, widened, empty, scratch, monkeypatch):
     bench = spark.createDataFrame(
         [(k, r["text"][:400]) for k, r in enumerate(docs.where("length(text) > 500").orderBy("doc_id", "text").limit(4).collect())],
