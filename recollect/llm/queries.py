@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import counts, decontaminate, langid, license, mixing, quality, repeats, simhash, token_files, warc
+from recollect.llm import (
+    counts,
+    decontaminate,
+    filter_audit,
+    langid,
+    license,
+    mixing,
+    neighbours,
+    quality,
+    repeats,
+    simhash,
+    token_files,
+    warc,
+    whitening,
+)
 from recollect.llm.base import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +140,78 @@ WITH d AS (
 ), k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM c WHERE upto <= (SELECT sum(size) * CAST(1.5 AS DOUBLE) FROM d) GROUP BY doc_id)
 SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(k.taken, 0) AS taken FROM r LEFT JOIN k ON r.doc_id = k.doc_id
 """
+
+
+@query
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+ORACLES["op11_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and([coalesce(isfinite(c), false) FOR c IN embedding])
+    AND list_bool_or([c <> 0 FOR c IN embedding])
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS least FROM r GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(c.least, e.vec_id), e.vec_id) AS component_id,
+  coalesce(least(c.least, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), g AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id
+), w AS (
+  SELECT d.*, regexp_extract_all(t, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(words) < 50 AS a,
+    100 * len(list_distinct(words)) < 65 * len(words) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > first, false) AS e
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+), m AS (
+  SELECT part, a, b, c, d, e, a::INT + b::INT + c::INT + d::INT + e::INT AS fails, count(*) AS n,
+    count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS o FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), k AS (
+  SELECT m.*, o, least(CASE WHEN a THEN instr(o, 'A') ELSE 9 END, CASE WHEN b THEN instr(o, 'B') ELSE 9 END,
+    CASE WHEN c THEN instr(o, 'C') ELSE 9 END, CASE WHEN d THEN instr(o, 'D') ELSE 9 END,
+    CASE WHEN e THEN instr(o, 'E') ELSE 9 END) AS r
+  FROM m, o
+), z AS (
+  SELECT k.*, s, substr(o, s, 1) AS x,
+    CASE substr(o, s, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS failed
+  FROM k, range(1, 6) y(s)
+), u AS (
+  SELECT part, o AS filter_order, s::INT AS step, x, coalesce(sum(n) FILTER (r > s), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (r = s), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failed AND r < s), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed AND fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (r = s), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (r = s), 0)::BIGINT AS toxic_lost
+  FROM z GROUP BY part, o, s, x
+)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM u
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), Scratch(spark))
