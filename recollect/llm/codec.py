@@ -129,10 +129,11 @@ class Codebook:
 _BLOCK = struct.Struct("<4sIIIIII")
 
 
-def pack_block(book: Codebook, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """Documents as one block: their ids (little-endian 32-bit) and doc_ids, null or not."""
-    lens = np.array([len(x) // 4 for x in ids], dtype="<u4")
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
+def pack_block(book: Codebook, doc_ids: list[int | None], ids: list[bytes | np.ndarray]) -> bytes:
+    """Documents as one block: their ids (arrays, or little-endian 32-bit numbers) and doc_ids, null or not."""
+    ids = [np.frombuffer(x, dtype="<u4") if isinstance(x, bytes) else x for x in ids]
+    lens = np.array([len(x) for x in ids], dtype="<u4")
+    flat = np.concatenate([np.zeros(0, dtype="<u2"), *ids])
     bits, marks = book.encode(flat)
     steps = np.diff(marks, prepend=np.uint64(0)).astype("<u4")
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)

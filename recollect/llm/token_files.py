@@ -1,12 +1,14 @@
 """Token ids of whole texts in binary files, in order of the documents, and back.
 
 Texts are tokenized where they lie; only ids are shuffled. The codes come from the counts of all
-ids. Files hold independent blocks of whole documents; the table of blocks says where each lies
-and which ids it holds, so that any block is read by itself.
+ids. A file begins with its codebook, then come independent blocks of whole documents, then the
+table of its blocks, which says where each lies and what it holds, so that any block is read by
+itself, by any later application.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -14,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import codec
@@ -26,37 +28,36 @@ from recollect.llm.words import pieces
 #: The id that ends a document, ids and documents to a block (a longer document is one block).
 END_ID, BLOCK_IDS, BLOCK_DOCS = 2, 1 << 19, 20_000
 
-_BLOCKS = (
-    "file string, part int, block int, at long, size long, n_docs long, n_ids long"
-)
+#: Blocks that one task reads.
+BLOCKS_A_TASK = 16
+
+_BLOCKS = "file string, part int, block int, at long, size long, n_docs long, n_ids long"
+#: The end of a file: for each block its place, size, documents and ids; then part, blocks and a mark.
+_ROW, _TAIL, _MARK = "<QQQQ", "<II4s", b"IDT1"
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """``doc_id, n, ids`` for every row; ``ids`` are packed. A null text is an empty one."""
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    """``doc_id, n, ids`` for every row; ``ids`` are packed. A null text is an empty one.
+
+    Packed ids begin with the number of bytes that each has, two wherever the vocabulary allows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
+        head, size = known.kind[-1].encode(), int(known.kind[-1])
+        end = b"" if end_id is None else int(end_id).to_bytes(size, "little")
         for batch in pieces(batches):
-            ids = [x + end for x in known.encode(batch.column("text").to_pylist())]
+            ids = [head + x + end for x in known.packed(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(_packed, ids), pa.binary())],
+                [batch.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "n", "ids"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def _packed(ids: bytes) -> bytes:
-    """Ids in two bytes each where they fit."""
-    values = np.frombuffer(ids, dtype="<u4")
-    if len(values) and values.max() > 0xFFFF:
-        return b"4" + ids
-    return b"2" + values.astype("<u2").tobytes()
-
-
-def _unpacked(data: bytes) -> bytes:
-    return data[1:] if data[:1] == b"4" else np.frombuffer(data, dtype="<u2", offset=1).astype("<u4").tobytes()
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[:1].decode()}", offset=1)
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -65,7 +66,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in pieces(batches):
-            flat = np.frombuffer(b"".join(map(_unpacked, batch.column("ids").to_pylist())), dtype="<u4")
+            flat = np.concatenate([np.zeros(0, dtype="<u2"), *map(_unpacked, batch.column("ids").to_pylist())])
             found = np.bincount(flat, minlength=len(total))
             found[: len(total)] += total
             total = found
@@ -78,39 +79,47 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_files(tokens: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
+def write_files(
+    tokens: DataFrame, folder: str, scratch: Scratch, block_ids: int = BLOCK_IDS, block_docs: int = BLOCK_DOCS
+) -> DataFrame:
     """Write ``doc_id, n, ids`` rows to files in ascending order of ``doc_id``, nulls last.
 
-    Returns the table of blocks, with ``start``, the ids in all blocks before. A file is one range
+    Returns the table of all files' blocks, with ``start``, the ids in all blocks before. A file is one range
     of documents. Equal doc_ids stand together, in order of their ids.
     """
     dumped = codec.Codebook(codec.code_lengths(id_counts(tokens))).dump()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        blocks = _blocks(batches)
+        blocks = _blocks(batches, block_ids, block_docs)
         first = next(blocks, None)
         if first is None:
             return
         book, url, rows = codec.Codebook.load(dumped), f"{folder}/ids-{part:06d}.bin", []
         with Written(url) as out:
             out.write(len(dumped).to_bytes(4, "little") + dumped)
-            for number, (docs, ids) in enumerate(_chain(first, blocks)):
+            for docs, ids in _chain(first, blocks):
                 data = codec.pack_block(book, docs, ids)
-                rows.append((url, part, number, out.write(data), len(data), len(docs), sum(map(len, ids)) // 4))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names).cast(schema)
+                rows.append((out.write(data), len(data), len(docs), sum(map(len, ids))))
+            out.write(b"".join(struct.pack(_ROW, *r) for r in rows) + struct.pack(_TAIL, part, len(rows), _MARK))
+        yield _block_rows(url, part, rows)
 
-    names = [c.split()[0] for c in _BLOCKS.split(", ")]
-    schema = pa.schema(
-        [("file", pa.string()), ("part", pa.int32()), ("block", pa.int32())]
-        + [(n, pa.int64()) for n in ("at", "size", "n_docs", "n_ids")]
-    )
     order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
     placed = tokens.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    blocks = scratch.keep(placed.select("doc_id", "ids").mapInArrow(run, _BLOCKS))
+    return _started(scratch.keep(placed.select("doc_id", "ids").mapInArrow(run, _BLOCKS)))
+
+
+def _block_rows(url: str, part: int, rows: list[tuple]) -> pa.RecordBatch:
+    columns = [[url] * len(rows), [part] * len(rows), list(range(len(rows))), *zip(*rows)]
+    types = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in _BLOCKS.split(", ")])
+
+
+def _started(blocks: DataFrame) -> DataFrame:
+    """The table of blocks with ``start``, the ids in all blocks before; a row a file reaches the driver."""
     parts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     starts = list(accumulate((n for _, n in parts), initial=0))
-    table = tokens.sparkSession.createDataFrame(
+    table = blocks.sparkSession.createDataFrame(
         [(p, s) for (p, _), s in zip(parts, starts)], "in_part int, part_start long"
     )
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,26 +131,43 @@ def write_files(tokens: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     )
 
 
+def find_blocks(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+    """The table of blocks of the files in ``folder``, from the files' own ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                part, n, mark = struct.unpack(_TAIL, read(url, size - struct.calcsize(_TAIL)))
+                if mark != _MARK:
+                    raise ValueError(f"{url} has no table of blocks")
+                rows = n * struct.calcsize(_ROW)
+                table = read(url, size - struct.calcsize(_TAIL) - rows, rows)
+                yield _block_rows(url, part, list(struct.iter_unpack(_ROW, table)))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("path", "length")
+    return _started(scratch.keep(files.mapInArrow(run, _BLOCKS)))
+
+
 def _chain(first, rest):
     yield first
     yield from rest
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_ids: int, block_docs: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     docs, ids, n = [], [], 0
     for batch in pieces(batches):
         for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
             docs.append(doc)
             ids.append(_unpacked(packed))
-            n += len(ids[-1]) // 4
-            if n >= BLOCK_IDS or len(docs) >= BLOCK_DOCS:
+            n += len(ids[-1])
+            if n >= block_ids or len(docs) >= block_docs:
                 yield docs, ids
                 docs, ids, n = [], [], 0
     if docs:
         yield docs, ids
 
 
-def read_files(blocks: DataFrame) -> DataFrame:
+def read_files(blocks: DataFrame, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, from the files; ids are 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +189,9 @@ def read_files(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    spread = blocks.repartition(F.col("file"), F.col("block")).sortWithinPartitions("file", "block")
+    # A number of its own: by size alone, Spark would join these few bytes to one task.
+    tasks = max(1, -(-blocks.count() // blocks_a_task))
+    spread = blocks.repartitionByRange(tasks, "start", "file", "block").sortWithinPartitions("start", "file", "block")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -57,8 +57,9 @@ class Words:
         sizes = np.array([len(t or b"") + 1 for t in texts], dtype=np.int64)
         self.text_starts = np.cumsum(sizes) - sizes
         self.raw = np.frombuffer(self.data, dtype=np.uint8)
+        self.gaps = outside[self.raw]
         gap = np.ones(len(self.raw) + 2, dtype=bool)
-        gap[1:-1] = outside[self.raw]
+        gap[1:-1] = self.gaps
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         self.bounds = np.append(np.searchsorted(self.starts, self.text_starts), len(self.starts))
