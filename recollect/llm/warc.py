@@ -31,21 +31,30 @@ VERSION, PROFILE = b"WARC/1.1", b"http://netpreserve.org/warc/1.1/revisit/identi
 DATE = b"1970-01-01T00:00:00Z"
 
 
-def record(page_id: int | None, row: int, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One record. ``payload`` is None for a revisit, whose HTTP header still tells the full size."""
+def _name(page_id: int | None, row: int) -> bytes:
+    return b"<urn:page:%s:%016x>" % (b"null" if page_id is None else b"%d" % page_id, row % (1 << 64))
+
+
+def record(
+    page_id: int | None, row: int, url: str | None, payload: bytes | None, digest: str, size: int,
+    refers_to: tuple[int, int] | None,
+) -> bytes:
+    """One record. ``payload`` is None for a revisit, whose HTTP header still tells the full size.
+
+    ``refers_to`` is the page id and row of a record, whose own id the revisit names.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    name = lambda i: b"<urn:page:%s>" % (b"null" if i is None else b"%d" % i)
     head = [
         VERSION,
         b"WARC-Type: " + (b"response" if payload is not None else b"revisit"),
-        b"WARC-Record-ID: <urn:page:%s:%016x>" % (b"null" if page_id is None else b"%d" % page_id, row % (1 << 64)),
+        b"WARC-Record-ID: " + _name(page_id, row),
         b"WARC-Date: " + DATE,
         b"WARC-Target-URI: " + _header(url),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
         b"Content-Type: application/http; msgtype=response",
     ]
     if payload is None:
-        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + name(refers_to)]
+        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + _name(*refers_to)]
     block = http + (payload or b"")
     head.append(b"Content-Length: %d" % len(block))
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -74,7 +83,9 @@ def parse(data: bytes) -> dict:
         "type": headers[b"WARC-Type"].decode(),
         "digest": headers[b"WARC-Payload-Digest"].partition(b":")[2].decode(),
         "size": int(fields[b"Content-Length"]),
-        "refers_to": int(refers[10:-1]) if refers and refers[10:-1] != b"null" else None,
+        "refers_to": int(refers.split(b":")[2]) if refers else None,
+        "record_id": headers[b"WARC-Record-ID"].decode(),
+        "refers_to_record": refers.decode() if refers else None,
         "url": headers[b"WARC-Target-URI"].decode(),
         "payload": payload,
     }
@@ -82,47 +93,66 @@ def parse(data: bytes) -> dict:
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Whole records from a stream of bytes, by the length that each states."""
-    held = b""
+    held, at = bytearray(), 0
     chunks = iter(chunks)
 
     def fill(n: int) -> bool:
-        nonlocal held
-        parts, size = [held], len(held)
-        while size < n:
+        """Whether ``n`` bytes are held from ``at``; what has been given out is dropped only then."""
+        nonlocal at
+        while len(held) - at < n:
             more = next(chunks, None)
             if more is None:
-                break
-            parts.append(more)
-            size += len(more)
-        held = b"".join(parts)
-        return size >= n
+                return False
+            if at:
+                del held[:at]
+                at = 0
+            held.extend(more)
+        return True
 
     while fill(1):
-        end = held.find(b"\r\n\r\n")
-        while end < 0:
-            if not fill(len(held) + 1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not fill(len(held) - at + 1):
                 raise ValueError("a record has no end of headers")
-            end = held.find(b"\r\n\r\n")
+        end -= at
         # Header lines only: a payload may hold anything.
-        length = next(int(x[16:]) for x in held[:end].split(b"\r\n") if x.startswith(b"Content-Length: "))
+        head = bytes(held[at : at + end])
+        length = next(int(x[16:]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))
         size = end + 4 + length + 4
         if not fill(size):
             raise ValueError("a record is cut off")
-        yield held[:size]
-        held = held[size:]
+        yield bytes(held[at : at + size])
+        at += size
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """What a gzip file holds, whether of one member or many, CHUNK by CHUNK."""
-    unzip = zlib.decompressobj(31)
+    """What a gzip file holds, whether of one member or many, CHUNK by CHUNK.
+
+    Raises ValueError where the last member has no end.
+    """
+    unzip, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             out = unzip.decompress(data, CHUNK)
             if out:
                 yield out
             data = unzip.unconsumed_tail
             if unzip.eof:
-                data, unzip = unzip.unused_data, zlib.decompressobj(31)
+                data, unzip, begun = unzip.unused_data, zlib.decompressobj(31), False
+    if begun:
+        if out := unzip.flush():
+            yield out
+        if not unzip.eof:
+            raise ValueError("a gzip stream is cut off")
+
+
+def page_of(data: bytes) -> int | None:
+    """The page id in a record's headers."""
+    at = data.index(b"WARC-Record-ID: <urn:page:") + 26
+    page = data[at : data.index(b":", at)]
+    return None if page == b"null" else int(page)
 
 
 def member(data: bytes) -> bytes:
@@ -134,7 +164,7 @@ def member(data: bytes) -> bytes:
 
 
 def with_records(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """What each page's record says: ``page_id, row, url, payload, digest, size, refers_to``.
+    """What each page's record says: ``page_id, row, url, payload, digest, size, refers_to, refers_row``.
 
     Of equal payloads of REVISIT_FROM bytes or more, the smallest page_id is stored and the others
     refer to it, without their payload. Pages are joined to first pages by digest; these are kept
@@ -146,13 +176,15 @@ def with_records(pages: DataFrame, scratch: Scratch) -> DataFrame:
         F.octet_length(body).cast("long").alias("size"),
     )
     shared = known.where(F.col("size") >= REVISIT_FROM).groupBy(F.col("digest").alias("shared")).agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")
+    )
+    shared = scratch.keep(
+        shared.where("n > 1").select("shared", F.col("least.page_id").alias("first"), F.col("least.row").alias("first_row"))
     )
-    shared = scratch.keep(shared.where("n > 1").drop("n"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.join(shared, F.col("digest") == F.col("shared"), "left").select(
         "page_id", "row", "url", F.when(~revisit, F.col("html")).alias("payload"), "digest", "size",
-        F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_row")).alias("refers_row"),
     )
 
 
@@ -168,7 +200,8 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     out, packer, size = Written(url), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
                     files.append(url)
                 payload = r["payload"].encode() if r["payload"] is not None else None
-                data = record(r["page_id"], r["row"], r["url"], payload, r["digest"], r["size"], r["refers_to"])
+                first = (r["refers_to"], r["refers_row"]) if payload is None else None
+                data = record(r["page_id"], r["row"], r["url"], payload, r["digest"], r["size"], first)
                 out.write(packer.compress(data))
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -183,15 +216,15 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return records.mapInArrow(run, "file string")
 
 
-#: An entry of the index: offset and size.
-_ENTRY = "<QI"
+#: An entry of the index: offset, size, whether there is a page id, and that id.
+_ENTRY = "<QI?q"
 
 
 def normalise(archives: DataFrame) -> DataFrame:
     """Rewrite each archive as ``*.members.warc.gz`` with an index ``*.members.idx`` beside it.
 
-    The index is one line of JSON (format, records), then for every record its offset and the size
-    of its member, 12 bytes each. Returns ``file, index, n``. A file is one task's work: the gzip
+    The index is one line of JSON (format, records), then for every record its offset, the size of
+    its member and its page id, 21 bytes each. Returns ``file, index, n``. A file is one task's work: the gzip
     stream can't be entered in the middle.
     """
 
@@ -202,26 +235,40 @@ def normalise(archives: DataFrame) -> DataFrame:
                 target, index, entries = f"{stem}.members.warc.gz", f"{stem}.members.idx", []
                 with Written(target) as out, reading(url) as stream:
                     for data in split_records(inflated(stream)):
-                        packed = member(data)
-                        entries.append(struct.pack(_ENTRY, out.write(packed), len(packed)))
+                        packed, page = member(data), page_of(data)
+                        entries.append(struct.pack(_ENTRY, out.write(packed), len(packed), page is not None, page or 0))
                 with Written(index) as side:
-                    side.write(json.dumps({"format": "warc-members-1", "records": len(entries)}).encode() + b"\n")
+                    side.write(json.dumps({"format": "warc-members-2", "records": len(entries)}).encode() + b"\n")
                     side.write(b"".join(entries))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([target]), pa.array([index]), pa.array([len(entries)], pa.int64())], ["file", "index", "n"]
                 )
 
-    # One archive to a partition as far as there are any: each is a single stream.
-    files = archives.repartition(F.col("file"))
-    return files.mapInArrow(run, "file string, index string, n long")
+    # One archive to a task: each is a single stream.
+    return a_task_each(archives).mapInArrow(run, "file string, index string, n long")
 
 
-def read_index(data: bytes) -> list[tuple[int, int]]:
+def a_task_each(files: DataFrame) -> DataFrame:
+    """The kept table ``files`` with a partition for each row, which Spark would join by their few bytes."""
+    return files.repartitionByRange(max(1, files.count()), "file")
+
+
+def _index(data: bytes) -> list[tuple[int, int, bool, int]]:
     head, _, body = data.partition(b"\n")
     assert json.loads(head)["records"] * struct.calcsize(_ENTRY) == len(body)
     return list(struct.iter_unpack(_ENTRY, body))
 
 
+def read_index(data: bytes) -> list[tuple[int, int]]:
+    """Offset and size of every member."""
+    return [(at, size) for at, size, _, _ in _index(data)]
+
+
+def indexed_pages(data: bytes) -> list[int | None]:
+    """The page id of every member."""
+    return [page if known else None for _, _, known, page in _index(data)]
+
+
 def read_archives(members: DataFrame) -> DataFrame:
     """Every record, member by member at the places that the index tells.
 
@@ -249,7 +296,7 @@ def read_archives(members: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
-    return members.repartition(F.col("file")).mapInArrow(
+    return a_task_each(members).mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
