@@ -150,20 +150,26 @@ def _moments(rows: DataFrame) -> DataFrame:
 def _pooled(moments: DataFrame, groups: DataFrame, consistent: float) -> DataFrame:
     """Means ``m_*`` and the inverse Cholesky factor's ingredients ``l_*`` of every group.
 
-    A group's moments are joined by those of its language with the weight of PULL documents,
-    and these by those of all documents. One row per group, no documents.
+    ``moments`` is a kept table of one row a group. A group's moments are joined by those of its
+    language with the weight of PULL documents, and these by those of all documents, which are one
+    row and so become constants. Where no document has been counted at all, all are null.
     """
+    names = list(VECTOR)
     parts = [c for c in moments.columns if c not in GROUP]
-    full = groups.join(moments, list(GROUP), "left").na.fill(0.0, parts)
-    every, lang = Window.partitionBy(F.lit(1)), Window.partitionBy("lang_key")
-    wide = full
-    for c in parts:
-        wide = wide.withColumn(f"a_{c}", F.sum(c).over(every)).withColumn(f"b_{c}", F.sum(c).over(lang))
-    mean_all = {c: F.col(f"a_{c}") / F.col("a_s") for c in parts}
-    mean_lang = {c: (F.col(f"b_{c}") + PULL * mean_all[c]) / (F.col("b_s") + PULL) for c in parts}
+    every = moments.agg(*[F.sum(c).alias(c) for c in parts]).first()
+    if not every["s"] or not every["s_w"]:
+        nothing = [F.lit(None).cast("double").alias(c) for c in _columns()]
+        return groups.select(*GROUP, *nothing)
+    of_lang = moments.groupBy(F.col("lang_key").alias("b_key")).agg(*[F.sum(c).alias(f"b_{c}") for c in parts])
+    own = moments.withColumnsRenamed({g: f"own_{g}" for g in GROUP})
+    full = (
+        groups.join(own, [F.col(g) == F.col(f"own_{g}") for g in GROUP], "left")
+        .join(of_lang, F.col("lang_key") == F.col("b_key"), "left")
+        .na.fill(0.0, parts + [f"b_{c}" for c in parts])
+    )
+    mean_lang = {c: (F.col(f"b_{c}") + PULL * every[c] / every["s"]) / (F.col("b_s") + PULL) for c in parts}
     mean = {c: (F.col(c) + PULL * mean_lang[c]) / (F.col("s") + PULL) for c in parts}
-    means = wide.select(*GROUP, *[mean[c].alias(c) for c in parts])
-    names = list(VECTOR)
+    means = full.select(*GROUP, *[mean[c].alias(c) for c in parts])
     cov = means.select(
         *GROUP,
         *[(F.col(f"s_{a}") / F.col("s_w")).alias(f"m_{a}") for a in names],
@@ -184,8 +190,12 @@ def _pooled(moments: DataFrame, groups: DataFrame, consistent: float) -> DataFra
         for i in range(j + 1, size):
             left = reduce(add, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             cov = cov.withColumn(f"l{i}{j}", (F.col(f"c{j}{i}") - left) / F.col(f"l{j}{j}"))
-    keep = [f"m_{a}" for a in names] + [f"l{i}{j}" for i in range(size) for j in range(i + 1)]
-    return cov.select(*GROUP, *keep)
+    return cov.select(*GROUP, *_columns())
+
+
+def _columns() -> list[str]:
+    """What an estimate consists of."""
+    return [f"m_{a}" for a in VECTOR] + [f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)]
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -236,7 +246,12 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, groups: DataFrame, scrat
     last = upto.where(F.col("upto") >= F.col("total") * KEEP).groupBy(*GROUP).agg(F.min("bin").alias("last_bin"))
     last = scratch.keep(last.coalesce(FILES))
     central = _with_bin(rows, estimate).join(last, list(GROUP)).where("bin <= last_bin")
-    return scratch.keep(_pooled(_moments(central), groups, CONSISTENT).coalesce(FILES))
+    return _estimate(central, groups, CONSISTENT, scratch)
+
+
+def _estimate(rows: DataFrame, groups: DataFrame, consistent: float, scratch: Scratch) -> DataFrame:
+    moments = scratch.keep(_moments(rows).coalesce(FILES))
+    return scratch.keep(_pooled(moments, groups, consistent).coalesce(FILES))
 
 
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -244,8 +259,8 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``row`` is the hash of the whole row. Null texts have no words and fail the base rule, as all
     texts under MIN_WORDS do. Null languages and sources are groups of their own. Rows that fail the
-    base rule are no part of the estimates. Repeated rows are judged alike. An empty table gives an
-    empty result.
+    base rule are no part of the estimates; where none passes it, there are no distances and nothing
+    else is rejected. Repeated rows are judged alike. An empty table gives an empty result.
     """
     rows = scratch.keep(measured(docs))
     sound = rows.where(~F.col("base_failed"))
@@ -254,7 +269,7 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(STEPS):
         estimate = _concentrated(sound, estimate, groups, scratch)
     within = _with_distance(sound, estimate).where(F.col("distance") <= WITHIN)
-    estimate = scratch.keep(_pooled(_moments(within), groups, WITHIN_CONSISTENT).coalesce(FILES))
+    estimate = _estimate(within, groups, WITHIN_CONSISTENT, scratch)
     judged = _with_distance(rows, estimate)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.withColumn("kept", kept).drop(*GROUP, *VECTOR)
