@@ -219,3 +219,51 @@ def test_cut_off_records_are_noticed():
     data = warc.record(1, 1, "u", b"payload", "d", 7, None)
     with pytest.raises(ValueError):
         list(warc.split_records([data[:-9]]))
+
+
+def test_references_name_records_and_the_index_names_pages(spark, pages, scratch):
+    folder = files.shared_folder(spark, "test")
+    whole = scratch.keep(warc.write_archives(warc.with_records(pages, scratch), folder))
+    names, refers, paged = set(), [], []
+    for r in scratch.keep(warc.normalise(whole)).collect():
+        packed, index = files.read(r["file"]), files.read(r["index"])
+        found = [warc.parse(zlib.decompress(packed[a : a + n], 31)) for a, n in warc.read_index(index)]
+        names |= {x["record_id"] for x in found if x["type"] == "response"}
+        refers += [x["refers_to_record"] for x in found if x["type"] == "revisit"]
+        paged += list(zip(warc.indexed_pages(index), (x["page_id"] for x in found)))
+    assert refers and set(refers) <= names
+    assert len(paged) == pages.count() and all(a == b for a, b in paged)
+
+
+@pytest.mark.parametrize("lost", [1, 8, 9, 40])
+def test_cut_off_streams_are_noticed(lost):
+    data = warc.member(b"".join(warc.record(k, k, "u", b"p" * 500, "d", 500, None) for k in range(6)))
+    with pytest.raises(ValueError):
+        list(warc.split_records(warc.inflated(io.BytesIO(data[:-lost]))))
+
+
+def tasks_with_rows(df):
+    return sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+
+
+def test_archives_are_dealt_to_many_tasks(spark, pages, scratch, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    folder = files.shared_folder(spark, "test")
+    many = pages.where("page_id is not null").withColumn("page_id", F.col("page_id") * 10)
+    for k in range(1, 4):
+        many = many.union(pages.where("page_id is not null").withColumn("page_id", F.col("page_id") * 10 + k))
+    whole = scratch.keep(warc.write_archives(warc.with_records(many, scratch), folder))
+    n = whole.count()
+    assert n > 40 and tasks_with_rows(warc.normalise(whole)) >= n // 2
+    assert tasks_with_rows(warc.read_archives(scratch.keep(warc.normalise(whole)))) >= n // 2
+
+
+def test_blocks_are_dealt_to_many_tasks_and_found_again(spark, docs, scratch):
+    folder = files.shared_folder(spark, "test")
+    ids = scratch.keep(token_files.tokenized(docs, tokens.tokenizer_path()))
+    blocks = scratch.keep(token_files.write_files(ids, folder, scratch, block_ids=300))
+    assert tasks_with_rows(token_files.read_files(blocks, 2)) >= blocks.count() // 4 >= 4
+    again = token_files.find_blocks(spark, folder, scratch)
+    assert plain(token_files.read_files(again), "doc_id", "start", "n_tokens", "ids") == plain(
+        token_files.read_files(blocks), "doc_id", "start", "n_tokens", "ids"
+    )

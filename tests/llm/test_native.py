@@ -169,3 +169,106 @@ def test_mix_is_a_prefix_of_the_finish_times(docs, scratch):
     for r in rows.collect():
         got[r["row"]] += r["copies"]
     assert +got == want
+
+
+# -- the estimates against numpy ------------------------------------------------------
+
+
+def reference_scores(rows):
+    """The verdict of ``scored`` over measured rows, in numpy: starting values, steps, reweighting."""
+    import numpy as np
+
+    names, floors = list(quality.VECTOR), np.array(list(quality.VECTOR.values()))
+    key = [(r["lang_key"], r["source_key"]) for r in rows]
+    x = np.array([[r[v] for v in names] for r in rows], dtype=float)
+    n = np.array([r["n_words"] for r in rows], dtype=float)
+    w, good = n / (n + quality.SIZE), np.array([not r["base_failed"] for r in rows])
+    groups = sorted(set(key))
+    member = {g: np.array([k == g for k in key]) for g in groups}
+
+    def distances(estimate):
+        out = np.full(len(rows), np.nan)
+        for g in groups:
+            if estimate[g] is not None:
+                mean, scatter = estimate[g]
+                apart = x[member[g]] - mean
+                out[member[g]] = np.einsum("ij,jk,ik->i", apart, np.linalg.inv(scatter), apart) * w[member[g]]
+        return out
+
+    def pooled(chosen, consistent):
+        def sums(rows_):
+            s = rows_ & chosen
+            return np.concatenate([[s.sum(), w[s].sum()], w[s] @ x[s], (x[s].T @ (x[s] * w[s][:, None])).ravel()])
+
+        every, out = sums(np.ones(len(rows), dtype=bool)), {}
+        for g in groups:
+            lang = sums(np.array([k[0] == g[0] for k in key]))
+            own = sums(member[g])
+            up = (lang + quality.PULL * every / every[0]) / (lang[0] + quality.PULL)
+            mixed = (own + quality.PULL * up) / (own[0] + quality.PULL)
+            total, first, second = mixed[1], mixed[2:7], mixed[7:].reshape(5, 5)
+            out[g] = first / total, (second - np.outer(first, first) / total) * consistent + np.diag(total * floors**2)
+        return out
+
+    estimate = {}
+    for g in groups:
+        own = x[member[g] & good]
+        if len(own):
+            q = np.quantile(own, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+            estimate[g] = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floors) ** 2)
+        else:
+            estimate[g] = None
+    for _ in range(quality.STEPS):
+        d = distances(estimate)
+        bins = np.floor(np.clip(np.log(d + 1e-12), -20, 40) * 16)
+        chosen = np.zeros(len(rows), dtype=bool)
+        for g in groups:
+            own = np.flatnonzero(member[g] & good & ~np.isnan(d))
+            if len(own):
+                last = np.sort(bins[own])[max(0, int(np.ceil(len(own) * quality.KEEP)) - 1)]
+                chosen[own[bins[own] <= last]] = True
+        estimate = pooled(chosen, quality.CONSISTENT)
+    with np.errstate(invalid="ignore"):
+        within = good & (distances(estimate) <= quality.WITHIN)
+    return distances(pooled(within, quality.WITHIN_CONSISTENT))
+
+
+def test_distances_equal_numpy(spark, scratch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        n = int(rng.integers(3, 120))
+        kinds = [f"word{rng.integers(500)}", f"Word{rng.integers(500)},", f"#{rng.integers(90)}", "again"]
+        text = " ".join(rng.choice(kinds, p=[0.7, 0.2, 0.02, 0.08]) for _ in range(n))
+        rows.append((i, text, ["en", "de", None][i % 3], ["a", "a", "b", "c"][i % 4] if i < 890 else "tiny", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    measured = scratch.keep(quality.measured(docs)).collect()
+    want = dict(zip([r["doc_id"] for r in measured], reference_scores(measured)))
+    got = {r["doc_id"]: r for r in quality.scored(docs, scratch).collect()}
+    assert len(got) == len(want)
+    for i, d in want.items():
+        r = got[i]
+        assert math.isclose(r["distance"], d, rel_tol=1e-6, abs_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and d <= quality.CUT)
+
+
+@pytest.mark.parametrize("texts", [[None, "few words"], [None], ["a b c " * 60] * 3])
+def test_no_sound_document(spark, scratch, texts):
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = quality.scored(docs, scratch).collect()
+    assert len(rows) == len(texts) and all(r["base_failed"] and not r["kept"] and r["distance"] is None for r in rows)
+    assert quality.keep_good(docs, scratch).count() == 0
+
+
+def test_single_group_of_equal_rows(spark, scratch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)), None, None, 0)] * 4, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["kept"] for r in quality.scored(docs, scratch).collect()] == [True] * 4
+
+
+def test_no_window_over_everything(docs, scratch):
+    moments = scratch.keep(quality._moments(quality.measured(docs)))
+    groups = moments.select(*quality.GROUP)
+    plan = quality._pooled(moments, groups, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
