@@ -216,11 +216,14 @@ SELECT id, coalesce(occupied, 0)::INTEGER AS occupied, coalesce(weighted, 0)::BI
 
 # -- search -----------------------------------------------------------------------
 
-ORACLES["knn_top_k"] = """
-WITH scored AS (
-  SELECT e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
-  FROM embeddings e, embeddings q WHERE q.vec_id = 0)
-SELECT row_number() OVER (ORDER BY s DESC, id)::INTEGER AS rank, id, round(s, 6) AS score FROM scored ORDER BY rank LIMIT 10"""
+_ASKED = """WITH scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM scored)"""
+
+ORACLES["knn_top_k"] = f"{_ASKED} SELECT query_id, rank, id, round(s, 6) AS score FROM ranked WHERE rank <= 10"
+
+ORACLES["knn_cells"] = f"{_ASKED} SELECT query_id, rank, id, round(s, 6) AS score FROM ranked WHERE rank <= 5 AND s >= 0.9"
 
 _KNN = """WITH scored AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
@@ -316,6 +319,44 @@ ORACLES["recall_turns"] = _recall(
 
 ORACLES["dedup_greedy"] = _recall("notes", _NOTE_PROJECT, "true", "SELECT query_id, id, score FROM packed", 400)
 
+_COMMON = """sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+  common AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+  alike AS (SELECT x, y, common.n::DOUBLE / (sx.n + sy.n - common.n) AS similarity
+            FROM common JOIN sizes sx ON sx.id = x JOIN sizes sy ON sy.id = y
+            WHERE common.n::DOUBLE / (sx.n + sy.n - common.n) >= 0.85)"""
+
+ORACLES["similar_notes"] = f"""
+WITH sets AS (SELECT doc_id AS id, list_sort({_grams('text')}) AS g FROM documents),
+  firsts AS (SELECT min(id) AS id, g FROM sets GROUP BY g),
+  grams AS (SELECT id, unnest(g) AS g FROM firsts), {_COMMON}
+SELECT x AS a, y AS b, round(similarity, 9) AS similarity FROM alike"""
+
+ORACLES["dedup_long_list"] = f"""
+WITH RECURSIVE {_NOTES}, {_TURNS},
+  rows AS (SELECT id, text, content_hash, file_path, line_start, line_end FROM notes
+           UNION ALL SELECT -id - 1, text, content_hash, file_path, line_start, line_end FROM turns),
+  cands AS MATERIALIZED (
+    SELECT *, (((id * 7919) % 1000 + 1000) % 1000) / 1000 AS score,
+      row_number() OVER (ORDER BY (((id * 7919) % 1000 + 1000) % 1000) / 1000 DESC, id) AS rn FROM rows),
+  grams AS MATERIALIZED (SELECT id, unnest({_grams('text')}) AS g FROM rows), {_COMMON},
+  pairs AS (SELECT x, y FROM alike
+            UNION SELECT a.id, b.id FROM rows a JOIN rows b ON a.content_hash = b.content_hash AND a.id < b.id
+            UNION SELECT a.id, b.id FROM rows a JOIN rows b ON a.file_path = b.file_path AND a.id < b.id
+                  AND a.line_start <= b.line_end AND b.line_start <= a.line_end),
+  dups AS MATERIALIZED (SELECT l.rn, list(b.rn) AS better FROM cands l JOIN (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs) p ON p.x = l.id
+           JOIN cands b ON b.id = p.y AND b.rn < l.rn GROUP BY l.rn),
+  fold(rn, kept) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT c.rn, CASE WHEN list_has_any(f.kept, coalesce(d.better, []::BIGINT[])) THEN f.kept ELSE list_append(f.kept, c.rn) END
+    FROM fold f JOIN cands c ON c.rn = f.rn + 1 LEFT JOIN dups d ON d.rn = c.rn)
+SELECT id, score FROM cands WHERE list_contains((SELECT arg_max(kept, rn) FROM fold), rn)"""
+
+ORACLES["overlap_pairs"] = f"""
+WITH {_TURNS}
+SELECT x.id AS a, y.id AS b FROM turns x JOIN turns y ON x.file_path = y.file_path AND x.id < y.id
+  AND x.line_start <= y.line_end AND y.line_start <= x.line_end"""
+
 _FLOOD = f"""{_NOTES},
   first AS (SELECT arg_min(text, id) AS text, arg_min(content_hash, id) AS content_hash FROM notes),
   flood AS (SELECT * REPLACE ('all' AS project) FROM notes UNION ALL BY NAME

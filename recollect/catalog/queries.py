@@ -11,14 +11,16 @@ from recollect.catalog import views as V
 from recollect.functions import text as X
 from recollect.functions.patterns import path_filter
 from recollect.functions.vectors import decode_float32, dot, encode_float32
-from recollect.operators import aggregates, diff, listing, overlap
-from recollect.operators.dedup import greedy_dedup
+from recollect.operators import aggregates, cells, diff, listing, overlap
+from recollect.operators.dedup import SIMILARITY, greedy_dedup
+from recollect.operators.independent import greedy_dedup_spread
 from recollect.operators.knn import top_k
 from recollect.operators.numbering import first_rows, number_rows
 from recollect.operators.packing import pack_long, recall_stats
+from recollect.operators.similarity import similar_rows
 from recollect.plans import recall as R
 from recollect.plans.ingest import stored_chunks
-from recollect.session import spread
+from recollect.session import Scratch, spread
 from recollect.sources import legacy
 from recollect.sources.chunker import chunk_code_files, chunk_text_files
 from recollect.sources.store import with_ranges, without_ids
@@ -320,12 +322,27 @@ def hash_embedding(spark, sf):
 # -- search -----------------------------------------------------------------------
 
 
+def _asked_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All vectors as one namespace, and every twentieth of them as a question."""
+    everything = V.vectors(spark, sf).withColumn("project", F.lit("all"))
+    return everything, everything.where(C("id") % 20 == 0).select(C("id").alias("query_id"), "project", "embedding")
+
+
 @query
 def knn_top_k(spark, sf):
-    """The ten nearest vectors to vector 0, itself included, over one namespace."""
-    everything = V.vectors(spark, sf).withColumn("project", F.lit("all"))
-    asked = everything.where(C("id") == 0).select(C("id").alias("query_id"), "project", "embedding", F.lit(10).alias("fetch_k"))
-    return top_k(everything, asked).select("rank", "id", F.round("score", 6).alias("score"))
+    """The ten nearest vectors, themselves included, to every vector whose id 20 divides."""
+    everything, asked = _asked_vectors(spark, sf)
+    found = top_k(spread(everything, "id"), asked.withColumn("fetch_k", F.lit(10)))
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query
+def knn_cells(spark, sf):
+    """The same questions for five vectors with a score of 0.9 or more, by cells that can hold such."""
+    everything, asked = _asked_vectors(spark, sf)
+    scratch = Scratch(spark)
+    found = cells.search(cells.build(everything, scratch), asked.withColumns({"fetch_k": F.lit(5), "min_score": F.lit(0.9)}), scratch)
+    return found.hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def _every_vector(spark, sf, k: int) -> DataFrame:
@@ -415,6 +432,30 @@ def dedup_greedy(spark, sf):
     return greedy_dedup(scored).select("query_id", "id", "score")
 
 
+@query
+def dedup_long_list(spark, sf):
+    """All notes and turns as the candidates of one question, in an order of their own."""
+    columns = ["id", "text", "content_hash", "file_path", "line_start", "line_end"]
+    notes = V.notes(spark, sf, True).select(*columns)
+    turns = V.turns(spark, sf, True).select(-C("id") - 1, *columns[1:]).toDF(*columns)
+    score = F.pmod(C("id") * 7919, F.lit(1000)) / 1000
+    rows = notes.unionByName(turns).withColumns({"project": F.lit("all"), "query_id": F.lit(0), "score": score})
+    return greedy_dedup_spread(rows, Scratch(spark)).select("id", "score")
+
+
+@query
+def similar_notes(spark, sf):
+    """All pairs of notes of different shingles that are alike by 0.85 or more; equal ones are one, named by the first."""
+    rows = V.notes(spark, sf, True).select("id", X.shingle_hashes(C("text")).alias("grams"))
+    return similar_rows(rows, Scratch(spark), SIMILARITY).withColumn("similarity", F.round("similarity", 9))
+
+
+@query
+def overlap_pairs(spark, sf):
+    """Turns of one conversation whose lines overlap."""
+    return overlap.overlap_pairs(V.turns(spark, sf), "id", ["file_path"])
+
+
 @query
 def pack_budget(spark, sf):
     """Notes of each project in id order, packed into 5,000 tokens."""

@@ -66,3 +66,26 @@ def overlap_counts(chunks: DataFrame) -> DataFrame:
         .select(*chunks.columns, (F.col("opened") - F.col("closed") - 1).alias("overlaps"))
     )
     return counted.unionByName(chunks.where(~placed).withColumn("overlaps", F.lit(0).cast("long")))
+
+
+def overlap_pairs(ranges: DataFrame, id_column: str, keys: list[str], width: int | None = None) -> DataFrame:
+    """``a, b``: ids of rows with equal ``keys`` whose ranges ``line_start .. line_end`` overlap, ``a < b``.
+
+    Ranges are dealt into bins of ``width`` lines, by default the average length. Two ranges that
+    overlap share the bin in which the later one starts, and are a pair there alone. Rows without a
+    complete range, or with an end before the start, overlap nothing.
+    """
+    placed = ranges.where((F.col("line_start") <= F.col("line_end")) & F.col(id_column).isNotNull())
+    if width is None:
+        mean = placed.agg(F.avg(F.col("line_end").cast("long") - F.col("line_start") + 1)).first()[0]
+        width = max(1, round(mean or 1))
+    start, end = (F.floor(F.col(c) / width) for c in ("line_start", "line_end"))
+    binned = placed.select(
+        F.col(id_column).alias("id"), *keys, "line_start", "line_end", start.alias("first"), F.explode(F.sequence(start, end)).alias("bin")
+    )
+    # Each pair where the later range starts: one side is in its first bin.
+    later = binned.where(F.col("bin") == F.col("first")).select(*[F.col(c).alias(f"l_{c}") for c in ("id", *keys, "line_start", "bin")])
+    same = [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys] + [F.col("bin") == F.col("l_bin")]
+    earlier = (F.col("line_start") < F.col("l_line_start")) | ((F.col("line_start") == F.col("l_line_start")) & (F.col("id") < F.col("l_id")))
+    met = binned.join(later, [*same, earlier, F.col("line_end") >= F.col("l_line_start")])
+    return met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b"))

@@ -239,3 +239,53 @@ def test_model_helpers(tmp_path):
     assert text_windows("abcde", 2) == ["ab", "cd", "e"] and text_windows("", 2) == [""]
     with pytest.raises(Exception):
         OnnxEmbedder(str(tmp_path)).encode(["x"])
+
+
+# -- cells ---------------------------------------------------------------------------
+
+
+def _clustered(n=600, dim=24, seed=11):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((30, dim))
+    rows = centres[rng.integers(0, 30, n)] + 0.12 * rng.standard_normal((n, dim))
+    rows[0] = 0
+    rows[1:4] = rows[5]
+    return rows.astype(np.float32)
+
+
+@pytest.mark.parametrize("least", [None, 0.2, 0.9])
+def test_cells_give_what_a_scan_gives_and_read_less(spark, least):
+    from recollect.operators import cells
+    from recollect.session import Scratch
+
+    rows = _clustered()
+    data = [("a" if i % 3 else "b", i, v.tolist()) for i, v in enumerate(rows)]
+    vectors = spark.createDataFrame(data, "project string, id long, embedding array<float>")
+    asked = vectors.where("id % 7 = 0").select(F.col("id").alias("query_id"), "project", "embedding", F.lit(6).alias("fetch_k"))
+    with Scratch(spark) as scratch:
+        index = cells.build(vectors, scratch)
+        found = cells.search(index, asked.withColumn("min_score", F.lit(least).cast("double")), scratch)
+        got = sorted((r.project, r.query_id, r["rank"], r.id) for r in found.hits.collect())
+        work = {(r.project, r.query_id): r.compared for r in found.work.collect()}
+    scores = np.round(rows.astype(np.float64) @ rows.astype(np.float64).T, 9)
+    want = []
+    for project, q, _ in data:
+        if q % 7 == 0:
+            own = [i for p, i, _ in data if p == project and (least is None or scores[q, i] >= least)]
+            want += [(project, q, k + 1, i) for k, i in enumerate(sorted(own, key=lambda i: (-scores[q, i], i))[:6])]
+    assert got == sorted(want)
+    sizes = {p: sum(1 for x in data if x[0] == p) for p in "ab"}
+    assert len(work) == len({(p, q) for p, q, _ in data if q % 7 == 0})
+    if least != 0.2:
+        assert sum(work.values()) < 0.6 * sum(sizes[p] for p, q, _ in data if q % 7 == 0)
+
+
+def test_cells_of_nothing(spark):
+    from recollect.operators import cells
+    from recollect.session import Scratch
+
+    none = spark.createDataFrame([], "project string, id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", 1, [1.0], 3, None)], "project string, query_id long, embedding array<float>, fetch_k int, min_score double")
+    with Scratch(spark) as scratch:
+        found = cells.search(cells.build(none, scratch), asked, scratch)
+        assert found.hits.count() == 0 and [r.compared for r in found.work.collect()] == [0]
