@@ -1,9 +1,11 @@
 """Benchmark passages in training documents, also edited ones.
 
 The words of the benchmark are counted in all documents. From these counts follows how often each
-run of SEED words of an item is to be expected by chance; rare runs are seeds. Where a document
+run of SEED words of an item is to be expected by chance; rare runs are seeds, and so is the rarest
+run of every STRETCH of the item, so that no few edits can hit all of them. Where a document
 holds a seed, the item is aligned with the words around it by Smith-Waterman over words, and a pair
-is reported if the alignment is good and too long to be chance.
+is reported if the alignment is good and too long to be chance, or if the whole item stands there
+word by word, however short or common it is.
 
 Documents are read in place, twice, and never shuffled. The benchmark is the query set: it goes to
 the tasks in slices of bounded size, and more benchmark means more slices.
@@ -25,8 +27,9 @@ from recollect.llm.base import Scratch, fresh, row_hash
 from recollect.llm.words import NOT_ALNUM, Words, gram_hashes, pieces, slices
 from recollect.session import broadcast_if_small
 
-#: Words to a seed; how often by chance one may be expected in all documents.
-SEED, EXPECTED = 3, 1.0
+#: Words to a seed; how often by chance one may be expected in all documents; runs of which the
+#: rarest is a seed in any case.
+SEED, EXPECTED, STRETCH = 3, 1.0, 5
 #: Alignment scores of a match, another word, and a word too many or too few.
 MATCH, OTHER, GAP = 2, -1, -1
 #: What counts as contamination: this share of the aligned words equal, and this many of them, or
@@ -51,6 +54,8 @@ class Passages:
 
     items: list[int | None] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    whole: list[bool] = field(default_factory=list)  # whether a piece is its item
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
     bits: np.ndarray = field(default_factory=lambda: np.zeros(0))
     total: int = 0
@@ -67,6 +72,7 @@ class Passages:
             for k in range(0, len(words), PIECE):
                 self.items.append(row["item_id"])
                 self.words.append(words[k : k + PIECE])
+                self.whole.append(len(words) <= PIECE)
         if self.words:
             self.vocabulary = np.unique(np.concatenate(self.words))
         return self
@@ -78,17 +84,21 @@ class Passages:
         needed = math.log2(max(total, 1) / EXPECTED)
         seeds, piece, at = [], [], []
         for k, words in enumerate(self.words):
-            own = self.information(words)
-            sums = np.convolve(own, np.ones(min(SEED, len(own))), "valid")
-            good = np.flatnonzero(sums >= needed)
-            if not len(good):  # an item of frequent words only: its rarest runs
-                good = np.argsort(-sums, kind="stable")[: max(1, len(sums) // 4)]
             if len(words) < SEED:
                 continue
+            sums = np.convolve(self.information(words), np.ones(SEED), "valid")
+            rarest = [j + int(np.argmax(sums[j : j + STRETCH])) for j in range(0, len(sums), STRETCH)]
+            good = np.union1d(np.flatnonzero(sums >= needed), rarest).astype(np.int64)
             grams = gram_hashes(words, SEED)
             seeds.append(grams[good])
             piece.append(np.full(len(good), k))
             at.append(good)
+        for n in range(1, SEED):  # items without a seed are looked for as they are
+            own = [k for k, words in enumerate(self.words) if len(words) == n and self.whole[k]]
+            if own:
+                hashes = np.concatenate([gram_hashes(self.words[k], n) for k in own])
+                order = np.argsort(hashes, kind="stable")
+                self.short[n] = hashes[order], np.array(own)[order]
         if seeds:
             flat = np.concatenate(seeds)
             order = np.argsort(flat, kind="stable")
@@ -185,7 +195,8 @@ def _judge(passages: Passages, piece: int, words: np.ndarray, places: np.ndarray
                 score = MATCH * len(ours) + OTHER * (length - len(ours))
                 if not len(ours) or score < worth * max(enough, best[1] + 1 if best else 0):
                     break
-                part = similar_part(ours, theirs, passages.information(item[ours]), enough, needed)
+                least = 0.0 if passages.whole[piece] and len(ours) == length == len(item) else needed
+                part = similar_part(ours, theirs, passages.information(item[ours]), enough, least)
                 if part and (best is None or part[1] - part[0] + 1 > best[1]):
                     first, last, span = part
                     n = last - first + 1
@@ -242,9 +253,16 @@ def _hits(texts: list[bytes], first: int, passages: Passages):
     """``k, (item_id, score, ...)`` for each text and item that it holds."""
     words = Words(texts, NOT_ALNUM)
     hashes = words.hashes()
-    grams = gram_hashes(hashes, SEED)
-    if not len(passages.seeds) or not len(grams):
-        return
+    best: dict[tuple[int, int | None], tuple] = {}
+    for size, (known, owner) in passages.short.items():
+        grams = gram_hashes(hashes, size)
+        left, right = (np.searchsorted(known, grams, side) for side in ("left", "right"))
+        for at in np.flatnonzero(right > left):
+            k = int(np.searchsorted(words.bounds, at, "right")) - 1
+            if at + size <= words.bounds[k + 1]:
+                for p in owner[left[at] : right[at]]:
+                    best.setdefault((first + k, passages.items[p]), (1.0, size, size, int(at - words.bounds[k]), int(at - words.bounds[k]) + size - 1))
+    grams = gram_hashes(hashes, SEED) if len(passages.seeds) else hashes[:0]
     at = np.flatnonzero(passages.filter[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     left = np.searchsorted(passages.seeds, grams[at], "left")
     many = np.searchsorted(passages.seeds, grams[at], "right") - left
@@ -257,13 +275,12 @@ def _hits(texts: list[bytes], first: int, passages: Passages):
     order = np.lexsort((at, piece, text))
     at, text, piece, seed = at[order], text[order], piece[order], seed[order]
     cuts = np.flatnonzero(np.diff(text) | np.diff(piece)) + 1 if len(at) else []
-    best: dict[tuple[int, int | None], tuple] = {}
     for group in np.split(np.arange(len(at)), cuts) if len(at) else []:
         k, p = int(text[group[0]]), int(piece[group[0]])
         low, high = words.bounds[k], words.bounds[k + 1]
         hit = _judge(passages, p, hashes[low:high], at[group] - low, passages.seed_at[seed[group]])
         key = (first + k, passages.items[p])
-        if hit and (key not in best or hit[1] > best[key][1]):
+        if hit and (key not in best or hit[1] > best[key][1]):  # of equally long ones the first
             score, n, a, b = hit
             best[key] = (score, n, len(passages.words[p]), a, b)
     for (k, item), (score, *rest) in best.items():
@@ -275,9 +292,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``score`` is the share of equal words in the alignment, ``n_match`` their number, ``n_item`` the
     words of the item (of the piece found, for items above PIECE words), ``first_word`` and
-    ``last_word`` its place in the document. Null and empty texts on either side, and items below
-    SEED words, give no row. Repeated documents are reported each, items of one id together by
-    their best place. Empty tables give an empty result.
+    ``last_word`` its place in the document. An item that stands whole and unchanged is always
+    reported. Null and empty texts on either side give no row. Repeated documents are reported each,
+    items of one id together by the place with the most equal words; of places that tie, one is
+    told, always the same. Empty tables give an empty result.
     """
     named = docs.select("doc_id", row_hash(docs).alias("row"), "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -293,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that hold no benchmark passage, with their columns."""
-    bad = broadcast_if_small(scratch.keep(contaminated(docs, benchmark).select("row").distinct()))
+    bad = broadcast_if_small(scratch.keep(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), "row").distinct()))
     key = fresh(docs, "_row")
     named = docs.withColumn(key, row_hash(docs))
-    return named.join(bad, named[key] == bad["row"], "left_anti").drop(key)
+    return named.join(bad, (named[key] == bad["row"]) & named["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").drop(key)

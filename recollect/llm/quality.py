@@ -277,8 +277,8 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def keep_good(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that neither the base rule nor the method rejects, with their columns."""
-    rejected = scratch.keep(scored(docs, scratch).where(~F.col("kept")).select("row").distinct())
+    rejected = scratch.keep(scored(docs, scratch).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), "row").distinct())
     key = fresh(docs, "_row")
     named = docs.withColumn(key, row_hash(docs))
     bad = broadcast_if_small(rejected)
-    return named.join(bad, named[key] == bad["row"], "left_anti").drop(key)
+    return named.join(bad, (named[key] == bad["row"]) & named["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").drop(key)
