@@ -118,8 +118,8 @@ def correlated_groups(n: int, together: np.ndarray, parts: int) -> list[list[int
     return groups
 
 
-def allocate(costs: list[list[float]]) -> tuple[float, list[int]]:
-    """Thresholds from -1 upwards whose t + 1 add up to TAU + 1 at least cost.
+def allocate(costs: list[list[float]], tau: int = TAU) -> tuple[float, list[int]]:
+    """Thresholds from -1 upwards whose t + 1 add up to ``tau + 1`` at least cost.
 
     ``costs[i][t + 1]`` is what probing partition i with threshold t costs.
     """
@@ -129,10 +129,10 @@ def allocate(costs: list[list[float]]) -> tuple[float, list[int]]:
         for used, (total, chosen) in best.items():
             for t, price in enumerate(cost):
                 at = used + t
-                if at <= TAU + 1 and (at not in following or total + price < following[at][0]):
+                if at <= tau + 1 and (at not in following or total + price < following[at][0]):
                     following[at] = (total + price, [*chosen, t - 1])
         best = following
-    return best[TAU + 1]
+    return best[tau + 1]
 
 
 def _ball(width: int, radius: int) -> int:
@@ -284,15 +284,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The first document of every class with its columns; repeats of that row go as well."""
-    rows = scratch.keep(near_duplicates(docs, scratch))
-    dropped = rows.where(F.col("row") != F.col("first.row")).select("row").distinct()
-    repeated = scratch.keep(
-        rows.where(F.col("row") == F.col("first.row")).groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
-    )
+    return keep_firsts(docs, near_duplicates(docs, scratch), scratch)
+
+
+def keep_firsts(docs: DataFrame, classified: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that are ``first`` in the class that ``doc_id, row, first`` rows tell, once each."""
+    rows = scratch.keep(classified)
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    name = [F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")]
+    dropped = rows.where(~same).select(*name).distinct()
+    repeated = scratch.keep(rows.where(same).groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     key = fresh(docs, "_row")
     named = docs.withColumn(key, row_hash(docs))
     leave = broadcast_if_small(scratch.keep(dropped.union(repeated)))
     once = broadcast_if_small(repeated)
-    single = named.join(leave, named[key] == leave["row"], "left_anti")
-    again = named.join(once, named[key] == once["row"], "left_semi").dropDuplicates([key])
+    is_row = lambda of: (named[key] == of["of_row"]) & named["doc_id"].eqNullSafe(of["of_id"])
+    single = named.join(leave, is_row(leave), "left_anti")
+    again = named.join(once, is_row(once), "left_semi").dropDuplicates(["doc_id", key])
     return single.union(again).drop(key)

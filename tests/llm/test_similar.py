@@ -313,3 +313,30 @@ def test_contaminated_in_slices_and_empty(spark, docs, widened, empty, scratch,
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.keep_uncontaminated(widened, bench, scratch).columns == widened.columns
+
+
+@pytest.mark.parametrize("total", [10**4, 10**6, 10**9, 10**12])
+@pytest.mark.parametrize("often", [1 / 3000, 1 / 30])
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_whole_items_are_found_at_every_size(total, often, size):
+    """Short items of common words: nothing but the whole item tells."""
+    item = [f"c{k}" for k in range(size)]
+    passages = decontaminate.Passages.of([{"item_id": 7, "text": " ".join(item)}])
+    passages.weigh(np.full(len(passages.vocabulary), int(total * often)), total)
+    text = " ".join([f"x{k}" for k in range(30)] + item + ["y"])
+    hits = [hit for _, hit in decontaminate._hits([text.encode()], 0, passages)]
+    assert hits == [(7, 1.0, size, size, 30, 30 + size - 1)]
+    if size < 5:  # four of five words are enough where they are rare
+        assert not list(decontaminate._hits([" ".join(["a", *item[:-1], "b"]).encode()], 0, passages))
+
+
+def test_no_edit_hits_all_seeds():
+    """One rare word holds all runs that chance would not give; without it the copy is still found."""
+    words = [f"common{k}" for k in range(30)]
+    item = words[:15] + ["rare"] + words[15:]
+    passages = decontaminate.Passages.of([{"item_id": 1, "text": " ".join(item)}])
+    total = 10**9
+    counts = np.where(passages.vocabulary == decontaminate.Words([b"rare"], decontaminate.NOT_ALNUM).hashes()[0], 1, total // 3000)
+    passages.weigh(counts, total)
+    hits = [hit for _, hit in decontaminate._hits([" ".join(words[:15] + ["other"] + words[15:]).encode()], 0, passages)]
+    assert len(hits) == 1 and hits[0][2] == 30
