@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage works on what the one before it kept.
 
 1. quality rules: documents that the base rule or the robust outlier test rejects go;
-2. SimHash near-duplicates: of each class the document with the smallest id stays;
+2. SimHash near-duplicates within a wide radius, verified by five-word shingles: of each class the
+   document with the smallest id stays;
 3. benchmark decontamination: documents that hold a benchmark passage go;
 4. mixing: sources are read in proportion to their targets, some documents twice, some not at all;
 5. token files: what is left is tokenized, coded, written in order and read back.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import decontaminate, mixing, quality, simhash, token_files
+from recollect.llm import decontaminate, mixing, near_text, quality, token_files
 from recollect.llm.base import Scratch, table
 
 
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, Scratch(spark))
+    return near_text.keep_first(docs, Scratch(spark))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
