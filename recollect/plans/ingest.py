@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +15,11 @@ from recollect.operators.diff import CREATED, MOVED, STALE, by_language, classif
 from recollect.schema import KIND_CODE
 from recollect.session import Scratch
 from recollect.sources.chunker import ChunkOptions, chunk_code_files, chunk_files, chunk_text_files, is_code
+from recollect.sources.state import FileState, stored_chunks
 from recollect.sources.store import MemoryStore
 from recollect.operators.numbering import first_rows
 from recollect.sources.walk import listing, read_contents, walk
 
-def stored_chunks(memories: DataFrame, path_prefix: str | None = None) -> DataFrame:
-    rows = memories.where((F.col("kind") == KIND_CODE) & F.col("file_path").isNotNull())
-    if path_prefix:  # a folder or a file, not the first half of a name
-        whole = path_prefix.rstrip("/")
-        rows = rows.where((F.col("file_path") == whole) | F.startswith(F.col("file_path"), F.lit(whole + "/")))
-    return rows.select("id", "file_path", "content_hash", "line_start", "line_end")
-
 
 def hashed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("content_hash", content_hash(F.col("content")))
@@ -131,22 +126,37 @@ def ingest_tree(
 ) -> dict:
     """``ingest_files`` for a directory. A file that is now binary or filtered out counts as gone.
     A file that a limit of the caller's keeps from being read (``max_file_bytes``, ``max_files``)
-    is unknown: what is stored of it stays."""
-    started = time.monotonic()
+    is unknown: what is stored of it stays. A file whose size and times are those of the last run,
+    and whose stored chunks are what that run left, is not read again."""
+    started, listed_at = time.monotonic(), time.time_ns()
     found = walk(store.spark, root, respect_gitignore, include, exclude)
     with Scratch(store.spark) as scratch:
-        unread = None
+        found, unread = scratch.keep(found), None
         if max_files is not None or max_file_bytes is not None:
-            every = scratch.keep(found)
+            every = found
             found = every if max_files is None else scratch.keep(first_rows(every, [F.col("rel_path")], max_files))
             fitting = found if max_file_bytes is None else found.where(F.col("size") <= max_file_bytes)
             unread = scratch.keep(every.join(fitting.select("rel_path"), "rel_path", "left_anti").select("rel_path"))
-        listed, n_listed = listing(found, scratch)
-        # Paths are parted before contents are read, so each file is read once.
-        in_code = is_code(F.col("rel_path"))
-        code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
-        chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
-        counted = ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix, unread=unread)
+        state = FileState(store, project, root, options)
+        known = state.unchanged(found, scratch)
+        rest = found
+        for settled in (known, unread):
+            rest = rest if settled is None else rest.join(settled, "rel_path", "left_anti")
+        listed, n_rest = listing(rest, scratch)
+        same = unchanged_totals(known)
+        if known is not None and not n_rest and not state.vanished(found, unread, path_prefix):
+            counted = same
+        else:
+            # Paths are parted before contents are read, so each file is read once.
+            in_code = is_code(F.col("rel_path"))
+            code, text = (read_contents(listed.where(c), root, max_file_bytes) for c in (in_code, ~in_code))
+            chunks = chunk_text_files(text, options).unionByName(chunk_code_files(code, options))
+            left = [t.select("rel_path") for t in (unread, known) if t is not None]
+            alone = reduce(DataFrame.unionAll, left).distinct() if left else None
+            counted = together(same, ingest_chunks(store, project, chunks, embedder, dry_run, path_prefix, unread=alone))
+            if not dry_run:
+                state.save(found if max_file_bytes is None else found.where(F.col("size") <= max_file_bytes), listed_at, scratch)
+        n_listed = found.count()
     return {
         "root": os.path.abspath(root),
         "project": project,
@@ -155,3 +165,26 @@ def ingest_tree(
         **counted,
         "elapsedMs": round(1000 * (time.monotonic() - started)),
     }
+
+
+#: The counters of a run that finds nothing to do, in the order in which they are told.
+_COUNTERS = [
+    "filesScanned", "filesChanged", "filesDeleted", "chunksCreated", "chunksUpdated", "chunksUnchanged", "chunksDeleted",
+    "totalChunks",
+]
+
+
+def unchanged_totals(known: DataFrame | None) -> dict:
+    """The counters of files that were not read: ``chunks`` are what is stored of each."""
+    rows = [] if known is None else known.groupBy("lang").agg(
+        F.count_if(F.col("chunks") > 0).alias("files"), F.sum("chunks").alias("chunks")
+    ).where("chunks > 0").orderBy("lang").collect()
+    chunks = sum(r.chunks for r in rows)
+    counted = dict.fromkeys(_COUNTERS, 0) | {"filesScanned": sum(r.files for r in rows), "chunksUnchanged": chunks, "totalChunks": chunks}
+    return {**counted, "byLanguage": {r.lang: r.chunks for r in rows}, "chunksEmbedded": 0}
+
+
+def together(a: dict, b: dict) -> dict:
+    """Two sets of counters added up."""
+    languages = {lang: a["byLanguage"].get(lang, 0) + b["byLanguage"].get(lang, 0) for lang in sorted({*a["byLanguage"], *b["byLanguage"]})}
+    return {k: languages if k == "byLanguage" else a[k] + v for k, v in b.items()}

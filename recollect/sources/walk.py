@@ -28,7 +28,7 @@ SKIPPED_DIRECTORIES = [".git", ".hg", ".svn", "node_modules"]
 #: Contents that a reading task holds at once; a larger file is held alone.
 BATCH_BYTES = 64 << 20
 
-_SCHEMA = "rel_path string, size long"
+_SCHEMA = "rel_path string, size long, modified long, changed long"
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class _Branch:
 @dataclass
 class _Subtrees(InputPartition):
     branches: list[_Branch] = field(default_factory=list)
-    files: list[tuple[str, int]] = field(default_factory=list)
+    files: list[tuple[str, int, int, int]] = field(default_factory=list)
 
 
 class _TreeReader(DataSourceReader):
@@ -54,7 +54,7 @@ class _TreeReader(DataSourceReader):
         self.max_depth = int(options.get("max_depth", str(2**31)))
         self.wanted = int(options.get("subtrees", "64"))
 
-    def _enter(self, branch: _Branch) -> tuple[list[_Branch], list[tuple[str, int]]]:
+    def _enter(self, branch: _Branch) -> tuple[list[_Branch], list[tuple[str, int, int, int]]]:
         """The subdirectories and files of one directory, sorted, without the ignored ones."""
         folder = os.path.join(self.root, branch.rel) if branch.rel else self.root
         own = branch.ignore_files
@@ -77,9 +77,10 @@ class _TreeReader(DataSourceReader):
                     branches.append(_Branch(rel, branch.depth + 1, own))
             elif entry.is_file(follow_symlinks=False) and not ignored(rel, False, rules):
                 try:
-                    files.append((rel, entry.stat().st_size))
+                    stat = entry.stat()
                 except OSError:
                     continue
+                files.append((rel, stat.st_size, stat.st_mtime_ns, stat.st_ctime_ns))
         return branches, files
 
     def partitions(self) -> list[_Subtrees]:
@@ -95,7 +96,7 @@ class _TreeReader(DataSourceReader):
         parts = [_Subtrees(branches=dealt[i :: self.wanted]) for i in range(min(self.wanted, len(dealt)))]
         return [*parts, _Subtrees(files=files)]
 
-    def read(self, partition: _Subtrees) -> Iterator[tuple[str, int]]:
+    def read(self, partition: _Subtrees) -> Iterator[tuple[str, int, int, int]]:
         yield from partition.files
         stack = list(reversed(partition.branches))
         while stack:
@@ -105,7 +106,8 @@ class _TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").option("path", ...)``: rows of ``rel_path, size``."""
+    """``spark.read.format("source_tree").option("path", ...)``: rows of ``rel_path, size``, and when the
+    contents were ``modified`` and the entry ``changed`` (nanoseconds)."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,7 +130,7 @@ def walk(
     max_depth: int | None = None,
     skip_dirs: list[str] | None = None,
 ) -> DataFrame:
-    """The files under ``root`` as ``rel_path, size``; with ``max_files`` the first by path."""
+    """The files under ``root`` as ``rel_path, size, modified, changed``; with ``max_files`` the first by path."""
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {os.path.abspath(root)}")
     spark.dataSource.register(SourceTree)
