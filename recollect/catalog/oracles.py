@@ -80,6 +80,28 @@ SELECT page_id, (regexp_full_match(path, '[^/]*\.example\.[^/]*/e[^/]/.*') OR co
     AND NOT (regexp_full_match(path, '.*#top') OR contains(path, 'page=2')) AS keep
 FROM (SELECT page_id, regexp_extract(url, '^https?://(.*)$', 1) AS path FROM pages)"""
 
+ORACLES["ignored_paths"] = r"""
+WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://(.*)$', 1) AS path FROM pages),
+  places AS (SELECT path, n, n < len(s) AS folder, array_to_string(s[1:n], '/') AS place, s[n] AS name
+             FROM (SELECT path, string_split(path, '/') AS s FROM p), range(1, 40) r(n) WHERE n <= len(s)),
+  judged AS (
+    SELECT path, place,
+      -- The last rule that matches decides; a folder's own rules come after those above it.
+      CASE WHEN starts_with(place, 'ththin.example.com/en/') AND name = '671?utm_source=feed' THEN false
+           WHEN starts_with(place, 'ththin.example.com/en/')
+                AND regexp_matches(substr(place, 23), '(^|/)6[^/][^/][^/]*(/|$)') THEN true
+           WHEN starts_with(place, 'blog.ththan.example.net/') AND regexp_matches(substr(place, 25), '^en/[^/][0-5][^/]*(/|$)') THEN false
+           WHEN folder AND starts_with(place, 'blog.ththan.example.net/') AND regexp_matches(substr(place, 25), '(^|/)en(/|$)') THEN false
+           WHEN starts_with(place, 'blog.ththan.example.net/') THEN true
+           WHEN regexp_matches(place, '^m\.[^/]*\.net/(.*/)?[^/]*#top(/|$)') THEN false
+           WHEN regexp_matches(place, '(^|/)[0-4][^/]*\.html(/|$)') THEN true
+           WHEN folder AND regexp_matches(place, '^[^/]*\.net/fr(/|$)') THEN true
+           WHEN regexp_matches(place, '(^|/)[^/]*#top(/|$)') THEN true
+           WHEN regexp_matches(place, '(^|/)spam-farm\.[^/]*(/|$)') THEN true
+           ELSE false END AS bad
+    FROM places)
+SELECT path AS rel_path, bool_or(bad) AS ignored FROM judged GROUP BY path"""
+
 ORACLES["first_files"] = """
 SELECT 'site/' || page_id || '/page.html' AS rel_path FROM pages ORDER BY rel_path LIMIT 100"""
 
@@ -369,10 +391,10 @@ ORACLES["recall_copies"] = _recall(
 
 ORACLES["recall_same_id"] = _recall(
     "notes", "", "true",
-    """SELECT 'src' || (query_id // 1000) AS project, query_id % 1000 AS query_id, rank::INTEGER AS rank, id, score
+    """SELECT 'src' || (query_id // 1000000) AS project, query_id % 1000000 AS query_id, rank::INTEGER AS rank, id, score
 FROM packed WHERE rank <= 3""",
-    asked="""SELECT item_id + 1000 * p AS query_id, text, 'src' || p AS project
-           FROM benchmark, (VALUES (1::BIGINT), (2::BIGINT)) v(p) WHERE item_id < 4""",
+    asked="""SELECT item_id + 1000000 * p AS query_id, text, 'src' || p AS project
+           FROM benchmark, (VALUES (1::BIGINT), (2::BIGINT)) v(p)""",
 )
 
 ORACLES["pack_budget"] = f"""

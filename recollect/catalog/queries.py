@@ -23,6 +23,8 @@ from recollect.plans.ingest import stored_chunks
 from recollect.session import Scratch, spread
 from recollect.sources import legacy
 from recollect.sources.chunker import chunk_code_files, chunk_text_files
+from recollect.sources.ignore import ignored_paths as judge_paths
+from recollect.sources.ignore import rule_table
 from recollect.sources.store import with_ranges, without_ids
 from recollect.sources.walk import looks_binary
 
@@ -101,6 +103,22 @@ def path_patterns(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", keep.alias("keep"))
 
 
+#: Ignore files of a site map: rules of the root, of a domain's folder and of a language's below it.
+IGNORE_FILES = [
+    ("", "spam-farm.*\n*#top\n/*.net/fr/\n[0-4]*.html\n!m.*.net/**/*#top\n"),
+    ("blog.ththan.example.net", "*\n!en/\n!en/?[0-5]*\n"),
+    ("ththin.example.com/en", "# one page\n6??*\n!671?utm_source=feed\n"),
+]
+
+
+@query
+def ignored_paths(spark, sf):
+    """Page addresses as files, judged by ignore rules of several folders."""
+    paths = V.table(spark, sf, "pages").select(F.regexp_extract("url", r"^https?://(.*)$", 1).alias("rel_path"))
+    rules = rule_table(spark.createDataFrame(IGNORE_FILES, "base string, content string"))
+    return judge_paths(paths, rules)
+
+
 @query
 def first_files(spark, sf):
     """The walk's file cap: the first rows by path."""
@@ -364,18 +382,23 @@ def knn_min_score(spark, sf):
     return found.where(C("score") >= 0.3).select("query_id", "id", "candidates", F.round("score", 6).alias("score"))
 
 
+def _memories(rows: DataFrame) -> DataFrame:
+    """``rows`` with vectors, kept: rounds of a search read what is stored, they don't embed anew."""
+    return Scratch(rows.sparkSession).keep(V.embedded(rows))
+
+
 def _note_recall(spark, sf, **options) -> DataFrame:
     asked = V.questions(spark, sf).withColumn("project", F.concat(F.lit("src"), (C("query_id") % 20).cast("string")))
     for name, value in options.items():
         asked = asked.withColumn(name, F.lit(value))
-    return R.recall(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
+    return R.recall(_memories(V.notes(spark, sf, True)), asked, V.EMBEDDER)
 
 
 def _turn_recall(spark, sf, **options) -> DataFrame:
     asked = V.questions(spark, sf).withColumn("project", F.lit("talk"))
     for name, value in options.items():
         asked = asked.withColumn(name, F.lit(value))
-    return R.recall(V.embedded(V.turns(spark, sf, True)), asked, V.EMBEDDER)
+    return R.recall(_memories(V.turns(spark, sf, True)), asked, V.EMBEDDER)
 
 
 @query
@@ -392,7 +415,7 @@ def recall_notes_stats(spark, sf):
     project = F.when(number % 5 == 4, "nowhere").otherwise(F.concat(F.lit("src"), (number % 20).cast("string")))
     score = F.when(number % 5 == 3, 0.99).otherwise(-1.0)
     asked = asked.withColumns({"project": project, "min_score": score, "max_tokens": F.lit(2000)})
-    answer = R.recall_all(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
+    answer = R.recall_all(_memories(V.notes(spark, sf, True)), asked, V.EMBEDDER)
     return recall_stats(answer.hits, answer.queries).drop("project")
 
 
@@ -402,18 +425,18 @@ def recall_copies(spark, sf):
     notes = V.notes(spark, sf, True).withColumn("project", F.lit("all"))
     first = notes.select(F.min_by("text", "id").alias("text"), F.min_by("content_hash", "id").alias("content_hash"))
     copies = notes.drop("text", "content_hash").withColumn("id", C("id") + 10_000_000).join(F.broadcast(first))
-    memories = V.embedded(notes.unionByName(copies))
+    memories = _memories(notes.unionByName(copies))
     asked = first.select(F.lit(0).alias("query_id"), F.lit("all").alias("project"), C("text").alias("query"), F.lit(20).alias("limit"))
     return R.recall(memories, asked, V.EMBEDDER).where("chosen").select("query_id", "rank", "id", "score", "cost")
 
 
 @query
 def recall_same_id(spark, sf):
-    """One query_id in two projects: two questions."""
-    asked = V.questions(spark, sf).where(C("query_id") < 4)
+    """Each query_id in two projects: two questions."""
+    asked = V.questions(spark, sf)
     both = F.explode(F.array(F.lit("src1"), F.lit("src2")))
     asked = asked.withColumns({"project": both, "limit": F.lit(3)})
-    answer = R.recall(V.embedded(V.notes(spark, sf, True)), asked, V.EMBEDDER)
+    answer = R.recall(_memories(V.notes(spark, sf, True)), asked, V.EMBEDDER)
     return answer.where("chosen").select("project", "query_id", "rank", "id", "score")
 
 
@@ -428,7 +451,7 @@ def dedup_greedy(spark, sf):
     """Survivors among the notes that are fetched first for each query, 400 texts."""
     asked = V.questions(spark, sf).withColumn("project", F.concat(F.lit("src"), (C("query_id") % 20).cast("string")))
     asked = R.plan_queries(asked.withColumn("max_tokens", F.lit(1)), V.EMBEDDER)
-    scored = R.candidates(V.embedded(V.notes(spark, sf, True)), asked)
+    scored = R.candidates(_memories(V.notes(spark, sf, True)), asked)
     return greedy_dedup(scored).select("query_id", "id", "score")
 
 

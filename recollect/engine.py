@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -221,16 +221,24 @@ class Engine:
         chunk_overlap: int | None = None,
         dry_run: bool = False,
         path_prefix: str | None = None,
+        batch_size: int | None = None,
     ) -> str:
+        """``batch_size``: texts that the model gets at once, where the embedder has a model."""
         if not path or not project:
             raise ValueError("path and project are required")
-        for name, value in [("max_file_bytes", max_file_bytes), ("max_files", max_files), ("chunk_lines", chunk_lines), ("chunk_overlap", chunk_overlap)]:
+        for name, value in [
+            ("max_file_bytes", max_file_bytes), ("max_files", max_files), ("chunk_lines", chunk_lines), ("chunk_overlap", chunk_overlap),
+            ("batch_size", batch_size),
+        ]:
             _checked(name, value)
+        embedder = self.embedder
+        if batch_size is not None and hasattr(embedder, "batch_size"):
+            embedder = replace(embedder, batch_size=batch_size)
         summary = ingest_tree(
             self.store,
             project_name(project),
             path,
-            self.embedder,
+            embedder,
             include=split_patterns(include),
             exclude=split_patterns(exclude),
             respect_gitignore=respect_gitignore,

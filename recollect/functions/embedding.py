@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from typing import Iterator, Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,12 +137,17 @@ def _load_model(folder: str, model_file: str):
     return tokenizer, onnxruntime.InferenceSession(os.path.join(folder, model_file), options)
 
 
-def embed(text: Column, embedder: Embedder) -> Column:
-    """The vector column for a text column; the model is loaded once per worker."""
+def embed(text: Column, embedder: Embedder, spent: Accumulator | None = None) -> Column:
+    """The vector column for a text column; the model is loaded once per worker. ``spent`` adds up the
+    milliseconds of all tasks."""
 
     @F.arrow_udf(VECTOR)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield matrix_list(embedder.encode([t or "" for t in batch.to_pylist()]))
+            started = time.perf_counter()
+            vectors = matrix_list(embedder.encode([t or "" for t in batch.to_pylist()]))
+            if spent is not None:
+                spent.add(1000 * (time.perf_counter() - started))
+            yield vectors
 
     return run(text)

@@ -98,6 +98,7 @@ def ingest_chunks(
         languages = by_language(diff.where(F.col("status") != STALE)).orderBy("lang").collect()
         summary["byLanguage"] = {r.lang: r.chunks for r in languages}
         summary["chunksEmbedded"] = 0
+        spent = store.spark.sparkContext.accumulator(0.0)
         if not dry_run:
             summary["chunksEmbedded"] = store.apply(
                 project,
@@ -106,7 +107,9 @@ def ingest_chunks(
                 deletes=stored_rows(diff, STALE) if summary["chunksDeleted"] else None,
                 embedder=embedder,
                 scratch=scratch,
+                spent=spent,
             )
+        summary["embedMs"] = round(spent.value)
         return summary
 
 
@@ -181,7 +184,7 @@ def unchanged_totals(known: DataFrame | None) -> dict:
     ).where("chunks > 0").orderBy("lang").collect()
     chunks = sum(r.chunks for r in rows)
     counted = dict.fromkeys(_COUNTERS, 0) | {"filesScanned": sum(r.files for r in rows), "chunksUnchanged": chunks, "totalChunks": chunks}
-    return {**counted, "byLanguage": {r.lang: r.chunks for r in rows}, "chunksEmbedded": 0}
+    return {**counted, "byLanguage": {r.lang: r.chunks for r in rows}, "chunksEmbedded": 0, "embedMs": 0}
 
 
 def together(a: dict, b: dict) -> dict:

@@ -13,6 +13,7 @@ import uuid
 from functools import reduce
 from urllib.parse import quote
 
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,8 +269,10 @@ class MemoryStore:
         deletes: DataFrame | None = None,
         embedder: Embedder | None = None,
         scratch: Scratch | None = None,
+        spent: Accumulator | None = None,
     ) -> int:
         """One commit of new rows, moved line ranges and deletions; returns the rows inserted.
+        ``spent`` adds up the milliseconds of embedding.
 
         ``inserts``: the table's columns but for ``id, project, embedding`` and the
         timestamps, plus ``embed_text``, ``ordinal``. ``updates``: ``id, file_path,
@@ -291,7 +294,7 @@ class MemoryStore:
         parts = []
         if n_new:
             # Embedding comes after the exchange, so it runs once per row.
-            columns = {"embedding": embed(F.col("embed_text"), embedder), "project": F.lit(project)}
+            columns = {"embedding": embed(F.col("embed_text"), embedder, spent), "project": F.lit(project)}
             parts.append(fresh.withColumns({**columns, "created_at": now, "updated_at": now}))
         if replaced:
             kept = self._scan(self.folders(project, replaced))

@@ -334,3 +334,29 @@ def test_tag_json(spark):
     got = [r[0] for r in df.orderBy("i").select(decode_tags(F.col("r"))).collect()]
     assert got == [["a", "b"], [], [], [], [], [], ["x"], ['q"uote']]
     assert json.loads(spark.range(1).select(encode_tags(F.array(F.lit("a"), F.lit('b"')))).first()[0]) == ["a", 'b"']
+
+
+def test_ignore_rules_as_tables(spark):
+    """Tables of rules and paths give what the walk gives, folder by folder."""
+    from recollect.sources.ignore import ignored_paths, rule_table
+
+    files = {
+        "": "*.log\n!keep.log\n/build\ndocs/*.md\ntmp/\n[ab]?.txt\n\\#odd\n# note\n", "sub": "!x.log\nsecret\n*.md\n!deep/**/n.md\n",
+        "sub/deep": "*\n!*.go\n", "a.b": "c+d\n",
+    }
+    names = ["x.log", "keep.log", "build", "n.md", "tmp", "ab.txt", "#odd", "secret", "c+d", "main.go", "deep"]
+    folders = ["", "sub", "sub/deep", "docs", "build", "tmp", "sub/tmp", "a.b", "axb", "sub/deep/n.md", "docs/build"]
+    paths = sorted({f"{f}/{n}" if f else n for f in folders for n in names})
+    rules = rule_table(spark.createDataFrame(list(files.items()), "base string, content string"))
+    got = {r.rel_path: r.ignored for r in ignored_paths(spark.createDataFrame([(p,) for p in paths] * 2 + [(None,)], "rel_path string"), rules).collect()}
+
+    def walked(path):
+        parts = path.split("/")
+        for n in range(1, len(parts) + 1):
+            above = ["/".join(parts[:k]) for k in range(n)]
+            sets = [parse_rules(files[b], b) for b in above if b in files]
+            if ignored("/".join(parts[:n]), n < len(parts), sets):
+                return True
+        return False
+
+    assert got == {p: walked(p) for p in paths} and len(set(got.values())) == 2

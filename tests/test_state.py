@@ -93,3 +93,15 @@ def test_limits_leave_unread_files_alone(store, tree):
     first = run(store, tree)
     small = run(store, tree, max_file_bytes=30)
     assert small["filesDeleted"] == 0 and store.rows("shop").count() == first["totalChunks"]
+
+
+def test_embedding_time_and_batch_size(spark, store, tree, tmp_path):
+    import json
+
+    from recollect.engine import Engine
+
+    assert run(store, tree)["embedMs"] > 0 and run(store, tree)["embedMs"] == 0
+    engine = Engine(spark, str(tmp_path / "other"))
+    assert json.loads(engine.ingest_codebase(str(tree), "shop", batch_size=4))["chunksCreated"] > 0
+    with pytest.raises(ValueError):
+        engine.ingest_codebase(str(tree), "shop", batch_size=257)
