@@ -114,7 +114,8 @@ class Engine:
         min_score: float | None = None,
     ) -> RecallResult:
         """One query. Scores come first; texts are then read for the ids found alone, which reach
-        the Parquet scan as a filter. Rounds as in ``recall_many``."""
+        the Parquet scan as a filter. Where the first round, of 400 rows at most, does not answer the
+        question, it is asked as in ``recall_many``: only the answer comes to the driver."""
         if not query:
             raise ValueError("query is empty")
         _checked("limit", limit), _checked("max_tokens", max_tokens), _checked("min_score", min_score)
@@ -123,18 +124,28 @@ class Engine:
         vector = self.embedder.encode([query])[0]
         embedded = time.monotonic()
         fetch = fetch_count(wanted, max_tokens is not None)
-        while True:
-            found = nearest(self._vectors(name), name, vector, fetch)
-            scored = [(id, score) for id, score in found if min_score is None or score >= min_score]
-            result = self._answer(name, scored, len(found), wanted, max_tokens)
-            full = result.truncated > 0 if max_tokens is not None else result.survivors >= wanted
-            if full or len(found) < fetch or len(scored) < len(found):
-                break
-            fetch *= plan.GROWTH
+        found = nearest(self._vectors(name), name, vector, fetch)
+        scored = [(id, score) for id, score in found if min_score is None or score >= min_score]
+        result = self._answer(name, scored, len(found), wanted, max_tokens)
+        full = result.truncated > 0 if max_tokens is not None else result.survivors >= wanted
+        if not full and len(found) == fetch and len(scored) == len(found):
+            result = self._asked_fully(name, query, wanted, max_tokens, min_score)
         result.embed_ms = round(1000 * (embedded - started))
         result.search_ms = round(1000 * (time.monotonic() - embedded))
         return result
 
+    def _asked_fully(self, name: str, query: str, wanted: int, max_tokens: int | None, min_score: float | None) -> RecallResult:
+        asked = self.spark.createDataFrame(
+            [(0, name, query, wanted, max_tokens, min_score)],
+            "query_id long, project string, query string, limit int, max_tokens long, min_score double",
+        )
+        answer = plan.recall_all(self.store.rows(name), asked, self.embedder)
+        hits = answer.hits.where("chosen").orderBy("rank").collect()  # the limit or the budget bounds them
+        counts = recall_stats(answer.hits, answer.queries).first()
+        return RecallResult(
+            [h.asDict() for h in hits], counts.candidates, counts.survivors, counts.tokens_used, counts.truncated
+        )
+
     def _answer(self, name: str, scored: list[tuple[int, float]], candidates: int, wanted: int, max_tokens: int | None) -> RecallResult:
         if not scored:
             return RecallResult(candidates=candidates)

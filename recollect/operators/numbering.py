@@ -45,13 +45,26 @@ def number_rows(
     return numbered.drop("_part", "_start", "_row"), n
 
 
-def running_total(df: DataFrame, order: list[Column], weight: str, name: str, scratch: Scratch | None = None) -> DataFrame:
-    """``df`` plus ``name``: the sum of ``weight`` over all rows up to and including each one."""
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str], scratch: Scratch | None = None) -> DataFrame:
+    """``df`` plus, for each ``name: weight``, the sum of the weight over all rows up to and including
+    each one. One sort serves all of them."""
     placed = _placed(df, order, scratch)
-    table, _ = _starts(df, placed.groupBy("_part").agg(F.sum(weight).alias("n")).collect(), 0)
+    sums = [F.sum(weight).alias(f"_sum_{name}") for name, weight in totals.items()]
+    parts = sorted(placed.groupBy("_part").agg(*sums).collect())  # a row for each partition
+    columns = [accumulate((r[f"_sum_{name}"] for r in parts), initial=0) for name in totals]
+    rows = [(r["_part"], *starts) for r, *starts in zip(parts, *columns)]
+    fields = ", ".join(f"`_start_{name}` bigint" for name in totals)
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"_at bigint, {fields}"))
     within = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn(name, F.sum(weight).over(within)).join(table, "_part")
-    return summed.withColumn(name, F.col("_start") + F.col(name)).drop("_part", "_start", "_row")
+    summed = placed.withColumns({name: F.sum(weight).over(within) for name, weight in totals.items()})
+    joined = summed.join(table, F.col("_part") == F.col("_at"))
+    added = joined.withColumns({name: F.col(name) + F.col(f"_start_{name}") for name in totals})
+    return added.drop("_part", "_row", "_at", *[f"_start_{name}" for name in totals])
+
+
+def running_total(df: DataFrame, order: list[Column], weight: str, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """``df`` plus ``name``: the sum of ``weight`` over all rows up to and including each one."""
+    return running_totals(df, order, {name: weight}, scratch)
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.operators.numbering import running_total
+from recollect.operators.numbering import running_totals
 
 KEYS = ["project", "query_id"]
 
@@ -41,8 +41,7 @@ def pack_long(rows: DataFrame) -> DataFrame:
     running sums exceed those before its first row by.
     """
     order = [F.col("project"), F.col("query_id"), F.desc("score"), F.asc("id")]
-    summed = running_total(rows.withColumn("_one", F.lit(1)), order, "cost", "_cost_to")
-    summed = running_total(summed, order, "_one", "_rank_to")
+    summed = running_totals(rows.withColumn("_one", F.lit(1)), order, {"_cost_to": "cost", "_rank_to": "_one"})
     base = summed.groupBy(F.col("project").alias("_p"), F.col("query_id").alias("_q")).agg(
         F.min(F.col("_cost_to") - F.col("cost")).alias("_cost_from"),
         F.min(F.col("_rank_to") - 1).alias("_rank_from"),

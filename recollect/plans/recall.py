@@ -3,8 +3,8 @@
 Rows are fetched in rounds: first a number that nearly always suffices, then eight times as many
 for the queries whose limit or budget the survivors do not fill, until it is filled or the project
 has no more rows above the score. Greedy de-duplication decides best first, so what a round finds
-is the beginning of what all rows would give. A query's list is bounded by its answer: every
-survivor costs tokens or counts towards the limit, and equal texts are fetched once.
+is the beginning of what all rows would give. Lists that reach LONG_LIST rows are no longer one
+group: rounds over tables of conflicts de-duplicate them, and they are packed in one global order.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from recollect.functions.embedding import Embedder, embed
 from recollect.functions.text import hit_cost, shingle_hashes
 from recollect.operators.dedup import SIMILARITY, greedy_dedup
+from recollect.operators.independent import greedy_dedup_spread
 from recollect.operators.knn import FETCH_BUDGETED, FETCH_FLOOR, FETCH_PER_RESULT, KEYS, top_k
-from recollect.operators.packing import pack
+from recollect.operators.packing import pack, pack_long
 from recollect.session import Scratch
 
 DEFAULT_LIMIT = 5
@@ -27,6 +28,8 @@ DEFAULT_LIMIT = 5
 BROADCAST_HITS = 1_000_000
 #: Each round fetches so many times the rows of the one before.
 GROWTH = 8
+#: Rows fetched for a query from which its list is spread over tasks.
+LONG_LIST = FETCH_BUDGETED * GROWTH * GROWTH
 
 ROW_COLUMNS = ["kind", "text", "tags", "file_path", "line_start", "line_end", "content_hash"]
 
@@ -97,6 +100,11 @@ def survivors(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pack(greedy_dedup(rows, similarity))
 
 
+def long_survivors(rows: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """As ``survivors``, for lists of any length."""
+    return pack_long(greedy_dedup_spread(rows, scratch, similarity))
+
+
 @dataclass
 class Recalled:
     """All survivors of all queries, ranked, the answer being ``where(chosen)``; and every query
@@ -109,10 +117,11 @@ class Recalled:
 def recall_all(memories: DataFrame, queries: DataFrame, embedder: Embedder | None = None) -> Recalled:
     scratch = Scratch(memories.sparkSession)
     asked = planned = scratch.keep(plan_queries(queries, embedder))
-    hits, looked = [], []
+    hits, looked, most = [], [], FETCH_BUDGETED
     while True:
         found = scratch.keep(found_for(memories, planned))
-        packed = scratch.keep(survivors(weighed(memories, found)))
+        rows = weighed(memories, found)
+        packed = scratch.keep(survivors(rows) if most < LONG_LIST else long_survivors(rows, scratch))
         looked.append(found.groupBy(*KEYS).agg(F.max("candidates").alias("candidates")))
         # More could help where all rows fetched were good and some are still wanted.
         state = packed.groupBy(*KEYS).agg(
@@ -128,7 +137,7 @@ def recall_all(memories: DataFrame, queries: DataFrame, embedder: Embedder | Non
         hits.append(packed.join(again.select(*KEYS), KEYS, "left_anti"))
         if again.isEmpty():
             break
-        planned = again
+        planned, most = again, most * GROWTH
     counted = reduce(DataFrame.unionAll, looked).groupBy(*KEYS).agg(F.max("candidates").alias("candidates"))
     every = asked.select(*KEYS).join(counted, KEYS, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     return Recalled(reduce(DataFrame.unionByName, hits), every)

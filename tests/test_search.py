@@ -289,3 +289,32 @@ def test_cells_of_nothing(spark):
     with Scratch(spark) as scratch:
         found = cells.search(cells.build(none, scratch), asked, scratch)
         assert found.hits.count() == 0 and [r.compared for r in found.work.collect()] == [0]
+
+
+def test_long_lists_give_the_same_answers(spark, monkeypatch):
+    """All rounds spread over tasks: rows, ranks and what is chosen stay the same."""
+    from recollect.plans import recall as plan
+
+    rng = random.Random(12)
+    vocabulary = [f"t{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 12, 40]))) for _ in range(90)]
+    texts += [texts[k] + " tail" for k in range(0, 90, 4)] + texts[:20]
+    rows = []
+    for i, text in enumerate(texts):
+        place = (f"f{i % 7}", 3 * (i // 7), 3 * (i // 7) + rng.choice([1, 4])) if i % 3 else (None, None, None)
+        rows.append((i, "p" if i % 4 else "q", "code", text, [], *place, str(hash(text))))
+    memories = spark.createDataFrame(
+        rows, "id long, project string, kind string, text string, tags array<string>, file_path string, line_start int, line_end int, content_hash string"
+    ).withColumn("embedding", embed(F.col("text"), HashingEmbedder()))
+    asked = spark.createDataFrame(
+        [(k, p, texts[k * 7], 5, b) for k, (p, b) in enumerate([("p", None), ("q", None), ("p", 300), ("q", 100_000)])],
+        "query_id long, project string, query string, limit int, max_tokens long",
+    )
+
+    def answer():
+        found = plan.recall(memories, asked, HashingEmbedder()).collect()
+        return sorted((r.project, r.query_id, r["rank"], r.id, r.chosen, r.running_tokens, r.survivors) for r in found)
+
+    usual = answer()
+    monkeypatch.setattr(plan, "LONG_LIST", 0)
+    assert answer() == usual and len(usual) > 100
