@@ -50,6 +50,10 @@ ORACLES["list_newest"] = """
 SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, value
 FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 20"""
 
+ORACLES["list_third_page"] = """
+SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, event_type
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100"""
+
 ORACLES["point_get"] = """
 SELECT doc_id AS id, source AS project, sha256(text) AS content_hash FROM documents WHERE source = 'src3' AND doc_id = 23"""
 

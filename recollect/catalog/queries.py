@@ -49,6 +49,17 @@ def list_newest(spark, sf):
     return listing.newest_first(rows, 20, tag=" Click ").select("id", X.iso_millis(C("created_at")).alias("created_at"), "value")
 
 
+@query
+def list_third_page(spark, sf):
+    """Pages of 50 events by key: the third, found from the last rows of those before."""
+    rows = V.table(spark, sf, "events").select(C("event_id").alias("id"), C("ts").alias("created_at"), "event_type")
+    after = None
+    for _ in range(2):
+        last = listing.newest_first(rows, 50, after=after).orderBy("created_at", "id").first()
+        after = (last.created_at, last.id)
+    return listing.newest_first(rows, 50, after=after).select("id", X.iso_millis(C("created_at")).alias("created_at"), "event_type")
+
+
 @query
 def point_get(spark, sf):
     return V.notes(spark, sf).where((C("project") == "src3") & (C("id") == 23)).select("id", "project", "content_hash")

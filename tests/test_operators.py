@@ -112,6 +112,23 @@ def test_listing(spark):
     assert [r.id for r in listing.by_ids(df, wanted).collect()] == [7, 3]
 
 
+def test_pages_joined_equal_the_whole_list(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 5, 1)
+    rows = [(i, start + dt.timedelta(minutes=(i * 37) % 50)) for i in range(230)]  # times that tie
+    spark.createDataFrame(rows, "id long, created_at timestamp").repartitionByRange(6, "created_at").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    whole = [r.id for r in listing.newest_first(table, 1000).collect()]
+    pages, after = [], None
+    while page := listing.newest_first(table, 60, after=after).collect():
+        pages += [r.id for r in page]
+        after = (page[-1].created_at, page[-1].id)
+    assert pages == whole and len(whole) == 230
+    plan = listing.newest_first(table, 60, after=after)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(created_at" in plan
+
+
 def test_duplicates_and_counts(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "a", ""), (4, "a", None), (5, "a", "")], "id int, project string, content_hash string")
     assert [tuple(r) for r in aggregates.exact_duplicates(df).collect()] == [("x", 2, 1)]
