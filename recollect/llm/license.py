@@ -79,14 +79,24 @@ def tagged(text: bytes, tags: dict[bytes, Rule]) -> Iterator[Detection]:
 
 def settle(found: list[Detection]) -> list[Detection]:
     """Detections that no other of higher rank, or longer with the same label, contains."""
-    size = max((d.end - d.start for d in found), default=0) + 1
-    kept: dict[int, list[Detection]] = {}  # by start, in cells as wide as the longest detection
+    # Ends of what is kept, as prefix maxima over the starts (a Fenwick tree): one lookup tells
+    # whether anything that begins no later ends no earlier.
+    place = {start: k + 1 for k, start in enumerate(sorted({d.start for d in found}))}
+    furthest, kept = [-1] * (len(place) + 1), []
     for d in sorted(found, key=lambda d: (d.rule.priority, -(d.end - d.start), d.start)):
-        cell = d.start // size
-        if not any(k.start <= d.start and d.end <= k.end for c in (cell - 1, cell) for k in kept.get(c, ())):
-            kept.setdefault(cell, []).append(d)
+        k, reached = place[d.start], -1
+        while k:
+            reached = max(reached, furthest[k])
+            k &= k - 1
+        if reached >= d.end:
+            continue
+        kept.append(d)
+        k = place[d.start]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], d.end)
+            k += k & -k
     out, reach = [], {}
-    for d in sorted((d for some in kept.values() for d in some), key=lambda d: (d.start, -d.end)):
+    for d in sorted(kept, key=lambda d: (d.start, -d.end)):
         if reach.get(d.rule.label, -1) < d.end:
             out.append(d)
             reach[d.rule.label] = d.end

@@ -200,3 +200,31 @@ def test_pipeline(spark, docs, tmp_path):
     tokens = Counter(r["doc_id"] for r in seen["token_output"])
     assert tokens == times
     assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(repr, seen["token_output"]))
+
+
+def test_settling_equals_trying_all_pairs_and_stays_linear():
+    import random
+    import time
+
+    rules = list(license._compiled()[3].values())[:6]
+    rng = random.Random(3)
+    for _ in range(200):
+        found = []
+        for _ in range(rng.randrange(12)):
+            start = rng.randrange(30)
+            found.append(license.Detection(rng.choice(rules), start, start + rng.randrange(1, 20)))
+        ordered, kept = sorted(found, key=lambda d: (d.rule.priority, -(d.end - d.start), d.start)), []
+        for d in ordered:
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        got = license.settle(found)
+        assert all(d in kept for d in got)
+        for d in kept:  # what is left out reaches no further than one of its label that is told
+            assert d in got or any(k.rule.label == d.rule.label and k.start <= d.start and k.end >= d.end for k in got)
+    texts = [("mit license a " * n + "zlib " + "x " * (3 * n) + "license").encode() for n in (4000, 16000)]
+    spent = []
+    for text in texts:
+        started = time.process_time()
+        license.scan(text)
+        spent.append(time.process_time() - started)
+    assert spent[1] < 10 * spent[0]
