@@ -36,6 +36,16 @@ LIMITS = {
     "chunk_overlap": (0, None),
 }
 
+# Answers by which clients tell what happened.
+ANSWERS = {
+    "nothing stored": "No memories stored in project '{project}' yet.",
+    "nothing found": "No matching memories in project '{project}'{above}.",
+    "no such id": "No memory found with id={id} in project '{project}'.",
+    "deleted": "Deleted memory (id={id}) from project '{project}'.",
+    "nothing listed": "No memories{tagged} in project '{project}'.",
+    "no projects": "No memories stored in any project yet.",
+}
+
 
 def project_name(raw: str | None) -> str:
     return re.sub(rf"\A[{_SPACES}]+|[{_SPACES}]+\Z", "", raw or "") or DEFAULT_PROJECT
@@ -174,10 +184,10 @@ class Engine:
         name = project_name(project)
         result = self.search(query, limit, name, max_tokens, min_score)
         if not result.candidates:
-            return f"No memories stored in project '{name}' yet."
+            return ANSWERS["nothing stored"].format(project=name)
         if not result.hits:
             bar = f" above score={min_score}" if min_score is not None else ""
-            return f"No matching memories in project '{name}'{bar}."
+            return ANSWERS["nothing found"].format(project=name, above=bar)
         header = recall_header(name, len(result.hits), result.tokens_used, max_tokens, result.survivors)
         return "\n".join([header, *(hit_line(h, include_text) for h in result.hits)])
 
@@ -201,8 +211,8 @@ class Engine:
         _checked("id", id)
         name = project_name(project)
         if self.store.remove(id, name) is None:
-            return f"No memory found with id={id} in project '{name}'."
-        return f"Deleted memory (id={id}) from project '{name}'."
+            return ANSWERS["no such id"].format(id=id, project=name)
+        return ANSWERS["deleted"].format(id=id, project=name)
 
     def list_memories(
         self, limit: int | None = None, tag: str | None = None, project: str | None = None, kind: str | None = None, width: int = 200
@@ -216,7 +226,7 @@ class Engine:
         found = [r.asDict() for r in newest.withColumn("created_at", iso_millis(F.col("created_at"))).collect()]
         if not found:
             tagged = f" tagged '{tag}'" if tag else ""
-            return f"No memories{tagged} in project '{name}'."
+            return ANSWERS["nothing listed"].format(tagged=tagged, project=name)
         return "\n".join([f"# {rows.count()} memories in project '{name}'", *(list_line(r, width) for r in found)])
 
     def ingest_codebase(
@@ -265,7 +275,7 @@ class Engine:
         vectors = F.count_if(F.size("embedding") > 0).alias("indexed")
         counts = self.store.all_rows().groupBy("project").agg(F.count("*").alias("n"), vectors).orderBy("project").collect()
         if not counts:
-            return "No memories stored in any project yet."
+            return ANSWERS["no projects"]
         return "\n".join(f"{r.project}: {r.n} memories ({r.indexed} indexed)" for r in counts)
 
     def index_stats(self, project: str | None = None) -> dict:
