@@ -28,6 +28,7 @@ from recollect.llm import simhash
 from recollect.llm.base import Scratch, row_hash
 from recollect.llm.components import components
 from recollect.llm.words import Words, give_back, gram_hashes, mixed, pieces
+from recollect.session import broadcast_if_small
 
 #: Words to a shingle and similarity from which texts are copies.
 SHINGLE, SIMILAR = 5, 0.8
@@ -35,10 +36,13 @@ SHINGLE, SIMILAR = 5, 0.8
 TAU, TAU_BOTH = 11, 27
 #: Numbers of partitions that are tried, the highest threshold of one, and rows or members of a block.
 PARTITIONS, MOST, BLOCK = (2, 3, 4, 5, 6), 3, 1024
+#: Texts that must have a key of their own before it is looked at as one that needs blocks: fewer
+#: add up to a few of these for each word around a key.
+NOTED = 32
 #: What a row sent to a key costs, in comparisons.
-ROW_COST = 200.0
+ROW_COST = 1000.0
 
-_CELL = ["part", "key", "c1", "c2"]
+_CELL = ["key", "cell"]
 
 
 # -- fingerprints -----------------------------------------------------------------
@@ -121,10 +125,16 @@ def plan(texts: DataFrame) -> list[tuple[list[int], int]]:
 # -- candidates -------------------------------------------------------------------
 
 
+def _keys(bits: np.ndarray, number: int, group: list[int]) -> np.ndarray:
+    """Keys of a part, which no other part has."""
+    return simhash._pack(bits[:, group]) | (number << 40)
+
+
 def probes(texts: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """``part, key, inner, unit, fp, fp2``. Two words meet where the radii around them add up to the
-    threshold: keys in the larger ball of both meet if either is in its smaller ball (``inner``)."""
-    names = ["part", "key", "inner", "unit", "fp", "fp2"]
+    """``key, tag, fp, fp2``. Two words meet where the radii around them add up to the threshold: keys
+    in the larger ball of both meet if either is in its smaller ball. ``tag`` is the unit, and in its
+    lowest bit whether the key is in the smaller ball."""
+    names = ["key", "tag", "fp", "fp2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +142,39 @@ def probes(texts: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
             bits = simhash._unpacked(fp)
             for number, (group, t) in enumerate(parts):
                 around = ball(len(group), (t + 1) // 2)
-                inner = np.arange(len(around)) < len(ball(len(group), t // 2))
-                keys = (simhash._pack(bits[:, group])[:, None] ^ around[None]).ravel()
-                many = len(around)
-                columns = [np.full(len(keys), number), keys, np.tile(inner, len(fp)), *(np.repeat(c, many) for c in (unit, fp, fp2))]
+                inner = (np.arange(len(around)) < len(ball(len(group), t // 2))).astype(np.int64)
+                keys = (_keys(bits, number, group)[:, None] ^ around[None]).ravel()
+                tags = (2 * unit[:, None] + inner[None]).ravel()
+                columns = [keys, tags, *(np.repeat(c, len(around)) for c in (fp, fp2))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return texts.select("unit", "fp", "fp2").mapInArrow(run, "part long, key long, inner boolean, unit long, fp long, fp2 long")
+    return texts.select("unit", "fp", "fp2").mapInArrow(run, "key long, tag long, fp long, fp2 long")
+
+
+def crowded(texts: DataFrame, parts: list[tuple[list[int], int]], scratch: Scratch) -> DataFrame:
+    """``of_key, blocks`` for the keys that very many texts are sent to.
+
+    Counted are own keys, and only those of NOTED texts or more are spread to the keys around them, so
+    no more than a few rows for each text are exchanged.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = simhash._unpacked(batch.column("fp").to_numpy())
+            for number, (group, _) in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(bits, number, group))], ["key"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            for number, (group, t) in enumerate(parts):
+                around, some = ball(len(group), (t + 1) // 2), keys >> 40 == number
+                near = (keys[some][:, None] ^ around[None]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.repeat(n[some], len(around)))], ["key", "n"])
+
+    noted = texts.select("fp").mapInArrow(own, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= NOTED)
+    met = scratch.keep(noted).mapInArrow(spread, "key long, n long").groupBy(F.col("key").alias("of_key")).agg(F.sum("n").alias("n"))
+    return scratch.keep(met.where(F.col("n") > BLOCK).select("of_key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -158,28 +194,29 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        x = {c: rows[c].to_numpy() for c in [*_CELL, "block", "inner", "unit", "fp", "fp2"]}
+        x = {c: rows[c].to_numpy() for c in [*_CELL, "tag", "fp", "fp2"]}
         cuts = np.flatnonzero(np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in _CELL])) + 1
         found = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x["key"])]):
             if b - a < 2:
                 continue
-            own = {c: v[a:b] for c, v in x.items()}
-            left = np.flatnonzero(own["block"] == own["c1"][0])
-            right = left if own["c1"][0] == own["c2"][0] else np.flatnonzero(own["block"] == own["c2"][0])
+            tag, fp, fp2 = (x[c][a:b] for c in ("tag", "fp", "fp2"))
+            unit, inner, cell = tag >> 2, (tag >> 1 & 1).astype(bool), int(x["cell"][a])
+            left = np.flatnonzero(tag & 1)
+            right = left if cell >> 20 == cell & 0xFFFFF else np.flatnonzero(~tag & 1)
             first, second = [], []
             for k in range(0, len(left), 512):
                 some = left[k : k + 512]
-                apart = np.bitwise_count((own["fp"][some, None] ^ own["fp"][None, right]).view(np.uint64))
+                apart = np.bitwise_count((fp[some, None] ^ fp[None, right]).view(np.uint64))
                 i, j = np.nonzero(apart <= TAU)
-                both = apart[i, j] + np.bitwise_count((own["fp2"][some[i]] ^ own["fp2"][right[j]]).view(np.uint64))
-                good = (both <= TAU_BOTH) & (own["inner"][some[i]] | own["inner"][right[j]])
+                both = apart[i, j] + np.bitwise_count((fp2[some[i]] ^ fp2[right[j]]).view(np.uint64))
+                good = (both <= TAU_BOTH) & (inner[some[i]] | inner[right[j]])
                 first.append(some[i[good]])
                 second.append(right[j[good]])
             if first:
                 root = forest(b - a, np.concatenate(first), np.concatenate(second))
                 moved = np.flatnonzero(root != np.arange(b - a))
-                found.append((own["unit"][moved], own["unit"][root[moved]]))
+                found.append((unit[moved], unit[root[moved]]))
         columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
@@ -213,9 +250,18 @@ def _dealt(rows: DataFrame, keys: list[str], unit: str, scratch: Scratch, block:
 
 
 def candidates(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b``: links that connect all texts within the radii."""
-    rows = scratch.keep(probes(texts, plan(texts)))
-    cells = _dealt(rows, ["part", "key"], "unit", scratch, BLOCK)
+    """``a, b``: links that connect all texts within the radii. What is sent to the keys is exchanged once."""
+    parts = plan(texts)
+    rows = probes(texts, parts)
+    sent = rows.join(broadcast_if_small(crowded(texts, parts, scratch)), F.col("key") == F.col("of_key"), "left")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64(F.shiftright("tag", 1)), blocks)
+    spread = sent.select("key", "tag", "fp", "fp2", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    low = F.least("own", "other")
+    cells = spread.select(
+        "key", (low * (1 << 20) + F.greatest("own", "other")).alias("cell"),
+        (F.col("tag") * 2 + (F.col("own") == low).cast("long")).alias("tag"), "fp", "fp2",
+    )
     sorted_ = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
     return scratch.keep(sorted_.mapInArrow(_meet, "a long, b long").distinct())
 
