@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
-import pyarrow as pa
+
+from recollect.functions.batches import give_back
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses
 
@@ -100,11 +99,3 @@ def pieces(batches, rows: int = 500):
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
     give_back()
-
-
-def give_back() -> None:
-    """Return freed memory to the machine, which a worker between two tasks would keep."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim is not None:
-        trim(0)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.batches import give_back, list_shares, shares
 from recollect.session import Scratch
 
 #: Buckets of gram counts (8 bytes each in every task) and sets of a block.
@@ -45,10 +46,11 @@ def gram_counts(sets: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(_bucket(batch.column("grams").flatten().to_numpy()), minlength=BUCKETS)
+        for share in (s for batch in batches for s in list_shares(batch, "grams")):
+            total += np.bincount(_bucket(share.column("grams").flatten().to_numpy()), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+        give_back()
 
     rows = sets.select("grams").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, dtype=np.int64)
@@ -67,10 +69,11 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
     base = math.log(1 / threshold) * 1.001 if threshold < 1 else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, out = batch.column("grams"), []
+        # A share at a time: what is sent on is a multiple of the prefixes, and batches may be large.
+        for share in (s for batch in batches for s in list_shares(batch, "grams")):
+            lists, out = share.column("grams"), []
             values, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
-            for node, a, b in zip(batch.column("node").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            for node, a, b in zip(share.column("node").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
                 n = b - a
                 if not n:
                     continue
@@ -82,6 +85,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
             if out:
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _ENTRY)
+        give_back()
 
     return sets.select("node", "grams").mapInArrow(run, ", ".join(f"{c} long" for c in _ENTRY))
 
@@ -89,54 +93,71 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
 _ENTRY = ["gram", "band", "own_band", "node", "n", "pos", "prev"]
 
 
-def sorted_groups(keys: list[str], use: Callable[[pa.Table], pa.RecordBatch | None]):
-    """A task's function over rows sorted by ``keys``: ``use`` gets the rows of one key at a time."""
+def whole_groups(keys: list[str], use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
+    """A task's function over rows sorted by ``keys``: ``use`` gets rows of many keys at a time, but
+    all rows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy() for c in keys]
-            cuts = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist()
-            joins = bool(held) and all(held[-1].column(c)[-1].as_py() == x[0] for c, x in zip(keys, columns))
-            for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, batch.num_rows])):
-                if held and (k or not joins):
-                    if (found := use(pa.Table.from_batches(held))) is not None:
-                        yield found
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held and (found := use(pa.Table.from_batches(held))) is not None:
-            yield found
+            cuts = _starts([batch.column(c).to_numpy() for c in keys])
+            if held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in keys):
+                cuts = cuts[1:]
+            if len(cuts):
+                # What is before the last cut is whole, the last key may go on in the next batch.
+                held.append(batch.slice(0, cuts[-1]))
+                yield from use(pa.Table.from_batches(held).combine_chunks().to_batches())
+                held = []
+            held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+        if held:
+            yield from use(pa.Table.from_batches(held).combine_chunks().to_batches())
+        give_back()
 
     return run
 
 
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """The places at which a row differs from the one before, the first included."""
+    return np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1])
+
+
+#: Pairs of rows that a task judges at once; those of one row are never divided.
+_PAIRS = 1 << 17
+
+
 def _meet(threshold: float):
-    def use(cell: pa.Table) -> pa.RecordBatch | None:
-        if cell.num_rows < 2:
-            return None
-        x = {c: cell[c].to_numpy() for c in [*_CELL, "block", "own_band", "node", "n", "pos", "prev"]}
-        left = np.flatnonzero(x["block"] == x["c1"][0])
-        right = np.flatnonzero(x["block"] == x["c2"][0])
-        first, second = [], []
-        for i in left:
-            j = right[x["node"][right] > x["node"][i]] if x["c1"][0] == x["c2"][0] else right
-            n, m = x["n"][i], x["n"][j]
-            rest = 1 + np.minimum(n - x["pos"][i], m - x["pos"][j])
-            fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - _SLACK
-            fits &= rest >= threshold / (1 + threshold) * (n + m) - _SLACK
-            fits &= np.maximum(x["own_band"][i], x["own_band"][j]) == x["band"][0]
-            # Where the grams before are the same, the two have met there.
-            fits &= (x["pos"][i] == 1) | (x["pos"][j] == 1) | (x["prev"][i] != x["prev"][j])
-            j = j[fits]
-            first.append(np.full(len(j), x["node"][i]))
-            second.append(x["node"][j])
-        a, b = np.concatenate(first or [np.zeros(0, np.int64)]), np.concatenate(second or [np.zeros(0, np.int64)])
-        if not len(a):
+    def judged(x: dict[str, np.ndarray], first: int, partners: np.ndarray) -> pa.RecordBatch | None:
+        """Of rows from ``first`` on, each with so many rows after it, the pairs that may be alike."""
+        i = np.repeat(np.arange(first, first + len(partners)), partners)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
+        n, m = x["n"][i], x["n"][j]
+        # Sizes leave few pairs, so they are judged first.
+        fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - _SLACK
+        fits &= np.maximum(x["own_band"][i], x["own_band"][j]) == x["band"][i]
+        fits &= (x["c1"][i] == x["c2"][i]) | (x["block"][i] != x["block"][j])
+        i, j, n, m = i[fits], j[fits], n[fits], m[fits]
+        rest = 1 + np.minimum(n - x["pos"][i], m - x["pos"][j])
+        fits = rest >= threshold / (1 + threshold) * (n + m) - _SLACK
+        # Where the grams before are the same, the two have met there.
+        fits &= (x["pos"][i] == 1) | (x["pos"][j] == 1) | (x["prev"][i] != x["prev"][j])
+        i, j = i[fits], j[fits]
+        if not len(i):
             return None
-        place = [pa.array(np.full(len(a), x[c][0]), pa.int64()) for c in _CELL]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *place], ["a", "b", *_CELL])
+        a, b = x["node"][i], x["node"][j]
+        columns = [np.minimum(a, b), np.maximum(a, b), *[x[c][i] for c in _CELL]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", *_CELL])
+
+    def use(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy() for c in [*_CELL, "block", "own_band", "node", "n", "pos", "prev"]}
+            starts = _starts([x[c] for c in _CELL])
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            partners = np.repeat(starts + sizes, sizes) - np.arange(batch.num_rows) - 1
+            for a, b in shares(partners.tolist(), _PAIRS, batch.num_rows):
+                if (found := judged(x, a, partners[a:b])) is not None:
+                    yield found
 
     return use
 
@@ -186,9 +207,11 @@ def similar_pairs(sets: DataFrame, scratch: Scratch, threshold: float) -> DataFr
         *_ENTRY, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     )
     cells = dealt.select(*_ENTRY, "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
+    # A number of its own: these rows are few bytes for the pairs they make, and Spark joins tasks by bytes.
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = (
-        cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
-        .mapInArrow(sorted_groups(_CELL, _meet(threshold)), "a long, b long, gram long, band long, c1 long, c2 long")
+        cells.repartition(tasks, *_CELL).sortWithinPartitions(*_CELL)
+        .mapInArrow(whole_groups(_CELL, _meet(threshold)), "a long, b long, gram long, band long, c1 long, c2 long")
     )
     pairs = scratch.keep(candidates.groupBy("a", "b").agg(F.min(F.struct(*_CELL)).alias("cell")))
     needed = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("member")).distinct()
@@ -220,9 +243,11 @@ def distinct_sets(rows: DataFrame, scratch: Scratch, *within: str) -> tuple[Data
 
 def similar_rows(rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """``a, b, similarity``: pairs of representatives, the smallest ``id`` of rows with equal ``grams``."""
-    sets, member = distinct_sets(rows.select("id", "grams"), scratch)
-    least = scratch.keep(member.groupBy("node").agg(F.min("id").alias("id")))
-    pairs = similar_pairs(sets, scratch, threshold)
-    one, two = (least.select(F.col("node").alias(n), F.col("id").alias(i)) for n, i in (("n1", "i1"), ("n2", "i2")))
-    named = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-    return named.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"), "similarity")
+    # The smallest id is found where equal sets meet, so that the grams are formed once.
+    named = rows.select("id", "grams", F.xxhash64(F.lit(1), "grams").alias("g1"), F.xxhash64(F.lit(2), "grams").alias("g2"))
+    distinct = named.groupBy("g1", "g2").agg(F.first("grams").alias("grams"), F.min("id").alias("id"))
+    sets = scratch.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "id", "grams"))
+    pairs = similar_pairs(sets.select("node", "grams"), scratch, threshold)
+    one, two = (sets.select(F.col("node").alias(n), F.col("id").alias(i)) for n, i in (("n1", "i1"), ("n2", "i2")))
+    labelled = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
+    return labelled.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"), "similarity")
