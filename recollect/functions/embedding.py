@@ -21,6 +21,7 @@ from pyspark import Accumulator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recollect.functions.batches import give_back, text_shares
 from recollect.functions.vectors import matrix_list
 from recollect.schema import EMBEDDING_DIM, VECTOR
 
@@ -139,15 +140,18 @@ def _load_model(folder: str, model_file: str):
 
 def embed(text: Column, embedder: Embedder, spent: Accumulator | None = None) -> Column:
     """The vector column for a text column; the model is loaded once per worker. ``spent`` adds up the
-    milliseconds of all tasks."""
+    milliseconds of all tasks. A batch's texts are encoded a bounded share at a time, so that what a
+    worker holds of words and counts does not grow with the batch."""
 
     @F.arrow_udf(VECTOR)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             started = time.perf_counter()
-            vectors = matrix_list(embedder.encode([t or "" for t in batch.to_pylist()]))
+            parts = [matrix_list(embedder.encode([t or "" for t in part.to_pylist()])) for part in text_shares(batch)]
+            vectors = pa.concat_arrays(parts) if parts else matrix_list(embedder.encode([]))
             if spent is not None:
                 spent.add(1000 * (time.perf_counter() - started))
             yield vectors
+        give_back()
 
     return run(text)
