@@ -34,8 +34,13 @@ from recollect.session import broadcast_if_small
 SHINGLE, SIMILAR = 5, 0.8
 #: Differing bits at most, of the first half and of both. At a similarity of 0.8 the means are 10 and 19.
 TAU, TAU_BOTH = 11, 27
-#: Numbers of partitions that are tried, the highest threshold of one, and rows or members of a block.
+#: Numbers of partitions that are tried, the highest threshold of one, and members of a block.
 PARTITIONS, MOST, BLOCK = (2, 3, 4, 5, 6), 3, 1024
+#: Rows of a key from which they are dealt into blocks. A row is sent once for each block of its key, so
+#: blocks are larger than the keys that the plan makes of texts that are not alike.
+KEY_BLOCK = 8192
+#: Pairs of fingerprints that are compared at once.
+_PAIRS = 1 << 20
 #: Texts that must have a key of their own before it is looked at as one that needs blocks: fewer
 #: add up to a few of these for each word around a key.
 NOTED = 32
@@ -174,7 +179,7 @@ def crowded(texts: DataFrame, parts: list[tuple[list[int], int]], scratch: Scrat
 
     noted = texts.select("fp").mapInArrow(own, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= NOTED)
     met = scratch.keep(noted).mapInArrow(spread, "key long, n long").groupBy(F.col("key").alias("of_key")).agg(F.sum("n").alias("n"))
-    return scratch.keep(met.where(F.col("n") > BLOCK).select("of_key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    return scratch.keep(met.where(F.col("n") > KEY_BLOCK).select("of_key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")))
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -205,8 +210,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = np.flatnonzero(tag & 1)
             right = left if cell >> 20 == cell & 0xFFFFF else np.flatnonzero(~tag & 1)
             first, second = [], []
-            for k in range(0, len(left), 512):
-                some = left[k : k + 512]
+            strip = max(1, _PAIRS // max(1, len(right)))
+            for k in range(0, len(left), strip):
+                some = left[k : k + strip]
                 apart = np.bitwise_count((fp[some, None] ^ fp[None, right]).view(np.uint64))
                 i, j = np.nonzero(apart <= TAU)
                 both = apart[i, j] + np.bitwise_count((fp2[some[i]] ^ fp2[right[j]]).view(np.uint64))
@@ -249,19 +255,24 @@ def _dealt(rows: DataFrame, keys: list[str], unit: str, scratch: Scratch, block:
     return spread.select(*rows.columns, "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
 
 
-def candidates(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b``: links that connect all texts within the radii. What is sent to the keys is exchanged once."""
-    parts = plan(texts)
+def dealt(texts: DataFrame, parts: list[tuple[list[int], int]], scratch: Scratch) -> DataFrame:
+    """``key, cell, tag, fp, fp2``: what is sent to the keys, once for each block of its key. A cell is a pair
+    of blocks; the lowest bit of ``tag`` says whether the row is of the first."""
     rows = probes(texts, parts)
     sent = rows.join(broadcast_if_small(crowded(texts, parts, scratch)), F.col("key") == F.col("of_key"), "left")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64(F.shiftright("tag", 1)), blocks)
     spread = sent.select("key", "tag", "fp", "fp2", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     low = F.least("own", "other")
-    cells = spread.select(
+    return spread.select(
         "key", (low * (1 << 20) + F.greatest("own", "other")).alias("cell"),
         (F.col("tag") * 2 + (F.col("own") == low).cast("long")).alias("tag"), "fp", "fp2",
     )
+
+
+def candidates(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: links that connect all texts within the radii. What is sent to the keys is exchanged once."""
+    cells = dealt(texts, plan(texts), scratch)
     sorted_ = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
     return scratch.keep(sorted_.mapInArrow(_meet, "a long, b long").distinct())
 

@@ -91,3 +91,32 @@ def test_verified_finds_all_chains():
     sets = [np.arange(k, k + 40) for k in (0, 2, 4, 6, 500)] + [np.zeros(0, np.int64)] * 2
     root = near_text.verified(0, 0, np.zeros(7, dtype=np.int64), sets)
     assert root.tolist() == [0, 0, 0, 0, 4, 5, 5]
+
+
+def _texts(spark, n, bits):
+    rng = random.Random(3)
+    rows = [(k, rng.getrandbits(bits), rng.getrandbits(60)) for k in range(n)]
+    return spark.createDataFrame(rows, "unit long, fp long, fp2 long")
+
+
+def test_rows_are_sent_to_a_key_once(spark, scratch):
+    """Also to a key that has as many as texts that are not alike make."""
+    texts, parts = _texts(spark, 4000, 50), [(list(range(10)), 0), (list(range(10, 64)), 0)]
+    sent = near_text.dealt(texts, parts, scratch)
+    assert sent.groupBy("key").count().agg({"count": "max"}).first()[0] >= 4000
+    assert sent.count() == near_text.probes(texts, parts).count() == 8000
+
+
+def test_blocks_of_a_key_find_all(spark, scratch, monkeypatch):
+    texts = _texts(spark, 200, 14)
+    rows = [(r["unit"], r["fp"], r["fp2"]) for r in texts.collect()]
+    near = [(a, b) for a, x, u in rows for b, y, v in rows if a < b and (x ^ y).bit_count() <= near_text.TAU and (x ^ y).bit_count() + (u ^ v).bit_count() <= near_text.TAU_BOTH]
+    found = []
+    for block in (8192, 40):
+        monkeypatch.setattr(near_text, "KEY_BLOCK", block)
+        cells = near_text.dealt(texts, [(list(range(24)), 0)], scratch)
+        assert (cells.count() > 200) == (block == 40)
+        links = cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(near_text._meet, "a long, b long").collect()
+        found.append(near_text.forest(200, *(np.array([r[k] for r in links], dtype=np.int64) for k in (0, 1))).tolist())
+    expected = near_text.forest(200, *(np.array(c, dtype=np.int64) for c in zip(*near)))
+    assert found == [expected.tolist()] * 2
