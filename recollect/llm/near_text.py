@@ -40,7 +40,7 @@ PARTITIONS, MOST, BLOCK = (2, 3, 4, 5, 6), 3, 1024
 #: blocks are larger than the keys that the plan makes of texts that are not alike.
 KEY_BLOCK = 8192
 #: Pairs of fingerprints that are compared at once.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 #: Texts that must have a key of their own before it is looked at as one that needs blocks: fewer
 #: add up to a few of these for each word around a key.
 NOTED = 32
@@ -182,8 +182,10 @@ def crowded(texts: DataFrame, parts: list[tuple[list[int], int]], scratch: Scrat
     return scratch.keep(met.where(F.col("n") > KEY_BLOCK).select("of_key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The first of all rows that each row is connected with."""
+def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The first of all rows that each row is connected with, also by ``root`` where that is given."""
+    if root is not None:
+        i, j = np.concatenate([i, np.arange(n)]), np.concatenate([j, root])
     root = np.arange(n)
     while True:
         before = root.copy()
@@ -194,6 +196,38 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def near_rows(fp: np.ndarray, fp2: np.ndarray, inner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The root of each row when the near ones of ``left`` and ``right`` are connected.
+
+    What is near is joined to the forest a strip at a time, as a cell of copies has the square of its rows
+    in pairs. Connected rows stand together, and a strip of them meets only what they are not connected with.
+    """
+    root, todo, linked = np.arange(len(fp)), left, False
+    while len(todo):
+        others, same = right, len(todo)
+        if linked:
+            todo = todo[np.argsort(root[todo], kind="stable")]
+            own = root[todo[0]]
+            same = int(np.searchsorted(root[todo], own, side="right"))
+            if same > 1:
+                others = right[root[right] != own]
+            else:
+                same = len(todo)
+        if not len(others):
+            todo = todo[same:]
+            continue
+        # Rows of other roots may only come along where nothing was left out.
+        some = todo[: min(same, max(1, _PAIRS // len(others)))]
+        todo = todo[len(some) :]
+        apart = np.bitwise_count((fp[some, None] ^ fp[None, others]).view(np.uint64))
+        i, j = np.nonzero(apart <= TAU)
+        both = apart[i, j] + np.bitwise_count((fp2[some[i]] ^ fp2[others[j]]).view(np.uint64))
+        good = (both <= TAU_BOTH) & (inner[some[i]] | inner[others[j]])
+        if good.any():
+            root, linked = forest(len(fp), some[i[good]], others[j[good]], root if linked else None), True
+    return root
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links ``a, b`` of a spanning forest of what is near in each cell; batches are sorted by cell."""
     held: list[pa.RecordBatch] = []
@@ -209,20 +243,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit, inner, cell = tag >> 2, (tag >> 1 & 1).astype(bool), int(x["cell"][a])
             left = np.flatnonzero(tag & 1)
             right = left if cell >> 20 == cell & 0xFFFFF else np.flatnonzero(~tag & 1)
-            first, second = [], []
-            strip = max(1, _PAIRS // max(1, len(right)))
-            for k in range(0, len(left), strip):
-                some = left[k : k + strip]
-                apart = np.bitwise_count((fp[some, None] ^ fp[None, right]).view(np.uint64))
-                i, j = np.nonzero(apart <= TAU)
-                both = apart[i, j] + np.bitwise_count((fp2[some[i]] ^ fp2[right[j]]).view(np.uint64))
-                good = (both <= TAU_BOTH) & (inner[some[i]] | inner[right[j]])
-                first.append(some[i[good]])
-                second.append(right[j[good]])
-            if first:
-                root = forest(b - a, np.concatenate(first), np.concatenate(second))
-                moved = np.flatnonzero(root != np.arange(b - a))
-                found.append((unit[moved], unit[root[moved]]))
+            root = near_rows(fp, fp2, inner, left, right)
+            moved = np.flatnonzero(root != np.arange(b - a))
+            found.append((unit[moved], unit[root[moved]]))
         columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
@@ -289,6 +312,17 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.select("cluster", "unit", "text").mapInArrow(run, "cluster long, unit long, grams array<long>")
 
 
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``cluster, unit, text`` of one document of each member, and of rows equal to it, read where they lie:
+    up to a million members the texts of all others are not exchanged for it."""
+    key = F.struct(F.col("own.doc_id").alias("doc_id"), F.col("own.row").alias("row"))
+    wanted = broadcast_if_small(members.select("unit", "cluster", key.alias("of")))
+    named = docs.select("doc_id", row_hash(docs).alias("row"), "text").join(
+        wanted, F.col("row").eqNullSafe(F.col("of.row")) & F.col("doc_id").eqNullSafe(F.col("of.doc_id"))
+    )
+    return named.select("cluster", "unit", "text")
+
+
 def verified(c1: int, c2: int, block: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
     """The root of each row when rows of the two blocks that are alike are connected."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -318,7 +352,8 @@ def verified(c1: int, c2: int, block: np.ndarray, sets: list[np.ndarray], simila
 
 
 def _compare(cell: pa.Table) -> pa.Table:
-    sets = [np.asarray(s, dtype=np.int64) for s in cell["grams"].to_pylist()]
+    lists = cell["grams"].combine_chunks()
+    sets = np.split(lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
     unit = cell["unit"].to_numpy()
     root = verified(cell["c1"][0].as_py(), cell["c2"][0].as_py(), cell["block"].to_numpy(), sets)
     moved = np.flatnonzero(root != np.arange(len(unit)))
@@ -344,13 +379,7 @@ def classified(docs: DataFrame, scratch: Scratch) -> DataFrame:
     near = scratch.keep(components(candidates(texts, scratch), scratch))
     members = texts.join(near, F.col("unit") == F.col("node")).select("unit", F.col("root").alias("cluster"), "own")
     members = scratch.keep(members.union(texts.join(near.select("root").distinct(), F.col("unit") == F.col("root")).select("unit", F.col("root"), "own")).distinct())
-    # The text of one document of each member, read where it lies.
-    key = F.struct(F.col("own.doc_id").alias("doc_id"), F.col("own.row").alias("row"))
-    wanted = members.select("unit", "cluster", key.alias("of"))
-    named = docs.select("doc_id", row_hash(docs).alias("row"), "text").join(
-        wanted, F.col("row").eqNullSafe(F.col("of.row")) & F.col("doc_id").eqNullSafe(F.col("of.doc_id"))
-    )
-    sets = scratch.keep(_grams(named.select("cluster", "unit", "text")).dropDuplicates(["unit"]))
+    sets = scratch.keep(_grams(texts_of(docs, members)).dropDuplicates(["unit"]))
     cells = _dealt(sets, ["cluster"], "unit", scratch, BLOCK // 4)
     links = cells.groupBy("cluster", "c1", "c2").applyInArrow(_compare, "a long, b long")
     classes = components(scratch.keep(links), scratch)

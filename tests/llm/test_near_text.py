@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import DOCS, words
 from recollect.llm import near_text
@@ -120,3 +122,51 @@ def test_blocks_of_a_key_find_all(spark, scratch, monkeypatch):
         found.append(near_text.forest(200, *(np.array([r[k] for r in links], dtype=np.int64) for k in (0, 1))).tolist())
     expected = near_text.forest(200, *(np.array(c, dtype=np.int64) for c in zip(*near)))
     assert found == [expected.tolist()] * 2
+
+
+def test_pairs_of_a_key_of_copies_are_not_held(monkeypatch):
+    """All of 600 rows are near one another: 360,000 pairs, of which a strip at a time is there."""
+    held, whole = [], near_text.forest
+
+    def watched(n, i, *rest):
+        held.append(len(i))
+        return whole(n, i, *rest)
+
+    monkeypatch.setattr(near_text, "forest", watched)
+    monkeypatch.setattr(near_text, "_PAIRS", 1 << 13)
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in ([5] * 600, [0] * 600, [4 * k + 3 for k in range(600)], [9] * 600, [9] * 600)], ["key", "cell", "tag", "fp", "fp2"])
+    (links,) = near_text._meet(iter([rows]))
+    assert sorted(links["a"].to_pylist()) == list(range(1, 600)) and set(links["b"].to_pylist()) == {0}
+    assert max(held) <= 1 << 13
+
+
+@pytest.mark.parametrize("pairs", [1, 64, 700, 1 << 18])
+def test_strips_connect_what_all_pairs_connect(monkeypatch, pairs):
+    monkeypatch.setattr(near_text, "_PAIRS", pairs)
+    rng = np.random.default_rng(7)
+    of = rng.integers(0, 12, 90)
+    fp, fp2 = (rng.integers(0, 1 << 60, 12)[of] ^ np.bitwise_xor.reduce(1 << rng.integers(0, 60, (7, 90))) for _ in range(2))
+    for left, right in ((np.arange(90), np.arange(90)), (np.arange(40), np.arange(40, 90))):
+        for inner in (np.ones(90, dtype=bool), rng.random(90) < 0.5):
+            near = [
+                (a, b) for a in left for b in right
+                if (x := int(fp[a] ^ fp[b]).bit_count()) <= near_text.TAU and x + int(fp2[a] ^ fp2[b]).bit_count() <= near_text.TAU_BOTH and (inner[a] or inner[b])
+            ]
+            expected = near_text.forest(90, *(np.array([p[k] for p in near], dtype=np.int64) for k in (0, 1)))
+            assert near_text.near_rows(fp, fp2, inner, left, right).tolist() == expected.tolist()
+            assert 2 < len(set(expected.tolist())) < 90
+
+
+def test_texts_of_all_documents_are_not_exchanged(spark, docs, scratch):
+    """Also where Spark would broadcast nothing by itself."""
+    rows = scratch.keep(near_text.measured(docs))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("own")
+    members = scratch.keep(rows.limit(20).select(F.monotonically_increasing_id().alias("unit"), F.lit(0).cast("long").alias("cluster"), own))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = near_text.texts_of(docs, members)
+        assert "hashpartitioning" not in texts._jdf.queryExecution().toString()
+        assert {r["unit"] for r in texts.collect()} == {r["unit"] for r in members.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
