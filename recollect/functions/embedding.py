@@ -62,6 +62,7 @@ class HashingEmbedder:
         vocabulary: defaultdict[str, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         ids = np.fromiter((vocabulary[w] for words in split for w in words), dtype=np.int64, count=sum(lengths))
+        vocabulary.default_factory = None  # it refers to itself by this, and would outlive the call with all its words
         hashed = b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest() for w in vocabulary)
         digests = np.frombuffer(hashed, dtype=np.uint8).reshape(-1, 16)
         slots = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % self.dim

@@ -5,33 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect import session
-from recollect.session import prepare
+from recollect.session import Scratch, prepare
 
 #: Words of most contracts: runs of anything but these six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows that Spark sends to a Python worker at once: whole texts may be long, and the batch is
-#: outside the heap.
-ROWS_AT_ONCE = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-class Scratch(session.Scratch):
-    """Intermediate tables, written with small batches to the workers; the setting is put back."""
-
-    def keep(self, df: DataFrame, **options: str) -> DataFrame:
-        conf = df.sparkSession.conf
-        before = conf.get(_BATCH)
-        conf.set(_BATCH, str(min(ROWS_AT_ONCE, int(before)) if int(before) > 0 else ROWS_AT_ONCE))
-        try:
-            return super().keep(df, **options)
-        finally:
-            conf.set(_BATCH, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

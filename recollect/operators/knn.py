@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.batches import give_back
 from recollect.functions.vectors import list_matrix
 
 # How many rows are fetched first.
@@ -148,6 +149,7 @@ def search(vectors: DataFrame, asked: dict) -> DataFrame:
                 _multiply(best.setdefault(project, [_Best(k) for k in ks]), matrix, list_matrix(rows.column("embedding")), ids, keys)
         for project, kept in best.items():
             yield _hits(project, wanted[project][0], kept)
+        give_back()
 
     return _narrow(vectors.where(F.col("project").isin(sorted(asked)))).mapInArrow(run, HITS)
 

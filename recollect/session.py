@@ -7,12 +7,19 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
+#: Rows that Spark sends to a Python worker at once: whole texts may be long, and the batch is
+#: outside the heap.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin UTC, which results depend on, and ship this package to the Python workers.
@@ -52,11 +59,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile sends ROWS_AT_ONCE rows to a worker at once, or fewer where the cluster says so."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(ROWS_AT_ONCE, int(before)) if int(before) > 0 else ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """Intermediate results as tables in the checkpoint folder, until closed.
 
     A kept result is computed once and survives the loss of executors; later reads take
-    only the columns they need.
+    only the columns they need. It is computed with small batches to the workers; the setting is put back.
     """
 
     def __init__(self, spark: SparkSession):
@@ -72,7 +90,8 @@ class Scratch:
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self._n += 1
         path = f"{self._folder}/{self._n}"
-        df.write.options(**options).parquet(path)
+        with small_batches(self._spark):
+            df.write.options(**options).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def keep_by(self, df: DataFrame, column: str) -> DataFrame:
@@ -82,7 +101,8 @@ class Scratch:
         """
         self._n += 1
         path = f"{self._folder}/{self._n}"
-        df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+        with small_batches(self._spark):
+            df.hint("rebalance", column).write.partitionBy(column).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
