@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.batches import give_back
 from recollect.llm import codec
 from recollect.llm.base import Scratch
 from recollect.llm.files import Written, read, shared_folder
@@ -169,6 +170,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_ids: int, block_docs: int)
 
 def read_files(blocks: DataFrame, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, from the files; ids are 32-bit."""
+    return _read(blocks, blocks_a_task, "ids binary", lambda ids: pa.array(ids, pa.binary()))
+
+
+def read_crcs(blocks: DataFrame, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
+    """As ``read_files``, with the CRC-32 of the bytes of the ids, which do not leave the worker that reads them."""
+    return _read(blocks, blocks_a_task, "ids_crc32 long", lambda ids: pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+
+
+def _read(blocks: DataFrame, blocks_a_task: int, column: str, values: Callable[[list[bytes]], pa.Array]) -> DataFrame:
+    name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[str, codec.Codebook] = {}
@@ -184,26 +195,16 @@ def read_files(blocks: DataFrame, blocks_a_task: int = BLOCKS_A_TASK) -> DataFra
                         pa.array(docs, pa.int64()),
                         pa.array(ends - lens + r["start"], pa.int64()),
                         pa.array(lens.astype(np.int64)),
-                        pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens)], pa.binary()),
+                        values([ids[e - n : e].tobytes() for e, n in zip(ends, lens)]),
                     ],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    ["doc_id", "start", "n_tokens", name],
                 )
+        give_back()
 
     # A number of its own: by size alone, Spark would join these few bytes to one task.
     tasks = max(1, -(-blocks.count() // blocks_a_task))
     spread = blocks.repartitionByRange(tasks, "start", "file", "block").sortWithinPartitions("start", "file", "block")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def with_crc(rows: DataFrame) -> DataFrame:
-    """``ids`` as the CRC-32 of their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sums = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def token_files(docs: DataFrame, scratch: Scratch, path: str | None = None, folder: str | None = None) -> DataFrame:
@@ -215,4 +216,4 @@ def token_files(docs: DataFrame, scratch: Scratch, path: str | None = None, fold
     path = path or tokenizer_path()
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     tokens = scratch.keep(tokenized(docs, path), compression="zstd")
-    return with_crc(read_files(scratch.keep(write_files(tokens, folder, scratch))))
+    return read_crcs(scratch.keep(write_files(tokens, folder, scratch)))

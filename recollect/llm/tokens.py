@@ -31,10 +31,11 @@ _LETTER, _MARK, _LOWER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), n
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK[list(b'.,!?;:*#$%&()"-')] = True
 _LOWER[0x41:0x5B] += 0x20
-#: Words of one generation that a worker remembers; two generations are kept.
-REMEMBERED = 400_000
+#: Bytes of one generation of words or parts that a worker remembers, ENTRY of them for each besides the text; two
+#: generations are kept.
+REMEMBERED, ENTRY = 24 << 20, 160
 #: Bytes of text that are split at once; a longer text is cut between two words.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -45,20 +46,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Memory:
-    """Values of keys seen lately, in two generations."""
+    """Values of keys seen lately, in two generations of bounded size, however long the keys are."""
 
     def __init__(self):
         self.now: dict = {}
         self.older: dict = {}
+        self.size = 0
 
     def missing(self, keys: list) -> list:
         """Those of ``keys`` without a value; after that, the others are all in ``now``."""
-        if len(self.now) > REMEMBERED:  # forget what has not been asked for since it was last full
-            self.older, self.now = self.now, {}
+        if self.size > REMEMBERED:  # forget what has not been asked for since it was last full
+            self.older, self.now, self.size = self.now, {}, 0
         now, older = self.now, self.older
         out = []
         for key in keys:
             if key not in now:
+                self.size += ENTRY + 3 * len(key)  # an id has two bytes mostly, and stands for a byte at least
                 value = older.get(key)
                 if value is None:
                     out.append(key)
@@ -140,7 +143,8 @@ class WordEncoder:
             data, sizes = words.raw[~words.gaps], words.ends - words.starts
             starts = _summed(sizes)[:-1]
             letter = _LETTER[data]
-            letters, marks = _summed(letter), _summed(_MARK[data])
+            count = np.int32 if len(data) < 1 << 31 else np.int64
+            letters, marks = _summed(letter, count), _summed(_MARK[data], count)
             heads = letters[starts + sizes] - letters[starts]
             tails = sizes - heads
             plain = (letters[starts + heads] - letters[starts] == heads) & (
@@ -202,9 +206,11 @@ def _byte_names() -> dict[int, str]:
 _BYTES = _byte_names()
 
 
-def _summed(values: np.ndarray) -> np.ndarray:
+def _summed(values: np.ndarray, kind: type = np.int64) -> np.ndarray:
     """What stands before each value, added up, and the sum of all."""
-    return np.concatenate([[0], np.cumsum(values)]).astype(np.int64)
+    out = np.zeros(len(values) + 1, dtype=kind)
+    np.cumsum(values, out=out[1:])
+    return out
 
 
 def _distinct(data: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:

@@ -52,6 +52,17 @@ def test_forgetting_changes_nothing(library, monkeypatch):
             assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_what_is_remembered_has_a_size(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 1 << 16)
+    e = tokens.WordEncoder(tokens.tokenizer_path())
+    rng = np.random.default_rng(5)
+    for signs in ("abcdefghij", "0123456789"):  # parts and words that are left whole
+        for _ in range(300):
+            e.count(["".join(rng.choice(list(signs), 1000))])
+    for memory in (e._words, e._parts):
+        assert sum(len(k) + len(v) for d in (memory.now, memory.older) for k, v in d.items()) < 3 << 16
+
+
 def test_whole_tokens_are_proved(library):
     e = tokens.encoder(tokens.tokenizer_path())
     assert len(e.whole) > 10_000
