@@ -6,8 +6,8 @@ only with sets of a like size. A pair that meets at several grams is taken once.
 tests is verified with whole sets, which are sent to where the pairs are, once for each meeting place
 and not once for each pair.
 
-A gram that very many prefixes hold is dealt into blocks, pairs of which meet in different tasks. The
-order needs counts in all of the table; these are kept for BUCKETS hash buckets of grams, a
+Most grams are in few prefixes, and their sets meet as they are. A gram that very many prefixes hold is
+dealt by bands of size and into blocks, pairs of which meet in different tasks. The order needs counts in all of the table; these are kept for BUCKETS hash buckets of grams, a
 table of bounded size. Which order it is changes how many sets meet, never the answer.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.batches import give_back, list_shares, shares
-from recollect.session import Scratch
+from recollect.session import Scratch, broadcast_if_small
 
 #: Buckets of gram counts (8 bytes each in every task) and sets of a block.
 BUCKETS, BLOCK = 1 << 18, 512
@@ -60,10 +60,10 @@ def gram_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """``gram, band, own_band, node, n, pos, prev`` for each gram of each set's prefix.
+    """``gram, own_band, node, n, pos, prev`` for each gram of each set's prefix.
 
-    Sizes are divided into bands such that similar sets are in the same or in neighbouring ones; a
-    set is in its own band and the next. ``prev`` is the gram before in the order.
+    Sizes are divided into bands such that similar sets are in the same or in neighbouring ones.
+    ``prev`` is the gram before in the order.
     """
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     base = math.log(1 / threshold) * 1.001 if threshold < 1 else 1.0
@@ -79,9 +79,8 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
                     continue
                 own = values[a:b]
                 own = own[np.lexsort((own, shared.value[_bucket(own)]))][: prefix_length(n, threshold)]
-                p, band = len(own), int(math.log(n) / base)
-                for k in (band, band + 1):
-                    out.append((own, np.full(p, k), np.full(p, band), np.full(p, node), np.full(p, n), np.arange(1, p + 1), np.concatenate([[0], own[:-1]])))
+                p = len(own)
+                out.append((own, np.full(p, int(math.log(n) / base)), np.full(p, node), np.full(p, n), np.arange(1, p + 1), np.concatenate([[0], own[:-1]])))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _ENTRY)
@@ -90,7 +89,36 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
     return sets.select("node", "grams").mapInArrow(run, ", ".join(f"{c} long" for c in _ENTRY))
 
 
-_ENTRY = ["gram", "band", "own_band", "node", "n", "pos", "prev"]
+_ENTRY = ["gram", "own_band", "node", "n", "pos", "prev"]
+
+
+def _dealt(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """``entries`` with the cells in which they meet and their ``block`` there.
+
+    Entries of a gram make one cell, of no band (-1). Those of a gram with over BLOCK of them are in their own
+    band and the next, and in a cell for each pair of their block with another of the band.
+    """
+    met = entries.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("met"))
+    crowds = broadcast_if_small(scratch.keep(met.where(F.col("met") > BLOCK).select("g")))
+    bands = F.explode(F.array("own_band", F.col("own_band") + 1))
+    banded = entries.join(crowds, F.col("gram") == F.col("g")).select(*_ENTRY, bands.alias("band"))
+    counted = banded.groupBy(F.col("gram").alias("g"), F.col("band").alias("w")).agg(F.count("*").alias("met"))
+    blocks = scratch.keep(counted.select("g", "w", F.ceil(F.col("met") / BLOCK).alias("blocks")))
+    split = (
+        banded.join(broadcast_if_small(blocks), (F.col("gram") == F.col("g")) & (F.col("band") == F.col("w")))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(*_ENTRY, "band", "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
+    )
+    zero = F.lit(0).cast("long")
+    alone = entries.join(crowds, F.col("gram") == F.col("g"), "left_anti").select(
+        *_ENTRY, F.lit(-1).cast("long").alias("band"), zero.alias("block"), zero.alias("c1"), zero.alias("c2")
+    )
+    return alone.unionByName(split)
+
+
+#: Narrow rows that are looked at together, where batches are smaller.
+_TOGETHER = 1 << 15
 
 
 def whole_groups(keys: list[str], use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
@@ -102,6 +130,9 @@ def whole_groups(keys: list[str], use: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if sum(b.num_rows for b in held) + batch.num_rows < _TOGETHER:
+                held.append(batch)
+                continue
             cuts = _starts([batch.column(c).to_numpy() for c in keys])
             if held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in keys):
                 cuts = cuts[1:]
@@ -135,7 +166,7 @@ def _meet(threshold: float):
         n, m = x["n"][i], x["n"][j]
         # Sizes leave few pairs, so they are judged first.
         fits = np.minimum(n, m) >= threshold * np.maximum(n, m) - _SLACK
-        fits &= np.maximum(x["own_band"][i], x["own_band"][j]) == x["band"][i]
+        fits &= (x["band"][i] < 0) | (np.maximum(x["own_band"][i], x["own_band"][j]) == x["band"][i])
         fits &= (x["c1"][i] == x["c2"][i]) | (x["block"][i] != x["block"][j])
         i, j, n, m = i[fits], j[fits], n[fits], m[fits]
         rest = 1 + np.minimum(n - x["pos"][i], m - x["pos"][j])
@@ -196,17 +227,7 @@ def similar_pairs(sets: DataFrame, scratch: Scratch, threshold: float) -> DataFr
     set is like no other. Equal sets should be one node: copies of it are then no pairs.
     """
     entries = scratch.keep(prefixes(sets, gram_counts(sets), threshold))
-    crowds = (
-        entries.groupBy(F.col("gram").alias("g"), F.col("band").alias("w"))
-        .agg(F.count("*").alias("met"))
-        .where("met > 1")
-        .select("g", "w", F.ceil(F.col("met") / BLOCK).alias("blocks"))
-    )
-    met = entries.join(crowds, (F.col("gram") == F.col("g")) & (F.col("band") == F.col("w")))
-    dealt = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(
-        *_ENTRY, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    )
-    cells = dealt.select(*_ENTRY, "block", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"))
+    cells = _dealt(entries, scratch)
     # A number of its own: these rows are few bytes for the pairs they make, and Spark joins tasks by bytes.
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = (

@@ -17,6 +17,16 @@ def test_prefixes_are_sent_on_in_shares():
     assert [s.num_rows for s in batches.list_shares(rows.slice(700, 600), "grams")] == [500, 100]
 
 
+def test_a_gram_of_a_prefix_is_sent_once(spark):
+    """Bands are for crowded grams alone."""
+    sets = {k: list(range(100 * k, 100 * k + 10 + k)) for k in range(1, 30)}
+    with Scratch(spark) as scratch:
+        df = scratch.keep(spark.createDataFrame(list(sets.items()), "node long, grams array<long>"))
+        entries = scratch.keep(similarity.prefixes(df, similarity.gram_counts(df), 0.85))
+        assert entries.count() == sum(similarity.prefix_length(len(x), 0.85) for x in sets.values())
+        assert [tuple(r) for r in similarity._dealt(entries, scratch).select("band", "c1", "c2").distinct().collect()] == [(-1, 0, 0)]
+
+
 @pytest.mark.parametrize("block, at_once", [(512, 1 << 17), (3, 7)])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_similar_pairs_are_all_pairs(spark, monkeypatch, block, at_once, seed):
@@ -40,6 +50,20 @@ def test_similar_pairs_are_all_pairs(spark, monkeypatch, block, at_once, seed):
     assert len(expected) > 20 and got == pytest.approx(expected)
 
 
+def test_small_batches_are_joined():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000))], ["k"])
+    uses = []
+    list(similarity.whole_groups(["k"], lambda whole: iter(uses.append(sum(b.num_rows for b in whole)) or ()))(rows.slice(k, 10) for k in range(0, 3000, 10)))
+    assert uses == [3000]
+
+
+@pytest.mark.parametrize("together", [1, 5, 1 << 15])
+@pytest.mark.parametrize("cuts", [[], [1], [4, 5, 9], list(range(1, 12))])
+def test_groups_are_whole_however_batches_cut_them_and_join_them(monkeypatch, cuts, together):
+    monkeypatch.setattr(similarity, "_TOGETHER", together)
+    test_groups_are_whole_however_batches_cut_them(cuts)
+
+
 @pytest.mark.parametrize("cuts", [[], [1], [4, 5, 9], list(range(1, 12))])
 def test_groups_are_whole_however_batches_cut_them(cuts):
     keys = [1, 1, 2, 3, 3, 3, 3, 4, 4, 5, 6, 6]
