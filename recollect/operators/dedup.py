@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recollect.functions.batches import give_back
 from recollect.functions.text import shingle_hashes
 
 #: Fixed value: Jaccard similarity from which two texts count as the same.
@@ -64,16 +65,20 @@ def _rare_first(lists: pa.ListArray) -> tuple[list[np.ndarray], int]:
     return [np.sort(r) for r in rows], int((count == 1).sum())
 
 
+_JUDGED = ["grams", "content_hash", "file_path", "line_start", "line_end"]
+
+
 def _survivors(similarity: float):
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["id"].to_numpy(), -group["score"].to_numpy()))
-        group = group.take(pa.array(order)).combine_chunks()
-        grams, unshared = _rare_first(group["grams"].chunk(0))
+        # Texts are not copied to be judged; only those of survivors are, once.
+        judged = group.select(_JUDGED).take(pa.array(order)).combine_chunks()
+        grams, unshared = _rare_first(judged["grams"].chunk(0))
         # Two sets this similar share one of their first few grams in any common order.
         heads = (g[: len(g) - math.ceil(similarity * len(g) - 1e-9) + 1] for g in grams)
         probes = (h[h >= unshared].tolist() for h in heads)
         kept, rows = _Kept(similarity), []
-        tests = zip(*(group[c].to_pylist() for c in ["content_hash", "file_path", "line_start", "line_end"]), grams, probes)
+        tests = zip(*(judged[c].to_pylist() for c in _JUDGED[1:]), grams, probes)
         for at, (content_hash, path, start, end, own, probe) in enumerate(tests):
             place = None if None in (path, start, end) else (path, start, end)
             if content_hash and content_hash in kept.hashes:
@@ -82,7 +87,10 @@ def _survivors(similarity: float):
                 continue
             kept.add(content_hash, place, own, probe)
             rows.append(at)
-        return group.drop_columns(["grams"]).take(pa.array(rows, type=pa.int64()))
+        found = group.drop_columns(["grams"]).take(pa.array(order[rows], type=pa.int64()))
+        del judged, grams, probes, kept, tests
+        give_back()  # a worker serves many groups, and would keep the most that any of them took
+        return found
 
     return run
 

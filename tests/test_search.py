@@ -2,12 +2,14 @@ import random
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions.embedding import HashingEmbedder, OnnxEmbedder, embed, length_batches, text_windows, unit_rows
 from recollect.functions.vectors import decode_float32, dot, encode_float32
 from recollect.operators import knn
+from recollect.operators import dedup
 from recollect.operators.dedup import greedy_dedup
 from recollect.operators.packing import pack, pack_long, recall_stats
 
@@ -115,6 +117,24 @@ def _candidates(n, seed):
 _SCHEMA = "project string, query_id long, id long, score double, text string, content_hash string, file_path string, line_start int, line_end int"
 
 
+#: Outlives whatever it has given out.
+_COUNTED = pa.proxy_memory_pool(pa.default_memory_pool())
+
+
+def test_greedy_dedup_copies_the_texts_of_survivors_alone():
+    n, text = 100, "x" * 50_000
+    rows = {"id": range(n), "score": [0.5] * n, "content_hash": ["same"] * n, "text": [text] * n, "grams": [[1, 2, 3]] * n}
+    empty = {"file_path": pa.nulls(n, pa.string()), "line_start": pa.nulls(n, pa.int32()), "line_end": pa.nulls(n, pa.int32())}
+    group, before = pa.table(rows | empty), pa.default_memory_pool()
+    pa.set_memory_pool(_COUNTED)
+    try:
+        found = dedup._survivors(0.85)(group)
+    finally:
+        pa.set_memory_pool(before)
+    assert found.num_rows == 1 and found["text"].to_pylist() == [text]
+    assert _COUNTED.max_memory() < n * len(text) / 5
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_dedup_is_the_first_maximal_independent_set(spark, seed):
     rows = _candidates(150, seed)
