@@ -33,7 +33,7 @@ _MARK[list(b'.,!?;:*#$%&()"-')] = True
 _LOWER[0x41:0x5B] += 0x20
 #: Bytes of one generation of words or parts that a worker remembers, ENTRY of them for each besides the text; two
 #: generations are kept.
-REMEMBERED, ENTRY = 24 << 20, 160
+REMEMBERED, ENTRY = 48 << 20, 160
 #: Bytes of text that are split at once; a longer text is cut between two words.
 AT_ONCE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
